@@ -18,6 +18,10 @@ JSON_LD_ADDRESS = (
     ("addressCountry", "country"),
     ("postalCode", "postal_code"),
 )
+JSON_LD_PRODUCT = (
+    ("name", "product_name"),
+    ("category", "category"),
+)
 
 # --- fixed values: OpenGraph properties -> field names ---------------------------
 OPEN_GRAPH = (

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from leadloom.functions.binding import let
 from leadloom.functions.html import strip
 
 _LOCAL = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
@@ -44,36 +45,41 @@ def email_domain(email: Column) -> Column:
 
 def _significant(value: Column) -> Column:
     """Digits with an optional leading plus: extension cut, keypad letters mapped, punctuation gone."""
-    trimmed = strip(F.lower(value))
-    from_start = F.regexp_extract(trimmed, r"(?s)[+(0-9].*$", 0)
-    bare = F.regexp_replace(from_start, r"(?:;ext=|,?\s*ext\.?|\s*x|\s*#)\s*[0-9]{1,7}\s*$", "")
-    vanity = bare.rlike(r"[a-z][^a-z]*[a-z][^a-z]*[a-z]")
-    dialled = F.when(vanity, F.translate(bare, *_KEYPAD)).otherwise(bare)
-    digits = F.regexp_replace(dialled, "[^0-9]", "")
-    plus = bare.startswith("+") | bare.startswith("(+")
-    return F.when(plus, F.concat(F.lit("+"), digits)).otherwise(F.regexp_replace(digits, "^011", "+"))
+    from_start = F.regexp_extract(strip(F.lower(value)), r"(?s)[+(0-9].*$", 0)
+    without_extension = F.regexp_replace(
+        from_start, r"(?:;ext=|,?\s*ext\.?|\s*x|\s*#)\s*[0-9]{1,7}\s*$", ""
+    )
+
+    def dialled(bare):
+        vanity = bare.rlike(r"[a-z][^a-z]*[a-z][^a-z]*[a-z]")
+        keys = F.when(vanity, F.translate(bare, *_KEYPAD)).otherwise(bare)
+        digits = F.regexp_replace(keys, "[^0-9]", "")
+        plus = bare.startswith("+") | bare.startswith("(+")
+        return F.when(plus, F.concat(F.lit("+"), digits)).otherwise(F.regexp_replace(digits, "^011", "+"))
+
+    return let(without_extension, dialled)
 
 
 def normalize_phone(value: Column, area_codes: Sequence[str] | None = None) -> Column:
     """E.164 form with the US as home region, NULL when the number is not acceptable.
 
     A North American number needs ten digits after an optional 1, an area code and an exchange that
-    both start with 2-9. Area codes ending in 11, starting with a 9 in the middle, and 555 are
-    unassigned; without ``area_codes`` every other one is taken as assigned, with it only the listed
-    ones. Other numbers need a plus (or 011), a calling code in use and 8-15 digits.
+    both start with 2-9. Area codes ending in 11, with a 9 in the middle, and 555 are unassigned;
+    without ``area_codes`` every other one is taken as assigned, with it only the listed ones. Other
+    numbers need a plus (or 011), a calling code in use and 8-15 digits.
     """
-    number = _significant(value)
-    american = F.regexp_extract(number, r"^(?:\+?1)?([2-9][0-8][0-9][2-9][0-9]{6})$", 1)
-    area = F.substring(american, 1, 3)
-    assigned = ~area.rlike("^(?:.11|555)$")
-    if area_codes is not None:
-        assigned = area.isin(*area_codes)
-    elsewhere = number.rlike(rf"^\+(?:{OTHER_CALLING_CODES})[0-9]{{4,}}$") & F.length(number).between(9, 16)
-    explicit = ~number.startswith("+") | number.startswith("+1")
-    return (
-        F.when((american != "") & explicit & assigned, F.concat(F.lit("+1"), american))
-        .when(elsewhere, number)
-    )
+    def american(ten):
+        area = F.substring(ten, 1, 3)
+        assigned = ~area.rlike("^(?:.11|555)$") if area_codes is None else area.isin(*area_codes)
+        return F.when((ten != "") & assigned, F.concat(F.lit("+1"), ten))
+
+    def checked(number):
+        ten = F.regexp_extract(number, r"^(?:\+?1)?([2-9][0-8][0-9][2-9][0-9]{6})$", 1)
+        home = ~number.startswith("+") | number.startswith("+1")
+        abroad = number.rlike(rf"^\+(?:{OTHER_CALLING_CODES})[0-9]{{4,}}$") & F.length(number).between(9, 16)
+        return F.when(home, let(ten, american)).when(abroad, number)
+
+    return let(_significant(value), checked)
 
 
 def normalize_contact(kind: Column, value: Column, area_codes: Sequence[str] | None = None) -> Column:

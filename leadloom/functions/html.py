@@ -9,18 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from leadloom import fixed_values as V
+from leadloom.functions.binding import apply
 
 # Comments and elements whose content is not page text; an unclosed one reaches to the end.
-_COMMENT = r"<!--.*?(?:-->|\z)"
-_SCRIPT = r"<script\b.*?(?:</script\s*>|\z)"
-HIDDEN = (
-    "(?is)" + _COMMENT + "|" + _SCRIPT
-    + r"|<style\b.*?(?:</style\s*>|\z)|<template\b.*?(?:</template\s*>|\z)"
-)
-SCRIPTS = "(?is)" + _COMMENT + "|" + _SCRIPT
-# Attributes of a tag: a quote opens a value only after "=". Tags with more of them end at the next ">".
-_ATTRIBUTES = r"[^>=]*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>=]*)?[^>=]*){0,64}"
-TAG = rf"(?s)</?[A-Za-z!?]{_ATTRIBUTES}(?:>|\z)|</?[A-Za-z!?][^>]*(?:>|\z)"
+_COMMENT = r"!--.*?(?:-->|\z)"
+_SCRIPT = r"script\b.*?(?:</script\s*>|\z)"
+_STYLE = r"style\b.*?(?:</style\s*>|\z)"
+_TEMPLATE = r"template\b.*?(?:</template\s*>|\z)"
+HIDDEN = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|{_TEMPLATE})"
+SCRIPTS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT})"
+# Attributes of a tag: a quote opens a value only after "=". Tags with more than 64 end at the next ">".
+_ATTRIBUTES = r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>=]*+)?+[^>=]*+){0,64}+"
+TAG = rf"(?s)</?[A-Za-z!?](?:[^>=]*+>|{_ATTRIBUTES}(?:>|\z))|</?[A-Za-z!?][^>]*(?:>|\z)"
 BOUNDARY = "\u0001"
 BLANKS = " \t\n\r\f\u000b\u00a0"
 
@@ -54,34 +54,39 @@ def attribute(tag: Column, name: str) -> Column:
     return decode_entities(value, legacy=False)
 
 
-def _decode_numeric(text: Column) -> Column:
-    """Replace numeric character references, one pass per distinct reference in the text."""
-    references = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?"), F.lit(0))
+def _decode_lambda(close: str) -> str:
+    """SQL lambda that decodes the basic named and all numeric character references of a text.
+
+    Each distinct numeric reference is replaced in one pass, longer ones first; code points that are
+    no characters become U+FFFD. Ampersands come last, so nothing is decoded twice.
+    """
+    named = "t"
+    for entity, char, end in (
+        ("lt", "<", close), ("gt", ">", close), ("quot", '"', close), ("apos", "\\'", ";"), ("nbsp", "\u00a0", close)
+    ):
+        named = f"regexp_replace({named}, '&{entity}{end}', '{char}')"
+    digits = "regexp_replace(ref, '^&#[xX]?|;$', '')"
+    code = f"CAST(CASE WHEN lower(substring(ref, 3, 1)) = 'x' THEN conv({digits}, 16, 10) ELSE {digits} END AS BIGINT)"
+    char = (
+        "decode(unhex(lpad(hex(CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN c ELSE 65533 END),"
+        " 8, '0')), 'UTF-32')"
+    )
+    references = "array_distinct(regexp_extract_all(u, '&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?', 0))"
+    longest_first = f"array_sort({references}, (a, b) -> length(b) - length(a))"
+    numeric = (
+        f"CASE WHEN contains(u, '&#') THEN aggregate({longest_first}, u,"
+        f" (acc, ref) -> replace(acc, ref, transform(array({code}), c -> {char})[0])) ELSE u END"
     )
+    full = f"regexp_replace(transform(array({named}), u -> {numeric})[0], '&amp{close}', '&')"
+    return f"t -> CASE WHEN contains(t, '&') THEN {full} ELSE t END"
 
-    def one(acc, ref):
-        body = F.regexp_replace(ref, r"^&#|;$", "")
-        is_hex = F.lower(F.substring(body, 1, 1)) == "x"
-        code = F.when(is_hex, F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(body).cast("long")
-        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
-        return F.replace(acc, ref, char)
 
-    longest_first = F.array_sort(
-        references, lambda a, b: F.coalesce(F.length(b) - F.length(a), F.lit(0))
-    )
-    return F.when(text.contains("&#"), F.aggregate(longest_first, text, one)).otherwise(text)
+_DECODE_TEXT, _DECODE_ATTRIBUTE = _decode_lambda(";?"), _decode_lambda(";")
 
 
 def decode_entities(text: Column, legacy: bool = True) -> Column:
     """Decode the basic character references; ``legacy`` accepts them without the semicolon."""
-    end = ";?" if legacy else ";"
-    out = text
-    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0")):
-        out = F.regexp_replace(out, f"&{entity}{end if entity != 'apos' else ';'}", char)
-    out = F.regexp_replace(_decode_numeric(out), f"&amp{end}", "&")
-    return F.when(text.contains("&"), out).otherwise(text)
+    return apply(_DECODE_TEXT if legacy else _DECODE_ATTRIBUTE, text)
 
 
 def links(markup: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from leadloom import fixed_values as V
+from leadloom.functions.binding import let
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
@@ -56,16 +57,15 @@ def discovery_metadata(given: Column, name_hint: Column, raw_url: Column) -> Col
 
 def _fold_dots(p: Column) -> Column:
     """Collapse ``.`` and ``..`` segments of an absolute path."""
-    segments = F.slice(F.split(p, "/"), 2, F.size(F.split(p, "/")))
     kept = F.aggregate(
-        segments,
+        F.split(F.substring(p, 2, 1 << 30), "/"),
         F.array().cast("array<string>"),
         lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    folder = F.when(p.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), folder)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(p.rlike(r"/\.{1,2}$"), F.regexp_replace(joined, "([^/])$", "$1/")).otherwise(joined)
 
 
 def resolve_link(seed_scheme: Column, seed_domain: Column, href: Column) -> Column:
@@ -74,21 +74,24 @@ def resolve_link(seed_scheme: Column, seed_domain: Column, href: Column) -> Colu
     Query, fragment and parameters are dropped and the seed's scheme and domain are used. NULL for
     links to another host, to the homepage, and for schemes other than http and https.
     """
-    link = F.trim(href, F.lit(_BLANKS))
-    bare = F.regexp_replace(link, r"[?#].*$", "")
-    web = bare.rlike(r"(?i)^https?://")
-    own_host = netloc(bare) == seed_domain
-    relative = F.concat(F.lit("/"), F.regexp_replace(bare, r"/{2,}", "/"))
-    rooted = F.when(bare.startswith("/"), bare).otherwise(relative)
-    folded = F.when(rooted.rlike(r"/\.{1,2}(/|$)"), _fold_dots(rooted)).otherwise(rooted)
-    target = (
-        F.when(web | bare.startswith("//"), F.when(own_host, path(bare)))
-        .when(bare.rlike(_SCHEME), F.lit(None).cast("string"))
-        .when(bare != "", F.regexp_replace(folded, r";[^/]*$", ""))
-    )
-    return F.when(
-        ~target.isin("", "/"), F.concat(seed_scheme, F.lit("://"), seed_domain, target)
-    )
+    def folded(rooted):
+        return F.when(rooted.rlike(r"/\.{1,2}(/|$)"), _fold_dots(rooted)).otherwise(rooted)
+
+    def target(bare):
+        absolute = bare.rlike(r"(?i)^https?://") | bare.startswith("//")
+        relative = F.concat(F.lit("/"), F.regexp_replace(bare, r"/{2,}", "/"))
+        rooted = F.when(bare.startswith("/"), bare).otherwise(relative)
+        return (
+            F.when(absolute, F.when(netloc(bare) == seed_domain, path(bare)))
+            .when(bare.rlike(_SCHEME) | (bare == ""), F.lit(None).cast("string"))
+            .otherwise(F.regexp_replace(let(rooted, folded), r";[^/]*$", ""))
+        )
+
+    def in_site(p):
+        return F.when(~p.isin("", "/"), F.concat(seed_scheme, F.lit("://"), seed_domain, p))
+
+    bare_link = F.regexp_replace(F.trim(href, F.lit(_BLANKS)), r"[?#].*$", "")
+    return let(let(bare_link, target), in_site)
 
 
 def _first_match(rules, otherwise):

@@ -9,12 +9,13 @@ from leadloom.functions import html as H, urls as U
 from leadloom.functions.ids import stable_id
 from leadloom.operators.extraction import page_links
 from leadloom.operators.skew import skew_join
+from leadloom.session import spread_small
 
 
 def thin_pages(pages: DataFrame) -> DataFrame:
     """``(page_seq, url, visible_length, is_thin)``: too little text means a script-built page."""
     length = H.visible_length(H.visible_markup(F.col("raw_html")))
-    return pages.select("page_seq", "url", length.alias("visible_length")).withColumn(
+    return spread_small(pages, "page_seq").select("page_seq", "url", length.alias("visible_length")).withColumn(
         "is_thin", F.col("visible_length") < V.MIN_VISIBLE_TEXT
     )
 
@@ -40,10 +41,10 @@ def candidate_links(pages: DataFrame, seed_scheme: Column | None = None) -> Data
     scheme = seed_scheme if seed_scheme is not None else F.lit("https")
     target = U.resolve_link(scheme, F.col("canonical_domain"), F.col("href"))
     found = page_links(pages).select("canonical_domain", target.alias("url"))
-    distinct = found.where(F.col("url").isNotNull()).distinct()
-    path = U.path(F.col("url"))
+    distinct = found.where(F.col("url").isNotNull()).distinct().withColumn("path", U.path(F.col("url")))
     return distinct.select(
-        "canonical_domain", "url", U.page_type(path).alias("page_type"), U.page_priority(path).alias("priority")
+        "canonical_domain", "url", U.page_type(F.col("path")).alias("page_type"),
+        U.page_priority(F.col("path")).alias("priority"),
     )
 
 

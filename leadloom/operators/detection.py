@@ -10,6 +10,7 @@ from leadloom import fixed_values as V
 from leadloom.functions.urls import canonical_domain
 from leadloom.operators.extraction import fresh_pages
 from leadloom.operators.skew import skew_join
+from leadloom.session import spread_small
 
 _META = set("\\[](){}?*+|^$.")
 
@@ -43,7 +44,7 @@ def platform_evidence(pages: DataFrame) -> DataFrame:
         )
         for rank, (platform, pattern, confidence, method) in enumerate(V.PLATFORM_SIGNALS)
     ]
-    lowered = fresh_pages(pages).select(
+    lowered = spread_small(fresh_pages(pages), "page_seq").select(
         canonical_domain(F.col("url")).alias("canonical_domain"),
         F.col("page_seq").cast("long").alias("page_seq"),
         F.col("url").alias("source_url"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadloom import fixed_values as V
 from leadloom.functions import html as H, json_ld
 from leadloom.functions.urls import canonical_domain, social_platform
+from leadloom.session import spread_small
 
 SECTIONS = ("business", "product", "contact", "social", "generator")
 
@@ -43,23 +44,29 @@ def _one(value: Column, name: str, method: str, confidence: float) -> Column:
     return _fields(F.filter(F.array(value), lambda v: v != ""), name, method, confidence)
 
 
-def _meta_fields() -> Column:
+def _metas(markup: Column) -> Column:
+    """Meta tags in document order as ``(name, property, content)``, content stripped."""
+    return F.transform(
+        H.start_tags(markup, "meta"),
+        lambda tag: F.struct(
+            H.attribute(tag, "name").alias("name"),
+            H.attribute(tag, "property").alias("property"),
+            H.strip(H.attribute(tag, "content")).alias("content"),
+        ),
+    )
+
+
+def _open_graph() -> Column:
     """OpenGraph fields in document order; several properties may feed one field."""
-    def of_tag(tag):
-        return F.transform(
-            F.array(tag),
-            lambda t: F.struct(H.attribute(t, "property").alias("p"), H.strip(H.attribute(t, "content")).alias("c")),
-        )[0]
-
-    known = dict(V.OPEN_GRAPH)
-    pairs = F.filter(F.transform(F.col("metas"), of_tag), lambda m: m["p"].isin(*known) & (m["c"] != ""))
     names = F.create_map(*[F.lit(x) for pair in V.OPEN_GRAPH for x in pair])
-
+    known = F.filter(
+        F.col("metas"), lambda m: m["property"].isin(*dict(V.OPEN_GRAPH)) & (m["content"] != "")
+    )
     return F.transform(
-        pairs,
+        known,
         lambda m: F.struct(
-            names[m["p"]].alias("field_name"),
-            m["c"].alias("field_value"),
+            names[m["property"]].alias("field_name"),
+            m["content"].alias("field_value"),
             F.lit("og-tag").alias("extraction_method"),
             F.lit(V.OPEN_GRAPH_CONFIDENCE).alias("confidence"),
         ),
@@ -68,8 +75,8 @@ def _meta_fields() -> Column:
 
 def _named_meta(name: str) -> Column:
     """Content of the first ``<meta name=...>``; an empty first one hides later ones."""
-    tags = F.filter(F.col("metas"), lambda t: H.attribute(t, "name") == name)
-    return F.coalesce(H.strip(H.attribute(F.try_element_at(tags, F.lit(1)), "content")), F.lit(""))
+    tags = F.filter(F.col("metas"), lambda m: m["name"] == name)
+    return F.coalesce(F.try_element_at(tags, F.lit(1))["content"], F.lit(""))
 
 
 def _json_values(name: str) -> Column:
@@ -82,7 +89,7 @@ def _business() -> Column:
     structured = F.filter(F.col("ld"), lambda f: f["field_name"].isin(*V.BUSINESS_FIELDS))
     return F.concat(
         structured,
-        _meta_fields(),
+        _open_graph(),
         _one(_named_meta("description"), "description", "meta-tag", V.META_CONFIDENCE),
         _one(F.col("title"), "name", "title-tag", V.META_CONFIDENCE),
     )
@@ -172,7 +179,7 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
     seen" stays defined after any shuffle. ``sections`` limits the work to what is needed.
     """
     sections = tuple(sections)
-    df = fresh_pages(pages).select(
+    df = spread_small(fresh_pages(pages), "page_seq").select(
         canonical_domain(F.col("url")).alias("canonical_domain"),
         F.col("page_seq").cast("long").alias("page_seq"),
         F.col("url").alias("source_url"),
@@ -183,7 +190,7 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
     parsed = df.select(
         "canonical_domain", "page_seq", "source_url", ld,
         H.links(F.col("markup")).alias("hrefs"),
-        H.start_tags(F.col("markup"), "meta").alias("metas"),
+        _metas(F.col("markup")).alias("metas"),
         H.title(F.col("markup")).alias("title"),
         H.text_emails(H.visible_text(F.col("markup"))).alias("text_emails"),
     )
@@ -210,7 +217,7 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
 
 def page_links(pages: DataFrame) -> DataFrame:
     """Every link of every page: ``(canonical_domain, page_seq, link_seq, href)``."""
-    return fresh_pages(pages).select(
+    return spread_small(fresh_pages(pages), "page_seq").select(
         canonical_domain(F.col("url")).alias("canonical_domain"),
         F.col("page_seq").cast("long").alias("page_seq"),
         F.posexplode(H.links(H.visible_markup(F.col("raw_html")))).alias("link_seq", "href"),
@@ -220,4 +227,4 @@ def page_links(pages: DataFrame) -> DataFrame:
 def text_emails(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct address-shaped parts of each whole text, first occurrence order in ``seq``."""
     found = F.array_distinct(H.text_emails(F.col(text)))
-    return texts.select(key, F.posexplode(found).alias("seq", "raw_email"))
+    return spread_small(texts, key).select(key, F.posexplode(found).alias("seq", "raw_email"))

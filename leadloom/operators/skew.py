@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from leadloom.session import estimated_bytes
+
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
 
 
@@ -20,16 +22,28 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.where(F.col("rows") * HOT_SHARE > total.scalar()).select(*keys)
 
 
+def broadcast_limit(df: DataFrame) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes; negative when broadcasting is off."""
+    session = df.sparkSession._jsparkSession
+    return int(session.sessionState().conf().autoBroadcastJoinThreshold())
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
     """``left.join(right, keys, how)`` that never gathers a hot key of ``left`` in one task.
 
-    Rows of hot keys stay where they are and meet a broadcast of the right rows for those keys; the
-    other rows shuffle, each key being at most 1/HOT_SHARE of the data. ``right`` must hold a small
-    fixed number of rows per key (one, as a rule), which bounds the broadcast by that number times
-    HOT_SHARE. ``left`` is read by both branches, so it should be a stored table or end in a shuffle,
-    and its keys must not be null. ``how`` is inner, left, left_semi or left_anti.
+    When the estimated size of ``right`` is within the session's broadcast threshold, it is broadcast
+    and ``left`` does not move at all. Otherwise rows of hot keys stay where they are and meet a
+    broadcast of the right rows for those keys alone; the other rows shuffle, each key being at most
+    1/HOT_SHARE of the data.
+
+    ``right`` must hold a small fixed number of rows per key (one, as a rule), which bounds the second
+    broadcast by that number times HOT_SHARE. ``left`` is then read by several branches, so it should
+    be a stored table or end in a shuffle. Its keys must not be null. ``how`` is inner, left,
+    left_semi or left_anti.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    if estimated_bytes(right) <= broadcast_limit(right):
+        return left.join(F.broadcast(right), keys, how)
     hot = F.broadcast(hot_keys(left, keys))
     hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
     hot_part = left.join(hot, keys, "left_semi").join(hot_right, keys, how)

@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Call sites per expression cost more than the planning of the deep expressions used here.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
 }
 
 _local_dirs: dict[str, str] = {}
@@ -50,3 +52,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; file sizes for stored tables, an upper bound after aggregation."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Give every core a share of an input too small to be split by file size.
+
+    Text work is heavy per byte, so a few megabytes in one split would keep one core busy. Larger
+    inputs come in enough splits of their own and are not shuffled.
+    """
+    if estimated_bytes(df) > SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
