@@ -72,12 +72,12 @@ def route_outcomes(candidates: DataFrame, outcomes: DataFrame, now: Column) -> D
 
 
 def attempt_trail(log: DataFrame) -> DataFrame:
-    """The attempts that count, from ``log(candidate_id, event_id, at, outcome)``.
+    """The attempts that count, from ``log(candidate_id, event_id, attempted_at, outcome)``.
 
     Each has its attempt number, the state it led to and the next attempt's time. Events after the
     end of a candidate's history find nothing to claim and are left out.
     """
-    in_order = Window.partitionBy("candidate_id").orderBy("at", "event_id")
+    in_order = Window.partitionBy("candidate_id").orderBy("attempted_at", "event_id")
     first = log.withColumn("n", F.row_number().over(in_order)).where(F.col("n") <= V.MAX_ATTEMPTS)
     ends = F.col("outcome").isin("success", "blocked")
     ended_before = F.coalesce(
@@ -91,9 +91,9 @@ def attempt_trail(log: DataFrame) -> DataFrame:
         .otherwise("retry")
     )
     return counted.withColumn("state", state).select(
-        "candidate_id", "event_id", "at", "outcome",
+        "candidate_id", "event_id", "attempted_at", "outcome",
         F.col("n").alias("attempt_number"), "state",
-        F.when(F.col("state") == "retry", candidate_retry_at(F.col("at"), F.col("n"))).alias("next_attempt_at"),
+        F.when(F.col("state") == "retry", candidate_retry_at(F.col("attempted_at"), F.col("n"))).alias("next_attempt_at"),
     )
 
 
@@ -101,7 +101,7 @@ def states_from_trail(trail: DataFrame) -> DataFrame:
     """Current state per candidate: at most five trail rows each."""
     last = trail.groupBy("candidate_id").agg(
         F.max_by(
-            F.struct("state", "outcome", "attempt_number", "at", "next_attempt_at"), F.col("attempt_number")
+            F.struct("state", "outcome", "attempt_number", "attempted_at", "next_attempt_at"), F.col("attempt_number")
         ).alias("last")
     )
     success = F.col("last.state") == "success"
@@ -109,7 +109,7 @@ def states_from_trail(trail: DataFrame) -> DataFrame:
         "candidate_id",
         F.col("last.state").alias("state"),
         (F.col("last.attempt_number") - F.when(success, 1).otherwise(0)).alias("attempts"),
-        F.col("last.at").alias("last_attempt_at"),
+        F.col("last.attempted_at").alias("last_attempt_at"),
         F.col("last.next_attempt_at").alias("next_attempt_at"),
         F.when(~success, F.col("last.outcome")).alias("failure_reason"),
     )

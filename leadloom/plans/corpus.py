@@ -206,6 +206,6 @@ def outcome_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("candidate_id"),
         "event_id",
-        F.col("ts").alias("at"),
+        F.col("ts").cast("timestamp").alias("attempted_at"),
         outcome.alias("outcome"),
     )
