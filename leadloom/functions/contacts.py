@@ -18,10 +18,16 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
 EMAIL_SYNTAX = rf"^{_LOCAL}@(?:{_LABEL}\.)+[A-Za-z]{{2,63}}$"
 _RESERVED = r"\.(?:test|invalid|localhost|local)$"
 
-# Calling codes in use by their leading digits, other than +1.
+# International calling codes in use, other than +1, by zone.
 OTHER_CALLING_CODES = (
-    r"7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
-    r"|2[1-69][0-9]|3[578][0-9]|42[0-9]|5[09][0-9]|6[7-9][0-9]|8[0578][0-9]|9[679][0-9]"
+    r"2[07]|21[1-368]|2[2346][0-9]|25[0-8]|29[017-9]"
+    r"|3[0-469]|3[57][0-9]|38[0-35-79]"
+    r"|4[013-9]|42[013]"
+    r"|5[1-8]|5[09][0-9]"
+    r"|6[0-6]|67[02-9]|68[0-35-9]|69[0-2]"
+    r"|7"
+    r"|8[1246]|80[08]|85[02356]|87[08]|88[0-368]"
+    r"|9[0-58]|96[0-8]|97[0-79]|99[2-68]"
 )
 _KEYPAD = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions.urls import canonical_domain
-from leadloom.operators.extraction import fresh_pages
+from leadloom.operators.pages import fresh_pages
 from leadloom.operators.skew import skew_join
 from leadloom.session import spread_small
 
@@ -29,34 +29,33 @@ def _hit(pattern: str) -> Column:
     return F.col("lowered").rlike(pattern.lower())
 
 
-def platform_evidence(pages: DataFrame) -> DataFrame:
-    """One row per page and matching platform signal; ``seq`` is the signal's rank."""
+def platform_signals() -> Column:
+    """The signals found in column ``lowered``, as an array of ``(seq, platform, method, confidence)``."""
     tests = [
         F.when(
             _hit(pattern),
-            F.struct(
-                F.lit(rank).alias("seq"),
-                F.lit("platform").alias("field_name"),
-                F.lit(platform).alias("field_value"),
-                F.lit(method).alias("extraction_method"),
-                F.lit(confidence).alias("confidence"),
+            F.expr(
+                f"struct({rank} AS seq, '{platform}' AS platform, '{method}' AS method,"
+                f" CAST({confidence} AS DOUBLE) AS confidence)"
             ),
         )
         for rank, (platform, pattern, confidence, method) in enumerate(V.PLATFORM_SIGNALS)
     ]
+    return F.array_compact(F.array(*tests))
+
+
+def platform_evidence(pages: DataFrame) -> DataFrame:
+    """One row per page and matching platform signal; ``seq`` is the signal's rank."""
     lowered = spread_small(fresh_pages(pages), "page_seq").select(
         canonical_domain(F.col("url")).alias("canonical_domain"),
         F.col("page_seq").cast("long").alias("page_seq"),
         F.col("url").alias("source_url"),
         F.lower("raw_html").alias("lowered"),
     )
-    found = lowered.select(
-        "canonical_domain", "page_seq", "source_url",
-        F.inline(F.filter(F.array(*tests), lambda t: t.isNotNull())),
-    )
-    return found.select(
-        "canonical_domain", "page_seq", F.lit("platform").alias("section"), "seq", "field_name", "field_value",
-        "source_url", "extraction_method", "confidence",
+    found = lowered.select("canonical_domain", "page_seq", "source_url", F.inline(platform_signals()))
+    return found.selectExpr(
+        "canonical_domain", "page_seq", "'platform' AS section", "seq", "'platform' AS field_name",
+        "platform AS field_value", "source_url", "method AS extraction_method", "confidence",
     )
 
 

@@ -43,7 +43,7 @@ def exportable(eligible: DataFrame, suppression: DataFrame | None, limit: int |
     if suppression is None:
         raise ValueError("the suppression table is required")
     if limit is None or limit > BROADCAST_ROWS:
-        return exclude_suppressed(eligible, suppression, "email")
+        return exclude_suppressed(eligible, suppression, "email").select(*COLUMNS)
     hits = suppression.select("email").join(F.broadcast(eligible.select("email")), "email", "left_semi").distinct()
     return eligible.join(F.broadcast(hits), "email", "left_anti").select(*COLUMNS)
 

@@ -14,17 +14,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from leadloom import fixed_values as V
 from leadloom.functions import html as H, json_ld
 from leadloom.functions.urls import canonical_domain, social_platform
+from leadloom.operators.detection import platform_signals
+from leadloom.operators.pages import fresh_pages
 from leadloom.session import spread_small
 
 SECTIONS = ("business", "product", "contact", "social", "generator")
-
-
-def fresh_pages(pages: DataFrame) -> DataFrame:
-    """Pages that carry content: not from cache, with a non-empty body."""
-    df = pages
-    if "from_cache" in df.columns:
-        df = df.where(~F.col("from_cache"))
-    return df.where(F.length("raw_html") > 0)
+# "platform" adds the platform signals, "page" one row per page that was read, so that everything
+# later jobs need comes from one pass over the page texts.
+ALL_SECTIONS = SECTIONS + ("platform", "page")
 
 
 def _fields(values: Column, name: Column | str, method: str, confidence: float) -> Column:
@@ -159,19 +156,35 @@ def _social(strict: bool) -> Column:
 
 
 def _numbered(section: str, fields: Column) -> Column:
-    return F.transform(
+    return F.call_function(
+        "transform",
         fields,
-        lambda f, i: F.struct(
-            F.lit(section).alias("section"),
-            i.alias("seq"),
-            f["field_name"].alias("field_name"),
-            f["field_value"].alias("field_value"),
-            f["extraction_method"].alias("extraction_method"),
-            f["confidence"].alias("confidence"),
+        F.expr(
+            f"(f, i) -> struct('{section}' AS section, i AS seq, f.field_name AS field_name,"
+            " f.field_value AS field_value, f.extraction_method AS extraction_method, f.confidence AS confidence)"
+        ),
+    )
+
+
+def _signals() -> Column:
+    """Platform signals as fields; their ``seq`` is the signal's rank, not its place in the page."""
+    return F.call_function(
+        "transform",
+        F.col("signals"),
+        F.expr(
+            "s -> struct('platform' AS section, s.seq AS seq, 'platform' AS field_name, s.platform AS field_value,"
+            " s.method AS extraction_method, s.confidence AS confidence)"
         ),
     )
 
 
+def _read_mark() -> Column:
+    return F.expr(
+        "array(struct('page' AS section, 0 AS seq, 'url' AS field_name, source_url AS field_value,"
+        " CAST(NULL AS STRING) AS extraction_method, CAST(NULL AS DOUBLE) AS confidence))"
+    )
+
+
 def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_socials: bool = False) -> DataFrame:
     """Observations of ``pages(page_seq, url, raw_html [, from_cache])``.
 
@@ -186,6 +199,7 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
         F.col("raw_html"),
         H.visible_markup(F.col("raw_html")).alias("markup"),
     )
+    signals = (F.lower("raw_html").alias("lowered"),) if "platform" in sections else ()
     ld = json_ld.fields(json_ld.entries(H.json_ld_blocks(F.col("raw_html")))).alias("ld")
     parsed = df.select(
         "canonical_domain", "page_seq", "source_url", ld,
@@ -193,22 +207,31 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
         _metas(F.col("markup")).alias("metas"),
         H.title(F.col("markup")).alias("title"),
         H.text_emails(H.visible_text(F.col("markup"))).alias("text_emails"),
+        *signals,
     )
-    parts: dict[str, Column] = {}
+    if signals:
+        parsed = parsed.withColumn("signals", platform_signals())
+    arrays: list[Column] = []
     prepared: dict[str, Column] = {}
     for section in sections:
         if section == "contact":
-            columns, parts[section] = _contact()
+            columns, fields = _contact()
             prepared.update(columns)
+            arrays.append(_numbered(section, fields))
         elif section == "social":
-            columns, parts[section] = _social(strict_socials)
+            columns, fields = _social(strict_socials)
             prepared.update(columns)
+            arrays.append(_numbered(section, fields))
+        elif section == "platform":
+            arrays.append(_signals())
+        elif section == "page":
+            arrays.append(_read_mark())
         else:
-            parts[section] = {"business": _business, "product": _product, "generator": _generator}[section]()
+            fields = {"business": _business, "product": _product, "generator": _generator}[section]()
+            arrays.append(_numbered(section, fields))
     if prepared:
         parsed = parsed.withColumns(prepared)
-    found = F.concat(*[_numbered(section, fields) for section, fields in parts.items()])
-    rows = parsed.select("canonical_domain", "page_seq", "source_url", F.inline(found))
+    rows = parsed.select("canonical_domain", "page_seq", "source_url", F.inline(F.concat(*arrays)))
     return rows.select(
         "canonical_domain", "page_seq", "section", "seq", "field_name", "field_value", "source_url",
         "extraction_method", "confidence",

@@ -36,32 +36,26 @@ def merge_businesses(businesses: DataFrame, records: DataFrame, resolution: Data
         ],
     )
     both = businesses.join(incoming, "canonical_domain", "full_outer")
-    stored = F.col("business_id").isNotNull()
-    filling = F.col("action") == "auto_merge"
-    changed = filling & F.exists(
-        F.array(*[F.col(c).isNull() & F.col(f"new_{c}").isNotNull() for c in FILLABLE]), lambda x: x
-    )
-    flagged = F.col("action") == "flag_possible_duplicate"
-
-    def filled(c):
-        new = F.col(f"new_{c}").cast(schemas.BUSINESSES[c].dataType)
-        return F.when(stored & ~F.coalesce(filling, F.lit(False)), F.col(c)).otherwise(F.coalesce(F.col(c), new))
-
-    columns = {
-        "business_id": F.coalesce("business_id", "new_id"),
-        "canonical_domain": F.col("canonical_domain"),
-        **{c: filled(c) for c in FILLABLE},
-        "merge_status": F.when(stored, F.col("merge_status")).otherwise(
-            F.when(flagged, "possible_duplicate").otherwise("active")
-        ),
-        "duplicate_of_id": F.when(stored, F.col("duplicate_of_id")).otherwise(
-            F.when(flagged, F.col("target_business_id"))
-        ),
-        "match_score": F.when(stored, F.col("match_score")).otherwise(F.when(flagged, F.col("new_score"))),
+    fills = "coalesce(action = 'auto_merge', false)"
+    flagged = "action = 'flag_possible_duplicate'"
+    changed = f"{fills} AND (" + " OR ".join(f"({c} IS NULL AND new_{c} IS NOT NULL)" for c in FILLABLE) + ")"
+    next_state = both.selectExpr(
+        "coalesce(business_id, new_id) AS business_id",
+        "canonical_domain",
+        *[f"CASE WHEN business_id IS NOT NULL AND NOT {fills} THEN {c} ELSE coalesce({c}, new_{c}) END AS {c}"
+          for c in FILLABLE],
+        f"coalesce(merge_status, CASE WHEN {flagged} THEN 'possible_duplicate' ELSE 'active' END) AS merge_status",
+        f"CASE WHEN business_id IS NOT NULL THEN duplicate_of_id WHEN {flagged} THEN target_business_id END"
+        " AS duplicate_of_id",
+        f"CASE WHEN business_id IS NOT NULL THEN match_score WHEN {flagged} THEN new_score END AS match_score",
+        "created_at",
+        "updated_at",
+        f"business_id IS NULL OR {changed} AS touched",
+    ).withColumns({
         "created_at": F.coalesce(F.col("created_at"), now),
-        "updated_at": F.when(~stored | changed, now).otherwise(F.col("updated_at")),
-    }
-    return schemas.conform(both.select(*[v.alias(k) for k, v in columns.items()]), schemas.BUSINESSES)
+        "updated_at": F.when(F.col("touched"), now).otherwise(F.col("updated_at")),
+    })
+    return schemas.conform(next_state, schemas.BUSINESSES)
 
 
 def business_id_of(domain: Column) -> Column:

@@ -34,16 +34,17 @@ def discover(urls: DataFrame, candidates: DataFrame, now: Column, limit: int | N
 
 
 def extract(pages: DataFrame) -> Extracted:
-    """Read the corpus once per kind of signal and keep the results as written tables.
+    """Read the corpus once and keep what it says as a written table.
 
     Page text is by far the largest input, so nothing downstream goes back to it.
     """
-    observed = stage(extraction.observations(pages), "observations")
-    evidence = stage(detection.platform_evidence(pages), "evidence")
-    domains = extraction.fresh_pages(pages).groupBy(
-        extraction.canonical_domain(F.col("url")).alias("canonical_domain")
-    ).agg(F.min("page_seq").alias("record_order"))
-    return Extracted(observed, evidence, stage(domains, "domains"))
+    observed = stage(extraction.observations(pages, extraction.ALL_SECTIONS), "observations")
+    read = observed.where(F.col("section") == "page")
+    return Extracted(
+        observed,
+        observed.where(F.col("section") == "platform"),
+        read.groupBy("canonical_domain").agg(F.min("page_seq").alias("record_order")),
+    )
 
 
 @dataclass

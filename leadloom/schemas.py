@@ -90,4 +90,4 @@ TABLES = {
 
 def conform(df, schema):
     """Project ``df`` to the columns and types of ``schema``."""
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema.fields])
+    return df.selectExpr(*[f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields])
