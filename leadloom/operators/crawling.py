@@ -23,7 +23,7 @@ def thin_pages(pages: DataFrame) -> DataFrame:
 def changed_pages(pages: DataFrame, page_cache: DataFrame) -> DataFrame:
     """Pages worth reading again: changed since the cached copy, never cached, or a homepage.
 
-    The hash is computed before the join, so only the small columns shuffle with the URL.
+    The hash is computed before the join, so the page text never moves.
     """
     hashed = pages.select(
         "page_seq", "url", H.content_hash(F.col("raw_html")).alias("content_hash"),
@@ -31,7 +31,7 @@ def changed_pages(pages: DataFrame, page_cache: DataFrame) -> DataFrame:
     )
     cached = page_cache.select("url", F.col("content_hash").alias("cached_hash"))
     unchanged = F.col("content_hash").eqNullSafe(F.col("cached_hash"))
-    return hashed.join(cached, "url", "left").withColumn(
+    return skew_join(hashed, cached, "url", "left", write_left=True).withColumn(
         "from_cache", unchanged & ~F.col("is_homepage")
     ).select("page_seq", "url", "content_hash", "is_homepage", "from_cache")
 
@@ -86,12 +86,12 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .select("canonical_domain", "url", F.substring(F.col("path"), F.lit(1), F.col("n")).alias("prefix"))
     )
     decided = (
-        skew_join(prefixes, first_rules, ["canonical_domain", "prefix"])
+        skew_join(prefixes, first_rules, ["canonical_domain", "prefix"], write_left=True)
         .groupBy("canonical_domain", "url")
         .agg(F.min("rule").alias("rule"))
     )
     denied = decided.where(~F.col("rule.allow")).select("canonical_domain", "url")
-    return urls.join(denied, ["canonical_domain", "url"], "left_anti")
+    return skew_join(urls, denied, ["canonical_domain", "url"], "left_anti").select(*urls.columns)
 
 
 def select_pages(pages: DataFrame, rules: DataFrame | None = None, max_pages: int = V.MAX_PAGES_PER_DOMAIN) -> DataFrame:

@@ -102,15 +102,10 @@ def social_rows(socials: DataFrame, now: Column) -> DataFrame:
 def insert_absent(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """``stored`` plus the ``incoming`` rows whose key it lacks. Both are unique on ``keys``.
 
-    One shuffle over both: the stored row of a key always wins.
+    Of the stored table only the keys shuffle; its rows are copied where they are.
     """
-    columns = stored.columns
-    values = F.struct(*[c for c in columns if c not in keys])
-    both = stored.select(*keys, F.lit(0).alias("rank"), values.alias("row")).unionByName(
-        incoming.select(*keys, F.lit(1).alias("rank"), values.alias("row"))
-    )
-    kept = both.groupBy(*keys).agg(F.min_by("row", "rank").alias("row"))
-    return kept.select(*keys, "row.*").select(*columns)
+    absent = incoming.join(stored.select(*keys), keys, "left_anti")
+    return stored.unionByName(absent.select(*stored.columns))
 
 
 def evidence_rows(contacts: DataFrame, socials: DataFrame, platform: DataFrame, now: Column) -> DataFrame:

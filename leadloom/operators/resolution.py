@@ -126,7 +126,7 @@ def resolve(
         .select("value", "holder")
     )
     unmerged = held.where(F.col("stored_id").isNull())
-    seen = skew_join(unmerged, first, "value").where(F.col("holder.since") < F.col("record_order"))
+    seen = skew_join(unmerged, first, "value", write_left=True).where(F.col("holder.since") < F.col("record_order"))
     shared = seen.groupBy("canonical_domain").agg(F.min("holder").alias("holder"))
     matched = placed.join(shared, "canonical_domain", "left").select(
         "canonical_domain",

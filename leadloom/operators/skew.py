@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from leadloom.session import estimated_bytes
+from leadloom.session import estimated_bytes, stage
 
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/HOT_SHARE of the rows
 
@@ -28,7 +28,9 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(session.sessionState().conf().autoBroadcastJoinThreshold())
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner") -> DataFrame:
+def skew_join(
+    left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner", write_left: bool = False
+) -> DataFrame:
     """``left.join(right, keys, how)`` that never gathers a hot key of ``left`` in one task.
 
     When the estimated size of ``right`` is within the session's broadcast threshold, it is broadcast
@@ -37,13 +39,16 @@ def skew_join(left: DataFrame, right: DataFrame, keys: str | Sequence[str], how:
     1/HOT_SHARE of the data.
 
     ``right`` must hold a small fixed number of rows per key (one, as a rule), which bounds the second
-    broadcast by that number times HOT_SHARE. ``left`` is then read by several branches, so it should
-    be a stored table or end in a shuffle. Its keys must not be null. ``how`` is inner, left,
-    left_semi or left_anti.
+    broadcast by that number times HOT_SHARE. ``left`` is then read by three branches. A stored table,
+    or one that ends in a shuffle they can share, is fine as it is; ``write_left`` is for a left side
+    that would be computed three times, and writes it to the shared folder first. Keys of ``left``
+    must not be null. ``how`` is inner, left, left_semi or left_anti.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if estimated_bytes(right) <= broadcast_limit(right):
         return left.join(F.broadcast(right), keys, how)
+    if write_left:
+        left = stage(left, "skew-left")
     hot = F.broadcast(hot_keys(left, keys))
     hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
     hot_part = left.join(hot, keys, "left_semi").join(hot_right, keys, how)

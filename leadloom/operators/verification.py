@@ -60,7 +60,7 @@ def outcomes(leased: DataFrame, suppression: DataFrame | None, mx_records: DataF
     keyed = leased.withColumn("domain", email_domain(F.col("value")))
     with_flag = skew_join(keyed, listed, "value", "left")
     looked_up = skew_join(
-        with_flag, mx_records.select("domain", F.col("outcome").alias("mx")), "domain", "left"
+        with_flag, mx_records.select("domain", F.col("outcome").alias("mx")), "domain", "left", write_left=True
     )
     attempt = F.col("verification_attempts") + 1
     status = _status(F.col("mx"), F.col("value"))
@@ -108,11 +108,6 @@ def summary(outcome_rows: DataFrame) -> DataFrame:
 
 
 def apply_outcomes(contacts: DataFrame, outcome_rows: DataFrame) -> DataFrame:
-    """Next state of ``contacts``: attempted rows replace their former state, by one aggregation."""
-    columns = contacts.columns
-    values = F.struct(*[c for c in columns if c != "contact_id"])
-    both = contacts.select("contact_id", F.lit(0).alias("rank"), values.alias("row")).unionByName(
-        outcome_rows.select("contact_id", F.lit(1).alias("rank"), values.alias("row"))
-    )
-    latest = both.groupBy("contact_id").agg(F.max_by("row", "rank").alias("row"))
-    return latest.select("contact_id", "row.*").select(*columns)
+    """Next state of ``contacts``: attempted rows replace their former state."""
+    untouched = contacts.join(outcome_rows.select("contact_id"), "contact_id", "left_anti")
+    return untouched.select(*contacts.columns).unionByName(outcome_rows.select(*contacts.columns))
