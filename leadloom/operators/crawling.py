@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from leadloom import fixed_values as V, schemas
 from leadloom.functions import html as H, urls as U
 from leadloom.functions.ids import stable_id
-from leadloom.operators.extraction import page_links
+from leadloom.operators.pages import fresh_pages
 from leadloom.operators.skew import skew_join
 from leadloom.session import spread_small
 
@@ -37,11 +37,21 @@ def changed_pages(pages: DataFrame, page_cache: DataFrame) -> DataFrame:
 
 
 def candidate_links(pages: DataFrame, seed_scheme: Column | None = None) -> DataFrame:
-    """Distinct in-site URLs linked from the stored pages of each domain, classified and ranked."""
+    """Distinct in-site URLs linked from the stored pages of each domain, classified and ranked.
+
+    Links are resolved and made distinct inside each page first, so little is left to shuffle.
+    """
     scheme = seed_scheme if seed_scheme is not None else F.lit("https")
-    target = U.resolve_link(scheme, F.col("canonical_domain"), F.col("href"))
-    found = page_links(pages).select("canonical_domain", target.alias("url"))
-    distinct = found.where(F.col("url").isNotNull()).distinct().withColumn("path", U.path(F.col("url")))
+    found = spread_small(fresh_pages(pages), "page_seq").select(
+        U.canonical_domain(F.col("url")).alias("canonical_domain"),
+        scheme.alias("scheme"),
+        H.links(H.visible_markup(F.col("raw_html"))).alias("hrefs"),
+    )
+    in_site = F.transform(
+        F.col("hrefs"), lambda href: U.resolve_link(F.col("scheme"), F.col("canonical_domain"), href)
+    )
+    exploded = found.select("canonical_domain", F.explode(F.array_distinct(F.array_compact(in_site))).alias("url"))
+    distinct = exploded.distinct().withColumn("path", U.path(F.col("url")))
     return distinct.select(
         "canonical_domain", "url", U.page_type(F.col("path")).alias("page_type"),
         U.page_priority(F.col("path")).alias("priority"),

@@ -185,6 +185,19 @@ def _read_mark() -> Column:
     )
 
 
+def _parts(sections: tuple[str, ...]):
+    """Parsed page parts that the sections need, by column name."""
+    needed = {
+        "ld": ({"business", "product", "contact", "social"}, lambda raw, _: json_ld.fields(json_ld.entries(H.json_ld_blocks(raw)))),
+        "hrefs": ({"contact", "social"}, lambda _, markup: H.links(markup)),
+        "metas": ({"business", "generator"}, lambda _, markup: _metas(markup)),
+        "title": ({"business"}, lambda _, markup: H.title(markup)),
+        "text_emails": ({"contact"}, lambda _, markup: H.text_emails(H.visible_text(markup))),
+        "lowered": ({"platform"}, lambda raw, _: F.lower(raw)),
+    }
+    return [(name, make) for name, (users, make) in needed.items() if users & set(sections)]
+
+
 def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_socials: bool = False) -> DataFrame:
     """Observations of ``pages(page_seq, url, raw_html [, from_cache])``.
 
@@ -199,17 +212,11 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
         F.col("raw_html"),
         H.visible_markup(F.col("raw_html")).alias("markup"),
     )
-    signals = (F.lower("raw_html").alias("lowered"),) if "platform" in sections else ()
-    ld = json_ld.fields(json_ld.entries(H.json_ld_blocks(F.col("raw_html")))).alias("ld")
+    markup, raw = F.col("markup"), F.col("raw_html")
     parsed = df.select(
-        "canonical_domain", "page_seq", "source_url", ld,
-        H.links(F.col("markup")).alias("hrefs"),
-        _metas(F.col("markup")).alias("metas"),
-        H.title(F.col("markup")).alias("title"),
-        H.text_emails(H.visible_text(F.col("markup"))).alias("text_emails"),
-        *signals,
+        "canonical_domain", "page_seq", "source_url", *[make(raw, markup).alias(name) for name, make in _parts(sections)]
     )
-    if signals:
+    if "platform" in sections:
         parsed = parsed.withColumn("signals", platform_signals())
     arrays: list[Column] = []
     prepared: dict[str, Column] = {}

@@ -36,7 +36,9 @@ def normalized_contacts(observations: DataFrame, area_codes: Sequence[str] | Non
     """Contact observations with normalized values; those that do not normalize are dropped."""
     contacts = observations.where(F.col("section") == "contact")
     value = normalize_contact(F.col("field_name"), F.col("field_value"), area_codes)
-    return contacts.withColumn("field_value", value).where(F.col("field_value").isNotNull())
+    # An array of at most one value drops the NULLs; a filter would compute the value a second time.
+    kept = contacts.withColumn("kept", F.explode(F.array_compact(F.array(value))))
+    return kept.select(*[F.col("kept").alias(c) if c == "field_value" else F.col(c) for c in contacts.columns])
 
 
 def contact_tallies(contacts: DataFrame, socials: DataFrame) -> DataFrame:
