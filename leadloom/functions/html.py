@@ -54,17 +54,18 @@ def attribute(tag: Column, name: str) -> Column:
     return decode_entities(value, legacy=False)
 
 
-def _decode_lambda(close: str) -> str:
+def _decode_lambda(legacy: bool) -> str:
     """SQL lambda that decodes the basic named and all numeric character references of a text.
 
-    Each distinct numeric reference is replaced in one pass, longer ones first; code points that are
-    no characters become U+FFFD. Ampersands come last, so nothing is decoded twice.
+    Named ones are plain replacements, which are much cheaper than patterns. Each distinct numeric
+    reference is replaced in one pass, longer ones first; code points that are no characters become
+    U+FFFD. Ampersands come last, so nothing is decoded twice.
     """
     named = "t"
-    for entity, char, end in (
-        ("lt", "<", close), ("gt", ">", close), ("quot", '"', close), ("apos", "\\'", ";"), ("nbsp", "\u00a0", close)
-    ):
-        named = f"regexp_replace({named}, '&{entity}{end}', '{char}')"
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "\\'"), ("nbsp", "\u00a0")):
+        named = f"replace({named}, '&{entity};', '{char}')"
+        if legacy and entity != "apos":
+            named = f"replace({named}, '&{entity}', '{char}')"
     digits = "regexp_replace(ref, '^&#[xX]?|;$', '')"
     code = f"CAST(CASE WHEN lower(substring(ref, 3, 1)) = 'x' THEN conv({digits}, 16, 10) ELSE {digits} END AS BIGINT)"
     char = (
@@ -77,11 +78,15 @@ def _decode_lambda(close: str) -> str:
         f"CASE WHEN contains(u, '&#') THEN aggregate({longest_first}, u,"
         f" (acc, ref) -> replace(acc, ref, transform(array({code}), c -> {char})[0])) ELSE u END"
     )
-    full = f"regexp_replace(transform(array({named}), u -> {numeric})[0], '&amp{close}', '&')"
+    ampersand = "regexp_replace(n, '&amp;?', '&')" if legacy else "replace(n, '&amp;', '&')"
+    full = (
+        f"transform(transform(array({named}), u -> {numeric}),"
+        f" n -> CASE WHEN contains(n, '&amp') THEN {ampersand} ELSE n END)[0]"
+    )
     return f"t -> CASE WHEN contains(t, '&') THEN {full} ELSE t END"
 
 
-_DECODE_TEXT, _DECODE_ATTRIBUTE = _decode_lambda(";?"), _decode_lambda(";")
+_DECODE_TEXT, _DECODE_ATTRIBUTE = _decode_lambda(True), _decode_lambda(False)
 
 
 def decode_entities(text: Column, legacy: bool = True) -> Column:
@@ -115,8 +120,17 @@ def visible_length(markup: Column) -> Column:
 
 def text_emails(text: Column) -> Column:
     """Every address-shaped part of a text, in order, repeats included."""
-    found = F.regexp_extract_all(text, F.lit(LINEAR_EMAIL), F.lit(0))
-    return F.when(text.contains("@"), found).otherwise(F.array().cast("array<string>"))
+    lambda_ = (
+        f"t -> CASE WHEN contains(t, '@') THEN regexp_extract_all(t, r'{LINEAR_EMAIL}', 0)"
+        " ELSE CAST(array() AS ARRAY<STRING>) END"
+    )
+    return apply(lambda_, text)
+
+
+def visible_emails(markup: Column) -> Column:
+    """``text_emails`` of the visible text; pages without an at sign skip the work."""
+    possible = markup.contains("@") | markup.contains("&#")
+    return F.when(possible, text_emails(visible_text(markup))).otherwise(F.array().cast("array<string>"))
 
 
 def json_ld_blocks(html: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -12,21 +13,20 @@ from leadloom.operators.pages import fresh_pages
 from leadloom.operators.skew import skew_join
 from leadloom.session import spread_small
 
-_META = set("\\[](){}?*+|^$.")
-
-
-def _literal(pattern: str) -> str | None:
-    """The text a pattern stands for when it has no operators, else None."""
-    plain = pattern.replace("\\.", "")
-    return None if _META & set(plain) else pattern.replace("\\.", ".").lower()
-
-
 def _hit(pattern: str) -> Column:
-    """Case-insensitive test over the lowered page: a plain search wherever the pattern is plain text."""
-    text = _literal(pattern)
-    if text is not None:
-        return F.col("lowered").contains(text)
-    return F.col("lowered").rlike(pattern.lower())
+    """Case-insensitive test over column ``lowered``.
+
+    Each alternative of the pattern is first looked for by its longest plain text; the pattern itself
+    only runs on pages that have it.
+    """
+    found = None
+    for alternative in pattern.lower().split("|"):
+        texts = [text.replace("\\.", ".") for text in re.split(r"\[[^\]]*\]|\\s[*+]", alternative)]
+        test = F.col("lowered").contains(max(texts, key=len))
+        if len(texts) > 1:
+            test = test & F.col("lowered").rlike(alternative)
+        found = test if found is None else found | test
+    return found
 
 
 def platform_signals() -> Column:

@@ -192,7 +192,7 @@ def _parts(sections: tuple[str, ...]):
         "hrefs": ({"contact", "social"}, lambda _, markup: H.links(markup)),
         "metas": ({"business", "generator"}, lambda _, markup: _metas(markup)),
         "title": ({"business"}, lambda _, markup: H.title(markup)),
-        "text_emails": ({"contact"}, lambda _, markup: H.text_emails(H.visible_text(markup))),
+        "text_emails": ({"contact"}, lambda _, markup: H.visible_emails(markup)),
         "lowered": ({"platform"}, lambda raw, _: F.lower(raw)),
     }
     return [(name, make) for name, (users, make) in needed.items() if users & set(sections)]
