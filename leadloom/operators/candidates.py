@@ -22,15 +22,20 @@ def claimable(now: Column, stale_after_minutes: int = V.STALE_CLAIM_MINUTES) ->
     return F.col("state").isin("pending", "retry") | F.coalesce(stale, F.lit(False))
 
 
+def _touch(rows: DataFrame, changed: Column, now: Column) -> DataFrame:
+    """Move ``updated_at`` of changed rows, for tables that have it."""
+    if "updated_at" not in rows.columns:
+        return rows
+    return rows.withColumn("updated_at", F.when(changed, now).otherwise(F.col("updated_at")))
+
+
 def claim(candidates: DataFrame, now: Column, stale_after_minutes: int = V.STALE_CLAIM_MINUTES) -> DataFrame:
     """Claimable rows become ``crawling`` at ``now``; others stay. ``claimed`` tells which."""
-    return (
-        candidates.withColumn("claimed", claimable(now, stale_after_minutes))
-        .withColumns({
-            "state": F.when(F.col("claimed"), "crawling").otherwise(F.col("state")),
-            "last_attempt_at": F.when(F.col("claimed"), now).otherwise(F.col("last_attempt_at")),
-        })
-    )
+    rows = candidates.withColumn("claimed", claimable(now, stale_after_minutes))
+    return _touch(rows, F.col("claimed"), now).withColumns({
+        "state": F.when(F.col("claimed"), "crawling").otherwise(F.col("state")),
+        "last_attempt_at": F.when(F.col("claimed"), now).otherwise(F.col("last_attempt_at")),
+    })
 
 
 def route_outcomes(candidates: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
@@ -60,7 +65,7 @@ def route_outcomes(candidates: DataFrame, outcomes: DataFrame, now: Column) -> D
     )
     touched = F.col("outcome").isNotNull() & ~clean
     reason = F.when(success, "duplicate_domain").otherwise(F.coalesce("reason", "outcome"))
-    routed = joined.withColumn("new_state", state)
+    routed = _touch(joined, F.col("outcome").isNotNull(), now).withColumn("new_state", state)
     return routed.withColumns({
         "next_attempt_at": F.when(
             touched, F.when(F.col("new_state") == "retry", candidate_retry_at(now, attempt))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom import fixed_values as V
 from leadloom.functions import urls as U
+from leadloom.functions.binding import apply
 from leadloom.functions.html import strip
 from leadloom.functions.ids import stable_id
 
@@ -48,7 +49,7 @@ def import_urls(urls: DataFrame, limit: int | None = V.DISCOVERY_LIMIT, order: t
     )
 
 
-def new_candidates(discovered: DataFrame, known: DataFrame, now, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+def new_candidates(discovered: DataFrame, known: DataFrame, now: Column, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """Candidate rows for domains not in ``known(canonical_domain)``.
 
     The first row of a domain in input order wins. Rows whose URL yields no domain are left to the
@@ -94,23 +95,32 @@ def lookup_candidates(ids: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
-def criteria_hash(location, category, platform_hint, keywords, urls, limit):
-    """Hash under which repeated discovery requests collapse: list order does not matter."""
-    return F.substring(
-        F.sha2(
-            F.to_json(
-                F.struct(
-                    category.alias("category"),
-                    F.array_sort(keywords).alias("keywords"),
-                    limit.alias("limit"),
-                    location.alias("location"),
-                    platform_hint.alias("platform_hint"),
-                    F.array_sort(urls).alias("urls"),
-                ),
-                {"ignoreNullFields": "false"},
-            ),
-            256,
-        ),
-        1,
-        16,
+def _json_text(value: Column) -> Column:
+    """A string as an ASCII JSON literal, NULL as ``null``."""
+    quoted = F.regexp_replace(F.to_json(F.array(value)), r"(?s)^\[(.*)\]$", "$1")
+    escaped = apply(
+        "t -> CASE WHEN t RLIKE '^[\\\\x00-\\\\x7f]*$' THEN t ELSE array_join(transform(split(t, ''), c -> CASE WHEN"
+        " octet_length(c) = 1 THEN c ELSE regexp_replace(lower(hex(encode(c, 'UTF-16BE'))), '(.{4})',"
+        " '\\\\\\\\u$1') END), '') END",
+        quoted,
     )
+    return F.when(value.isNull(), "null").otherwise(escaped)
+
+
+def _json_list(values: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(values), _json_text), ", "), F.lit("]"))
+
+
+def criteria_hash(
+    location: Column, category: Column, platform_hint: Column, keywords: Column, urls: Column, limit: Column
+) -> Column:
+    """Hash under which repeated discovery requests collapse; the order of list items does not count.
+
+    It is the start of the SHA-256 of the request as JSON with sorted keys.
+    """
+    pairs = {
+        "category": _json_text(category), "keywords": _json_list(keywords), "limit": limit.cast("string"),
+        "location": _json_text(location), "platform_hint": _json_text(platform_hint), "urls": _json_list(urls),
+    }
+    body = F.concat_ws(", ", *[F.concat(F.lit(f'"{key}": '), text) for key, text in pairs.items()])
+    return F.substring(F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256), 1, 16)

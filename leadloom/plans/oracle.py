@@ -459,7 +459,7 @@ SELECT source_rank, pos, url FROM (
     "candidate_seeds": f"SELECT {stable_id('canonical_domain')} AS candidate_id, canonical_domain, {scheme('url')} || '://' || canonical_domain || '/' AS seed_url FROM {_found}",
     "candidate_lookup": f"SELECT {stable_id('d.canonical_domain')} AS candidate_id, CASE WHEN k.business_id IS NULL THEN d.canonical_domain END AS canonical_domain, k.business_id IS NULL AS found FROM domains d LEFT JOIN known k USING (canonical_domain)",
     "criteria_dedupe": """
-SELECT substr(sha256('{"category":"' || category || '","keywords":["' || least(lower(category), 'shop') || '","' || greatest(lower(category), 'shop') || '"],"limit":100,"location":"' || location || '","platform_hint":null,"urls":[]}'), 1, 16) AS criteria_hash,
+SELECT substr(sha256('{"category": "' || category || '", "keywords": ["' || least(lower(category), 'shop') || '", "' || greatest(lower(category), 'shop') || '"], "limit": 100, "location": "' || location || '", "platform_hint": null, "urls": []}'), 1, 16) AS criteria_hash,
        location, category, count(*) AS requests
 FROM (SELECT 'nation-' || c_nationkey AS location, c_mktsegment AS category FROM customer) GROUP BY ALL""",
     "page_links": "SELECT canonical_domain, page_seq, link_seq, href FROM link",

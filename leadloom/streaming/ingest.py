@@ -25,20 +25,25 @@ def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files
     return stream.select(F.col("page_id").alias("page_seq"), "url", F.col("html").alias("raw_html"))
 
 
-def new_domains(stream: DataFrame) -> DataFrame:
-    """Every domain once over the life of the stream.
+def new_domains(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Every domain once over the life of the stream, without those in ``known(canonical_domain)``.
 
     The state holds one entry per domain and no page text; keep it in the RocksDB state store on a
     cluster.
     """
-    domains = stream.select(canonical_domain(F.col("url")).alias("canonical_domain"))
-    return domains.where(F.col("canonical_domain") != "").dropDuplicates(["canonical_domain"])
+    domains = stream.select(canonical_domain(F.col("url")).alias("canonical_domain")).where(
+        F.col("canonical_domain") != ""
+    )
+    fresh = domains.dropDuplicates(["canonical_domain"])
+    return fresh if known is None else fresh.join(known.select("canonical_domain"), "canonical_domain", "left_anti")
 
 
-def start_discovery(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def start_discovery(
+    stream: DataFrame, out: str, checkpoint: str, known: DataFrame | None = None
+) -> StreamingQuery:
     """Append new domains to ``out`` until the available files are read."""
     return (
-        new_domains(stream)
+        new_domains(stream, known)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

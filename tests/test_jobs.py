@@ -1,5 +1,7 @@
 """Discovery, crawling, candidate states, verification, export, browsing, quality and snapshots."""
 
+import hashlib
+import json
 import random
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -44,6 +46,17 @@ def test_discovery_keeps_the_first_row_of_new_domains(spark):
     assert discovery.import_urls(urls, None).count() == 4
 
 
+def test_criteria_hash_is_that_of_the_sorted_request(spark):
+    requests = [("Köln \U0001F600", None, None, ["b", "a\"\\"], ["u"], 100), ("x", "c", "shopify", [], [], 5)]
+    df = spark.createDataFrame(requests, "l string, c string, p string, k array<string>, u array<string>, n int")
+    got = [r[0] for r in df.select(discovery.criteria_hash(*[F.col(c) for c in "lcpkun"])).collect()]
+    expected = [
+        hashlib.sha256(json.dumps({"location": l, "category": c, "platform_hint": p, "keywords": sorted(k), "urls": sorted(u),
+                                   "limit": n}, sort_keys=True).encode()).hexdigest()[:16]
+        for l, c, p, k, u, n in requests]
+    assert got == expected
+
+
 # --- crawling -------------------------------------------------------------------------------------
 
 
@@ -162,7 +175,9 @@ def test_claims(spark):
     rows = make(spark, schemas.CANDIDATES, candidate(), candidate(candidate_id=2, state="crawling", last_attempt_at=T0 - timedelta(minutes=31)),
                 candidate(candidate_id=3, state="crawling", last_attempt_at=T0 - timedelta(minutes=29)),
                 candidate(candidate_id=4, state="retry"), candidate(candidate_id=5, state="blocked"))
-    got = {r.candidate_id: (r.claimed, r.state) for r in candidates.claim(rows, now()).collect()}
+    claimed = candidates.claim(rows.withColumn("updated_at", F.lit("2020-01-01 00:00:00").cast("timestamp")), now()).collect()
+    got = {r.candidate_id: (r.claimed, r.state) for r in claimed}
+    assert all((r.updated_at == T0) == r.claimed for r in claimed)
     assert got == {1: (True, "crawling"), 2: (True, "crawling"), 3: (False, "crawling"), 4: (True, "crawling"), 5: (False, "blocked")}
 
 

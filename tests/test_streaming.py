@@ -34,3 +34,11 @@ def test_streams_pick_up_where_they_left_off(spark, tmp_path):
     assert domains == ["a.com", "b.com"]
     assert sorted(seen.collect()) == sorted(observations(everything).collect())
     assert len(cache) == 3 and cache["https://a.com/"] == spark.range(1).select(F.sha2(F.lit(second[1][2]), 256)).first()[0]
+
+
+def test_known_domains_are_not_new(spark, tmp_path):
+    pages, work = str(tmp_path / "pages"), str(tmp_path / "work")
+    write(spark, pages, [(0, "https://a.com/", ""), (1, "https://b.com/", ""), (2, "https://b.com/1", "")])
+    known = spark.createDataFrame([("a.com",)], "canonical_domain string")
+    ingest.start_discovery(ingest.page_stream(spark, pages), f"{work}/d", f"{work}/c", known).awaitTermination()
+    assert [r[0] for r in spark.read.schema("canonical_domain string").parquet(f"{work}/d").collect()] == ["b.com"]
