@@ -87,10 +87,9 @@ def resolve(records: Records, businesses: DataFrame, contacts: DataFrame) -> Dat
 
 def apply_records(
     tables: Mapping[str, DataFrame], records: Records, resolved: DataFrame, now: Column
-) -> dict[str, DataFrame]:
-    """Next state of businesses, contacts, socials, evidence and candidates."""
-    return {
-        **tables,
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Next state of businesses, contacts, socials and candidates, and the evidence to append."""
+    changed = {
         "businesses": merging.merge_businesses(tables["businesses"], records.headers, resolved, now),
         "contacts": merging.insert_absent(
             tables["contacts"], merging.contact_rows(records.contacts, now), ["business_id", "type", "value"]
@@ -98,15 +97,16 @@ def apply_records(
         "social_profiles": merging.insert_absent(
             tables["social_profiles"], merging.social_rows(records.socials, now), ["business_id", "platform", "url"]
         ),
-        "evidence": tables["evidence"].unionByName(
-            merging.evidence_rows(records.contacts, records.socials, records.evidence, now)
-        ),
         "candidates": merging.finish_candidates(tables["candidates"], resolved, now),
     }
+    evidence = merging.evidence_rows(records.contacts, records.socials, records.evidence, now)
+    return {**tables, **changed}, {"evidence": evidence}
 
 
-def ingest(pages: DataFrame, tables: Mapping[str, DataFrame], now: Column) -> dict[str, DataFrame]:
-    """Pages to the next state of all tables; publish it with ``sources.snapshots.publish``."""
+def ingest(
+    pages: DataFrame, tables: Mapping[str, DataFrame], now: Column
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Pages to the next tables and the log rows to append; ``sources.snapshots.publish`` takes both."""
     records = normalize(extract(pages))
     resolved = stage(resolve(records, tables["businesses"], tables["contacts"]), "resolution")
     return apply_records(tables, records, resolved, now)
@@ -116,15 +116,14 @@ def validated_records(records: Records, resolved: DataFrame) -> DataFrame:
     return validation.validate(records.headers, resolved)
 
 
-def record_crawls(tables: Mapping[str, DataFrame], fetch_log: DataFrame, now: Column) -> dict[str, DataFrame]:
-    """Next state of the crawl logs and the page cache."""
+def record_crawls(
+    tables: Mapping[str, DataFrame], fetch_log: DataFrame, now: Column
+) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Next page cache, and the crawl log rows to append."""
     ok = crawling.classify_fetch(F.col("http_status_code"), F.col("is_timeout")).isNull()
-    return {
-        **tables,
-        "crawl_runs": tables["crawl_runs"].unionByName(crawling.crawl_runs(fetch_log, now)),
-        "crawl_pages": tables["crawl_pages"].unionByName(crawling.crawl_pages(fetch_log)),
-        "page_cache": crawling.upsert_page_cache(tables["page_cache"], fetch_log.where(ok)),
-    }
+    cache = crawling.upsert_page_cache(tables["page_cache"], fetch_log.where(ok))
+    logs = {"crawl_runs": crawling.crawl_runs(fetch_log, now), "crawl_pages": crawling.crawl_pages(fetch_log)}
+    return {**tables, "page_cache": cache}, logs
 
 
 def verify(

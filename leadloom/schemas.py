@@ -87,6 +87,9 @@ TABLES = {
     "page_cache": PAGE_CACHE,
 }
 
+# Append-only tables: a new version adds rows to them and never rewrites old ones.
+LOGS = ("evidence", "crawl_runs", "crawl_pages")
+
 
 def conform(df, schema):
     """Project ``df`` to the columns and types of ``schema``."""

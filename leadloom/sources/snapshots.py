@@ -27,6 +27,12 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
 
+def _paths(root: str, name: str, known: list[int], chosen: int) -> list[str]:
+    """Directories of a table at a version: its own, or for a log those of all versions up to it."""
+    wanted = [v for v in known if v <= chosen] if name in schemas.LOGS else [chosen]
+    return [f"{root}/v={v}/{name}" for v in wanted]
+
+
 def read(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
     """Tables of a version, the newest by default; empty tables before the first one."""
     known = versions(spark, root)
@@ -34,25 +40,39 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> dict[str
         return {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
     chosen = known[-1] if version is None else version
     return {
-        name: spark.read.schema(schema).parquet(f"{root}/v={chosen}/{name}")
+        name: spark.read.schema(schema).parquet(*_paths(root, name, known, chosen))
         for name, schema in schemas.TABLES.items()
     }
 
 
-def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -> int:
-    """Write all tables as the next version; all of them become visible or none does.
+def publish(
+    spark: SparkSession, root: str, tables: Mapping[str, DataFrame], logs: Mapping[str, DataFrame] | None = None
+) -> int:
+    """Write the next version; all of it becomes visible or none does.
 
-    The rules run over the written files, so what is checked is what is published. Object stores
-    without an atomic directory rename need a table format with commits instead.
+    ``tables`` holds the next state of every table that is no log; they are rewritten, as plain Parquet
+    needs. ``logs`` holds the rows to append to logs; what is already there is not touched. The rules
+    run over the written files, so what is checked is what is published. Object stores without an
+    atomic directory rename need a table format with commits instead.
     """
-    version = (versions(spark, root) or [0])[-1] + 1
+    logs = logs or {}
+    known = versions(spark, root)
+    version = (known or [0])[-1] + 1
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
     for name, schema in schemas.TABLES.items():
-        schemas.conform(tables[name], schema).write.parquet(f"{staging}/{name}")
-    written = {
-        name: spark.read.schema(schema).parquet(f"{staging}/{name}") for name, schema in schemas.TABLES.items()
-    }
-    broken = quality_report(written).where(F.col("violations") > 0).collect()  # at most one row per rule
+        if name in schemas.LOGS:
+            rows = logs[name] if name in logs else spark.createDataFrame([], schema)
+        else:
+            rows = tables[name]
+        schemas.conform(rows, schema).write.parquet(f"{staging}/{name}")
+
+    def written(name):
+        # Runs are looked at whole, as keys and as parents; of other logs only the new rows are.
+        earlier = _paths(root, name, known, version) if name == "crawl_runs" else []
+        return spark.read.schema(schemas.TABLES[name]).parquet(*earlier, f"{staging}/{name}")
+
+    report = quality_report({name: written(name) for name in schemas.TABLES})
+    broken = report.where(F.col("violations") > 0).collect()  # at most one row per rule
     if broken:
         raise QualityError("; ".join(f"{r.rule}: {r.violations}" for r in broken))
     rename(spark, staging, f"{root}/v={version}")

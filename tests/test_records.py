@@ -10,6 +10,7 @@ from leadloom import schemas
 from leadloom.functions.ids import stable_id
 from leadloom.operators import merging, resolution, validation
 from leadloom.plans import lifecycle
+from leadloom.sources import snapshots
 
 
 def now():
@@ -157,16 +158,36 @@ def test_the_first_observation_of_a_contact_is_stored_once(spark):
     assert sorted((r.source_url, r.verification_status) for r in merged) == [("first", "verified"), ("other", None)]
 
 
-def test_a_second_ingest_merges_and_appends_evidence(spark):
+def test_a_second_ingest_merges_and_appends_evidence(spark, tmp_path):
     html = '<title>A</title><a href="mailto:x@a.com">m</a><a href="https://facebook.com/a">f</a> static.wixstatic.com'
     pages = spark.createDataFrame([(0, "https://a.com/", html)], "page_seq long, url string, raw_html string")
     tables = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
     urls = spark.createDataFrame([(0, "a.com")], "pos long, url string")
     tables["candidates"] = lifecycle.discover(urls, tables["candidates"], now())
-    once = lifecycle.ingest(pages, tables, now())
-    twice = lifecycle.ingest(pages, once, now())
-    for name, first, second in (("businesses", 1, 1), ("contacts", 1, 1), ("social_profiles", 1, 1), ("evidence", 3, 6)):
-        assert (once[name].count(), twice[name].count()) == (first, second), name
-    candidate, business = twice["candidates"].first(), twice["businesses"].first()
+    root = str(tmp_path / "snapshots")
+    for version in (1, 2):
+        snapshots.publish(spark, root, *lifecycle.ingest(pages, tables, now()))
+        tables = snapshots.read(spark, root)
+        counts = {name: tables[name].count() for name in ("businesses", "contacts", "social_profiles", "evidence")}
+        assert counts == {"businesses": 1, "contacts": 1, "social_profiles": 1, "evidence": 3 * version}
+    assert snapshots.read(spark, root, 1)["evidence"].count() == 3
+    candidate, business = tables["candidates"].first(), tables["businesses"].first()
     assert (candidate.state, candidate.business_id, candidate.attempts) == ("success", business.business_id, 0)
     assert (business.name, business.platform, business.merge_status) == ("A", "wix", "active")
+
+
+def test_crawl_logs_grow_and_the_cache_is_replaced(spark, tmp_path):
+    root = str(tmp_path / "snapshots")
+    tables = snapshots.read(spark, root)
+    tables["candidates"] = lifecycle.discover(spark.createDataFrame([(0, "a.com")], "pos long, url string"), tables["candidates"], now())
+    schema = ("canonical_domain string, crawl_no long, page_seq long, url string, page_type string, fetched_via string, "
+              "http_status_code int, is_timeout boolean, content_hash string, has_body boolean, from_cache boolean, fetched_at timestamp")
+    for crawl in (1, 2):
+        log = spark.createDataFrame(
+            [("a.com", crawl, 0, "https://a.com/", "homepage", "http", 200, False, f"h{crawl}", True, False, datetime(2024, 6, crawl))], schema)
+        snapshots.publish(spark, root, *lifecycle.record_crawls(tables, log, now()))
+        tables = snapshots.read(spark, root)
+    assert (tables["crawl_runs"].count(), tables["crawl_pages"].count()) == (2, 2)
+    assert [r.content_hash for r in tables["page_cache"].collect()] == ["h2"]
+    with pytest.raises(snapshots.QualityError, match="unique crawl_runs"):
+        snapshots.publish(spark, root, *lifecycle.record_crawls(tables, log, now()))
