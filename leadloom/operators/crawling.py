@@ -9,7 +9,7 @@ from leadloom.functions import html as H, urls as U
 from leadloom.functions.ids import stable_id
 from leadloom.operators.pages import fresh_pages
 from leadloom.operators.skew import skew_join
-from leadloom.session import spread_small
+from leadloom.session import spread_small, stage
 
 
 def thin_pages(pages: DataFrame) -> DataFrame:
@@ -71,8 +71,9 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls(canonical_domain, url, ...)`` that the rules of their host allow.
 
     ``rules(host, seq, allow, path)``: the first rule whose path starts the URL's path decides, and
-    no rule means allowed. An empty path allows everything and ``*`` matches everything. Instead of comparing every URL with every rule, a URL looks up its own
-    prefixes, at the rule lengths its host uses. Those are at most as many as a path has characters.
+    no rule means allowed. An empty path allows everything and ``*`` matches everything. Instead of
+    comparing every URL with every rule, a URL looks up its own prefixes, at the rule lengths its host
+    uses. Those are at most as many as a path has characters.
     """
     everything = F.col("path").isin("", "*")
     prefixed = rules.select(
@@ -84,9 +85,8 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
     first_rules = prefixed.groupBy("canonical_domain", "prefix").agg(F.min(F.struct("seq", "allow")).alias("rule"))
     lengths = first_rules.groupBy("canonical_domain").agg(F.collect_set(F.length("prefix")).alias("lengths"))
     targets = urls.select("canonical_domain", "url").distinct()
-    with_query = F.regexp_replace(
-        F.regexp_replace(F.col("url"), r"#.*$", ""), r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?]*", ""
-    )
+    without_fragment = F.regexp_replace(F.col("url"), r"#.*$", "")
+    with_query = F.regexp_replace(without_fragment, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?]*", "")
     path = F.when(with_query.startswith("/"), with_query).otherwise(F.concat(F.lit("/"), with_query))
     usable = F.filter(F.col("lengths"), lambda n: n <= F.length("path"))
     prefixes = (
@@ -100,7 +100,7 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
         .groupBy("canonical_domain", "url")
         .agg(F.min("rule").alias("rule"))
     )
-    denied = decided.where(~F.col("rule.allow")).select("canonical_domain", "url")
+    denied = stage(decided.where(~F.col("rule.allow")).select("canonical_domain", "url"), "denied")
     return skew_join(urls, denied, ["canonical_domain", "url"], "left_anti").select(*urls.columns)
 
 

@@ -28,6 +28,17 @@ def broadcast_limit(df: DataFrame) -> int:
     return int(session.sessionState().conf().autoBroadcastJoinThreshold())
 
 
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the size estimate of ``df`` is within the session's broadcast threshold.
+
+    An estimate cannot know how many rows a generator such as ``explode`` makes, so a frame with one in
+    its plan never counts as small. Write it first where its size should count.
+    """
+    if estimated_bytes(df) > broadcast_limit(df):
+        return False
+    return "Generate " not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def skew_join(
     left: DataFrame, right: DataFrame, keys: str | Sequence[str], how: str = "inner", write_left: bool = False
 ) -> DataFrame:
@@ -45,7 +56,7 @@ def skew_join(
     must not be null. ``how`` is inner, left, left_semi or left_anti.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if estimated_bytes(right) <= broadcast_limit(right):
+    if fits_broadcast(right):
         return left.join(F.broadcast(right), keys, how)
     if write_left:
         left = stage(left, "skew-left")

@@ -194,7 +194,7 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(2).alias("seq"), F.lit(False).alias("allow"), F.lit("/collections").alias("path")),
         F.struct(F.lit(3).alias("seq"), F.lit(False).alias("allow"), F.lit("/en/4").alias("path")),
     )
-    return hosts.select("host", F.inline(rules))
+    return stage(hosts.select("host", F.inline(rules)), "robots")
 
 
 def outcome_log(spark: SparkSession, sf_dir: str) -> DataFrame:

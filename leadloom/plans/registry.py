@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom import schemas
-from leadloom.functions import contacts as FC, html as H, urls as U
+from leadloom.functions import contacts as FC, urls as U
 from leadloom.operators import (
     browsing, candidates, crawling, detection, discovery, exporting, extraction, merging, normalization, quality,
-    resolution, validation, verification,
+    resolution, verification,
 )
 from leadloom.functions.ids import stable_id
 from leadloom.plans import corpus, lifecycle
@@ -80,7 +80,8 @@ def discover_new(spark, sf_dir):
 def url_list_parse(spark, sf_dir):
     """Two lists, one as CSV lines, joined in order without repeats."""
     pages = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
-    typed = pages.select("pos", F.concat(F.lit("  "), U.seed_url(F.lit("https"), U.canonical_domain(F.col("url"))), F.lit(" ")).alias("value"))
+    seed = U.seed_url(F.lit("https"), U.canonical_domain(F.col("url")))
+    typed = pages.select("pos", F.concat(F.lit("  "), seed, F.lit(" ")).alias("value"))
     uploaded = pages.select("pos", F.concat(F.col("url"), F.lit(" ,shop,"), F.col("pos").cast("string")).alias("value"))
     return discovery.combine_url_sources(discovery.parse_url_lines(typed), discovery.parse_url_lines(uploaded))
 
