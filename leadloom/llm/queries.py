@@ -7,11 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom.llm import bpe_automaton, token_counts, token_files
+from leadloom.llm import (
+    bpe_automaton, html_main_text, language_id, license_scan, quality_knn, token_counts, token_files,
+)
 from leadloom.llm.common import table
 from leadloom.session import shared_dir
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document."""
     return token_counts.token_counts(table(spark, sf_dir, "documents"), token_counts.lines(F.col("text")))
@@ -22,6 +29,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify_language(docs, language_id.fit(docs))
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.score_quality(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
@@ -30,8 +54,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
+    "op6_language_id": op6_language_id,
+    "op7_main_text": op7_main_text,
+    "op8_quality": op8_quality,
     "op10_token_files": op10_token_files,
 }
 
