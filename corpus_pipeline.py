@@ -1,13 +1,58 @@
-"""The corpus pipeline: documents to training tokens, one operator per stage."""
+"""The corpus pipeline: from documents to training tokens, one operator per stage.
+
+Every stage takes all that its predecessor kept, and its decisions take effect. All but the last return the
+columns of ``documents``; the last returns digests of the token ids of what is left.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from leadloom.llm import bpe_automaton, decontamination, language_id, near_dedup, quality_knn
+from leadloom.llm.common import table
+from leadloom.session import stage
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest labelled documents vote good."""
+    return quality_knn.keep_good(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without a letter, or like no learned language, go."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near-duplicates."""
+    return near_dedup.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage within a fifth of its words of a benchmark item."""
+    return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded texts of what is left."""
+    return bpe_automaton.round_trip_digests(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("bpe", encode),
+]
 
-#: Several stages learn models or sample hashes, which SQL cannot express.
+#: Learned models and sampled hashes cannot be put in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The documents of ``sf_dir`` after all stages."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``, each stage written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

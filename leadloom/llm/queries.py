@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.llm import (
-    bpe_automaton, html_main_text, language_id, license_scan, near_dedup, quality_knn, token_counts, token_files,
+    bpe_automaton, decontamination, html_main_text, language_id, license_scan, near_dedup, quality_knn, token_counts, token_files,
 )
 from leadloom.llm.common import table
 from leadloom.session import shared_dir
@@ -34,6 +34,11 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the edits between them."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_main_text": op7_main_text,
     "op8_quality": op8_quality,
