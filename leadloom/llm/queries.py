@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.llm import (
-    bpe_automaton, decontamination, html_main_text, language_id, license_scan, near_dedup, quality_knn, token_counts, token_files,
+    bpe_automaton, decontamination, embedding_dedup, html_main_text, language_id, license_scan, near_dedup, quality_knn, token_counts, token_files,
 )
 from leadloom.llm.common import table
 from leadloom.session import shared_dir
@@ -56,6 +56,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.score_quality(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": op6_language_id,
     "op7_main_text": op7_main_text,
     "op8_quality": op8_quality,
+    "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_token_files": op10_token_files,
 }
 
