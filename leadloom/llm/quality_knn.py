@@ -103,7 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     got = texts.mapInArrow(run, "doc_id bigint, good double, row binary").limit(sample).collect()
     got.sort(key=lambda r: (r.doc_id, r.good, r.row))
-    rows = np.array([np.frombuffer(r.row, np.float16) for r in got], np.float32).reshape(len(got), -1)
+    if not got:
+        return fit_rows(np.zeros((0, 0)), np.zeros(0))
+    rows = np.array([np.frombuffer(r.row, np.float16) for r in got], np.float32)
     return fit_rows(rows, np.array([r.good for r in got]))
 
 
