@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, docs: DataFrame, weighted: bool, similar: float)
 def near_duplicates(
     docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """``(doc_id, class_id, n_class)`` of every row of ``docs (doc_id, text)``.
+    """``(doc_id, class_id)`` of every row of ``docs (doc_id, text)``.
 
     ``class_id`` is the smallest ``doc_id`` that is reachable by links of similarity ``similar`` or more on
     shingles of five words; unweighted, a shingle counts once per document. Null texts and texts without words
@@ -197,11 +197,8 @@ def near_duplicates(
         F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "doc").alias("class_id"))
     own = prints.select("doc_id", "a", "b").dropDuplicates(["doc_id"]).join(
         named, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))).select("doc_id", "class_id")
-    own = stage(own, "classes")
-    sizes = own.groupBy("class_id").agg(F.count("*").alias("n_class"))
     rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(own, "doc_id", "left")
-    return rest.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).join(sizes, "class_id", "left").select(
-        "doc_id", "class_id", F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
+    return rest.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
