@@ -22,6 +22,9 @@ from leadloom.llm.chunk_encoder import Places, cut, grown, ragged, tokenizer_pat
 from leadloom.llm.common import map_batches, slices, text_of
 
 NEVER = 1 << 60
+PRINTED = re.compile(r"[\x20-\x7e\t\n\r]*").fullmatch
+# Fixed value: the split pattern that the plain path restates.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Automaton:
@@ -35,10 +38,17 @@ class Automaton:
         self.made: dict[int, int] = {}
         self.lost: dict[int, dict[int, int]] = {}
         self.table: dict[int, bool] = {}
-        self.longest = max((len(t.removesuffix(suffix)) for t in vocab), default=1)
         self.live = {i for t, i in vocab.items() if len(t.removesuffix(suffix)) == 1}
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
+        #: Tokens that arcs carry; a text of one of them alone is encoded by it.
+        self.accepted = {t: i for t, i in vocab.items() if i in self.live}
+        #: The length of the longest token by the first four symbols; any other has three at most.
+        self.reach: dict[str, int] = {}
+        for t in self.accepted:
+            symbols = t.removesuffix(suffix) or t
+            if len(symbols) > 3:
+                self.reach[symbols[:4]] = max(self.reach.get(symbols[:4], 3), len(symbols))
 
     def _gadget(self, rank: int, u: int, v: int, uv: int) -> None:
         if u not in self.live or v not in self.live or not self._arc(u, v):
@@ -72,47 +82,50 @@ class Automaton:
             state, until = self.right[state], self.made[state]
 
     def encode(self, word: str) -> list[int]:
-        """The ids of one pre-split word.
+        """The ids of one pre-split word: the only path of arcs that spells it.
 
-        The last token of each beginning of the word is found by arcs from the last tokens of shorter
-        beginnings; exactly one arc fits, since each string has one encoding.
+        Longer tokens are tried first; a state that proves a dead end is not entered again.
         """
-        n, vocab, live, table = len(word), self.vocab, self.live, self.table
-        last = [-1] * (n + 1)
-        for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for begin in range(max(0, end - self.longest), end):
-                token = vocab.get(word[begin:end] + tail)
-                if token is None or token not in live:
-                    continue
-                if begin:
-                    before = last[begin]
-                    if before < 0:
-                        continue
-                    key = before << 20 | token
+        accepted, suffix, n = self.accepted, self.suffix, len(word)
+        whole = accepted.get(word + suffix)
+        if whole is not None:
+            return [whole]
+        table, reach, path, begins, dead = self.table, self.reach.get, [], [], set()
+        at, length = 0, min(reach(word[:4], 3), n)
+        while True:
+            while length:
+                end = at + length
+                token = accepted.get(word[at:end] + suffix if end == n else word[at:end])
+                if token is not None and (not dead or (end, token) not in dead):
+                    if not path:
+                        break
+                    key = path[-1] << 20 | token
                     fits = table.get(key)
                     if fits is None:
-                        fits = table[key] = self._arc(before, token)
-                    if not fits:
-                        continue
-                last[end] = token
-                break
-            else:
+                        fits = table[key] = self._arc(path[-1], token)
+                    if fits:
+                        break
+                length -= 1
+            if length:
+                path.append(token)
+                begins.append(at)
                 if end == n:
-                    raise ValueError(f"no encoding of {word!r}")
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end -= len(self.label[last[end]]) - (len(self.suffix) if end == n else 0)
-        return out[::-1]
+                    return path
+                at, length = end, min(reach(word[end : end + 4], 3), n - end)
+            elif path:
+                dead.add((at, path.pop()))
+                length = at - begins[-1] - 1
+                at = begins.pop()
+            else:
+                raise ValueError(f"no encoding of {word!r}")
 
 
 class WordEncoder:
     """Whole texts under a word-level tokenizer file: normalised and pre-split by the library, encoded by
     the automaton. Texts are cut before single spaces, which end words, and each piece is encoded once; at
-    most about ``limit`` pieces are remembered."""
+    most about ``limit`` pieces, and as many words, are remembered."""
 
-    def __init__(self, path: str, limit: int = 700_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -132,24 +145,30 @@ class WordEncoder:
         size = max(self.labels, default=-1) + 1
         self.label_of = np.array([self.labels.get(i, "") for i in range(size)], object)
         self.digits_of = np.array([str(i) for i in range(size)], object)
-        self.limit = limit
+        # ASCII text needs no library: this file's split, spelt out for it.
+        plain = model["end_of_word_suffix"] == "</w>" and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": WORDS}
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII).findall if plain else None
+        self.limit, self.words = limit, {}
         self.forget()
 
     def forget(self) -> None:
-        self.pieces, self.words = Places(), {}
+        self.pieces = Places()
         self.pieces.new = []
         self.flat, self.starts, self.lengths = np.zeros(4096, np.int32), np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.n, self.used = 0, 0
 
     def encode_piece(self, piece: str) -> list[int]:
-        parts = self.apart.split(piece) if self.apart and "<" in piece or self.apart and any(
-            t in piece for t in self.special) else [piece]
+        parts = self.apart.split(piece) if self.apart and self.apart.search(piece) else [piece]
         out: list[int] = []
         for part in parts:
             if part in self.special:
                 out.append(self.special[part])
                 continue
-            for word, _ in self.split(self.normalize(part)) if part else ():
+            if self.plain and part.isascii() and (part.isprintable() or PRINTED(part)):
+                words = self.plain(part.lower())
+            else:
+                words = [word for word, _ in self.split(self.normalize(part))] if part else ()
+            for word in words:
                 ids = self.words.get(word)
                 if ids is None:
                     ids = self.words[word] = self.automaton.encode(word)
@@ -160,6 +179,8 @@ class WordEncoder:
         """Ids of all texts in order, and the number of ids of each text."""
         if len(self.pieces) > self.limit:
             self.forget()
+        if len(self.words) > self.limit:
+            self.words = {}
         get, per_text = self.pieces.__getitem__, []
         for text in texts:
             pieces = cut(text)
