@@ -13,10 +13,12 @@ from pyspark.sql import Column, functions as F
 from leadloom.functions.binding import let
 from leadloom.functions.html import strip
 
-_LOCAL = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
-EMAIL_SYNTAX = rf"^{_LOCAL}@(?:{_LABEL}\.)+[A-Za-z]{{2,63}}$"
-_RESERVED = r"\.(?:test|invalid|localhost|local)$"
+_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\p{L}\p{M}\p{N}-]+"
+_LABEL = r"[A-Za-z0-9\p{L}\p{N}](?:[A-Za-z0-9\p{L}\p{M}\p{N}-]{0,61}[A-Za-z0-9\p{L}\p{M}\p{N}])?"
+_TOP = r"(?:xn--[A-Za-z0-9-]{0,58}[A-Za-z0-9]|[A-Za-z\p{L}][A-Za-z\p{L}\p{M}]{1,62})"
+EMAIL_SYNTAX = rf"^{_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\.)+{_TOP}$"
+# Top-level names that are reserved for special use.
+_RESERVED = r"\.(?:alt|arpa|invalid|local|localhost|onion|test)$"
 
 # International calling codes in use, other than +1, by zone.
 OTHER_CALLING_CODES = (
@@ -29,18 +31,22 @@ OTHER_CALLING_CODES = (
     r"|8[1246]|80[08]|85[02356]|87[08]|88[0-368]"
     r"|9[0-58]|96[0-8]|97[0-79]|99[2-68]"
 )
+# Area codes with two equal last digits that serve toll-free, personal and premium numbers.
+SERVICE_CODES = ("500", "522", "533", "544", "566", "577", "588", "600", "622", "633", "700", "800", "833", "844", "855",
+                 "866", "877", "888", "900")
 _KEYPAD = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
 
 
 def normalize_email(value: Column) -> Column:
     """Lowercased address, NULL when its syntax is not acceptable.
 
-    Accepted: an ASCII dot-atom local part of at most 64 characters, host labels of 1-63 characters
-    without edge hyphens, an alphabetic top-level domain of two letters or more that is not reserved
-    for special use, 254 characters in all. Internationalized domains are not converted.
+    Accepted: a dot-atom local part of at most 64 bytes, host labels of 1-63 characters without edge
+    hyphens, a top-level domain of two letters or more, or an ``xn--`` one, that is not reserved for
+    special use, 254 bytes in all. Letters of any script count. Internationalized domains stay in the
+    form they are written in.
     """
     lowered = F.lower(value)
-    bounded = (F.length(value) <= 254) & (F.length(F.substring_index(value, "@", 1)) <= 64)
+    bounded = (F.octet_length(value) <= 254) & (F.octet_length(F.substring_index(value, "@", 1)) <= 64)
     ok = bounded & lowered.rlike(EMAIL_SYNTAX) & ~lowered.rlike(_RESERVED)
     return F.when(ok, lowered)
 
@@ -70,13 +76,15 @@ def normalize_phone(value: Column, area_codes: Sequence[str] | None = None) -> C
     """E.164 form with the US as home region, NULL when the number is not acceptable.
 
     A North American number needs ten digits after an optional 1, an area code and an exchange that
-    both start with 2-9. Area codes ending in 11, with a 9 in the middle, and 555 are unassigned;
-    without ``area_codes`` every other one is taken as assigned, with it only the listed ones. Other
-    numbers need a plus (or 011), a calling code in use and 8-15 digits.
+    both start with 2-9. Without ``area_codes`` an area code is taken as assigned by the numbering plan's
+    rules: none has a 9 in the middle or begins with 37 or 96, and of those that end in two equal digits
+    only the services in use count. With it only the listed ones do. Other numbers need a plus (or 011),
+    a calling code in use and 8-15 digits.
     """
     def american(ten):
         area = F.substring(ten, 1, 3)
-        assigned = ~area.rlike("^(?:.11|555)$") if area_codes is None else area.isin(*area_codes)
+        by_rule = ~area.rlike(r"^(?:37|96)") & (~area.rlike(r"^.(.)\1$") | area.isin(*SERVICE_CODES))
+        assigned = by_rule if area_codes is None else area.isin(*area_codes)
         return F.when((ten != "") & assigned, F.concat(F.lit("+1"), ten))
 
     def checked(number):

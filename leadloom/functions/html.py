@@ -1,11 +1,14 @@
 """HTML expressions over whole page texts: markup cleaning, links, meta tags, title, visible text.
 
-Every pattern runs in time linear in the page: no nested repetition, and repetition over quoted
-attributes is bounded so a broken page can neither backtrack nor recurse deeply.
+Every pattern runs in time linear in the page: repetition over attributes is possessive, so a broken
+page can neither backtrack nor recurse deeply, and character references are decoded in one pass.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from leadloom import fixed_values as V
@@ -16,10 +19,11 @@ _COMMENT = r"!--.*?(?:-->|\z)"
 _SCRIPT = r"script\b.*?(?:</script\s*>|\z)"
 _STYLE = r"style\b.*?(?:</style\s*>|\z)"
 _TEMPLATE = r"template\b.*?(?:</template\s*>|\z)"
-HIDDEN = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE}|{_TEMPLATE})"
+HIDDEN = rf"(?is)<(?:{_COMMENT}|{_SCRIPT}|{_STYLE})"
+TEMPLATES = rf"(?is)<{_TEMPLATE}"
 SCRIPTS = rf"(?is)<(?:{_COMMENT}|{_SCRIPT})"
-# Attributes of a tag: a quote opens a value only after "=". Tags with more than 64 end at the next ">".
-_ATTRIBUTES = r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>=]*+)?+[^>=]*+){0,64}+"
+# Attributes of a tag: a quote opens a value only after "=".
+_ATTRIBUTES = r"[^>=]*+(?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>=]*+)?+[^>=]*+)*+"
 TAG = rf"(?s)</?[A-Za-z!?](?:[^>=]*+>|{_ATTRIBUTES}(?:>|\z))|</?[A-Za-z!?][^>]*(?:>|\z)"
 BOUNDARY = "\u0001"
 BLANKS = " \t\n\r\f\u000b\u00a0"
@@ -36,61 +40,86 @@ def strip(text: Column) -> Column:
 
 
 def visible_markup(html: Column) -> Column:
-    """The page without comments, scripts, styles and templates; each leaves an empty tag behind."""
+    """The page without comments, scripts and styles; each leaves an empty tag behind.
+
+    Templates stay, since their links and tags count; ``visible_text`` leaves their text out.
+    """
     return F.regexp_replace(html, HIDDEN, "<!>")
 
 
 def start_tags(markup: Column, name: str) -> Column:
     """All start tags of one element, as text, in document order."""
-    pattern = rf"(?is)<{name}\s{_ATTRIBUTES}"
+    pattern = rf"(?is)<{name}(?=[\s/]){_ATTRIBUTES}"
     return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
 
 
+# One attribute after another, quoted values whole, so nothing inside a value is taken for a name.
+_ATTRIBUTE = r"(?s)([^\s\"'>/=][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^\s>]*+))?+"
+
+
 def attribute(tag: Column, name: str) -> Column:
     """Decoded value of the first attribute ``name``; '' when absent or empty."""
-    pattern = rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
-    quoted = F.regexp_extract(tag, pattern, 1)
-    value = F.regexp_replace(quoted, r"(?s)^\"(.*)\"$|^'(.*)'$", "$1$2")
-    return decode_entities(value, legacy=False)
+    body = F.regexp_replace(tag, r"^<[A-Za-z][^\s/>]*+", "")
+    names = F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(2))
+    raw = F.coalesce(F.try_element_at(values, F.nullif(F.array_position(names, name).cast("int"), F.lit(0))), F.lit(""))
+    value = F.regexp_replace(raw, r"(?s)^\"([^\"]*)\"?$|^'([^']*)'?$", "$1$2")
+    return F.when(tag.rlike(rf"(?i)\b{name}\b"), decode_entities(value, legacy=False)).otherwise("")
+
+
+# The named references of the HTML standard, as the standard library lists them.
+_NAMED = {name.removesuffix(";"): char for name, char in html5.items() if name.endswith(";")}
+_LEGACY = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+_COMMON = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+# References to the code points 128 to 159 mean the characters of Windows-1252.
+_WINDOWS = [bytes([n]).decode("cp1252", "replace") if n not in (129, 141, 143, 144, 157) else chr(n) for n in range(128, 160)]
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _decode_lambda(legacy: bool) -> str:
-    """SQL lambda that decodes the basic named and all numeric character references of a text.
+    """SQL lambda that decodes all character references of a text in one pass.
 
-    Named ones are plain replacements, which are much cheaper than patterns. Each distinct numeric
-    reference is replaced in one pass, longer ones first; code points that are no characters become
-    U+FFFD. Ampersands come last, so nothing is decoded twice.
+    The text is cut at its ampersands; each part but the first begins with a reference or not, is mapped on
+    its own, and the parts are joined again. So nothing is decoded twice and the work is linear. Code points
+    that are no characters become U+FFFD.
     """
-    named = "t"
-    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "\\'"), ("nbsp", "\u00a0")):
-        named = f"replace({named}, '&{entity};', '{char}')"
-        if legacy and entity != "apos":
-            named = f"replace({named}, '&{entity}', '{char}')"
-    digits = "regexp_replace(ref, '^&#[xX]?|;$', '')"
-    code = f"CAST(CASE WHEN lower(substring(ref, 3, 1)) = 'x' THEN conv({digits}, 16, 10) ELSE {digits} END AS BIGINT)"
+    digits = "ltrim('0', lower(regexp_extract(p, '^#[xX]?0*([0-9a-fA-F]+)', 1)))"
+    code = f"CASE WHEN length({digits}) > 7 THEN 1114112 WHEN p RLIKE '^#[xX]' THEN CAST(conv({digits}, 16, 10) AS BIGINT)" \
+           f" ELSE CAST(coalesce(nullif({digits}, ''), '0') AS BIGINT) END"
+    windows = "array(" + ", ".join(_sql(c) for c in _WINDOWS) + ")"
     char = (
-        "decode(unhex(lpad(hex(CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN c ELSE 65533 END),"
-        " 8, '0')), 'UTF-32')"
+        f"CASE WHEN c BETWEEN 128 AND 159 THEN element_at({windows}, CAST(c - 127 AS INT)) ELSE decode(unhex(lpad(hex("
+        "CASE WHEN c BETWEEN 1 AND 55295 OR c BETWEEN 57344 AND 1114111 THEN c ELSE 65533 END), 8, '0')), 'UTF-32') END"
     )
-    references = "array_distinct(regexp_extract_all(u, '&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});?', 0))"
-    longest_first = f"array_sort({references}, (a, b) -> length(b) - length(a))"
-    numeric = (
-        f"CASE WHEN contains(u, '&#') THEN aggregate({longest_first}, u,"
-        f" (acc, ref) -> replace(acc, ref, transform(array({code}), c -> {char})[0])) ELSE u END"
+    rest = "regexp_replace(p, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?', '')"
+    numeric = f"concat(transform(array({code}), c -> {char})[0], {rest})"
+    common = " ".join(f"WHEN startswith(p, '{n};') THEN concat({_sql(c)}, substring(p, {len(n) + 2}))" for n, c in _COMMON.items())
+    table = f"from_json({_sql(json.dumps(_NAMED))}, 'map<string,string>')"
+    known = f"element_at({table}, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1))"
+    named = f"concat({known}, regexp_replace(p, '^[A-Za-z][A-Za-z0-9]*;', ''))"
+    bare = "concat('&', p)"
+    if legacy:
+        prefix = f"regexp_extract(p, '^(?:{'|'.join(_LEGACY)})', 0)"
+        bare = f"CASE WHEN {prefix} <> '' THEN concat(element_at({table}, {prefix}), substring(p, length({prefix}) + 1)) ELSE {bare} END"
+    part = (
+        f"CASE WHEN p RLIKE '^#(?:[xX][0-9a-fA-F]|[0-9])' THEN {numeric} {common}"
+        f" WHEN p RLIKE '^[A-Za-z]' THEN coalesce({named}, {bare}) ELSE concat('&', p) END"
     )
-    ampersand = "regexp_replace(n, '&amp;?', '&')" if legacy else "replace(n, '&amp;', '&')"
-    full = (
-        f"transform(transform(array({named}), u -> {numeric}),"
-        f" n -> CASE WHEN contains(n, '&amp') THEN {ampersand} ELSE n END)[0]"
+    parts = "split(t, '&')"
+    return (
+        f"t -> CASE WHEN contains(t, '&') THEN array_join(transform({parts}, (p, i) -> CASE WHEN i = 0 THEN p ELSE {part} END), '')"
+        " ELSE t END"
     )
-    return f"t -> CASE WHEN contains(t, '&') THEN {full} ELSE t END"
 
 
 _DECODE_TEXT, _DECODE_ATTRIBUTE = _decode_lambda(True), _decode_lambda(False)
 
 
 def decode_entities(text: Column, legacy: bool = True) -> Column:
-    """Decode the basic character references; ``legacy`` accepts them without the semicolon."""
+    """Decode all named and numeric character references; ``legacy`` accepts the old names without the semicolon."""
     return apply(_DECODE_TEXT if legacy else _DECODE_ATTRIBUTE, text)
 
 
@@ -106,13 +135,13 @@ def title(markup: Column) -> Column:
 
 
 def visible_text(markup: Column) -> Column:
-    """Page text with a space where tags were."""
-    return decode_entities(F.regexp_replace(markup, TAG, " "))
+    """Page text with a space where tags were; templates have none."""
+    return decode_entities(F.regexp_replace(F.regexp_replace(markup, TEMPLATES, "<!>"), TAG, " "))
 
 
 def visible_length(markup: Column) -> Column:
     """Number of characters of the stripped text pieces between tags."""
-    pieces = F.split(F.regexp_replace(markup, TAG, BOUNDARY), BOUNDARY)
+    pieces = F.split(F.regexp_replace(F.regexp_replace(markup, TEMPLATES, "<!>"), TAG, BOUNDARY), BOUNDARY)
     return F.aggregate(
         pieces, F.lit(0), lambda total, piece: total + F.length(strip(decode_entities(piece)))
     )

@@ -14,7 +14,8 @@ _OBJECT = "map<string,variant>"
 def entries(blocks: Column) -> Column:
     """Objects of all parseable blocks: a block is one object or a list of them.
 
-    Text that is no strict JSON is skipped. So are blocks with duplicate keys or NaN.
+    Text that is no strict JSON, NaN included, is skipped. A repeated key keeps its last value, by the
+    setting that ``session.tune`` makes.
     """
     def of_block(block):
         return let(

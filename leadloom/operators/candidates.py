@@ -120,8 +120,8 @@ def states_from_trail(trail: DataFrame) -> DataFrame:
     )
 
 
-def due_retries(candidates: DataFrame, now: Column, limit: int | None = V.RETRY_BATCH) -> DataFrame:
+def due_retries(candidates: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Candidates to be retried by ``now``, longest due first; ``limit`` None takes all of them."""
     due = candidates.where((F.col("state") == "retry") & (F.col("next_attempt_at") <= now))
-    rows = due.select("candidate_id", "next_attempt_at")
-    return rows.orderBy("next_attempt_at", "candidate_id").limit(limit) if limit is not None else rows
+    rows = due.select("candidate_id", "next_attempt_at").orderBy("next_attempt_at", "candidate_id")
+    return rows.limit(limit) if limit is not None else rows

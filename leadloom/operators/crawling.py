@@ -186,7 +186,7 @@ def upsert_page_cache(page_cache: DataFrame, fetched: DataFrame) -> DataFrame:
     )
     latest = old.unionByName(new).groupBy("url").agg(
         F.max_by(
-            F.struct("content_hash", "status_code", "fetched_at"), F.struct("is_new", "fetched_at", "tie")
+            F.struct("content_hash", "status_code", "fetched_at"), F.struct("fetched_at", "is_new", "tie")
         ).alias("row"),
         F.max("etag").alias("etag"),
         F.max("last_modified").alias("last_modified"),

@@ -34,8 +34,8 @@ def combine_url_sources(*sources: DataFrame) -> DataFrame:
     return first.select("at.source_rank", "at.pos", "url")
 
 
-def import_urls(urls: DataFrame, limit: int | None = V.DISCOVERY_LIMIT, order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """First ``limit`` URLs in input order as discovery rows; 0 or None takes all.
+def import_urls(urls: DataFrame, limit: int | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """URLs in input order as discovery rows: all, or the first ``limit`` (0 takes all too).
 
     Adds to the order columns ``(raw_url, source, name_hint, discovery_metadata)``.
     """

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom import fixed_values as V
 from leadloom.operators.skew import skew_join
 from leadloom.operators.verification import exclude_suppressed
 
-BROADCAST_ROWS = 100_000
 COLUMNS = ("business_id", "contact_id", "email", "verification_status")
 
 
@@ -18,9 +16,9 @@ def eligible_contacts(
     platform: str | None = None,
     state: str | None = None,
     category: str | None = None,
-    limit: int | None = V.EXPORT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Verified emails of the businesses that pass the filters, oldest first up to ``limit``."""
+    """Verified emails of the businesses that pass the filters, the oldest ``limit`` or all."""
     chosen = businesses
     for column, wanted in (("platform", platform), ("state", state), ("category", category)):
         if wanted is not None:
@@ -34,18 +32,14 @@ def eligible_contacts(
     return rows.select(*COLUMNS)
 
 
-def exportable(eligible: DataFrame, suppression: DataFrame | None, limit: int | None = V.EXPORT_LIMIT) -> DataFrame:
-    """Eligible contacts without suppressed ones; the check runs after the limit.
+def exportable(eligible: DataFrame, suppression: DataFrame | None) -> DataFrame:
+    """Eligible contacts without suppressed ones; the check runs after the limit that made ``eligible``.
 
-    ``limit`` is the one the list was cut to. Up to BROADCAST_ROWS the list's emails are broadcast to
-    the suppression table, which then does not shuffle; longer lists meet it in a shuffled join.
+    The join picks its form by size, so the list may be of any length.
     """
     if suppression is None:
         raise ValueError("the suppression table is required")
-    if limit is None or limit > BROADCAST_ROWS:
-        return exclude_suppressed(eligible, suppression, "email").select(*COLUMNS)
-    hits = suppression.select("email").join(F.broadcast(eligible.select("email")), "email", "left_semi").distinct()
-    return eligible.join(F.broadcast(hits), "email", "left_anti").select(*COLUMNS)
+    return exclude_suppressed(eligible, suppression, "email").select(*COLUMNS)
 
 
 def stamp_exported(contacts: DataFrame, exported: DataFrame, now: Column) -> DataFrame:

@@ -20,7 +20,7 @@ from leadloom.session import spread_small
 
 SECTIONS = ("business", "product", "contact", "social", "generator")
 # "platform" adds the platform signals, "page" one row per page that was read, so that everything
-# later jobs need comes from one pass over the page texts.
+# later jobs need comes from one pass over the page texts. "hash" adds the content hash of each page.
 ALL_SECTIONS = SECTIONS + ("platform", "page")
 
 
@@ -185,6 +185,13 @@ def _read_mark() -> Column:
     )
 
 
+def _hash_mark() -> Column:
+    return F.expr(
+        "array(struct('hash' AS section, 0 AS seq, 'content_hash' AS field_name, hash AS field_value,"
+        " CAST(NULL AS STRING) AS extraction_method, CAST(NULL AS DOUBLE) AS confidence))"
+    )
+
+
 def _parts(sections: tuple[str, ...]):
     """Parsed page parts that the sections need, by column name."""
     needed = {
@@ -193,6 +200,7 @@ def _parts(sections: tuple[str, ...]):
         "metas": ({"business", "generator"}, lambda _, markup: _metas(markup)),
         "title": ({"business"}, lambda _, markup: H.title(markup)),
         "text_emails": ({"contact"}, lambda _, markup: H.visible_emails(markup)),
+        "hash": ({"hash"}, lambda raw, _: H.content_hash(raw)),
         "lowered": ({"platform"}, lambda raw, _: F.lower(raw)),
     }
     return [(name, make) for name, (users, make) in needed.items() if users & set(sections)]
@@ -233,6 +241,8 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
             arrays.append(_signals())
         elif section == "page":
             arrays.append(_read_mark())
+        elif section == "hash":
+            arrays.append(_hash_mark())
         else:
             fields = {"business": _business, "product": _product, "generator": _generator}[section]()
             arrays.append(_numbered(section, fields))

@@ -96,15 +96,19 @@ def row_rules(name: str, table: DataFrame) -> list[DataFrame]:
     return [counts.select(F.inline(pairs))]
 
 
-def quality_report(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """``(rule, violations)`` for every rule whose tables are given."""
+def quality_report(tables: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """``(rule, violations)`` for every rule whose tables are given.
+
+    ``added`` holds the new rows of logs: only these need parents, since earlier ones may outlive theirs.
+    """
+    added = added or {}
     parts: list[DataFrame] = []
     for name, keys in UNIQUE:
         if name in tables:
             parts.append(unique_rule(name, tables[name], keys))
     for name, column, parent, key in FOREIGN:
         if name in tables and parent in tables:
-            parts.append(foreign_rule(name, tables[name], column, parent, tables[parent], key))
+            parts.append(foreign_rule(name, added.get(name, tables[name]), column, parent, tables[parent], key))
     for name, table in tables.items():
         parts += row_rules(name, table)
     report = parts[0]

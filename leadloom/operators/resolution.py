@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from leadloom import fixed_values as V
 from leadloom.functions.ids import stable_id
 from leadloom.operators.skew import skew_join
+from leadloom.session import stage
 
 
 def match_score(same_domain: Column, shares_contact: Column) -> Column:
@@ -42,7 +43,7 @@ def match_candidates(
     record_values: DataFrame,
     businesses: DataFrame,
     stored_values: DataFrame,
-    limit: int = V.MATCH_CANDIDATE_LIMIT,
+    limit: int,
 ) -> DataFrame:
     """Up to ``limit`` stored businesses per record: same domain first, then shared contact values.
 
@@ -106,7 +107,8 @@ def resolve(
     values before any record; among equals the smaller id counts.
 
     ``score`` may replace the score of a match; it is an expression over ``same_domain`` and
-    ``shares_contact``.
+    ``shares_contact``. A record may then merge into the business of an earlier record that itself merged
+    elsewhere: targets are followed to the business that stays, which starts jobs.
     """
     scoring = score if score is not None else match_score(F.col("same_domain"), F.col("shares_contact"))
     stored = businesses.select("canonical_domain", F.col("business_id").alias("stored_id"))
@@ -138,7 +140,7 @@ def resolve(
     )
     scored = matched.withColumn("score", scoring)
     counts = F.col("score") >= V.POSSIBLE_DUPLICATE_AT
-    return scored.select(
+    decided = scored.select(
         "canonical_domain",
         "record_order",
         "business_id",
@@ -147,3 +149,24 @@ def resolve(
         F.when(counts, F.col("score")).alias("match_score"),
         _level(F.col("score")).alias("match_level"),
     )
+    return decided if score is None else follow_merges(decided)
+
+
+def follow_merges(resolution: DataFrame) -> DataFrame:
+    """``resolution`` with every target that was itself merged replaced by the business it ended in.
+
+    Each round doubles the length of the chains followed. A chain ends, since targets are earlier records.
+    """
+    moved = stage(resolution.where("action = 'auto_merge' AND target_business_id <> business_id").select(
+        F.col("business_id").alias("merged_id"), F.col("target_business_id").alias("into_id")), "merged")
+    while True:
+        onward = moved.select(F.col("merged_id").alias("into_id"), F.col("into_id").alias("end_id"))
+        further = stage(skew_join(moved, onward, "into_id", "left"), "merged")
+        if further.where("end_id IS NOT NULL").isEmpty():
+            break
+        moved = further.select("merged_id", F.coalesce("end_id", "into_id").alias("into_id"))
+    ends = moved.select(F.col("merged_id").alias("target_business_id"), "into_id")
+    kept = resolution.where("target_business_id IS NULL")
+    followed = skew_join(resolution.where("target_business_id IS NOT NULL"), ends, "target_business_id", "left")
+    return kept.unionByName(followed.withColumn(
+        "target_business_id", F.coalesce("into_id", "target_business_id")).select(*resolution.columns))

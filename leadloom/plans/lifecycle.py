@@ -89,17 +89,18 @@ def apply_records(
     tables: Mapping[str, DataFrame], records: Records, resolved: DataFrame, now: Column
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """Next state of businesses, contacts, socials and candidates, and the evidence to append."""
+    owned_by = merging.owners(resolved)
     changed = {
         "businesses": merging.merge_businesses(tables["businesses"], records.headers, resolved, now),
         "contacts": merging.insert_absent(
-            tables["contacts"], merging.contact_rows(records.contacts, now), ["business_id", "type", "value"]
+            tables["contacts"], merging.contact_rows(records.contacts, now, owned_by), ["business_id", "type", "value"]
         ),
         "social_profiles": merging.insert_absent(
-            tables["social_profiles"], merging.social_rows(records.socials, now), ["business_id", "platform", "url"]
+            tables["social_profiles"], merging.social_rows(records.socials, now, owned_by), ["business_id", "platform", "url"]
         ),
         "candidates": merging.finish_candidates(tables["candidates"], resolved, now),
     }
-    evidence = merging.evidence_rows(records.contacts, records.socials, records.evidence, now)
+    evidence = merging.evidence_rows(records.contacts, records.socials, records.evidence, now, owned_by)
     return {**tables, **changed}, {"evidence": evidence}
 
 
@@ -151,17 +152,17 @@ def export(
     platform: str | None = None,
     state: str | None = None,
     category: str | None = None,
-    limit: int | None = V.EXPORT_LIMIT,
+    limit: int | None = None,
 ) -> tuple[str, DataFrame]:
     """Write the export file, then return its path and the stamped contacts.
 
     A failed write raises before anything is stamped.
     """
     eligible = exporting.eligible_contacts(contacts, businesses, platform, state, category, limit)
-    rows = stage(exporting.exportable(eligible, suppression, limit), "export")
+    rows = stage(exporting.exportable(eligible, suppression), "export")
     path = files.write_export(rows, folder, name, fmt)
     return path, exporting.stamp_exported(contacts, rows, now)
 
 
-def sweep_retries(candidates: DataFrame, now: Column, limit: int | None = V.RETRY_BATCH) -> DataFrame:
+def sweep_retries(candidates: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     return C.due_retries(candidates, now, limit)

@@ -9,7 +9,6 @@ from __future__ import annotations
 import re
 
 from leadloom import fixed_values as V
-from leadloom.functions.contacts import EMAIL_SYNTAX, OTHER_CALLING_CODES
 from leadloom.plans.corpus import EARLIER, NOW, SIGNAL_HTML
 
 LATE_JANUARY = "2024-01-20 12:00:00"
@@ -72,12 +71,18 @@ def stable_id(*parts: str) -> str:
 def decode(text: str, close: str) -> str:
     for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " ")):
         text = sub(text, f"&{entity}{close}", char)
+    # Of other references the pages hold just these.
+    for reference, char in (("eacute;", "é"), ("#0*66;", "B"), ("copy;", "©"), ("middot;", "·")):
+        text = sub(text, f"&{reference}", char)
     return sub(text, f"&amp{close}", "&")
 
 
 def attribute(tag: str, name: str) -> str:
-    raw = "regexp_extract({}, {}, 1)".format(tag, q(rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"))
-    return decode(f"regexp_replace({raw}, {q(r'''(?s)^[\"'](.*)[\"']$''')}, '\\1')", ";")
+    """Value of the first attribute of that name, from the list of all name and value pairs of the tag."""
+    body, pair = f"regexp_replace({tag}, '^<[A-Za-z]+', '')", q(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+    names = f"list_transform(regexp_extract_all({body}, {pair}, 1), lambda n : lower(n))"
+    raw = f"coalesce(regexp_extract_all({body}, {pair}, 2)[nullif(list_position({names}, {q(name)}), 0)], '')"
+    return decode(f"regexp_replace({raw}, {q(r'''(?s)^["'](.*)["']$''')}, '\\1')", ";")
 
 
 def social(url: str, strict: bool = False) -> str:
@@ -92,11 +97,29 @@ def social(url: str, strict: bool = False) -> str:
 def normalize_email(value: str) -> str:
     return (
         f"CASE WHEN length({value}) <= 254 AND length(split_part({value}, '@', 1)) <= 64"
-        f" AND regexp_matches(lower({value}), {q(EMAIL_SYNTAX)})"
-        f" AND NOT regexp_matches(lower({value}), {q(r'\.(?:test|invalid|localhost|local)$')}) THEN lower({value}) END"
+        f" AND len(string_split({value}, '@')) = 2 AND NOT contains({value}, '..')"
+        f" AND regexp_matches(lower({value}), {q(EMAIL_PARTS)}) AND NOT regexp_matches({value}, {q(EDGES)})"
+        f" AND split_part(lower({value}), '.', -1) NOT IN ('alt', 'arpa', 'invalid', 'local', 'localhost', 'onion', 'test')"
+        f" THEN lower({value}) END"
     )
 
 
+# An address by what its characters may be and what may not stand at the edges of its parts.
+EMAIL_PARTS = r"^[\w.!#$%&'*+/=?^`{|}~-]+@[a-z0-9.-]+[.](?:[a-z]{2,63}|xn--[a-z0-9-]{0,58}[a-z0-9])$"
+EDGES = r"^[.]|[.]@|@[.-]|-[.]|[.]-|@.*[^.@]{64}"
+# Calling codes in use other than 1: the two-digit ones, and the three-digit ones by their first two digits.
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+THREE_DIGITS = {
+    21: "123 68", 22: "0123456789", 23: "0123456789", 24: "0123456789", 25: "012345678", 26: "0123456789", 29: "01 789",
+    35: "0123456789", 37: "0123456789", 38: "0123 567 9", 42: "01 3", 50: "0123456789", 59: "0123456789",
+    67: "0 23456789", 68: "0123 56789", 69: "012", 80: "0 8", 85: "0 23 56", 87: "0 8", 88: "0123 6 8", 96: "012345678",
+    97: "01234567 9", 99: "23456 8",
+}
+CALLING = "7|" + "|".join(TWO_DIGITS.split()) + "|" + "|".join(
+    f"{start}{d}" for start, digits in THREE_DIGITS.items() for d in digits.replace(" ", ""))
+SERVICES = "500 522 533 544 566 577 588 600 622 633 700 800 833 844 855 866 877 888 900"
+
+
 def normalize_phone(value: str) -> str:
     bare = sub(
         f"regexp_extract({trim(f'lower({value})')}, {q('(?s)[+(0-9].*$')}, 0)",
@@ -108,8 +131,9 @@ def normalize_phone(value: str) -> str:
     )
     return (
         f"(SELECT CASE WHEN n NOT LIKE '+%' OR n LIKE '+1%' THEN"
-        f" CASE WHEN ten <> '' AND NOT regexp_matches(substr(ten, 1, 3), '^(?:.11|555)$') THEN '+1' || ten END"
-        f" WHEN regexp_matches(n, {q(rf'^\+(?:{OTHER_CALLING_CODES})[0-9]{{4,}}$')}) AND length(n) BETWEEN 9 AND 16 THEN n END"
+        f" CASE WHEN ten <> '' AND substr(ten, 1, 2) NOT IN ('37', '96') AND"
+        f" (substr(ten, 2, 1) <> substr(ten, 3, 1) OR list_contains(string_split('{SERVICES}', ' '), substr(ten, 1, 3))) THEN '+1' || ten END"
+        f" WHEN regexp_matches(n, {q(rf'^\+(?:{CALLING})[0-9]{{4,}}$')}) AND length(n) BETWEEN 9 AND 16 THEN n END"
         f" FROM (SELECT n, regexp_extract(n, '^(?:\\+?1)?([2-9][0-8][0-9][2-9][0-9]{{6}})$', 1) AS ten"
         f" FROM (SELECT CASE WHEN b LIKE '+%' OR b LIKE '(+%' THEN '+' || d ELSE regexp_replace(d, '^011', '+') END AS n"
         f" FROM (SELECT b, {sub(keyed, '[^0-9]')} AS d FROM (SELECT {bare} AS b)))))"
@@ -132,8 +156,8 @@ def strings_at(entry: str, key: str) -> str:
 
 HIDDEN = (
     r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
-    r"|<template\b.*?(?:</template\s*>|\z)"
 )
+TEMPLATE = r"(?is)<template\b.*?(?:</template\s*>|\z)"
 SCRIPTS = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)"
 TAG = r"(?s)</?[A-Za-z!?][^>]*(?:>|\z)"
 
@@ -186,7 +210,7 @@ FROM page, unnest(regexp_extract_all(markup, '(?is)<meta\\s[^>]*')) WITH ORDINAL
     "title": f"SELECT page_seq, canonical_domain, url, {trim(decode('regexp_extract(markup, ' + q('(?is)<title[^>]*>(.*?)</title') + ', 1)', ';?'))} AS title FROM page",
     "text_email": f"""
 SELECT page_seq, canonical_domain, url, pos, email
-FROM page, unnest(regexp_extract_all({decode(sub('markup', TAG, ' '), ';?')}, {q(V.TEXT_EMAIL)})) WITH ORDINALITY AS t(email, pos)""",
+FROM page, unnest(regexp_extract_all({decode(sub(sub('markup', TEMPLATE, '<!>'), TAG, ' '), ';?')}, {q(V.TEXT_EMAIL)})) WITH ORDINALITY AS t(email, pos)""",
     # JSON-LD
     "block": f"""
 SELECT page_seq, canonical_domain, url, pos AS block, {sub('script', '(?is)^<script[^>]*>|</script\\s*>$')} AS body
@@ -308,7 +332,7 @@ SELECT canonical_domain, page_seq // 60 AS crawl_no, page_seq, url, {page_type(p
        CASE WHEN visible_length < 50 THEN 'browser' ELSE 'http' END AS fetched_via,
        CAST(CASE WHEN page_seq % 10 <= 4 THEN 200 ELSE CASE page_seq % 10 WHEN 5 THEN 304 WHEN 6 THEN 403 WHEN 7 THEN 429 WHEN 8 THEN 500 END END AS INTEGER) AS code,
        page_seq % 10 <= 5 AS ok, sha256(html) AS content_hash, {earlier} + INTERVAL (page_seq) MINUTE AS fetched_at
-FROM (SELECT *, list_sum(list_transform(string_split({sub('markup', TAG, chr(1))}, chr(1)), lambda s : length({trim(decode('s', ';?'))}))) AS visible_length FROM page)""",
+FROM (SELECT *, list_sum(list_transform(string_split({sub(sub('markup', TEMPLATE, '<!>'), TAG, chr(1))}, chr(1)), lambda s : length({trim(decode('s', ';?'))}))) AS visible_length FROM page)""",
     "run": f"""
 SELECT {stable_id('canonical_domain', 'crawl_no')} AS crawl_run_id, {stable_id('canonical_domain')} AS candidate_id, started_at, completed_at,
        CASE home WHEN 9 THEN 'timeout' WHEN 6 THEN 'blocked' WHEN 7 THEN 'blocked' WHEN 8 THEN 'failed' ELSE CASE WHEN readable THEN 'success' ELSE 'failed' END END AS status,
@@ -474,7 +498,7 @@ SELECT page_seq, p.canonical_domain, url FROM raw p LEFT JOIN (
 USING (page_seq) WHERE coalesce(allow, TRUE)""",
     "thin_pages": f"""
 SELECT page_seq, url, CAST(n AS INTEGER) AS visible_length, n < 50 AS is_thin FROM (
-  SELECT page_seq, url, list_sum(list_transform(string_split({sub(sub('html', HIDDEN, '<!>'), TAG, chr(1))}, chr(1)), lambda s : length({trim(decode('s', ';?'))}))) AS n FROM raw)""",
+  SELECT page_seq, url, list_sum(list_transform(string_split({sub(sub(sub('html', HIDDEN, '<!>'), TEMPLATE, '<!>'), TAG, chr(1))}, chr(1)), lambda s : length({trim(decode('s', ';?'))}))) AS n FROM raw)""",
     "changed_pages": f"""
 SELECT s.page_seq, s.url, sha256(html) AS content_hash, {path('s.url')} IN ('', '/') AS is_homepage,
        c.content_hash IS NOT NULL AND c.content_hash = sha256(html) AND {path('s.url')} NOT IN ('', '/') AS from_cache
@@ -555,7 +579,7 @@ SELECT count(*) FILTER (WHERE outcome = 'verified') AS verified, count(*) FILTER
     "contacts_after_verification": """
 SELECT c.contact_id, c.business_id, c.type, c.value, CASE WHEN k.contact_id IS NULL THEN c.verification_status ELSE new_status END AS verification_status,
        CAST(c.verification_attempts + CASE WHEN k.contact_id IS NULL OR suppressed THEN 0 ELSE 1 END AS INTEGER) AS verification_attempts FROM ctable c LEFT JOIN checked k USING (contact_id)""",
-    "eligible_contacts": "SELECT business_id, contact_id, value AS email, verification_status FROM stored_email WHERE platform = 'shopify' AND state = 'TX'",
+    "eligible_contacts": "SELECT business_id, contact_id, value AS email, verification_status FROM stored_email WHERE platform = 'shopify' AND state = 'VK'",
     "export_stamped": f"""
 SELECT contact_id, type, value, CASE WHEN contact_id IN (SELECT contact_id FROM (SELECT contact_id, value FROM stored_email ORDER BY contact_id LIMIT 500) WHERE value NOT IN (SELECT email FROM suppressed)) THEN {now} END AS last_exported_at FROM ctable""",
     "business_listing": f"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from leadloom import schemas
+from leadloom import fixed_values as V, schemas
 from leadloom.functions import contacts as FC, urls as U
 from leadloom.operators import (
     browsing, candidates, crawling, detection, discovery, exporting, extraction, merging, normalization, quality,
@@ -16,7 +16,7 @@ from leadloom.operators import (
 from leadloom.functions.ids import stable_id
 from leadloom.plans import corpus, lifecycle
 from leadloom.plans.corpus import earlier, now
-from leadloom.session import shared_dir, stage
+from leadloom.session import shared_dir, stage, tune
 from leadloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,7 +90,7 @@ def url_list_parse(spark, sf_dir):
 def import_limited(spark, sf_dir):
     """The first hundred pages as a discovery batch: the import limit is the feature."""
     urls = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
-    return discovery.import_urls(urls).select("pos", "raw_url", "source")
+    return discovery.import_urls(urls, V.DISCOVERY_LIMIT).select("pos", "raw_url", "source")
 
 
 @query
@@ -319,7 +319,8 @@ def match_pairs(spark, sf_dir):
     businesses = corpus.known_businesses(spark, sf_dir)
     stored = resolution.stored_contact_values(businesses, corpus.known_contacts(spark, sf_dir))
     return resolution.match_candidates(
-        corpus.page_domains(spark, sf_dir), lifecycle.contact_values(contacts), businesses, stored
+        corpus.page_domains(spark, sf_dir), lifecycle.contact_values(contacts), businesses, stored,
+        V.MATCH_CANDIDATE_LIMIT,
     )
 
 
@@ -476,7 +477,7 @@ def retry_due(spark, sf_dir):
 @query
 def retry_batch(spark, sf_dir):
     """The hundred longest due: the batch limit is the feature."""
-    return lifecycle.sweep_retries(_states(spark, sf_dir), now())
+    return lifecycle.sweep_retries(_states(spark, sf_dir), now(), V.RETRY_BATCH)
 
 
 # --- verification --------------------------------------------------------------------------------------
@@ -540,16 +541,16 @@ def _export_inputs(spark, sf_dir):
 
 @query
 def eligible_contacts(spark, sf_dir):
-    """Verified emails of Texan businesses on one platform."""
+    """Verified emails of the businesses of one state on one platform."""
     _, contacts, businesses = _export_inputs(spark, sf_dir)
-    return exporting.eligible_contacts(contacts, businesses, platform="shopify", state="TX", limit=None)
+    return exporting.eligible_contacts(contacts, businesses, platform="shopify", state="VK", limit=None)
 
 
 @query
 def export_stamped(spark, sf_dir):
-    """The default export batch, suppression after its limit, and the contacts it stamps."""
+    """The usual export batch, suppression after its limit, and the contacts it stamps."""
     observed, contacts, businesses = _export_inputs(spark, sf_dir)
-    eligible = exporting.eligible_contacts(contacts, businesses)
+    eligible = exporting.eligible_contacts(contacts, businesses, limit=V.EXPORT_LIMIT)
     rows = stage(exporting.exportable(eligible, corpus.suppression_list(observed)), "export")
     return exporting.stamp_exported(contacts, rows, now()).select("contact_id", "type", "value", "last_exported_at")
 
@@ -661,7 +662,7 @@ def surviving_contacts(spark, sf_dir):
 
 @query
 def stream_discover(spark, sf_dir):
-    corpus.table(spark, sf_dir, "pages")
+    tune(spark)
     work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     pages = ingest.page_stream(spark, sf_dir, glob="pages.parquet")
     ingest.start_discovery(pages, f"{work}/domains", f"{work}/checkpoint").awaitTermination()
@@ -671,7 +672,7 @@ def stream_discover(spark, sf_dir):
 @query
 def stream_pages(spark, sf_dir):
     """Observations of the stored pages as a stream writes them."""
-    corpus.table(spark, sf_dir, "pages")
+    tune(spark)
     work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     pages = ingest.page_stream(spark, sf_dir, glob="pages.parquet")
     ingest.start_ingest(pages, f"{work}/observations", f"{work}/cache", f"{work}/checkpoint", earlier).awaitTermination()

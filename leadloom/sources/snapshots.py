@@ -27,22 +27,30 @@ def versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
 
 
-def _paths(root: str, name: str, known: list[int], chosen: int) -> list[str]:
-    """Directories of a table at a version: its own, or for a log those of all versions up to it."""
-    wanted = [v for v in known if v <= chosen] if name in schemas.LOGS else [chosen]
-    return [f"{root}/v={v}/{name}" for v in wanted]
+def _manifest(spark: SparkSession, root: str, version: int) -> dict[str, list[int]]:
+    """The versions whose folders hold each table at ``version``: one for a table, any number for a log."""
+    rows = spark.read.schema("name string, version int").parquet(f"{root}/v={version}/manifest").collect()
+    held: dict[str, list[int]] = {}
+    for row in rows:  # one row per table, and per version that added to a log
+        held.setdefault(row.name, []).append(row.version)
+    return held
+
+
+def _read(spark: SparkSession, root: str, name: str, held: list[int]) -> DataFrame:
+    if not held:
+        return spark.createDataFrame([], schemas.TABLES[name])
+    return spark.read.schema(schemas.TABLES[name]).parquet(*[f"{root}/v={v}/{name}" for v in sorted(held)])
 
 
 def read(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
-    """Tables of a version, the newest by default; empty tables before the first one."""
+    """Tables of a version, the newest by default; empty tables before the first one.
+
+    Log rows may outlive the rows they refer to; ``merging.drop_orphans`` leaves those out.
+    """
     known = versions(spark, root)
-    if not known:
-        return {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
-    chosen = known[-1] if version is None else version
-    return {
-        name: spark.read.schema(schema).parquet(*_paths(root, name, known, chosen))
-        for name, schema in schemas.TABLES.items()
-    }
+    chosen = version if version is not None else known[-1] if known else None
+    held = _manifest(spark, root, chosen) if chosen is not None else {}
+    return {name: _read(spark, root, name, held.get(name, [])) for name in schemas.TABLES}
 
 
 def publish(
@@ -50,30 +58,47 @@ def publish(
 ) -> int:
     """Write the next version; all of it becomes visible or none does.
 
-    ``tables`` holds the next state of every table that is no log; they are rewritten, as plain Parquet
-    needs. ``logs`` holds the rows to append to logs; what is already there is not touched. The rules
-    run over the written files, so what is checked is what is published. Object stores without an
-    atomic directory rename need a table format with commits instead.
+    ``tables`` holds the next state of the tables that changed. A table that is not given, or is the very
+    one that ``read`` returned, stays where it is: a manifest points each version to the folders it uses.
+    ``logs`` holds the rows to append to logs; what is already there is not touched. The rules run over the written files, so what is checked is what is published.
+    Object stores without an atomic directory rename need a table format with commits instead.
     """
     logs = logs or {}
     known = versions(spark, root)
     version = (known or [0])[-1] + 1
+    held = _manifest(spark, root, known[-1]) if known else {}
     staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    fresh = []
     for name, schema in schemas.TABLES.items():
-        if name in schemas.LOGS:
-            rows = logs[name] if name in logs else spark.createDataFrame([], schema)
-        else:
-            rows = tables[name]
-        schemas.conform(rows, schema).write.parquet(f"{staging}/{name}")
-
-    def written(name):
+        rows = logs.get(name) if name in schemas.LOGS else tables.get(name)
+        if rows is not None and name not in schemas.LOGS and held.get(name):
+            if rows.sameSemantics(_read(spark, root, name, held[name])):
+                rows = None
+        if rows is not None:
+            schemas.conform(rows, schema).write.parquet(f"{staging}/{name}")
+            fresh.append(name)
+
+    def written(name: str) -> DataFrame:
+        return spark.read.schema(schemas.TABLES[name]).parquet(f"{staging}/{name}")
+
+    def current(name: str) -> DataFrame:
+        earlier = _read(spark, root, name, held.get(name, []))
+        if name not in fresh:
+            return earlier
         # Runs are looked at whole, as keys and as parents; of other logs only the new rows are.
-        earlier = _paths(root, name, known, version) if name == "crawl_runs" else []
-        return spark.read.schema(schemas.TABLES[name]).parquet(*earlier, f"{staging}/{name}")
+        return earlier.unionByName(written(name)) if name == "crawl_runs" else written(name)
 
-    report = quality_report({name: written(name) for name in schemas.TABLES})
+    nothing = {name: spark.createDataFrame([], schemas.TABLES[name]) for name in schemas.LOGS}
+    checked = {n: current(n) if n in fresh or n not in schemas.LOGS or n == "crawl_runs" else nothing[n] for n in schemas.TABLES}
+    added = {name: written(name) if name in fresh else nothing[name] for name in schemas.LOGS}
+    report = quality_report(checked, added)
     broken = report.where(F.col("violations") > 0).collect()  # at most one row per rule
     if broken:
         raise QualityError("; ".join(f"{r.rule}: {r.violations}" for r in broken))
+    for name in schemas.TABLES:
+        if name in fresh:
+            held[name] = [*held.get(name, []), version] if name in schemas.LOGS else [version]
+    pairs = [(name, v) for name, vs in held.items() for v in vs]
+    spark.createDataFrame(pairs, "name string, version int").coalesce(1).write.parquet(f"{staging}/manifest")
     rename(spark, staging, f"{root}/v={version}")
     return version

@@ -11,7 +11,7 @@ from leadloom import schemas
 from leadloom.functions.html import content_hash
 from leadloom.functions.urls import canonical_domain
 from leadloom.operators.crawling import upsert_page_cache
-from leadloom.operators.extraction import observations
+from leadloom.operators.extraction import SECTIONS, observations
 
 
 def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -28,8 +28,7 @@ def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files
 def new_domains(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Every domain once over the life of the stream, without those in ``known(canonical_domain)``.
 
-    The state holds one entry per domain and no page text; keep it in the RocksDB state store on a
-    cluster.
+    The state holds one entry per domain and no page text, in the RocksDB store that ``session.tune`` sets.
     """
     domains = stream.select(canonical_domain(F.col("url")).alias("canonical_domain")).where(
         F.col("canonical_domain") != ""
@@ -53,10 +52,13 @@ def start_discovery(
 
 def _observation_batch(out: str, cache: str, fetched_at: Callable[[], Column]):
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Paths name the batch, so a batch repeated after a failure overwrites itself.
-        observations(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        fetched = batch.select(
-            "page_seq", "url", content_hash(F.col("raw_html")).alias("content_hash"),
+        # Paths name the batch, so a batch repeated after a failure overwrites itself. Page texts are read
+        # once: their hashes are written along with the observations, and the cache comes from those.
+        path = f"{out}/batch={batch_id}"
+        observations(batch, (*SECTIONS, "hash")).write.mode("overwrite").parquet(path)
+        written = batch.sparkSession.read.schema(schemas.OBSERVATIONS).parquet(path)
+        fetched = written.where("section = 'hash'").select(
+            "page_seq", F.col("source_url").alias("url"), F.col("field_value").alias("content_hash"),
             F.lit(200).alias("http_status_code"), fetched_at().alias("fetched_at"),
         )
         nothing = batch.sparkSession.createDataFrame([], schemas.PAGE_CACHE)
@@ -82,12 +84,25 @@ def start_ingest(
 
 
 def read_observations(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema(schemas.OBSERVATIONS).parquet(f"{out}/batch=*")
+    return spark.read.schema(schemas.OBSERVATIONS).parquet(f"{out}/batch=*").where("section <> 'hash'")
 
 
 def read_page_cache(spark: SparkSession, cache: str, base: DataFrame | None = None) -> DataFrame:
-    """Current page cache: the changes of all batches over ``base``, the newest fetch per URL."""
-    changes = spark.read.schema(schemas.PAGE_CACHE).parquet(f"{cache}/batch=*")
+    """Current page cache: the changes of all batches over ``base``, the newest fetch per URL.
+
+    Of equal times the later batch counts.
+    """
     known = spark.createDataFrame([], schemas.PAGE_CACHE) if base is None else base
-    fetched = changes.withColumns({"http_status_code": F.col("status_code"), "page_seq": F.lit(0).cast("long")})
+    with_batch = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.PAGE_CACHE.fields) + ", batch long"
+    changes = spark.read.schema(with_batch).option("basePath", cache).parquet(f"{cache}/batch=*")
+    fetched = changes.withColumns({"http_status_code": F.col("status_code"), "page_seq": F.col("batch")})
     return upsert_page_cache(known, fetched)
+
+
+def compact_page_cache(spark: SparkSession, cache: str, base: str) -> DataFrame:
+    """Write the current page cache to ``base``, a folder of its own, and return it.
+
+    Later reads pass it as ``base`` and need only the batches written since.
+    """
+    read_page_cache(spark, cache).write.mode("overwrite").parquet(base)
+    return spark.read.schema(schemas.PAGE_CACHE).parquet(base)

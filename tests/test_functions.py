@@ -122,3 +122,40 @@ def test_backoff_is_clamped(spark):
 def test_ids_depend_on_the_key_alone(value):
     a, b, again = value(ids.stable_id, "a", "b", "a")
     assert a == again != b and 0 <= a < 2**63
+
+
+def test_attributes_are_read_in_order_and_whole(value):
+    cases = {
+        '<a title="see href=foo now" href="/real">': ["/real"], '<a class="x"href="/tight">': ["/tight"], "<a/href='/slash'>": ["/slash"],
+        "<a " + 'data-x="v" ' * 70 + 'href="/contact">': ["/contact"], '<template><a href="/t">x</a></template>': ["/t"],
+        "<a HREF = /q?x=1 class=y>": ["/q?x=1"], "<a href><a href=''>": [], '<a href="/caf&eacute;&amp;b">': ["/café&b"],
+    }
+    assert value(lambda c: html.links(html.visible_markup(c)), *cases) == list(cases.values())
+
+
+def test_references_decode_as_the_standard_library_does(value):
+    import html as standard
+
+    texts = ["Caf&eacute; &rsquo;&ndash;&copy; &#0000000066; &#x41;&#xD800; &#99999999; &#150;", "&notit; &not x &amp;lt; a&b &bogus; &",
+             "&#0; &AMP; &ngE; &hellip;&lt", "&", "", "&&amp;&#38;amp;"]
+    assert value(html.decode_entities, *texts) == [standard.unescape(t) for t in texts]
+    many = "".join(f"&#{i + 200};x" for i in range(20_000))
+    assert value(html.decode_entities, many) == [standard.unescape(many)]
+
+
+def test_addresses_of_any_script_and_reserved_names(value):
+    cases = {"a@b.xn--p1ai": "a@b.xn--p1ai", "user@m\u00fcnchen.de": "user@m\u00fcnchen.de", "J\u00f6rg@Firma.de": "j\u00f6rg@firma.de",
+             "x@foo.onion": None, "x@foo.local": None, "a..b@c.com": None}
+    assert value(contacts.normalize_email, *cases) == list(cases.values())
+
+
+def test_area_codes_by_rule(value):
+    cases = {"222 456 1111": None, "200 456 1111": None, "370 456 1111": None, "800 456 1111": "+18004561111", "212 456 1111": "+12124561111"}
+    assert value(contacts.normalize_phone, *cases) == list(cases.values())
+
+
+def test_repeated_json_keys_keep_the_last_value(value):
+    from leadloom.functions import json_ld
+
+    fields = value(lambda c: json_ld.fields(json_ld.entries(F.array(c))), '{"name":"A","name":"B","email":"x@a.com"}')[0]
+    assert [(f.field_name, f.field_value) for f in fields] == [("name", "B"), ("email", "x@a.com")]

@@ -277,7 +277,7 @@ def test_suppression_comes_after_the_limit(spark):
     businesses = make(spark, schemas.BUSINESSES, *[business(i) for i in range(3)])
     eligible = exporting.eligible_contacts(contacts, businesses, limit=2)
     stop = spark.createDataFrame([("0@a.com",)], "email string")
-    assert [r.contact_id for r in exporting.exportable(eligible, stop, 2).collect()] == [1]
+    assert [r.contact_id for r in exporting.exportable(eligible, stop).collect()] == [1]
 
 
 # --- browsing, quality, snapshots ---------------------------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leadloom import schemas
 from leadloom.functions.ids import stable_id
-from leadloom.operators import merging, resolution, validation
+from leadloom.operators import crawling, merging, resolution, validation
 from leadloom.plans import lifecycle
 from leadloom.sources import snapshots
 
@@ -191,3 +191,71 @@ def test_crawl_logs_grow_and_the_cache_is_replaced(spark, tmp_path):
     assert [r.content_hash for r in tables["page_cache"].collect()] == ["h2"]
     with pytest.raises(snapshots.QualityError, match="unique crawl_runs"):
         snapshots.publish(spark, root, *lifecycle.record_crawls(tables, log, now()))
+
+
+def test_records_merged_by_score_share_their_target(spark):
+    html = '<title>{0}</title><a href="mailto:both@a.com">m</a><a href="mailto:own@{0}.com">o</a><a href="https://facebook.com/{0}">f</a>'
+    pages = spark.createDataFrame([(i, f"https://{d}.com/", html.format(d)) for i, d in enumerate("abc")], "page_seq long, url string, raw_html string")
+    urls = spark.createDataFrame([(i, f"{d}.com") for i, d in enumerate("abc")], "pos long, url string")
+    tables = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
+    tables["candidates"] = lifecycle.discover(urls, tables["candidates"], now())
+    records = lifecycle.normalize(lifecycle.extract(pages))
+    stored = resolution.stored_contact_values(tables["businesses"], tables["contacts"])
+    lenient = F.when(F.col("shares_contact"), 0.99).otherwise(0.0)
+    resolved = resolution.resolve(
+        records.headers, lifecycle.contact_values(records.contacts), tables["businesses"], stored, score=lenient)
+    after, logs = lifecycle.apply_records(tables, records, resolved, now())
+    business = after["businesses"].collect()
+    assert [(b.canonical_domain, b.name) for b in business] == [("a.com", "a")]
+    only = {business[0].business_id}
+    assert {r.business_id for r in after["contacts"].collect()} == only and after["contacts"].count() == 4
+    assert {r.business_id for r in after["social_profiles"].collect()} == only and after["social_profiles"].count() == 3
+    assert {r.business_id for r in logs["evidence"].collect()} == only
+    assert {(r.state, r.business_id) for r in after["candidates"].collect()} == {("success", business[0].business_id)}
+
+
+def test_chains_of_merges_end_where_a_business_stays(spark):
+    rows = [(f"r{i}", i, i, "auto_merge", i - 1, 0.99, "strong") for i in range(1, 9)] + [("r0", 0, 0, "create_new", None, None, None)]
+    df = spark.createDataFrame(rows, "canonical_domain string, record_order long, business_id long, action string, "
+                               "target_business_id long, match_score double, match_level string")
+    got = {r.canonical_domain: r.target_business_id for r in resolution.follow_merges(df).collect()}
+    assert got == {f"r{i}": 0 for i in range(1, 9)} | {"r0": None}
+
+
+def test_two_records_fill_one_target_in_order(spark):
+    stored = stored_business(spark, name=None)
+    records = spark.createDataFrame([("c.com", "Late", "Oslo", None, None), ("b.com", "Early", None, None, None)], RECORD)
+    resolved = spark.createDataFrame([("b.com", 2, "auto_merge", 1, 0.99, 0), ("c.com", 3, "auto_merge", 1, 0.99, 1)], RESOLUTION + ", record_order long")
+    rows = merging.merge_businesses(stored, records, resolved, now()).collect()
+    assert [(r.business_id, r.name, r.city) for r in rows] == [(1, "Early", "Oslo")]
+
+
+def test_unknown_actions_are_refused(spark):
+    resolved = spark.createDataFrame([("a.com", 5, "bogus", None, None)], RESOLUTION)
+    records = spark.createDataFrame([("a.com", "X", "Y", "wix", 0.95)], RECORD)
+    with pytest.raises(Exception, match="unknown resolution action bogus"):
+        merging.merge_businesses(stored_business(spark).limit(0), records, resolved, now()).collect()
+
+
+def test_unchanged_tables_stay_and_logs_outlive_their_parents(spark, tmp_path):
+    root = str(tmp_path / "snapshots")
+    tables = snapshots.read(spark, root)
+    tables["candidates"] = lifecycle.discover(spark.createDataFrame([(0, "a.com"), (1, "b.com")], "pos long, url string"), tables["candidates"], now())
+    schema = ("canonical_domain string, crawl_no long, page_seq long, url string, page_type string, fetched_via string, "
+              "http_status_code int, is_timeout boolean, content_hash string, has_body boolean, from_cache boolean, fetched_at timestamp")
+    log = spark.createDataFrame([(d, 1, i, f"https://{d}/", "homepage", "http", 200, False, "h", True, False, datetime(2024, 6, 1)) for i, d in enumerate(("a.com", "b.com"))], schema)
+    snapshots.publish(spark, root, *lifecycle.record_crawls(tables, log, now()))
+    tables = snapshots.read(spark, root)
+    files = {name: sorted(tables[name].inputFiles()) for name in tables}
+    snapshots.publish(spark, root, {**tables, "candidates": tables["candidates"].where("canonical_domain = 'a.com'")})
+    tables = snapshots.read(spark, root)
+    assert sorted(tables["page_cache"].inputFiles()) == files["page_cache"] and sorted(tables["candidates"].inputFiles()) != files["candidates"]
+    assert [r.canonical_domain for r in tables["candidates"].collect()] == ["a.com"] and tables["crawl_runs"].count() == 2
+    assert merging.drop_orphans(tables["crawl_runs"], tables["candidates"], "candidate_id").count() == 1
+    assert snapshots.publish(spark, root, {}) == 3 and snapshots.read(spark, root, 1)["candidates"].count() == 2
+
+
+def test_an_older_fetch_does_not_replace_a_newer_row(spark):
+    cache = spark.createDataFrame([("u", "may", 200, "e", None, datetime(2024, 5, 1))], schemas.PAGE_CACHE)
+    fetched = lambda *t: spark.createDataFrame([(0, "u", "new", 200, datetime(*t))], "page_seq long, url string, content_hash string, http_status_code int, fetched_at timestamp")
+    assert [crawling.upsert_page_cache(cache, fetched(2024, m, 1)).first().content_hash for m in (1, 5, 6)] == ["may", "new", "new"]
