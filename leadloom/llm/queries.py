@@ -82,4 +82,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Check SQL by query name, for those that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_embedding_duplicates": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x : x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.95),
+reached AS (
+  SELECT vec_id AS x, vec_id AS y FROM usable
+  UNION SELECT reached.x, links.y FROM reached JOIN links ON reached.y = links.x),
+counted AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+named AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN counted ON vec_id = counted.x LEFT JOIN named ON vec_id = named.x""",
+    "op4_near_duplicates": """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i : array_to_string(w[i : i + 4], ' '))) AS s
+  FROM words WHERE len(w) > 0),
+classes AS (SELECT min(doc_id) AS doc_id, list_sort(s) AS s, len(s) AS n FROM sets GROUP BY list_sort(s), len(s)),
+shingle AS (SELECT doc_id, n, unnest(s) AS g FROM classes),
+frequency AS (SELECT g, count(*) AS f FROM shingle GROUP BY g HAVING count(*) > 1),
+ranked AS (
+  SELECT doc_id, n, shingle.g, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(f, 1), shingle.g) AS place
+  FROM shingle LEFT JOIN frequency ON shingle.g = frequency.g),
+-- Sets alike to 0.8 share one of their rarest shingles, of which a fifth and one are enough to look at.
+rare AS (SELECT doc_id, n, g FROM ranked WHERE place <= n - ceil(0.8 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id < b.doc_id
+          WHERE least(a.n, b.n) >= 0.8 * greatest(a.n, b.n)),
+alike AS (
+  SELECT x, y FROM pairs JOIN classes a ON a.doc_id = x JOIN classes b ON b.doc_id = y
+  WHERE len(list_intersect(a.s, b.s)) >= 0.8 * (a.n + b.n - len(list_intersect(a.s, b.s)))),
+both_ways AS (SELECT x, y FROM alike UNION ALL SELECT y, x FROM alike),
+reached AS (
+  SELECT doc_id AS x, doc_id AS y FROM classes
+  UNION SELECT reached.x, both_ways.y FROM reached JOIN both_ways ON reached.y = both_ways.x),
+named AS (SELECT x, min(y) AS class_id FROM reached GROUP BY x)
+SELECT documents.doc_id, coalesce(class_id, documents.doc_id) AS class_id
+FROM documents LEFT JOIN sets ON sets.doc_id = documents.doc_id
+LEFT JOIN classes ON classes.s = list_sort(sets.s) LEFT JOIN named ON named.x = classes.doc_id""",
+}
