@@ -109,10 +109,26 @@ def filter_overview(
 
 
 def page_of(rows: DataFrame, page: int, per_page: int = 50, order: str = "business_id") -> DataFrame:
-    """One page of a list, numbered from 1; use ``rows.count()`` for the total."""
+    """One page of a list, numbered from 1, for lists of few pages: all pages before it are sorted too."""
     return rows.orderBy(order).offset((page - 1) * per_page).limit(per_page)
 
 
+def overview_page(
+    businesses: DataFrame, contacts: DataFrame, socials: DataFrame, after: int | None = None, per_page: int = 50
+) -> DataFrame:
+    """The ``per_page`` businesses after id ``after`` with their counts, and the ``total`` of all businesses.
+
+    The page is cut first, so only its own contacts and socials are counted, and a late page costs what the
+    first one does.
+    """
+    chosen = businesses if after is None else businesses.where(F.col("business_id") > after)
+    page = chosen.orderBy("business_id").limit(per_page)
+    ids = F.broadcast(page.select("business_id"))  # a page of ids
+    own = business_overview(page, contacts.join(ids, "business_id", "left_semi"), socials.join(ids, "business_id", "left_semi"))
+    total = businesses.agg(F.count(F.lit(1)).alias("total"))
+    return own.withColumn("total", total.scalar())
+
+
 def dashboard(overview: DataFrame) -> DataFrame:
     """One row of tiles over the business overview."""
     waiting = F.col("emails_unverified") + F.col("emails_pending")

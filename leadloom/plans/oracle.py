@@ -588,7 +588,21 @@ UNION ALL SELECT business_id, 1, contact_id, type, value, coalesce(nullif(verifi
 UNION ALL SELECT business_id, 2, social_id, platform, url, '', CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url END FROM social_row""",
     "business_overview": "SELECT * FROM overview",
     "filtered_overview": "SELECT * FROM overview WHERE (contains(canonical_domain, 'example.com') OR contains(lower(coalesce(name, '')), 'example.com')) AND emails_verified > 0 AND merge_status <> 'possible_duplicate'",
-    "paged_list": _at_most(50, "business_id", "overview", "business_id, canonical_domain, name, platform"),
+    "paged_list": "SELECT *, (SELECT count(*) FROM overview) AS total FROM ("
+    + _at_most(50, "business_id", "overview", "business_id, canonical_domain, name, platform") + ")",
+    "published_tables": """
+SELECT 'businesses' AS name, count(*) AS n FROM domains
+UNION ALL SELECT 'candidates', count(*) FROM domains WHERE canonical_domain <> ''
+UNION ALL SELECT 'contacts', count(*) FROM (SELECT DISTINCT canonical_domain, field_name, field_value FROM norm)
+UNION ALL SELECT 'social_profiles', count(*) FROM (SELECT DISTINCT canonical_domain, field_name, field_value FROM social)
+UNION ALL SELECT 'evidence', 2 * ((SELECT count(*) FROM norm) + (SELECT count(*) FROM social) + (SELECT count(*) FROM platform_rows))""",
+    "export_file": """
+SELECT contact_id, value AS email FROM (SELECT contact_id, value FROM stored_email ORDER BY contact_id LIMIT 20)
+WHERE value NOT IN (SELECT email FROM suppressed)""",
+    "crawl_pages_by_day": "SELECT CAST(fetched_at AS DATE) AS day, count(*) AS n FROM crawl_page GROUP BY 1",
+    "stream_page_cache": f"""
+SELECT url, sha256(html) AS content_hash, CAST(200 AS INTEGER) AS status_code, {earlier} AS fetched_at
+FROM ({_one_row_per('url', 'page_seq DESC', 'raw')})""",
     "dashboard": """
 SELECT count(*) AS total, count(*) FILTER (WHERE emails_verified > 0) AS with_verified_email, count(*) FILTER (WHERE emails_unverified + emails_pending > 0) AS awaiting_verification,
        count(*) FILTER (WHERE emails_verified + emails_invalid + emails_unknown + emails_pending + emails_risky + emails_unverified + phones = 0) AS no_contacts FROM overview""",

@@ -17,6 +17,7 @@ from leadloom.functions.ids import stable_id
 from leadloom.plans import corpus, lifecycle
 from leadloom.plans.corpus import earlier, now
 from leadloom.session import shared_dir, stage, tune
+from leadloom.sources import files, snapshots
 from leadloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,12 +588,47 @@ def filtered_overview(spark, sf_dir):
 
 @query
 def paged_list(spark, sf_dir):
-    """First page of fifty: the page size is the feature."""
-    return browsing.page_of(browsing.business_overview(*_stored(spark, sf_dir)), 1).select(
-        "business_id", "canonical_domain", "name", "platform"
+    """First page of fifty, with the total: the page size is the feature."""
+    return browsing.overview_page(*_stored(spark, sf_dir)).select(
+        "business_id", "canonical_domain", "name", "platform", "total"
     )
 
 
+@query
+def published_tables(spark, sf_dir):
+    """Rows of the tables read back after the corpus was ingested and published twice."""
+    root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
+    tables = snapshots.read(spark, root)
+    urls = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
+    tables["candidates"] = lifecycle.discover(urls, tables["candidates"], earlier())
+    for _ in range(2):
+        snapshots.publish(spark, root, *lifecycle.ingest(corpus.signal_pages(spark, sf_dir), tables, now()))
+        tables = snapshots.read(spark, root)
+    names = ("businesses", "candidates", "contacts", "social_profiles", "evidence")
+    counts = [tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
+    for part in counts[1:]:
+        counts[0] = counts[0].unionByName(part)
+    return counts[0]
+
+
+@query
+def export_file(spark, sf_dir):
+    """The first twenty eligible contacts without suppressed ones, as read from the file they are exported to."""
+    observed, contacts, businesses = _export_inputs(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    path, _ = lifecycle.export(contacts, businesses, corpus.suppression_list(observed), now(), folder, "leads", limit=20)
+    return spark.read.schema("business_id long, contact_id long, email string, verification_status string").option(
+        "header", True).csv(path).select("contact_id", "email")
+
+
+@query
+def crawl_pages_by_day(spark, sf_dir):
+    """The crawl page log appended by day, and what each day's folder holds."""
+    path = f"{shared_dir(spark)}/crawl-pages-{uuid.uuid4().hex}"
+    files.append_log(crawling.crawl_pages(corpus.fetch_log(spark, sf_dir)), path, "fetched_at")
+    return spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def dashboard(spark, sf_dir):
     return browsing.dashboard(browsing.business_overview(*_stored(spark, sf_dir)))
@@ -677,3 +713,13 @@ def stream_pages(spark, sf_dir):
     pages = ingest.page_stream(spark, sf_dir, glob="pages.parquet")
     ingest.start_ingest(pages, f"{work}/observations", f"{work}/cache", f"{work}/checkpoint", earlier).awaitTermination()
     return ingest.read_observations(spark, f"{work}/observations")
+
+
+@query
+def stream_page_cache(spark, sf_dir):
+    """The page cache that the stream over the stored pages leaves."""
+    tune(spark)
+    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    pages = ingest.page_stream(spark, sf_dir, glob="pages.parquet")
+    ingest.start_ingest(pages, f"{work}/observations", f"{work}/cache", f"{work}/checkpoint", earlier).awaitTermination()
+    return ingest.read_page_cache(spark, f"{work}/cache").select("url", "content_hash", "status_code", "fetched_at")

@@ -54,11 +54,25 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     lost executors, and later reads prune columns and know the table's size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    path = f"{_staged_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _staged_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Remove everything this application has staged.
+
+    For the end of a run, after its results are written or published: frames that still read staged tables
+    fail afterwards.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; file sizes for stored tables, an upper bound after aggregation."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -297,6 +297,9 @@ def test_listing_and_tiles(spark):
     assert [r.business_id for r in browsing.filter_overview(overview, search="tWo").collect()] == [2]
     assert browsing.filter_overview(overview, exclude_duplicates=True, platform="wix").count() == 0
     assert [r.business_id for r in browsing.page_of(overview, 2, per_page=1).collect()] == [2]
+    later = browsing.overview_page(businesses, contacts, socials, after=1, per_page=1)
+    assert [(r.business_id, r.total) for r in later.collect()] == [(2, businesses.count())]
+    assert later.drop("total").collect() == overview.where("business_id = 2").collect()
 
 
 def test_batch_counts(spark):
