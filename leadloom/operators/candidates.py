@@ -29,9 +29,20 @@ def _touch(rows: DataFrame, changed: Column, now: Column) -> DataFrame:
     return rows.withColumn("updated_at", F.when(changed, now).otherwise(F.col("updated_at")))
 
 
-def claim(candidates: DataFrame, now: Column, stale_after_minutes: int = V.STALE_CLAIM_MINUTES) -> DataFrame:
-    """Claimable rows become ``crawling`` at ``now``; others stay. ``claimed`` tells which."""
-    rows = candidates.withColumn("claimed", claimable(now, stale_after_minutes))
+def claim(
+    candidates: DataFrame, now: Column, stale_after_minutes: int = V.STALE_CLAIM_MINUTES, policy: DataFrame | None = None
+) -> DataFrame:
+    """Claimable rows become ``crawling`` at ``now``; others stay. ``claimed`` tells which.
+
+    ``policy(canonical_domain, circuit_open)``, one row per domain, keeps domains with an open circuit out.
+    """
+    if policy is None:
+        rows = candidates.withColumn("claimed", claimable(now, stale_after_minutes))
+    else:
+        circuits = policy.select("canonical_domain", "circuit_open")
+        free = ~F.coalesce("circuit_open", F.lit(False))
+        rows = candidates.join(circuits, "canonical_domain", "left").withColumn(
+            "claimed", claimable(now, stale_after_minutes) & free).select(*candidates.columns, "claimed")
     return _touch(rows, F.col("claimed"), now).withColumns({
         "state": F.when(F.col("claimed"), "crawling").otherwise(F.col("state")),
         "last_attempt_at": F.when(F.col("claimed"), now).otherwise(F.col("last_attempt_at")),

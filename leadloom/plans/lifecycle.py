@@ -7,11 +7,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom import fixed_values as V
+from leadloom import fixed_values as V, schemas
 from leadloom.operators import (
     candidates as C, crawling, detection, discovery, exporting, extraction, merging, normalization, resolution,
     validation, verification,
 )
+from leadloom.operators.skew import skew_join
 from leadloom.session import stage
 from leadloom.sources import files
 
@@ -38,7 +39,7 @@ def extract(pages: DataFrame) -> Extracted:
 
     Page text is by far the largest input, so nothing downstream goes back to it.
     """
-    observed = stage(extraction.observations(pages, extraction.ALL_SECTIONS), "observations")
+    observed = stage(extraction.observations(pages, (*extraction.ALL_SECTIONS, "hash")), "observations")
     read = observed.where(F.col("section") == "page")
     return Extracted(
         observed,
@@ -104,13 +105,33 @@ def apply_records(
     return {**tables, **changed}, {"evidence": evidence}
 
 
+def pages_to_read(pages: DataFrame, page_cache: DataFrame) -> DataFrame:
+    """Pages that are new or changed since they were cached, and homepages, which are always read."""
+    decided = stage(crawling.changed_pages(pages, page_cache), "changed-pages")
+    return skew_join(pages, decided.where("from_cache").select("page_seq"), "page_seq", "left_anti")
+
+
 def ingest(
-    pages: DataFrame, tables: Mapping[str, DataFrame], now: Column
+    pages: DataFrame, tables: Mapping[str, DataFrame], now: Column, skip_unchanged: bool = True
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Pages to the next tables and the log rows to append; ``sources.snapshots.publish`` takes both."""
-    records = normalize(extract(pages))
+    """Pages to the next tables and the log rows to append; ``sources.snapshots.publish`` takes both.
+
+    Pages that the page cache knows unchanged are not parsed again unless ``skip_unchanged`` is off, and what
+    was read goes to the cache. The ``validated`` log says of each record whether it is valid, and why not.
+    """
+    chosen = pages_to_read(pages, tables["page_cache"]) if skip_unchanged else pages
+    found = extract(chosen)
+    records = normalize(found)
     resolved = stage(resolve(records, tables["businesses"], tables["contacts"]), "resolution")
-    return apply_records(tables, records, resolved, now)
+    changed, logs = apply_records(tables, records, resolved, now)
+    fetched = found.section("hash").select(
+        "page_seq", F.col("source_url").alias("url"), F.col("field_value").alias("content_hash"),
+        F.lit(200).alias("http_status_code"), now.alias("fetched_at"),
+    )
+    changed["page_cache"] = crawling.upsert_page_cache(tables["page_cache"], fetched)
+    checked = validated_records(records, resolved).withColumn("validated_at", now)
+    logs["validated"] = schemas.conform(checked, schemas.VALIDATED)
+    return changed, logs
 
 
 def validated_records(records: Records, resolved: DataFrame) -> DataFrame:

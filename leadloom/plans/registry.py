@@ -602,15 +602,25 @@ def published_tables(spark, sf_dir):
     urls = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
     tables["candidates"] = lifecycle.discover(urls, tables["candidates"], earlier())
     for _ in range(2):
-        snapshots.publish(spark, root, *lifecycle.ingest(corpus.signal_pages(spark, sf_dir), tables, now()))
+        pages = corpus.signal_pages(spark, sf_dir)
+        snapshots.publish(spark, root, *lifecycle.ingest(pages, tables, now(), skip_unchanged=False))
         tables = snapshots.read(spark, root)
-    names = ("businesses", "candidates", "contacts", "social_profiles", "evidence")
+    names = ("businesses", "candidates", "contacts", "social_profiles", "evidence", "validated", "page_cache")
     counts = [tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
     for part in counts[1:]:
         counts[0] = counts[0].unionByName(part)
     return counts[0]
 
 
+@query
+def reread_pages(spark, sf_dir):
+    """Pages that a second ingest of the same corpus parses: homepages only."""
+    nothing = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
+    tables, _ = lifecycle.ingest(corpus.signal_pages(spark, sf_dir), nothing, earlier())
+    again = lifecycle.pages_to_read(corpus.signal_pages(spark, sf_dir), stage(tables["page_cache"], "page-cache"))
+    return again.select("page_seq", "url")
+
+
 @query
 def export_file(spark, sf_dir):
     """The first twenty eligible contacts without suppressed ones, as read from the file they are exported to."""

@@ -76,6 +76,11 @@ PAGE_CACHE = _table(
     ("last_modified", S, True), ("fetched_at", TS, False),
 )
 
+VALIDATED = _table(
+    ("canonical_domain", S, False), ("is_valid", B, False), ("validation_errors", T.ArrayType(S), False),
+    ("action", S, True), ("target_business_id", L, True), ("validated_at", TS, False),
+)
+
 TABLES = {
     "candidates": CANDIDATES,
     "businesses": BUSINESSES,
@@ -85,10 +90,11 @@ TABLES = {
     "crawl_runs": CRAWL_RUNS,
     "crawl_pages": CRAWL_PAGES,
     "page_cache": PAGE_CACHE,
+    "validated": VALIDATED,
 }
 
 # Append-only tables: a new version adds rows to them and never rewrites old ones.
-LOGS = ("evidence", "crawl_runs", "crawl_pages")
+LOGS = ("evidence", "crawl_runs", "crawl_pages", "validated")
 
 
 def conform(df, schema):

@@ -194,6 +194,14 @@ def test_routing(spark):
         5: ("abandoned", 1, "duplicate_domain", None), 6: ("pending", 0, None, None)}
 
 
+def test_an_open_circuit_keeps_a_claim_out(spark):
+    rows = make(spark, schemas.CANDIDATES, candidate(candidate_id=1, canonical_domain="a.com"), candidate(candidate_id=2, canonical_domain="b.com"),
+                candidate(candidate_id=3, canonical_domain="c.com"))
+    policy = spark.createDataFrame([("a.com", True), ("b.com", False)], "canonical_domain string, circuit_open boolean")
+    got = {r.candidate_id: (r.claimed, r.state) for r in candidates.claim(rows, now(), policy=policy).collect()}
+    assert got == {1: (False, "pending"), 2: (True, "crawling"), 3: (True, "crawling")}
+
+
 def test_due_retries_come_longest_due_first(spark):
     rows = make(spark, schemas.CANDIDATES, *[
         candidate(candidate_id=i, state=s, next_attempt_at=T0 - timedelta(minutes=m))
