@@ -115,7 +115,9 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE, pivots: i
     Starts jobs while it builds.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    # Single precision moves as it is stored; tasks compute in double precision either way.
+    kept_type = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kept_type).alias("embedding"))
     usable = rows.where(F.col("vec_id").isNotNull() & F.coalesce(_usable(F.col("embedding")), F.lit(False)))
     hashed = usable.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.xxhash64("embedding").alias("a"),
                            F.xxhash64(F.lit(1), F.reverse("embedding")).alias("b"))
