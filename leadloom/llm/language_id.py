@@ -7,7 +7,6 @@ labelled documents per language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -33,7 +32,6 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 #: Labelled documents per language that the machines are fitted on at most, and languages at most.
 SAMPLE, LANGUAGES = 800, 500
 HASHED, SIZES = 2048, (2, 3)
-LETTER = re.compile(r"[^\W\d_]")
 SHARPNESS = 4.0
 
 
@@ -67,7 +65,7 @@ class Model:
         """Languages and scores; ``und`` and 0.0 without a letter or without a learned language."""
         rows = features(texts)
         names, scores = ["und"] * len(texts), np.zeros(len(texts))
-        readable = np.array([bool(LETTER.search(t)) for t in texts], bool)
+        readable = np.array([any(map(str.isalpha, t)) for t in texts], bool)
         if not self.families or not readable.any():
             return names, scores
         if len(self.families) > 1:

@@ -20,7 +20,7 @@ COUNTS = "doc_id bigint, section bigint, start long, n_bytes long, n_tokens doub
 
 
 def lines(text: Column) -> Column:
-    """The sections of a text by lines, each with the line feed that ends it."""
+    """The sections of a text by lines, each with the line feed that ends it; after a last one stands an empty line."""
     return F.split(text, "(?<=\n)")
 
 

@@ -20,7 +20,7 @@ LONG = "the thha ndre. Oroned, &&& 12 été naïve\n" * 20_000
 ODD = [
     (1, None), (2, ""), (3, "  \n\t "), (4, "the cat sat\non the mat"), (4, "the cat sat\non the mat"), (5, "a<|endoftext|>b  <|startoftext|>"),
     (6, LONG), (None, "Released under the MIT License."), (7, "x \x85 y \x1c z\0   q"), (8, "ΣΑΣ İstanbul 日本 🙂🙂 é ́x ½ it's THEY'LL"),
-    (9, "aaaaaaaaaaaaa !!!!!!!!! hahahaha " * 3), (10, "### $$$ 123"),
+    (9, "aaaaaaaaaaaaa !!!!!!!!! hahahaha " * 3), (10, "### $$$ 123 ½"),
 ]
 CLASHING = "part int, place long, ids string, n_tokens string, score string, sections string, held_out string, key long, labels string"
 
