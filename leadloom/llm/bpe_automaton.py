@@ -125,7 +125,7 @@ class WordEncoder:
     the automaton. Texts are cut before single spaces, which end words, and each piece is encoded once; at
     most about ``limit`` pieces, and as many words, are remembered."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 180_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -181,6 +181,8 @@ class WordEncoder:
             self.forget()
         if len(self.words) > self.limit:
             self.words = {}
+        if len(self.automaton.table) > 2 * self.limit:
+            self.automaton.table.clear()
         get, per_text = self.pieces.__getitem__, []
         for text in texts:
             pieces = cut(text)
