@@ -598,7 +598,7 @@ UNION ALL SELECT 'social_profiles', count(*) FROM (SELECT DISTINCT canonical_dom
 UNION ALL SELECT 'validated', 2 * count(*) FROM domains
 UNION ALL SELECT 'page_cache', count(DISTINCT url) FROM raw
 UNION ALL SELECT 'evidence', 2 * ((SELECT count(*) FROM norm) + (SELECT count(*) FROM social) + (SELECT count(*) FROM platform_rows))""",
-    "reread_pages": f"SELECT page_seq, url FROM page WHERE {path('url')} IN ('', '/')",
+    "reread_pages": f"SELECT page_seq, url FROM page WHERE page_seq % 5 = 0 OR {path('url')} IN ('', '/')",
     "export_file": """
 SELECT contact_id, value AS email FROM (SELECT contact_id, value FROM stored_email ORDER BY contact_id LIMIT 20)
 WHERE value NOT IN (SELECT email FROM suppressed)""",
