@@ -7,8 +7,9 @@ Two documents agree in a coordinate with a chance equal to their weighted Jaccar
 until about ``k (ln k + 3)`` of them have hit, and more for documents with a coordinate still empty.
 
 Coordinates are banded into buckets. Documents with equal shingle sets count once. In each bucket documents
-are compared with its first document only; those that are unlike it meet again in finer buckets, of two bands
-each, with other firsts. Links are verified exactly on the shingle sets, and classes are their connected
+are compared with its first document; a bucket that then still holds several components is dealt out as blocks
+of two bounded chunks, in which every pair from different components is compared. Blocks return a spanning set
+of links, never the pairs. Links are verified exactly on the shingle sets, and classes are their connected
 components. No bucket is expanded into its pairs and none is gathered in a task.
 """
 
@@ -28,8 +29,8 @@ from leadloom.session import stage
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 6
-#: Distances between the two bands of a finer bucket.
-FINER = (1, 5, 11)
+#: Documents and shingles of a chunk of a bucket, about.
+CHUNK, CHUNK_SHINGLES = 1024, 500_000
 _STEP, _CELL = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -146,12 +147,8 @@ def first_of_buckets(members: DataFrame) -> DataFrame:
     return members.join(firsts, keys).where("doc <> x").select("x", F.col("doc").alias("y")).distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, weighted: bool, similar: float) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """``(x, y, linked)`` by the exact similarity of the shingle sets of each pair of documents."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    # Repeated ids have one text each in the first class; any of them stands for the id.
-    sets = stage(shingles_of(texts, weighted).dropDuplicates(["doc_id"]), "shingles")
     named = lambda n: sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s{n}"))
     both = pairs.join(named("x"), "x").join(named("y"), "y")
     common = F.size(F.array_intersect("sx", "sy"))
@@ -159,6 +156,77 @@ def verified(pairs: DataFrame, docs: DataFrame, weighted: bool, similar: float)
     return both.select("x", "y", (share >= similar).alias("linked"))
 
 
+def spanning_links(
+    docs: np.ndarray, labels: np.ndarray, sides: np.ndarray, shingles: pa.ListArray, similar: float
+) -> list[tuple[int, int]]:
+    """Links that join the components of one block's documents, by the similarity of every pair.
+
+    Pairs of one component are skipped, also of one that the block's earlier links have joined; ``sides`` are
+    all alike for a chunk against itself, else only pairs across them count. Sets are not empty.
+    """
+    sizes = np.diff(shingles.offsets.to_numpy()).astype(np.int64)
+    words, flat = np.unique(shingles.flatten().to_numpy(), return_inverse=True)
+    starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(words), np.uint8)
+    label = np.unique(labels, return_inverse=True)[1]
+    sets = np.split(flat, starts[1:])
+    own = bool((sides == sides[0]).all())
+    few = sides if 2 * np.count_nonzero(sides) <= len(sides) else ~sides
+    out = []
+    for d in range(len(docs)) if own else np.flatnonzero(few):
+        left = np.flatnonzero(label[d + 1 :] != label[d]) + d + 1 if own else np.flatnonzero(~few & (label != label[d]))
+        left = left[np.minimum(sizes[left], sizes[d]) >= similar * np.maximum(sizes[left], sizes[d]) - 1e-6]
+        if not len(left):
+            continue
+        mark[sets[d]] = 1
+        ends = np.cumsum(sizes[left])
+        at = np.repeat(starts[left] - ends + sizes[left], sizes[left]) + np.arange(ends[-1])
+        common = np.add.reduceat(mark[flat[at]], ends - sizes[left], dtype=np.int64)
+        mark[sets[d]] = 0
+        alike = left[common / (sizes[left] + sizes[d] - common) >= similar]
+        joined, first = np.unique(label[alike], return_index=True)
+        out += [(int(docs[d]), int(docs[k])) for k in alike[first]]
+        label[np.isin(label, joined)] = label[d]
+    return out
+
+
+def links_between(members: DataFrame, labels: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Links ``(x, y)`` between components ``labels (node, component)`` that share a bucket of ``members``.
+
+    Every pair of a bucket is compared unless its documents are known to be in one component. The documents of
+    a bucket's largest component are not dealt against each other.
+    """
+    keys = ["band", "key"]
+    named = members.join(labels, F.col("doc") == F.col("node"), "left").select(
+        *keys, "doc", F.coalesce("component", "doc").alias("label"))
+    sized = stage(named.join(sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("size")), "doc"), "members")
+    parts = sized.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    chunks = lambda n, size: F.ceil(F.greatest(F.col(n) / CHUNK, F.col(size) / CHUNK_SHINGLES)).cast("int")
+    mixed = parts.groupBy(*keys).agg(
+        F.max(F.struct("n", "label", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size")
+    ).where("n > most.n").select(
+        *keys, F.col("most.label").alias("main"), F.col("most.n").alias("n0"), F.col("most.size").alias("s0"),
+        (F.col("n") - F.col("most.n")).alias("n1"), (F.col("size") - F.col("most.size")).alias("s1"))
+    mixed = mixed.select(*keys, "main", chunks("n0", "s0").alias("c0"), chunks("n1", "s1").alias("c1"))
+    dealt = sized.join(mixed, keys)
+    main, place = F.col("label") == F.col("main"), F.xxhash64("doc", "key")
+    dealt = dealt.withColumn("chunk", F.when(main, F.pmod(place, "c0")).otherwise(F.col("c0") + F.pmod(place, "c1")).cast("int"))
+    low = F.when(main, F.col("c0")).otherwise(F.lit(0))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(low, F.col("c0") + F.col("c1") - 1)))
+    dealt = dealt.select(
+        *keys, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc", "label",
+        (F.col("chunk") > F.col("other")).alias("second"))
+    loaded = dealt.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("doc").combine_chunks()
+        column = lambda n: block.column(n).combine_chunks()
+        found = spanning_links(column("doc").to_numpy(), column("label").to_numpy(), column("second").to_numpy(zero_copy_only=False),
+                               column("shingles"), similar) if block.num_rows > 1 else []
+        return pa.table({"x": pa.array([x for x, _ in found], pa.int64()), "y": pa.array([y for _, y in found], pa.int64())})
+
+    return loaded.groupBy(*keys, "i", "j").applyInArrow(run, "x bigint, y bigint")
+
+
 def near_duplicates(
     docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -175,23 +243,17 @@ def near_duplicates(
     distinct = stage(prints.join(classes.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "doc"), (
         F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("doc_id") == F.col("doc"))
     ).select("a", "b", "doc", "bands").dropDuplicates(["a", "b"]), "distinct")
-    coarse = distinct.select("doc", F.posexplode("bands").alias("band", "key"))
-    first = stage(verified(stage(first_of_buckets(coarse), "pairs"), docs, weighted, similar), "verified")
-    labels = connected_components(first.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b")))
-    labels = stage(labels, "labels")
-    # What is unlike a bucket's first document, and in no class with it, meets others in finer buckets.
-    unlike = first.where("not linked")
-    for side in ("x", "y"):
-        unlike = unlike.join(labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    apart = unlike.where(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select(F.col("y").alias("doc")).distinct()
-    left = distinct.join(apart, "doc", "left_semi")
-    finer = left.select("doc", F.explode(F.array(*[
-        F.struct(F.lit(i * 100 + gap).alias("band"), F.xxhash64(F.col("bands")[i], F.col("bands")[(i + gap) % bands]).alias("key"))
-        for gap in FINER if gap < bands for i in range(bands)
-    ])).alias("at")).select("doc", "at.band", "at.key")
-    again = stage(first_of_buckets(finer).join(first.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
-    second = stage(verified(again, docs, weighted, similar), "verified")
-    links = first.unionByName(second).where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    members = distinct.select("doc", F.posexplode("bands").alias("band", "key"))
+    pairs = stage(first_of_buckets(members), "pairs")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    # Repeated ids have one text each in the first class; any of them stands for the id.
+    sets = stage(shingles_of(texts, weighted).dropDuplicates(["doc_id"]), "shingles")
+    first = stage(verified(pairs, sets, similar), "verified").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = stage(connected_components(first), "labels")
+    # A bucket's documents may link with each other but not with its first.
+    others = stage(links_between(members, labels, sets, similar), "links-between")
+    links = first.unionByName(others.select(F.col("x").alias("a"), F.col("y").alias("b")))
     found = connected_components(links)
     named = distinct.select("a", "b", "doc").join(found, F.col("doc") == F.col("node"), "left").select(
         F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "doc").alias("class_id"))

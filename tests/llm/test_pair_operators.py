@@ -74,6 +74,24 @@ def test_near_duplicates_of_mixed_rows(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [1024, 37])
+def test_copies_that_resemble_only_their_original(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk, raising=False)
+    random = np.random.default_rng(11)
+    vocabulary, rows = [f"w{i}" for i in range(3000)], []
+    for group in range(2):
+        words = random.choice(vocabulary, 400).tolist()
+        for k in range(300):  # all lower ids than the original's
+            edited = list(words)
+            for at in random.choice(400, 8, replace=False):
+                edited[int(at)] = str(random.choice(vocabulary))
+            rows.append((group * 1000 + k, " ".join(edited)))
+        rows.append((group * 1000 + 999, " ".join(words)))
+    expected = brute_classes(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == expected
+
+
 def test_repeated_ids_are_copies(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "a b c d e f g"), (3, "h i j k l m")], "doc_id long, text string")
     assert sorted((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
