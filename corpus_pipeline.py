@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without a letter, or like no learned language, go."""
+    """Documents whose language is told, however closely; those without a letter go."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 

@@ -170,14 +170,18 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, whole, whose language is told with a score of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, whole, whose language is told, however closely; all with a letter if none was learned."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
-                names, scores = shared.value.predict([t or "" for t in some.column("text").to_pylist()])
-                yield some.filter(pa.array((scores >= least) & np.array([n != "und" for n in names], bool)))
+                texts = [t or "" for t in some.column("text").to_pylist()]
+                if shared.value.families:
+                    kept = [n != "und" for n in shared.value.predict(texts)[0]]
+                else:
+                    kept = [any(map(str.isalpha, t)) for t in texts]
+                yield some.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -224,6 +224,15 @@ def test_main_text_query(spark):
         assert r.text == " ".join(html.unescape(article).split()) and r.n_chars == len(r.text)
 
 
+def test_close_languages_and_no_learned_language_keep_readable_rows(spark):
+    df = frame(spark, [(1, "mellan two språk"), (2, "123 ###"), (3, None)])
+    nothing = (np.zeros(language_id.HASHED, np.float32), 0.0)
+    close = language_id.Model(["a", "b"], {"a": ["x", "y"], "b": ["z"]}, [nothing, nothing], {("x", "y"): nothing})
+    assert close.predict(["mellan two språk"])[1][0] == 0.25
+    for model in (close, language_id.Model()):
+        assert [r.doc_id for r in language_id.keep_identified(df, model).collect()] == [1]
+
+
 def test_language_query_and_odd_rows(spark, odd):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
