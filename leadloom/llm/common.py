@@ -40,8 +40,10 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive parts of a batch with about ``SLICE_CHARS`` bytes of text each; one row at least."""
+def slices(
+    batch: pa.RecordBatch, column: str = "text", bytes_at_once: int = SLICE_CHARS
+) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch with about ``bytes_at_once`` bytes of text each; one row at least."""
     if column not in batch.schema.names or batch.num_rows == 0:
         yield batch
         return
@@ -51,7 +53,7 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     start = 0
     while start < batch.num_rows:
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(ends.searchsorted(done + SLICE_CHARS, side="right")))
+        stop = max(start + 1, int(ends.searchsorted(done + bytes_at_once, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leadloom.llm import (
-    bpe_automaton, decontamination, embedding_dedup, html_main_text, language_id, license_scan, near_dedup, quality_knn, token_counts, token_files,
+    bpe_automaton, decontamination, embedding_dedup, filter_audit, html_main_text, language_id, license_scan, multi_index,
+    near_dedup, quality_knn, source_divergence, token_counts, token_files,
 )
 from leadloom.llm.common import table
 from leadloom.session import shared_dir
@@ -68,6 +69,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.id_checksums(token_files.read_token_files(spark, path))
 
 
+def op11_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest embeddings of every twentieth one by inner product."""
+    return multi_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences between the sources of a language, and the terms that set a source apart."""
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
@@ -79,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_token_files": op10_token_files,
+    "op11_multi_index": op11_multi_index,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: Check SQL by query name, for those that SQL can express.
@@ -127,4 +146,71 @@ named AS (SELECT x, min(y) AS class_id FROM reached GROUP BY x)
 SELECT documents.doc_id, coalesce(class_id, documents.doc_id) AS class_id
 FROM documents LEFT JOIN sets ON sets.doc_id = documents.doc_id
 LEFT JOIN classes ON classes.s = list_sort(sets.s) LEFT JOIN named ON named.x = classes.doc_id""",
+    "op12_filter_audit": """
+WITH marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM docs GROUP BY t),
+listed AS (
+  SELECT docs.doc_id, part, docs.t, coalesce(docs.doc_id > first_id, false) AS e, regexp_extract_all(docs.t, '[^\x20\x09-\x0D]+') AS w
+  FROM docs JOIN firsts ON docs.t = firsts.t),
+flags AS (
+  SELECT doc_id, part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+         100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d, e
+  FROM listed),
+counted AS (
+  SELECT part, [a, b, c, d, e] AS f, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM flags LEFT JOIN marks ON flags.doc_id = marks.doc_id GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM letters p, letters q, letters r, letters s, letters u
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, u.x])) = 5),
+seen AS (
+  SELECT *, f[ascii(substr(filter_order, step, 1)) - 64] AS own,
+         len(list_filter(range(1, step), lambda i : f[ascii(substr(filter_order, CAST(i AS INTEGER), 1)) - 64])) > 0 AS earlier
+  FROM counted, orders, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+sums AS (
+  SELECT part, filter_order, step,
+         sum(CASE WHEN NOT own AND NOT earlier THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN own AND NOT earlier THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN own AND earlier THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN own AND len(list_filter(f, lambda v : v)) = 1 THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN own AND NOT earlier THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN own AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost
+  FROM seen GROUP BY ALL),
+shares AS (SELECT part, substr(filter_order, step, 1) AS letter, sum(removed) AS shapley FROM sums GROUP BY ALL)
+SELECT sums.part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(shapley AS BIGINT) AS shapley
+FROM sums JOIN shares ON sums.part = shares.part AND letter = substr(filter_order, step, 1)""",
+    "op13_source_divergence": """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+words AS (SELECT r, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS lang_n FROM words GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+langs AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM kept GROUP BY ALL),
+used AS (SELECT words.lang, source, words.term, count(*) AS n FROM words JOIN kept ON words.lang = kept.lang AND words.term = kept.term GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+sources AS (
+  SELECT d.lang, d.source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, lang_total
+  FROM (SELECT DISTINCT lang, source FROM docs) d LEFT JOIN totals ON d.lang = totals.lang AND d.source = totals.source
+  LEFT JOIN langs ON d.lang = langs.lang),
+portions AS (
+  SELECT s.lang, s.source, kept.term, coalesce(n, 0) AS n,
+         CAST(1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS BIGINT) AS p,
+         CAST(1 + 1000000000::HUGEINT * (lang_n + 2) // (lang_total + 2 * v) AS BIGINT) AS q
+  FROM sources s JOIN kept ON s.lang = kept.lang LEFT JOIN used ON s.lang = used.lang AND s.source = used.source AND kept.term = used.term),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM portions a JOIN portions b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // (p + q) AS BIGINT) FROM portions WHERE n > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
