@@ -214,6 +214,64 @@ def test_main_text_of_odd_pages(spark):
     assert got[99] == ("", 0) and html_main_text.extract_main_text(df.limit(0)).count() == 0
 
 
+LONG_TEXT = "one long paragraph of plain words about a river and its banks " * 8
+KEPT_PAGES = {  # what a page must keep, whole and in order
+    f"<body><div>Short one.</div><div>{LONG_TEXT}</div><div>Short two.</div></body>": f"Short one. {LONG_TEXT}Short two.",
+    f'<body><div class="layout has-sidebar"><div><p>{LONG_TEXT}</p><p>End.</p></div></div></body>': f"{LONG_TEXT}End.",
+    f"<body><article><p>{LONG_TEXT}</p></article><article><p>Second.</p></article></body>": f"{LONG_TEXT}Second.",
+    f'<body><article><p>{LONG_TEXT}</p><ul class="ad-hoc"><li>point</li></ul></article></body>': f"{LONG_TEXT}point",
+    f'<body><div class="sidebar"><p>{LONG_TEXT}</p></div><div class="footer">x</div></body>': LONG_TEXT,
+    f'<body><form id="page"><div><p>{LONG_TEXT}</p></div></form></body>': LONG_TEXT,
+    f'<body><article><p>Text.</p></article><div class="comment-list"><p>{LONG_TEXT}</p></div></body>': "Text.",
+    f'<body><article><p>Text.</p></article><article class="comment"><p>{LONG_TEXT}</p></article></body>': "Text.",
+    f'<body><div><a href="/a">Home</a> <a href="/b">News</a></div><div><p>{LONG_TEXT}</p></div><div class="site-footer">c</div></body>': LONG_TEXT,
+    f'<body><div>{LONG_TEXT}</div><div><a href="/s">Source</a></div><div>{LONG_TEXT}</div></body>': f"{LONG_TEXT}Source {LONG_TEXT}",
+    f'<body><div>{LONG_TEXT}</div><div>Search <input><button>Go</button></div></body>': LONG_TEXT,
+}
+
+
+@pytest.mark.parametrize("number", range(len(KEPT_PAGES)))
+def test_main_text_drops_nothing_else(number):
+    html, text = list(KEPT_PAGES.items())[number]
+    assert html_main_text.main_text(html) == text.strip()
+
+
+def plain_regions(divs):
+    """A restatement for pages of plain divisions, given as ``(text, in links)``: ratios, smoothing and clusters by hand."""
+    ratios = [len(t) / (1 + (i > 0) + 2 * linked) for i, (t, linked) in enumerate(divs)]
+    weight = lambda k: np.exp(-k * k / 2)
+    near = [[j for j in range(len(divs)) if abs(i - j) <= 2] for i in range(len(divs))]
+    smooth = [sum(weight(i - j) * ratios[j] for j in own) / sum(weight(i - j) for j in own) for i, own in enumerate(near)]
+    cut, upper = (min(smooth) + max(smooth)) / 2, None
+    for _ in range(50):
+        upper = [v >= cut for v in smooth]
+        groups = [[v for v, u in zip(smooth, upper) if u == side] for side in (True, False)]
+        if not all(groups) or abs(cut - sum(np.mean(g) for g in groups) / 2) < 1e-9:
+            break
+        cut = sum(np.mean(g) for g in groups) / 2
+    chosen = [v >= cut or not linked for v, (_, linked) in zip(smooth, divs)]
+    first, last = chosen.index(True), len(chosen) - 1 - chosen[::-1].index(True)
+    return " ".join(t for i, (t, _) in enumerate(divs) if first <= i <= last)
+
+
+def test_main_text_of_unmarked_pages_equals_a_restatement():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        divs = [("w" + "o" * int(rng.choice([3, 12, 80, 400])), bool(rng.random() < 0.4)) for _ in range(rng.integers(1, 12))]
+        page = "".join(f'<div><a href="/x">{t}</a></div>' if linked else f"<div>{t}</div>" for t, linked in divs)
+        assert html_main_text.main_text(page) == plain_regions(divs)
+
+
+@pytest.mark.parametrize("page", ["<div><p>word" * 50_000, "<div>word</b></i>" * 34_000, "<article>word</article>" * 50_000,
+                                  '<div class="ad"><a href="/x">w' * 34_000, "<nav>" * 100_000 + "<article>word</article>"])
+def test_main_text_of_a_hundred_thousand_tags(page):
+    import time
+
+    start = time.process_time()
+    html_main_text.main_text(page)
+    assert time.process_time() - start < 8
+
+
 def test_main_text_query(spark):
     import html
 
