@@ -1,10 +1,10 @@
 """Licence scan by a positional index of rare template words.
 
 Every licence template is a list of words with postings ``word -> (template, position)``. How rare a licence
-word is comes from all documents: its inverse document frequency. A document is matched in three steps: its
-rarest licence words are looked up in the postings, each place of such a word proposes a start of the
-template, and the other words must agree with that start by their relative positions; then the template's
-mandatory key phrases must stand where the start puts them.
+word is comes from all documents: its inverse document frequency. A template has mandatory key phrases, so the
+rarest word of its phrases is in every match: that word is looked up in the document, and each of its places at
+which its phrase stands proposes the starts of the template around it. The postings of the template's words must
+then agree with a start by their relative positions, and all key phrases must stand where the start puts them.
 
 Words are runs of ``[0-9a-z]`` and non-ASCII characters after A-Z are lower-cased, counted from 0.
 """
@@ -65,8 +65,8 @@ TEMPLATES = (
     Template("cc-by-nc", "Licensed under CC BY-NC", ("cc by nc",)),
     Template("cc-by", "licensed under a Creative Commons Attribution", ("creative commons attribution",)),
 )
-#: Look-ups per template and document, least share of template words in place, drift of words in long texts.
-LOOKUPS, COVERAGE, DRIFT = 3, 0.8, 2
+#: Least share of template words in place, drift of words and phrases from their places.
+COVERAGE, DRIFT = 0.8, 2
 
 
 class Index:
@@ -75,62 +75,70 @@ class Index:
     def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float]):
         self.templates, self.idf = templates, idf
         self.words = [words_of(t.text) for t in templates]
-        self.keys = [[words_of(k) for k in t.keys] for t in templates]
+        self.keys: list[list[tuple[int, list[bytes]]]] = []  # by template, its key phrases and their positions in it
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for t, words in enumerate(self.words):
             for p, word in enumerate(words):
                 self.postings.setdefault(word, []).append((t, p))
+            self.keys.append([(self._position(t, key), key) for key in map(words_of, templates[t].keys)])
         self.vocabulary = set(self.postings)
-
-    def find(self, words: list[bytes]) -> tuple[dict[int, dict[int, float]], set[bytes]]:
+        # The rarest word of all key phrases: the phrase, where the word stands in it, and the word.
+        self.anchors = [
+            min(((k, i, w) for k, (_, key) in enumerate(keys) for i, w in enumerate(key)), key=lambda a: (-idf.get(a[2], 0.0), a))
+            for keys in self.keys
+        ]
+
+    def _position(self, t: int, key: list[bytes]) -> int:
+        """Where a phrase stands in its template, by the postings of its words."""
+        starts = set.intersection(*({p - i for u, p in self.postings[w] if u == t} for i, w in enumerate(key)))
+        return min(starts)
+
+    def find(self, words: list[bytes]) -> dict[int, dict[int, float]]:
         """Verified starts by template, each with the share of template words found in place."""
         present = self.vocabulary.intersection(words)
-        if not present:
-            return {}, present
-        rarest = sorted(present, key=lambda w: (-self.idf.get(w, 0.0), w))
-        # A template whose key words are not all there cannot match. Of the others, the rarest words present.
-        left = {t: LOOKUPS for t in range(len(self.words)) if all(w in present for k in self.keys[t] for w in k)}
-        starts: dict[int, set[int]] = {}
-        for word in rarest:
-            wanted = [(t, p) for t, p in self.postings[word] if left.get(t)]
-            if not wanted:
+        places: dict[bytes, list[int]] = {}
+        found = {}
+        for t, (k, i, word) in enumerate(self.anchors):
+            if not present.issuperset(w for _, key in self.keys[t] for w in key):
                 continue
-            for t in {t for t, _ in wanted}:
-                left[t] -= 1
-            places, at = [], -1
-            try:
-                while True:
-                    at = words.index(word, at + 1)
-                    places.append(at)
-            except ValueError:
-                pass
-            for t, p in wanted:
-                starts.setdefault(t, set()).update(i - p for i in places)
-        return {t: found for t, own in starts.items() if (found := self._verify(t, own, words))}, present
-
-    def _verify(self, t: int, starts: set[int], words: list[bytes]) -> dict[int, float]:
+            if word not in places:
+                places[word] = _places(words, word)
+            position, key = self.keys[t][k]
+            stands = [at - i for at in places[word] if at >= i and words[at - i : at - i + len(key)] == key]
+            if stands and (own := self._verify(t, stands, position, words)):
+                found[t] = own
+        return found
+
+    def _verify(self, t: int, stands: list[int], position: int, words: list[bytes]) -> dict[int, float]:
+        """Starts of template ``t`` around the places of one of its phrases, which has ``position`` in it."""
         template, n = self.words[t], len(words)
-        exact = self.templates[t].base
+        if self.templates[t].base:  # the phrase is the whole template
+            return dict.fromkeys(stands, 1.0)
         found = {}
-        for start in starts:
-            if exact:
-                if start >= 0 and words[start : start + len(template)] == template:
-                    found[start] = 1.0
-                continue
+        for start in sorted({at - position + d for at in stands for d in range(-DRIFT, DRIFT + 1)}):
             hits = 0
             for p, word in enumerate(template):
                 i = start + p
                 if 0 <= i < n and words[i] == word or word in words[max(0, i - DRIFT) : max(0, i + DRIFT + 1)]:
                     hits += 1
             share = hits / len(template)
-            if share >= COVERAGE and all(self._stands(k, words, start, len(template)) for k in self.keys[t]):
-                found[max(start, 0)] = share
+            if share >= COVERAGE and all(self._stands(key, words, start + at) for at, key in self.keys[t]):
+                found[max(start, 0)] = max(share, found.get(max(start, 0), 0.0))
         return found
 
     @staticmethod
-    def _stands(key: list[bytes], words: list[bytes], start: int, length: int) -> bool:
-        low, high = max(0, start - DRIFT), start + length + DRIFT
-        return any(words[i : i + len(key)] == key for i in range(low, max(low, high - len(key) + 1)))
+    def _stands(key: list[bytes], words: list[bytes], at: int) -> bool:
+        return any(words[i : i + len(key)] == key for i in range(max(0, at - DRIFT), max(0, at + DRIFT + 1)))
+
+
+def _places(words: list[bytes], word: bytes) -> list[int]:
+    out, at = [], -1
+    try:
+        while True:
+            at = words.index(word, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
 
 
 SCHEMA = (
@@ -179,7 +187,7 @@ def scan_licenses(
             "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")}
         for text in batch.column("text").to_pylist():
             words = words_of(text)
-            found, _ = index.find(words)
+            found = index.find(words)
             base = [s for t, own in found.items() if index.templates[t].base for s in own]
             out["n_words"].append(len(words))
             out["n_base"].append(len(base))

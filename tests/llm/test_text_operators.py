@@ -156,6 +156,54 @@ def test_token_counts_by_offsets(spark, documents, bytes_file):
         assert [got[doc_id, k] for k in range(len(starts))] == counts
 
 
+def plain_attribution(token_bytes, sizes, rule):
+    """Tokens of each section of one text, a token and a byte at a time."""
+    owner = [k for k, n in enumerate(sizes) for _ in range(n)]
+    tokens, crossing, at = [0.0] * len(sizes), [0] * len(sizes), 0
+    for n in token_bytes:
+        over = owner[at : at + n]
+        at += n
+        own = sorted(set(over))
+        if len(own) == 1:
+            tokens[own[0]] += 1
+        elif rule == "split":
+            for k in own:
+                tokens[k] += over.count(k) / n
+                crossing[k] += 1
+        else:
+            k = own[0] if rule == "start" else max(own, key=lambda k: (over.count(k), -k))
+            tokens[k] += 1
+            crossing[k] += 1
+    return tokens, crossing
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_attribution_equals_a_plain_loop(rule):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        sizes = [rng.integers(0, 4, rng.integers(1, 30)).tolist() for _ in range(4)]
+        cuts = [sorted({0, *(int(c) for c in rng.integers(0, sum(s) + 1, 6)), sum(s)}) for s in sizes]
+        tokens = [np.diff(c).tolist() for c in cuts]
+        got = token_counts.attribute(np.array([b for t in tokens for b in t], np.int64), np.array([len(t) for t in tokens]),
+                                     pa.array(range(4)), pa.array(sizes, pa.list_(pa.int64())), rule)
+        expected = [plain_attribution(t, s, rule) for t, s in zip(tokens, sizes)]
+        assert got["n_tokens"].tolist() == pytest.approx([n for t, _ in expected for n in t])
+        assert got["n_crossing"].tolist() == [n for _, c in expected for n in c]
+
+
+def test_token_counts_of_blank_lines(spark, bytes_file):
+    import time
+
+    text = ("\n" * 7 + "a") * 500_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.perf_counter()
+    total = token_counts.token_counts(df, token_counts.lines(F.col("text")), "majority").agg(F.sum("n_tokens")).first()[0]
+    assert time.perf_counter() - start < 60
+    assert total == len(bytes_file.encode(text, add_special_tokens=False).ids)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
 
@@ -176,6 +224,53 @@ def check_licenses(rows, texts):
         assert set(filter(None, labels.split(","))) <= set(r.labels.split(",")) and (r.score > 0) == bool(r.labels)
 
 
+def test_notice_altered_in_its_rare_words():
+    notice = next(t for t in license_scan.TEMPLATES if t.label == "bsd").text
+    rare = [b"provided", b"conditions", b"permitted"]
+    index = license_scan.Index(license_scan.TEMPLATES, {w: 9.0 for w in rare})
+    altered = notice.replace("provided", "xx").replace("conditions", "yy").replace("permitted", "zz")
+    labels = lambda text: {license_scan.TEMPLATES[t].label for t in index.find(license_scan.words_of(text))}
+    assert labels(altered) == labels(altered + " and far away words were provided under conditions permitted") == {"bsd"}
+    assert labels(altered.replace("source and binary", "text or binary")) == set()
+
+
+def every_start(words):
+    """Labels by trying every template at every start, word by word."""
+    out, drift = set(), license_scan.DRIFT
+    for t in license_scan.TEMPLATES:
+        own, keys = license_scan.words_of(t.text), [license_scan.words_of(k) for k in t.keys]
+        for start in range(-len(own), len(words) + 1):
+            if t.base:
+                if start >= 0 and words[start : start + len(own)] == own:
+                    out.add(t.label)
+                continue
+            near = lambda i: words[max(0, i - drift) : max(0, i + drift + 1)]
+            if sum(w in near(start + p) for p, w in enumerate(own)) < license_scan.COVERAGE * len(own):
+                continue
+            places = [next(i for i in range(len(own)) if own[i : i + len(k)] == k) for k in keys]
+            if all(any(words[i : i + len(k)] == k for i in range(max(0, start + p - drift), max(0, start + p + drift + 1)))
+                   for k, p in zip(keys, places)):
+                out.add(t.label)
+    return out
+
+
+def test_labels_equal_every_start():
+    rng, index = np.random.default_rng(11), license_scan.Index(license_scan.TEMPLATES, {})
+    seen = set()
+    for _ in range(400):
+        words = []
+        for _ in range(rng.integers(1, 4)):
+            own = license_scan.words_of(license_scan.TEMPLATES[rng.integers(len(license_scan.TEMPLATES))].text)
+            for _ in range(rng.integers(0, 4)):
+                at = int(rng.integers(len(own)))
+                own = [own[:at] + [b"other"] + own[at + 1 :], own[:at] + own[at + 1 :], own[:at] + [b"more"] + own[at:]][rng.integers(3)] or [b"x"]
+            words += own + [b"filler"] * int(rng.integers(0, 5))
+        got = {license_scan.TEMPLATES[t].label for t in index.find(words)}
+        assert got == every_start(words)
+        seen |= got
+    assert len(seen) > 12
+
+
 def test_license_query(spark, documents):
     check_licenses(QUERIES["op1_license_scan"](spark, SF_DIR).collect(), documents)
 
