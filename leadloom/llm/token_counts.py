@@ -68,16 +68,22 @@ def attribute(token_bytes: np.ndarray, counts: np.ndarray, doc_ids: pa.Array, si
     crossing = np.flatnonzero(a != z)
     n_tokens = np.bincount(a[a == z], minlength=len(size)).astype(float)
     n_crossing = np.zeros(len(size), np.int64)
-    for t in crossing:
-        covered = held[(held >= a[t]) & (held <= z[t])]
-        shares = np.minimum(ends[covered], token_end[t]) - np.maximum(starts[covered], token_start[t])
-        if rule == "split":
-            n_tokens[covered] += shares / token_bytes[t]
-            n_crossing[covered] += 1
-        else:
-            given = covered[0] if rule == "start" else covered[int(np.argmax(shares))]
-            n_tokens[given] += 1
-            n_crossing[given] += 1
+    # The sections that each crossing token covers, end to end: no more of them than the tokens have bytes.
+    low = np.searchsorted(held, a[crossing])
+    many = np.searchsorted(held, z[crossing], side="right") - low
+    token = np.repeat(crossing, many)
+    begins = np.cumsum(many) - many
+    covered = held[np.arange(len(token)) - np.repeat(begins - low, many)]
+    shares = np.minimum(ends[covered], token_end[token]) - np.maximum(starts[covered], token_start[token])
+    if rule == "split":
+        n_tokens += np.bincount(covered, weights=shares / token_bytes[token], minlength=len(size))
+        n_crossing += np.bincount(covered, minlength=len(size))
+    elif len(crossing):
+        largest = np.repeat(np.maximum.reduceat(shares, begins), many) if rule == "majority" else shares
+        fits = np.flatnonzero(shares == largest)
+        given = covered[fits[np.searchsorted(fits, begins)]]  # the first that fits of each token
+        n_tokens += np.bincount(given, minlength=len(size))
+        n_crossing += np.bincount(given, minlength=len(size))
     doc = np.repeat(np.arange(len(per_doc)), per_doc)
     begin = starts[first_section[doc]] if len(doc) else starts
     return {
