@@ -96,37 +96,54 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
+def _set_hashes(elements: np.ndarray, repeats: np.ndarray, sizes: np.ndarray, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each set, in two halves."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    salted = mix(elements ^ mix(repeats.astype(np.uint64))) if weighted else elements
+    a, b = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
+    np.add.at(a, owner, mix(salted ^ _STEP))
+    np.add.at(b, owner, mix(salted ^ _CELL))
+    return _signed(a), _signed(b)
+
+
+#: What tells the texts of one id apart.
+_TEXT = ["t1", "t2"]
+
+
+def _with_text_hashes(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+
+
 def fingerprints(docs: DataFrame, weighted: bool, bands: int, rows: int) -> DataFrame:
-    """``(doc_id, a, b, bands)``: a 128-bit hash of the shingle set and the band keys; no row without words."""
+    """``(doc_id, t1, t2, a, b, bands)``: hashes of the text and of the shingle set, and the band keys, of every row.
+
+    A text without words has null set hashes and keys.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
                 elements, repeats, sizes = shingle_sets(some.column("text").to_pylist(), SHINGLE)
                 weights = repeats.astype(float) if weighted else np.ones(len(elements))
                 keys = band_keys(dart_signatures(elements, weights, sizes, bands * rows), bands)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                salted = mix(elements ^ mix(repeats.astype(np.uint64))) if weighted else elements
-                a, b = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
-                np.add.at(a, owner, mix(salted ^ _STEP))
-                np.add.at(b, owner, mix(salted ^ _CELL))
-                held = np.flatnonzero(sizes)
-                offsets = pa.array(np.arange(len(held) + 1, dtype=np.int32) * bands)
-                lists = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.ascontiguousarray(keys[held]).reshape(-1))))
+                a, b = _set_hashes(elements, repeats, sizes, weighted)
+                empty = sizes == 0
+                offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * bands)
+                lists = pa.ListArray.from_arrays(offsets, pa.array(_signed(np.ascontiguousarray(keys).reshape(-1))), mask=pa.array(empty))
                 yield pa.RecordBatch.from_arrays([
-                    some.column("doc_id").take(pa.array(held)), pa.array(_signed(a[held])), pa.array(_signed(b[held])), lists
-                ], names=["doc_id", "a", "b", "bands"])
+                    *(some.column(c) for c in ("doc_id", *_TEXT)), pa.array(a, mask=empty), pa.array(b, mask=empty), lists
+                ], names=["doc_id", *_TEXT, "a", "b", "bands"])
 
-    known = docs.where(F.col("doc_id").isNotNull())
-    rows_in = text_of(known, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows_in.mapInArrow(run, "doc_id bigint, a bigint, b bigint, bands array<bigint>")
+    rows_in = _with_text_hashes(text_of(docs, F.col("doc_id").cast("long").alias("doc_id")))
+    return rows_in.mapInArrow(run, "doc_id bigint, t1 bigint, t2 bigint, a bigint, b bigint, bands array<bigint>")
 
 
 def shingles_of(docs: DataFrame, weighted: bool) -> DataFrame:
-    """``(doc_id, shingles)`` as sorted 32-bit hashes; a repeated shingle has one hash per repeat if weighted."""
+    """``(doc_id, a, b, shingles)`` as sorted 32-bit hashes; a repeated shingle has one hash per repeat if weighted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
                 elements, repeats, sizes = shingle_sets(some.column("text").to_pylist(), SHINGLE)
+                a, b = _set_hashes(elements, repeats, sizes, weighted)
                 if weighted:
                     owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), repeats)
                     number = np.arange(len(owner)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
@@ -135,13 +152,14 @@ def shingles_of(docs: DataFrame, weighted: bool) -> DataFrame:
                 short = (elements >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.ListArray.from_arrays(offsets, pa.array(short))], names=["doc_id", "shingles"])
+                    [some.column("doc_id"), pa.array(a), pa.array(b), pa.ListArray.from_arrays(offsets, pa.array(short))],
+                    names=["doc_id", "a", "b", "shingles"])
 
-    return text_of(docs, "doc_id").mapInArrow(run, "doc_id bigint, shingles array<int>")
+    return text_of(docs, "doc_id").mapInArrow(run, "doc_id bigint, a bigint, b bigint, shingles array<int>")
 
 
 def first_of_buckets(members: DataFrame) -> DataFrame:
-    """``(x, y)`` pairs of each member ``(doc, bucket...)`` with the first document of its bucket."""
+    """``(x, y)`` pairs of each member ``(doc, bucket...)`` with the first of its bucket."""
     keys = [c for c in members.columns if c != "doc"]
     firsts = members.groupBy(*keys).agg(F.min("doc").alias("x"), F.count("*").alias("n")).where("n > 1").drop("n")
     return members.join(firsts, keys).where("doc <> x").select("x", F.col("doc").alias("y")).distinct()
@@ -149,7 +167,7 @@ def first_of_buckets(members: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """``(x, y, linked)`` by the exact similarity of the shingle sets of each pair of documents."""
-    named = lambda n: sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"s{n}"))
+    named = lambda n: sets.select(F.col("doc").alias(n), F.col("shingles").alias(f"s{n}"))
     both = pairs.join(named("x"), "x").join(named("y"), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     share = common / (F.size("sx") + F.size("sy") - common)
@@ -198,7 +216,7 @@ def links_between(members: DataFrame, labels: DataFrame, sets: DataFrame, simila
     keys = ["band", "key"]
     named = members.join(labels, F.col("doc") == F.col("node"), "left").select(
         *keys, "doc", F.coalesce("component", "doc").alias("label"))
-    sized = stage(named.join(sets.select(F.col("doc_id").alias("doc"), F.size("shingles").cast("long").alias("size")), "doc"), "members")
+    sized = stage(named.join(sets.select("doc", F.size("shingles").cast("long").alias("size")), "doc"), "members")
     parts = sized.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     chunks = lambda n, size: F.ceil(F.greatest(F.col(n) / CHUNK, F.col(size) / CHUNK_SHINGLES)).cast("int")
     mixed = parts.groupBy(*keys).agg(
@@ -215,7 +233,7 @@ def links_between(members: DataFrame, labels: DataFrame, sets: DataFrame, simila
     dealt = dealt.select(
         *keys, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "doc", "label",
         (F.col("chunk") > F.col("other")).alias("second"))
-    loaded = dealt.join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    loaded = dealt.join(sets, "doc")
 
     def run(block: pa.Table) -> pa.Table:
         block = block.sort_by("doc").combine_chunks()
@@ -227,49 +245,66 @@ def links_between(members: DataFrame, labels: DataFrame, sets: DataFrame, simila
     return loaded.groupBy(*keys, "i", "j").applyInArrow(run, "x bigint, y bigint")
 
 
-def near_duplicates(
+def classes_of(
     docs: DataFrame, similar: float = SIMILAR, weighted: bool = False, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
-    """``(doc_id, class_id)`` of every row of ``docs (doc_id, text)``.
+    """``(doc_id, t1, t2, class_id, member)`` of every row of ``docs``: its class, and the number of its set.
 
-    ``class_id`` is the smallest ``doc_id`` that is reachable by links of similarity ``similar`` or more on
-    shingles of five words; unweighted, a shingle counts once per document. Null texts and texts without words
-    link with nothing, a null id has a null class. Texts shorter than a shingle are one shingle. Rows that
-    repeat an id get the same class as the first text of that id; an empty table gives no rows; other columns
-    are not read. Starts jobs while it builds.
+    ``class_id`` is the smallest ``doc_id`` of the class. Texts without words have a null ``member`` and are each a
+    class of their own. ``t1`` and ``t2`` tell texts of one id apart. Starts jobs while it builds.
     """
     prints = stage(fingerprints(docs, weighted, bands, rows), "fingerprints")
-    classes = prints.groupBy("a", "b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"))
-    distinct = stage(prints.join(classes.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "doc"), (
-        F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("doc_id") == F.col("doc"))
-    ).select("a", "b", "doc", "bands").dropDuplicates(["a", "b"]), "distinct")
+    worded = prints.where("a is not null and doc_id is not null")
+    # Equal sets are one document from here on, numbered by its being written; its first row lends its keys and text.
+    firsts = worded.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    distinct = stage(firsts.withColumn("doc", F.monotonically_increasing_id()), "distinct")
     members = distinct.select("doc", F.posexplode("bands").alias("band", "key"))
     pairs = stage(first_of_buckets(members), "pairs")
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
-    # Repeated ids have one text each in the first class; any of them stands for the id.
-    sets = stage(shingles_of(texts, weighted).dropDuplicates(["doc_id"]), "shingles")
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    wanted = stage(distinct.select("doc", "doc_id", "a", "b").join(wanted, "doc", "left_semi"), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # An id may have several texts, and rows that repeat; one row of each wanted set counts.
+    sets = shingles_of(texts, weighted).join(wanted, ["doc_id", "a", "b"]).select("doc", "shingles").dropDuplicates(["doc"])
+    sets = stage(sets, "shingles")
     first = stage(verified(pairs, sets, similar), "verified").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = stage(connected_components(first), "labels")
     # A bucket's documents may link with each other but not with its first.
     others = stage(links_between(members, labels, sets, similar), "links-between")
     links = first.unionByName(others.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    found = connected_components(links)
-    named = distinct.select("a", "b", "doc").join(found, F.col("doc") == F.col("node"), "left").select(
-        F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "doc").alias("class_id"))
-    own = prints.select("doc_id", "a", "b").dropDuplicates(["doc_id"]).join(
-        named, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb"))).select("doc_id", "class_id")
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(own, "doc_id", "left")
-    return rest.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    named = distinct.select("a", "b", "doc", "doc_id").join(connected_components(links), F.col("doc") == F.col("node"), "left")
+    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("smallest"))
+    named = named.join(least, "component", "left").select("a", "b", F.coalesce("component", "doc").alias("member"),
+                                                          F.coalesce("smallest", "doc_id").alias("class_id"))
+    own = worded.drop("bands").join(named, ["a", "b"])
+    rest = prints.where("a is null or doc_id is null").select(
+        "doc_id", *_TEXT, F.col("doc_id").alias("class_id"), F.lit(None).cast("long").alias("member"))
+    return own.select("doc_id", *_TEXT, "class_id", "member").unionByName(rest)
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``(doc_id, class_id)`` of every row of ``docs (doc_id, text)``.
+
+    ``class_id`` is the smallest ``doc_id`` that is reachable by links of similarity ``similar`` or more on
+    shingles of five words; unweighted, a shingle counts once per document. Null texts and texts without words
+    link with nothing, a null id has a null class. Texts shorter than a shingle are one shingle. Different texts under
+    one id have each a class of their own; an empty table gives no rows; other columns are not read. ``options`` are
+    those of ``classes_of``. Starts jobs while it builds.
+    """
+    return classes_of(docs, **options).select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, whole, that are the first of their class; rows with a null id all stay.
 
-    Rows that repeat an id count as copies of each other: one of them stays.
+    Of a class the text of the smallest id stays, and of several under that id the one whose hashes are smallest.
+    Texts without words all stay. Of rows with the same id and text one stays.
     """
-    classes = near_duplicates(docs, **options)
-    drop = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    nameless = docs.where("doc_id is null")
-    kept = docs.where("doc_id is not null").join(drop, "doc_id", "left_anti").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(nameless)
+    known = classes_of(docs, **options).where("doc_id is not null")
+    firsts = known.where("member is not null").groupBy("member").agg(F.min(F.struct("doc_id", *_TEXT)).alias("first")).select("first.*")
+    firsts = firsts.unionByName(known.where("member is null").select("doc_id", *_TEXT).distinct())
+    free = [name + "_" * max(map(len, docs.columns)) for name in _TEXT]  # names that ``docs`` has not
+    text = F.coalesce("text", F.lit(""))
+    hashed = docs.where("doc_id is not null").withColumns({free[0]: F.xxhash64(text), free[1]: F.xxhash64(F.lit(1), text)})
+    kept = hashed.join(firsts.withColumnsRenamed(dict(zip(_TEXT, free))), ["doc_id", *free], "left_semi")
+    kept = kept.dropDuplicates(["doc_id", *free]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))

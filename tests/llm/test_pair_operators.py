@@ -98,6 +98,25 @@ def test_repeated_ids_are_copies(spark):
     assert sorted(r.doc_id for r in near_dedup.keep_first(df).collect()) == [1, 3]
 
 
+def test_different_texts_of_one_id_are_classed_apart(spark):
+    a, b = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(1, a), (1, b), (2, a), (3, b + " u"), (4, None), (4, ""), (4, ""), (5, "x"), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("t1", F.lit("clash")).withColumn("t2", F.lit(1))
+    key = lambda r: tuple(str(v) for v in r)
+    got = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=key)
+    assert got == sorted([(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 5), (None, None)], key=key)
+    kept = near_dedup.keep_first(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text or "") for r in kept.collect()), key=key) == sorted([(1, a), (1, b), (4, ""), (5, "x"), (None, a)], key=key)
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    words = [f"w{i % 9973}x{i % 7}" for i in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["other", *words[1:]])), (3, "w1x1 w2x2 w3x3 w4x4 w5x5 w6x6")]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_darts_estimate_weighted_similarity():
     elements = np.array([1, 2, 3, 1, 2, 3, 4], np.uint64)
     weights = np.array([2.5, 1, 3, 1.5, 1, 3, 2.0])
