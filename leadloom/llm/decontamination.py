@@ -5,7 +5,8 @@ with a pointer: step ``j`` outputs the word under the pointer and moves on if a
 and the word, is 1. Sequences at a small edit distance then mostly output the same words at the same steps, so
 edit distance becomes Hamming distance. Each repetition draws its own bits and samples coordinates of the
 embedding; an item-sized window of a document is a candidate if it agrees with an item in all of them.
-Repetitions start at different places of the items, so an edit in one place does not spoil all of them.
+Repetitions start at places spread over the whole items, so an edit in one place does not spoil all of them. There
+are as many of them as find the target share of a sample of the items, edited as far as a match may be.
 
 Windows start at every word. Those whose first coordinate is no item's are left out before the walk goes on,
 and so on from coordinate to coordinate; what agrees in all is verified by exact edit distance in words.
@@ -24,8 +25,12 @@ from leadloom.llm.word_hashes import hash_words
 
 #: Share of an item's words that may be edited in a match.
 EDITS = 0.2
-#: Repetitions, and the range of steps that each further coordinate is drawn from.
-REPETITIONS, LATER = 24, ((1, 4), (4, 16))
+#: Share of passages with that many edits that repetitions must find, and the range of how many there may be.
+TARGET, REPETITIONS = 0.99, (24, 96)
+#: Items on which the share is measured, and edited copies of each.
+MEASURED, COPIES = 500, 2
+#: The range of steps that each further coordinate is drawn from.
+LATER = ((1, 4), (4, 16))
 #: Bytes of benchmark text that are searched for at once; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 8 << 20
 
@@ -59,6 +64,29 @@ def best_match(item: list[int], window: list[int]) -> tuple[int, int]:
     return best, end
 
 
+def laid_out(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts end to end, where each begins, and its words; a gap of zeros keeps walks from one text out of the next."""
+    gap = LATER[-1][1] + 1
+    begins = np.cumsum(counts) - counts + gap * np.arange(len(counts))
+    codes = np.zeros(len(words) + gap * len(counts), np.int32)
+    codes[np.arange(len(words)) + gap * np.repeat(np.arange(len(counts)), counts)] = words
+    return codes, begins, counts
+
+
+def edited(words: list[int], edits: int, random: np.random.Generator) -> list[int]:
+    """``words`` after that many substitutions, insertions and deletions by an unknown word, as often each."""
+    out = list(words)
+    for kind, place in zip(random.integers(0, 3, edits).tolist(), random.random(edits).tolist()):
+        at = int(place * len(out))
+        if kind == 0 and out:
+            out[at] = 0
+        elif kind == 1:
+            out.insert(at, 0)
+        elif len(out) > 1:
+            del out[at]
+    return out
+
+
 class Index:
     """Items of one block, and the sampled coordinates of their embeddings in each repetition."""
 
@@ -72,14 +100,32 @@ class Index:
         self.sets = [set(w) for w in self.words]
         size = len(self.vocabulary) + 1
         self.common = np.bincount(codes, minlength=size)
-        random = np.random.default_rng(seed)
-        self.passes = [self._prepare(random, r, size) for r in range(REPETITIONS)]
+        self.passes: list[tuple] = []
+        self.recall = self._repeat(np.random.default_rng(seed), size)
+
+    def _repeat(self, random: np.random.Generator, size: int) -> float:
+        """Add repetitions until they find the target share of edited items; the share that they find."""
+        picked = np.linspace(0, len(self.words) - 1, min(MEASURED, len(self.words))).astype(int).repeat(COPIES)
+        texts = [edited(self.words[k], int(EDITS * len(self.words[k])), random) for k in picked]
+        codes, begins, _ = laid_out(np.array([c for t in texts for c in t], np.int64), np.array([len(t) for t in texts], np.int64))
+        found, share = np.zeros(len(texts), bool), 1.0
+        for r in range(REPETITIONS[1]):
+            self.passes.append(self._prepare(random, r, size))
+            if len(texts):
+                got = list(self._candidates(codes, self.passes[-1]))
+                text = np.searchsorted(begins, [max(start, 0) + 1 + len(self.words[item]) // 4 for start, item in got], side="right") - 1
+                for t, (_, item) in zip(text.tolist(), got):
+                    found[t] |= picked[t] == item
+                share = float(found.mean())
+            if r + 1 >= REPETITIONS[0] and share >= TARGET:
+                break
+        return share
 
     def _prepare(self, random: np.random.Generator, repetition: int, size: int):
         """Bits by step, sampled steps, and what items output there: at first, at first and second, at all."""
         samples = [int(random.integers(low, high)) for low, high in LATER]
         bits = random.integers(0, 2, (samples[-1], size)).astype(np.int8)
-        share = repetition / REPETITIONS
+        share = int(f"{repetition + 1:010b}"[::-1], 2) / 1024  # any number of repetitions is spread evenly
         first = np.zeros(size, bool)
         stages: list[dict[tuple[int, ...], list[tuple[int, int]]]] = [{} for _ in samples]
         done: list[dict[tuple[int, ...], list[tuple[int, int]]]] = [{} for _ in range(len(samples) + 1)]
@@ -111,21 +157,25 @@ class Index:
 
         ``codes`` ends with as many zeros as a walk may go on. Zero is any word outside the benchmark.
         """
-        for bits, samples, first, known, finished, wide in self.passes:
-            start = np.flatnonzero(first[codes])
-            at, key, step, scale = start, codes[start].astype(np.int64), 0, wide
-            yield from self._found(finished[0], key, start)
-            for n, sample in enumerate(samples):
-                while step < sample:
-                    at = at + bits[step][codes[at]]
-                    step += 1
-                key = key + codes[at] * scale
-                scale = scale * wide
-                place = np.searchsorted(known[n], key)
-                place[place == len(known[n])] = 0
-                agree = known[n][place] == key if len(known[n]) else np.zeros(len(key), bool)
-                start, at, key = start[agree], at[agree], key[agree]
-                yield from self._found(finished[n + 1], key, start)
+        for one in self.passes:
+            yield from self._candidates(codes, one)
+
+    def _candidates(self, codes: np.ndarray, one: tuple) -> Iterator[tuple[int, int]]:
+        bits, samples, first, known, finished, wide = one
+        start = np.flatnonzero(first[codes])
+        at, key, step, scale = start, codes[start].astype(np.int64), 0, wide
+        yield from self._found(finished[0], key, start)
+        for n, sample in enumerate(samples):
+            while step < sample:
+                at = at + bits[step][codes[at]]
+                step += 1
+            key = key + codes[at] * scale
+            scale = scale * wide
+            place = np.searchsorted(known[n], key)
+            place[place == len(known[n])] = 0
+            agree = known[n][place] == key if len(known[n]) else np.zeros(len(key), bool)
+            start, at, key = start[agree], at[agree], key[agree]
+            yield from self._found(finished[n + 1], key, start)
 
     @staticmethod
     def _found(finished: dict[int, list[tuple[int, int]]], keys: np.ndarray, starts: np.ndarray):
@@ -144,12 +194,7 @@ class Index:
         place = np.searchsorted(self.vocabulary, hashes)
         place[place == len(self.vocabulary)] = 0
         known = np.where(self.vocabulary[place] == hashes, place + 1, 0)
-        # A gap of zeros after each text keeps walks from one text out of the next.
-        gap = LATER[-1][1] + 1
-        ends = np.cumsum(counts)
-        begins = ends - counts + gap * np.arange(len(counts))
-        codes = np.zeros(len(known) + gap * len(counts), np.int32)
-        codes[np.arange(len(known)) + gap * np.repeat(np.arange(len(counts)), counts)] = known
+        codes, begins, counts = laid_out(known, counts)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         tried: set[tuple[int, int]] = set()
         for start, item in self.candidates(codes):
