@@ -13,6 +13,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from leadloom.llm.common import slices, text_of
@@ -29,8 +30,9 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
 
-#: Labelled documents per language that the machines are fitted on at most, and languages at most.
-SAMPLE, LANGUAGES = 800, 500
+#: Labelled documents that the machines are fitted on: of a language at most and at least, and in all. With many
+#: languages each has fewer; beyond 1500 languages the rarest are not learned.
+SAMPLE, LEAST, FITTED = 800, 8, 12_000
 HASHED, SIZES = 2048, (2, 3)
 SHARPNESS = 4.0
 
@@ -124,12 +126,13 @@ def is_held_out(doc_id: Column) -> Column:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on about ``sample`` documents per language outside the held-out ones, chosen by a hash of their ids.
 
-    Only counts per language and the chosen documents' vectors reach the driver.
+    Only counts per language and the chosen documents' vectors reach the driver, about ``FITTED`` of them at most.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(FITTED // LEAST).collect()
     if not counts:
         return Model()
+    sample = max(LEAST, min(sample, FITTED // len(counts)))
     shares = F.create_map(*[F.lit(x) for r in counts for x in (r.lang, min(1.0, sample / r["count"]))])
     ticket = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     chosen = known.where(ticket < F.coalesce(shares[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", "text")
@@ -142,7 +145,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     some.column("doc_id").cast(pa.int64()), some.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())
                 ], names=["doc_id", "lang", "row"])
 
-    got = chosen.mapInArrow(run, "doc_id bigint, lang string, row binary").limit(2 * sample * len(counts)).collect()
+    got = chosen.mapInArrow(run, "doc_id bigint, lang string, row binary").limit(2 * max(sample * len(counts), 1000)).collect()
     got.sort(key=lambda r: (r.lang, -1 if r.doc_id is None else r.doc_id, r.row))
     if not got:
         return Model()
@@ -171,15 +174,25 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, whole, whose language is told, however closely; all with a letter if none was learned."""
+    """The rows of ``docs``, whole, whose language is told, however closely; all with a letter if none was learned.
+
+    A null ``lang``, where ``docs`` has that column, is filled with the language told. Null texts and those without a
+    letter go; repeated rows repeat; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    fill = docs.columns.index("lang") if dict(docs.dtypes).get("lang") == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 if shared.value.families:
-                    kept = [n != "und" for n in shared.value.predict(texts)[0]]
+                    names = shared.value.predict(texts)[0]
+                    kept = [n != "und" for n in names]
+                    if fill is not None:
+                        own = some.column(fill)
+                        filled = pc.coalesce(own, pa.array(names, own.type))
+                        some = some.set_column(fill, some.schema.field(fill), filled)
                 else:
                     kept = [any(map(str.isalpha, t)) for t in texts]
                 yield some.filter(pa.array(kept, pa.bool_()))
