@@ -169,6 +169,26 @@ def test_near_duplicate_vectors(spark, monkeypatch, chunk):
     assert embedding_dedup.near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(3).collect()]
+    odd = [(1, texts[0], "en", "s", 1), (1, texts[0], "en", "s", 1), (1, texts[1], None, None, None), (2, None, None, None, None),
+           (3, "", "en", "s", 0), (4, "12 34", "en", "s", 5), (None, texts[2], None, "s", 9), (5, texts[0] + " " + texts[0], "en", "s", 2)]
+    for name, rows in (("odd", odd), ("empty", [])):
+        spark.createDataFrame(rows, docs.schema).withColumn("t1", F.lit("clash")).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF_DIR}/{table}.parquet").limit(0 if name == "empty" else 1000).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    kept = spark.read.parquet(f"{tmp_path}/odd/documents.parquet")
+    for name, function in corpus_pipeline.STAGES[1:4]:
+        kept = function(spark, kept, f"{tmp_path}/odd")
+        assert kept.columns == [*docs.columns, "t1"]
+    got = kept.collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "5", "None"] and all(r.lang for r in got)
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()]
+    assert set(ids) <= {1, 5, None}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}

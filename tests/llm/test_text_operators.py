@@ -386,6 +386,48 @@ def test_close_languages_and_no_learned_language_keep_readable_rows(spark):
         assert [r.doc_id for r in language_id.keep_identified(df, model).collect()] == [1]
 
 
+def test_votes_of_language_machines_equal_a_plain_loop():
+    rng = np.random.default_rng(8)
+    machine = lambda: (rng.normal(size=language_id.HASHED).astype(np.float32), float(rng.normal()))
+    members = {"a": ["a1", "a2", "a3", "a4"], "b": ["b1"], "c": ["c1", "c2"]}
+    pairs = {(x, y): machine() for own in members.values() for i, x in enumerate(own) for y in own[i + 1 :]}
+    model = language_id.Model(list(members), members, [machine() for _ in members], pairs)
+    texts = ["".join(rng.choice(list("abcdefgh  "), 60)) + "a" for _ in range(80)]
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        row = language_id.features([text])[0]
+        margins = [float(row @ w + b) for w, b in model.family_machines]
+        family = members[model.families[int(np.argmax(margins))]]
+        votes, least = dict.fromkeys(family, 0), dict.fromkeys(family, np.inf)
+        for (x, y), (w, b) in pairs.items():
+            if x in family:
+                margin = float(row @ w + b)
+                votes[x if margin >= 0 else y] += 1
+                least[x], least[y] = min(least[x], margin), min(least[y], -margin)
+        best = max(family, key=lambda lang: (votes[lang], least[lang]))
+        sure = 1 / (1 + np.exp(-language_id.SHARPNESS * (sorted(margins)[-1] - sorted(margins)[-2])))
+        inner = 1 / (1 + np.exp(-language_id.SHARPNESS * least[best])) if len(family) > 1 else 1
+        assert name == best and score == pytest.approx(sure * inner, rel=1e-4)
+
+
+def test_equal_votes_go_to_the_larger_least_margin():
+    machine = lambda bias: (np.zeros(language_id.HASHED, np.float32), bias)
+    pairs = {("x", "y"): machine(1.0), ("x", "z"): machine(-3.0), ("y", "z"): machine(2.0)}  # one vote each
+    model = language_id.Model(["f"], {"f": ["x", "y", "z"]}, [], pairs)
+    assert model.predict(["word"])[0] == ["y"]
+
+
+def test_every_language_is_learned_and_null_ones_are_filled(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "FITTED", 26 * 8)
+    rows = [(i, f"{chr(97 + i % 26) * 3} {chr(97 + i % 26) * 4}", f"l{i % 26}") for i in range(1040)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    assert sorted(x for own in model.members.values() for x in own) == sorted({lang for *_, lang in rows})
+    odd = [(1, "aaa aaaa", None), (2, "bbb bbbb", "kept"), (3, None, None), (4, "##", None)]
+    kept = language_id.keep_identified(spark.createDataFrame(odd, df.schema), model)
+    assert sorted(map(tuple, kept.collect())) == [(1, "aaa aaaa", "l0"), (2, "bbb bbbb", "kept")]
+
+
 def test_language_query_and_odd_rows(spark, odd):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}
@@ -435,6 +477,29 @@ def test_bit_vector_distance():
         assert decontamination.best_match(item, text)[0] == plain_distance(item, text)
 
 
+def test_quality_scores_equal_sorted_cosines():
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abc ABC.,123\n"), int(rng.integers(1, 300)))) for _ in range(120)]
+    model = quality_knn.fit_rows(quality_knn.features(texts[:90]), (rng.random(90) < 0.5).astype(float))
+    scores = model.scores(texts)
+    for text, score in zip(texts, scores):
+        own = model.latent(quality_knn.features([text]))[0]
+        cosines = [float(own @ v) for v in model.vectors]
+        near = sorted(range(90), key=lambda i: -cosines[i])[: quality_knn.NEIGHBOURS]
+        weights = [max(cosines[i], 0) ** quality_knn.POWER + 1e-9 for i in near]
+        assert score == pytest.approx(sum(w * model.labels[i] for w, i in zip(weights, near)) / sum(weights), abs=1e-3)
+
+
+def test_equal_neighbours_and_several_labels_of_one_id(spark):
+    rows = quality_knn.features(["same text here"] * 30)
+    labels = np.array([1.0] * 25 + [0.0] * 5)
+    assert quality_knn.fit_rows(rows, labels).scores(["same text here"])[0] == 1.0  # ties: the earlier in order
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 40)], "doc_id long, text string")
+    both = spark.createDataFrame([(i, q) for i in range(1, 40) for q in (0, 1)], "doc_id long, quality int")
+    fitted = quality_knn.fit(docs, both)
+    assert sorted(fitted.labels) == [0.0] * (len(fitted.labels) // 2) + [1.0] * (len(fitted.labels) // 2)
+
+
 def test_decontamination_finds_edited_passages(spark, documents):
     random = np.random.default_rng(4)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()]
@@ -454,6 +519,25 @@ def test_decontamination_finds_edited_passages(spark, documents):
     assert decontamination.keep_clean(frame(spark, ODD), bench).count() == len(ODD)
 
 
+@pytest.mark.parametrize("kind", ["substitute", "insert", "delete"])
+@pytest.mark.parametrize("length", [8, 30, 60, 150])
+def test_decontamination_recall_at_the_limit(kind, length):
+    random = np.random.default_rng(length)
+    vocabulary, weights = [f"w{i}" for i in range(3000)], 1 / np.arange(1, 3001)  # common words repeat within items
+    draw = lambda n: random.choice(vocabulary, n, p=weights / weights.sum()).tolist()
+    items = [(k, " ".join(draw(length))) for k in range(150)]
+    index = decontamination.Index(items)
+    texts = []
+    for _, text in items:
+        words = text.split()
+        for at in sorted(random.choice(length, length // 5, replace=False).tolist(), reverse=True):
+            words[at : at + (kind != "insert")] = [] if kind == "delete" else ["other"]
+        texts.append(" ".join([*draw(40), *words, *draw(40)]))
+    found = {(t, item) for t, item, *_ in index.matches(texts)}
+    assert index.recall >= decontamination.TARGET
+    assert np.mean([(k, k) in found for k in range(len(items))]) >= 0.98
+
+
 def test_decontamination_query_against_every_window(spark, documents):
     items = {r.item_id: base_words(r.text) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect()}
     got = {(r.doc_id, r.item_id): r.edits for r in QUERIES["op5_decontamination"](spark, SF_DIR).collect()}
