@@ -1,7 +1,9 @@
 """The corpus pipeline: from documents to training tokens, one operator per stage.
 
 Every stage takes all that its predecessor kept, and its decisions take effect. All but the last return the
-columns of ``documents``; the last returns digests of the token ids of what is left.
+columns of ``documents``; the last returns digests of the token ids of what is left. In every stage null text counts as
+empty, rows that repeat are judged alike, extra columns are kept whatever their names, and an empty table gives
+no rows; what else becomes of odd rows is said at each stage.
 """
 
 from __future__ import annotations
@@ -14,27 +16,38 @@ from leadloom.session import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the nearest labelled documents vote good."""
+    """Documents that the nearest labelled documents vote good; all where none is labelled.
+
+    An empty text is voted on like any other. A null id is never labelled but can stay. Of several labels of an id each
+    votes for itself.
+    """
     return quality_knn.keep_good(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told, however closely; those without a letter go."""
+    """Documents whose language is told, however closely; a null ``lang`` becomes what is told.
+
+    Null and empty texts and those without a letter go.
+    """
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of near-duplicates."""
+    """The first document of each class of near-duplicates.
+
+    Texts without words all stay, as do rows with a null id; rows of one id and text become one, different texts of one id
+    are told apart.
+    """
     return near_dedup.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage within a fifth of its words of a benchmark item."""
+    """Documents without a passage within a fifth of its words of a benchmark item; empty texts stay."""
     return decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts of what is left."""
+    """Token counts and digests of ids and decoded texts of what is left; an empty text has no tokens."""
     return bpe_automaton.round_trip_digests(docs)
 
 
