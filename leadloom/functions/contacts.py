@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
+from leadloom import fixed_values as V
 from leadloom.functions.binding import let
 from leadloom.functions.html import strip
 
@@ -20,20 +21,29 @@ EMAIL_SYNTAX = rf"^{_ATOM}(?:\.{_ATOM})*@(?:{_LABEL}\.)+{_TOP}$"
 # Top-level names that are reserved for special use.
 _RESERVED = r"\.(?:alt|arpa|invalid|local|localhost|onion|test)$"
 
-# International calling codes in use, other than +1, by zone.
-OTHER_CALLING_CODES = (
-    r"2[07]|21[1-368]|2[2346][0-9]|25[0-8]|29[017-9]"
-    r"|3[0-469]|3[57][0-9]|38[0-35-79]"
-    r"|4[013-9]|42[013]"
-    r"|5[1-8]|5[09][0-9]"
-    r"|6[0-6]|67[02-9]|68[0-35-9]|69[0-2]"
-    r"|7"
-    r"|8[1246]|80[08]|85[02356]|87[08]|88[0-368]"
-    r"|9[0-58]|96[0-8]|97[0-79]|99[2-68]"
-)
-# Area codes with two equal last digits that serve toll-free, personal and premium numbers.
-SERVICE_CODES = ("500", "522", "533", "544", "566", "577", "588", "600", "622", "633", "700", "800", "833", "844", "855",
-                 "866", "877", "888", "900")
+ASSIGNED_AREA_CODES = tuple(code for codes in V.AREA_CODES.values() for code in codes.split())
+
+
+def _national_numbers() -> str:
+    """Numbers with a plus that a country can have given out, as one pattern.
+
+    The codes are a prefix tree: those that begin alike share a branch, so a number is looked up digit by digit.
+    """
+    tree: dict[str, dict[str, list[str]]] = {}
+    for line in V.NATIONAL_NUMBERS.split("\n")[1:-1]:
+        code, lengths, first = line.split(" ")
+        # After the first digit come the others; ranges of lengths are written with a hyphen.
+        others = "|".join(
+            "[0-9]{%d,%d}" % (int(n.partition("-")[0]) - 1, int(n.rpartition("-")[2]) - 1) for n in lengths.split(","))
+        tree.setdefault(code[0], {}).setdefault(code[1:2], []).append(f"{code[2:]}[{first}](?:{others})")
+    branches = [
+        one + "(?:" + "|".join(two + "(?:" + "|".join(own) + ")" for two, own in sorted(below.items())) + ")"
+        for one, below in sorted(tree.items())
+    ]
+    return "^[+](?:" + "|".join(branches) + ")$"
+
+
+NATIONAL_NUMBERS = _national_numbers()
 _KEYPAD = ("abcdefghijklmnopqrstuvwxyz", "22233344455566677778889999")
 
 
@@ -75,23 +85,20 @@ def _significant(value: Column) -> Column:
 def normalize_phone(value: Column, area_codes: Sequence[str] | None = None) -> Column:
     """E.164 form with the US as home region, NULL when the number is not acceptable.
 
-    A North American number needs ten digits after an optional 1, an area code and an exchange that
-    both start with 2-9. Without ``area_codes`` an area code is taken as assigned by the numbering plan's
-    rules: none has a 9 in the middle or begins with 37 or 96, and of those that end in two equal digits
-    only the services in use count. With it only the listed ones do. Other numbers need a plus (or 011),
-    a calling code in use and 8-15 digits.
+    A North American number needs ten digits after an optional 1, an area code that is assigned and an exchange
+    that starts with 2-9. ``area_codes`` takes the place of the codes assigned when this was written. Other
+    numbers need a plus (or 011), a calling code in use, and a national number of a length and first digit that
+    its country gives out, 15 digits in all at most.
     """
+    codes = ASSIGNED_AREA_CODES if area_codes is None else area_codes
+
     def american(ten):
-        area = F.substring(ten, 1, 3)
-        by_rule = ~area.rlike(r"^(?:37|96)") & (~area.rlike(r"^.(.)\1$") | area.isin(*SERVICE_CODES))
-        assigned = by_rule if area_codes is None else area.isin(*area_codes)
-        return F.when((ten != "") & assigned, F.concat(F.lit("+1"), ten))
+        return F.when((ten != "") & F.substring(ten, 1, 3).isin(*codes), F.concat(F.lit("+1"), ten))
 
     def checked(number):
-        ten = F.regexp_extract(number, r"^(?:\+?1)?([2-9][0-8][0-9][2-9][0-9]{6})$", 1)
+        ten = F.regexp_extract(number, r"^(?:\+?1)?([2-9][0-9]{2}[2-9][0-9]{6})$", 1)
         home = ~number.startswith("+") | number.startswith("+1")
-        abroad = number.rlike(rf"^\+(?:{OTHER_CALLING_CODES})[0-9]{{4,}}$") & F.length(number).between(9, 16)
-        return F.when(home, let(ten, american)).when(abroad, number)
+        return F.when(home, let(ten, american)).when(number.rlike(NATIONAL_NUMBERS) & (F.length(number) <= 16), number)
 
     return let(_significant(value), checked)
 

@@ -47,10 +47,25 @@ def visible_markup(html: Column) -> Column:
     return F.regexp_replace(html, HIDDEN, "<!>")
 
 
-def start_tags(markup: Column, name: str) -> Column:
-    """All start tags of one element, as text, in document order."""
-    pattern = rf"(?is)<{name}(?=[\s/]){_ATTRIBUTES}"
-    return F.regexp_extract_all(markup, F.lit(pattern), F.lit(0))
+def tags(markup: Column, *names: str) -> Column:
+    """Start tags of some elements as ``(name, names, values)``, in document order, by one scan of the page.
+
+    The scan takes every tag whole, with its quoted values, so what stands inside a value is never taken for a tag.
+    ``names`` and ``values`` are the tag's attributes as written, names in lower case.
+    """
+    # Other tags match too, which moves the scan past them, but leave the wanted group empty.
+    pattern = rf"(?is)<(?:((?:{'|'.join(names)})(?=[\s/]){_ATTRIBUTES})|/?[a-z]{_ATTRIBUTES})"
+    wanted = F.filter(F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)), lambda tag: tag != "")
+
+    def parsed(tag):
+        body = F.regexp_replace(tag, r"^[A-Za-z][^\s/>]*+", "")
+        return F.struct(
+            F.lower(F.regexp_extract(tag, "^[A-Za-z]+", 0)).alias("name"),
+            F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(1)), F.lower).alias("names"),
+            F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(2)).alias("values"),
+        )
+
+    return F.transform(wanted, parsed)
 
 
 # One attribute after another, quoted values whole, so nothing inside a value is taken for a name.
@@ -58,13 +73,11 @@ _ATTRIBUTE = r"(?s)([^\s\"'>/=][^\s/>=]*+)(?:\s*+=\s*+(\"[^\"]*+\"?|'[^']*+'?|[^
 
 
 def attribute(tag: Column, name: str) -> Column:
-    """Decoded value of the first attribute ``name``; '' when absent or empty."""
-    body = F.regexp_replace(tag, r"^<[A-Za-z][^\s/>]*+", "")
-    names = F.transform(F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(body, F.lit(_ATTRIBUTE), F.lit(2))
-    raw = F.coalesce(F.try_element_at(values, F.nullif(F.array_position(names, name).cast("int"), F.lit(0))), F.lit(""))
+    """Decoded value of the first attribute ``name`` of a parsed tag; '' when absent or empty."""
+    place = F.nullif(F.array_position(tag["names"], name).cast("int"), F.lit(0))
+    raw = F.coalesce(F.try_element_at(tag["values"], place), F.lit(""))
     value = F.regexp_replace(raw, r"(?s)^\"([^\"]*)\"?$|^'([^']*)'?$", "$1$2")
-    return F.when(tag.rlike(rf"(?i)\b{name}\b"), decode_entities(value, legacy=False)).otherwise("")
+    return F.when(raw != "", decode_entities(value, legacy=False)).otherwise("")
 
 
 # The named references of the HTML standard, as the standard library lists them.
@@ -97,13 +110,18 @@ def _decode_lambda(legacy: bool) -> str:
     rest = "regexp_replace(p, '^#(?:[xX][0-9a-fA-F]+|[0-9]+);?', '')"
     numeric = f"concat(transform(array({code}), c -> {char})[0], {rest})"
     common = " ".join(f"WHEN startswith(p, '{n};') THEN concat({_sql(c)}, substring(p, {len(n) + 2}))" for n, c in _COMMON.items())
-    table = f"from_json({_sql(json.dumps(_NAMED))}, 'map<string,string>')"
-    known = f"element_at({table}, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1))"
+    # A map is searched from its start, so names are first told apart by two letters.
+    by_start: dict[str, dict[str, str]] = {}
+    for name, char_ in _NAMED.items():
+        by_start.setdefault(name[:2], {})[name] = char_
+    table = f"from_json({_sql(json.dumps(by_start))}, 'map<string,map<string,string>>')"
+    look_up = lambda name: f"element_at(element_at({table}, substring(p, 1, 2)), {name})"
+    known = look_up("regexp_extract(p, '^([A-Za-z][A-Za-z0-9]*);', 1)")
     named = f"concat({known}, regexp_replace(p, '^[A-Za-z][A-Za-z0-9]*;', ''))"
     bare = "concat('&', p)"
     if legacy:
         prefix = f"regexp_extract(p, '^(?:{'|'.join(_LEGACY)})', 0)"
-        bare = f"CASE WHEN {prefix} <> '' THEN concat(element_at({table}, {prefix}), substring(p, length({prefix}) + 1)) ELSE {bare} END"
+        bare = f"CASE WHEN {prefix} <> '' THEN concat({look_up(prefix)}, substring(p, length({prefix}) + 1)) ELSE {bare} END"
     part = (
         f"CASE WHEN p RLIKE '^#(?:[xX][0-9a-fA-F]|[0-9])' THEN {numeric} {common}"
         f" WHEN p RLIKE '^[A-Za-z]' THEN coalesce({named}, {bare}) ELSE concat('&', p) END"
@@ -123,10 +141,10 @@ def decode_entities(text: Column, legacy: bool = True) -> Column:
     return apply(_DECODE_TEXT if legacy else _DECODE_ATTRIBUTE, text)
 
 
-def links(markup: Column) -> Column:
-    """Non-empty ``href`` of every ``<a>``, in document order."""
-    hrefs = F.transform(start_tags(markup, "a"), lambda tag: attribute(tag, "href"))
-    return F.filter(hrefs, lambda h: h != "")
+def links(parsed: Column) -> Column:
+    """Non-empty ``href`` of every ``<a>`` among parsed ``tags``, in document order."""
+    anchors = F.filter(parsed, lambda tag: tag["name"] == "a")
+    return F.filter(F.transform(anchors, lambda tag: attribute(tag, "href")), lambda h: h != "")
 
 
 def title(markup: Column) -> Column:

@@ -45,7 +45,7 @@ def candidate_links(pages: DataFrame, seed_scheme: Column | None = None) -> Data
     found = spread_small(fresh_pages(pages), "page_seq").select(
         U.canonical_domain(F.col("url")).alias("canonical_domain"),
         scheme.alias("scheme"),
-        H.links(H.visible_markup(F.col("raw_html"))).alias("hrefs"),
+        H.links(H.tags(H.visible_markup(F.col("raw_html")), "a")).alias("hrefs"),
     )
     in_site = F.transform(
         F.col("hrefs"), lambda href: U.resolve_link(F.col("scheme"), F.col("canonical_domain"), href)

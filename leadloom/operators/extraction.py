@@ -41,10 +41,10 @@ def _one(value: Column, name: str, method: str, confidence: float) -> Column:
     return _fields(F.filter(F.array(value), lambda v: v != ""), name, method, confidence)
 
 
-def _metas(markup: Column) -> Column:
+def _metas(parsed: Column) -> Column:
     """Meta tags in document order as ``(name, property, content)``, content stripped."""
     return F.transform(
-        H.start_tags(markup, "meta"),
+        F.filter(parsed, lambda tag: tag["name"] == "meta"),
         lambda tag: F.struct(
             H.attribute(tag, "name").alias("name"),
             H.attribute(tag, "property").alias("property"),
@@ -192,12 +192,16 @@ def _hash_mark() -> Column:
     )
 
 
+#: Elements whose tags each section needs.
+_TAGS = {"contact": "a", "social": "a", "business": "meta", "generator": "meta"}
+
+
 def _parts(sections: tuple[str, ...]):
     """Parsed page parts that the sections need, by column name."""
     needed = {
         "ld": ({"business", "product", "contact", "social"}, lambda raw, _: json_ld.fields(json_ld.entries(H.json_ld_blocks(raw)))),
-        "hrefs": ({"contact", "social"}, lambda _, markup: H.links(markup)),
-        "metas": ({"business", "generator"}, lambda _, markup: _metas(markup)),
+        "hrefs": ({"contact", "social"}, lambda *_: H.links(F.col("tags"))),
+        "metas": ({"business", "generator"}, lambda *_: _metas(F.col("tags"))),
         "title": ({"business"}, lambda _, markup: H.title(markup)),
         "text_emails": ({"contact"}, lambda _, markup: H.visible_emails(markup)),
         "hash": ({"hash"}, lambda raw, _: H.content_hash(raw)),
@@ -221,6 +225,9 @@ def observations(pages: DataFrame, sections: Iterable[str] = SECTIONS, strict_so
         H.visible_markup(F.col("raw_html")).alias("markup"),
     )
     markup, raw = F.col("markup"), F.col("raw_html")
+    elements = sorted({_TAGS[s] for s in sections if s in _TAGS})
+    if elements:
+        df = df.withColumn("tags", H.tags(markup, *elements))
     parsed = df.select(
         "canonical_domain", "page_seq", "source_url", *[make(raw, markup).alias(name) for name, make in _parts(sections)]
     )
@@ -260,7 +267,7 @@ def page_links(pages: DataFrame) -> DataFrame:
     return spread_small(fresh_pages(pages), "page_seq").select(
         canonical_domain(F.col("url")).alias("canonical_domain"),
         F.col("page_seq").cast("long").alias("page_seq"),
-        F.posexplode(H.links(H.visible_markup(F.col("raw_html")))).alias("link_seq", "href"),
+        F.posexplode(H.links(H.tags(H.visible_markup(F.col("raw_html")), "a"))).alias("link_seq", "href"),
     )
 
 

@@ -21,16 +21,18 @@ EARLIER = "2024-01-01 00:00:00"
 SIGNAL_HTML = """replace(replace(html, '</head>', concat(
   CASE WHEN page_id % 8 = 1 THEN concat('<meta property="og:title" content="OG ', cast(page_id % 20 AS STRING), '"><meta content="Shop ', cast(page_id % 20 AS STRING), '" property="og:site_name">') ELSE '' END,
   CASE WHEN page_id % 9 = 2 THEN '<meta name="description" content=" Fine caf&eacute; &#0000000066;ar goods &amp; more "><meta name="generator" content="WordPress 5.9 site">' ELSE '' END,
+  CASE WHEN page_id % 12 = 5 THEN concat('<link title=', chr(39), '<meta name="generator" content="In a value"><meta property="og:title" content="In a value">', chr(39), ' href="/x.css">') ELSE '' END,
   '</head>')), '</body>', concat(
   CASE WHEN page_id % 3 = 0 THEN concat('<script type="application/ld+json">{"@type":"Organization","name":"Store ', cast(page_id % 20 AS STRING), '","email":"Info', cast(page_id % 20 AS STRING), '@Shop', cast(page_id % 20 AS STRING), '.com","telephone":"+1 202 456 1', cast(200 + page_id % 20 AS STRING), '","address":{"addressLocality":"Halden","addressRegion":"VK","addressCountry":"NO"},"sameAs":["https://instagram.com/s', cast(page_id % 20 AS STRING), '"]}</script>') ELSE '' END,
   CASE WHEN page_id % 11 = 5 THEN concat('<script type="application/ld+json">[{"@type":["Thing","Product"],"name":"Widget ', cast(page_id % 13 AS STRING), '","category":"Widgets","sameAs":"https://www.youtube.com/w"},{"name":7}]</script>') ELSE '' END,
   CASE WHEN page_id % 17 = 0 THEN '<script type="application/ld+json">{bad json,,</script>' ELSE '' END,
   CASE WHEN page_id % 4 = 0 THEN concat('<a href="mailto:sales', cast(page_id % 15 AS STRING), '@shop.com?subject=x">Mail</a>') ELSE '' END,
-  CASE WHEN page_id % 5 = 0 THEN concat('<a href="tel:(202) 456-1', cast(100 + page_id % 30 AS STRING), '">Call</a>') WHEN page_id % 5 = 1 THEN '<a href="tel:123">Bad</a>' ELSE '' END,
+  CASE WHEN page_id % 5 = 0 THEN concat('<a href="tel:(202) 456-1', cast(100 + page_id % 30 AS STRING), '">Call</a>') WHEN page_id % 5 = 1 THEN '<a href="tel:123">Bad</a><a href="tel:+1 230 555 1234">Nowhere</a>' WHEN page_id % 5 = 2 THEN concat('<a href="tel:+33 000000000">Never</a><a href="tel:+33 1 42 68 53 ', cast(10 + page_id % 9 AS STRING), '">Ici</a>') WHEN page_id % 5 = 3 THEN '<a href="tel:237-555-1234">Nowhere</a>' ELSE '' END,
   CASE WHEN page_id % 6 = 0 THEN concat('<a href="https://www.facebook.com/p', cast(page_id % 9 AS STRING), '">f</a><a href="https://netflix.com/z">n</a><a href="https://twitter.com/t">t</a>') ELSE '' END,
   CASE WHEN page_id % 10 = 3 THEN concat('<p>Write to help', cast(page_id % 25 AS STRING), '@shop.com or bad..dots@shop.com today.</p>') ELSE '' END,
   CASE WHEN page_id % 2 = 0 THEN '<a href="/contact">c</a><a href="/about-us?x=1#y">a</a><a href="/collections/all">s</a><a href="/blog/news">b</a>' ELSE '<a href="/products/one">p</a><a href="/privacy-policy">v</a><a href="https://external.example/">e</a><a href="/">h</a>' END,
   CASE WHEN page_id % 7 = 0 THEN '<script src="https://cdn.shopify.com/s/theme.js"></script>' WHEN page_id % 7 = 1 THEN '<link href="/wp-content/plugins/woocommerce/a.css">' WHEN page_id % 7 = 2 THEN '<link href="/wp-content/themes/a.css">' WHEN page_id % 7 = 3 THEN '<img src="https://static.wixstatic.com/i.png">' ELSE '' END,
+  CASE WHEN page_id % 12 < 3 THEN concat('<div title=', chr(39), '<a href="/in-a-value">x</a>', chr(39), '>d</div><a title=">" href="/behind-a-sign">y</a><abbr href="/abbr">z</abbr>') ELSE '' END,
   CASE WHEN page_id % 13 = 4 THEN concat('<a title="see href=foo now" href="/contact-real">q</a><a class="x"href="/about-tight">n</a><template><a href="/blog/in-template">t</a>hidden@shop.com</template><a ', repeat('data-x="v" ', 70), 'href="/products/many">m</a>') ELSE '' END,
   '</body>'))"""
 

@@ -107,17 +107,13 @@ def normalize_email(value: str) -> str:
 # An address by what its characters may be and what may not stand at the edges of its parts.
 EMAIL_PARTS = r"^[\w.!#$%&'*+/=?^`{|}~-]+@[a-z0-9.-]+[.](?:[a-z]{2,63}|xn--[a-z0-9-]{0,58}[a-z0-9])$"
 EDGES = r"^[.]|[.]@|@[.-]|-[.]|[.]-|@.*[^.@]{64}"
-# Calling codes in use other than 1: the two-digit ones, and the three-digit ones by their first two digits.
-TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
-THREE_DIGITS = {
-    21: "123 68", 22: "0123456789", 23: "0123456789", 24: "0123456789", 25: "012345678", 26: "0123456789", 29: "01 789",
-    35: "0123456789", 37: "0123456789", 38: "0123 567 9", 42: "01 3", 50: "0123456789", 59: "0123456789",
-    67: "0 23456789", 68: "0123 56789", 69: "012", 80: "0 8", 85: "0 23 56", 87: "0 8", 88: "0123 6 8", 96: "012345678",
-    97: "01234567 9", 99: "23456 8",
-}
-CALLING = "7|" + "|".join(TWO_DIGITS.split()) + "|" + "|".join(
-    f"{start}{d}" for start, digits in THREE_DIGITS.items() for d in digits.replace(" ", ""))
-SERVICES = "500 522 533 544 566 577 588 600 622 633 700 800 833 844 855 866 877 888 900"
+# By calling code of one, two or three digits, every length and first digit that its numbers may have.
+NUMBER_KINDS = " ".join(
+    f"{code}:{n}:{d}"
+    for code, lengths, digits in (line.split() for line in V.NATIONAL_NUMBERS.strip().splitlines())
+    for part in lengths.split(",") for n in range(int(part.split("-")[0]), int(part.split("-")[-1]) + 1)
+    for d in range(10) if re.match(f"[{digits}]", str(d)))
+AREAS = " ".join(V.AREA_CODES.values())
 
 
 def normalize_phone(value: str) -> str:
@@ -131,10 +127,10 @@ def normalize_phone(value: str) -> str:
     )
     return (
         f"(SELECT CASE WHEN n NOT LIKE '+%' OR n LIKE '+1%' THEN"
-        f" CASE WHEN ten <> '' AND substr(ten, 1, 2) NOT IN ('37', '96') AND"
-        f" (substr(ten, 2, 1) <> substr(ten, 3, 1) OR list_contains(string_split('{SERVICES}', ' '), substr(ten, 1, 3))) THEN '+1' || ten END"
-        f" WHEN regexp_matches(n, {q(rf'^\+(?:{CALLING})[0-9]{{4,}}$')}) AND length(n) BETWEEN 9 AND 16 THEN n END"
-        f" FROM (SELECT n, regexp_extract(n, '^(?:\\+?1)?([2-9][0-8][0-9][2-9][0-9]{{6}})$', 1) AS ten"
+        f" CASE WHEN ten <> '' AND contains(' {AREAS} ', ' ' || substr(ten, 1, 3) || ' ') THEN '+1' || ten END"
+        f" WHEN length(n) <= 16 AND len(list_filter([1, 2, 3], lambda k : contains(' {NUMBER_KINDS} ',"
+        f" ' ' || substr(n, 2, k) || ':' || (length(n) - 1 - k) || ':' || substr(n, 2 + k, 1) || ' '))) > 0 THEN n END"
+        f" FROM (SELECT n, regexp_extract(n, '^(?:\\+?1)?([2-9][0-9][0-9][2-9][0-9]{{6}})$', 1) AS ten"
         f" FROM (SELECT CASE WHEN b LIKE '+%' OR b LIKE '(+%' THEN '+' || d ELSE regexp_replace(d, '^011', '+') END AS n"
         f" FROM (SELECT b, {sub(keyed, '[^0-9]')} AS d FROM (SELECT {bare} AS b)))))"
     )
@@ -199,14 +195,18 @@ CTES: dict[str, str] = {
     "raw": f"SELECT page_id AS page_seq, url, html, {domain('url')} AS canonical_domain, {path('url')} AS path FROM pages",
     "sig": f"SELECT page_id AS page_seq, url, {domain('url')} AS canonical_domain, {SIGNAL_HTML} AS html FROM pages",
     "page": f"SELECT *, {sub('html', HIDDEN, '<!>')} AS markup FROM sig",
+    # Every tag with its quoted values, found by what may stand between its signs.
+    "tag": f"""
+SELECT page_seq, canonical_domain, url, pos, tag
+FROM page, unnest(regexp_extract_all(markup, {q(r"""(?s)<[A-Za-z/!](?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*""")})) WITH ORDINALITY AS t(tag, pos)""",
     "link": f"""
 SELECT page_seq, canonical_domain, url, CAST(row_number() OVER (PARTITION BY page_seq ORDER BY pos) - 1 AS INTEGER) AS link_seq, href FROM (
   SELECT page_seq, canonical_domain, url, pos, {attribute('tag', 'href')} AS href
-  FROM page, unnest(regexp_extract_all(markup, '(?is)<a\\s[^>]*')) WITH ORDINALITY AS t(tag, pos)) WHERE href <> ''""",
+  FROM tag WHERE regexp_matches(tag, '(?i)^<a\\s')) WHERE href <> ''""",
     "meta": f"""
 SELECT page_seq, canonical_domain, url, pos, {attribute('tag', 'name')} AS name, {attribute('tag', 'property')} AS property,
        {trim(attribute('tag', 'content'))} AS content
-FROM page, unnest(regexp_extract_all(markup, '(?is)<meta\\s[^>]*')) WITH ORDINALITY AS t(tag, pos)""",
+FROM tag WHERE regexp_matches(tag, '(?i)^<meta\\s')""",
     "title": f"SELECT page_seq, canonical_domain, url, {trim(decode('regexp_extract(markup, ' + q('(?is)<title[^>]*>(.*?)</title') + ', 1)', ';?'))} AS title FROM page",
     "text_email": f"""
 SELECT page_seq, canonical_domain, url, pos, email

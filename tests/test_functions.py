@@ -1,8 +1,10 @@
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from leadloom import fixed_values as V
 from leadloom.functions import contacts, html, ids, timing, urls
 
 
@@ -87,7 +89,25 @@ def test_entities(value):
 
 def test_links_ignore_comments_and_scripts(value):
     page = """<!-- <a href="no"> --><script>"<a href='no'>"</script><a class='b' title="x > y" href="/1">q</a><A HREF=/2?a=1&amp;b=2>"""
-    assert value(lambda c: html.links(html.visible_markup(c)), page) == [["/1", "/2?a=1&b=2"]]
+    assert value(lambda c: html.links(html.tags(html.visible_markup(c), "a")), page) == [["/1", "/2?a=1&b=2"]]
+
+
+def test_nothing_inside_a_value_is_a_tag(value):
+    cases = {
+        """<div title="<a href='/x'>">d</div><a href="/y">""": ["/y"], """<a title='<a href="/x">' href="/y">""": ["/y"],
+        """<p data-x=">"><a href=/y/ ><abbr href="/x"><area href="/x">""": ["/y/"], """<a href="/y"<a href="/z">""": ["/y"],
+        """a < b <a href="/y"> c > d""": ["/y"], """<a href="/never closed""": ["/never closed"], """<a href='a"b' href=/x>""": ['a"b'],
+        """<a\nHREF\n=\n"/y"\n>""": ["/y"], "<a href>": [], """</p title="<a href='/x'>"><a href="/y">""": ["/y"],
+    }
+    assert value(lambda c: html.links(html.tags(c, "a")), *cases) == list(cases.values())
+
+
+def test_many_tags_in_linear_time(value):
+    import time
+
+    start = time.perf_counter()
+    got = value(lambda c: F.size(html.links(html.tags(c, "a"))), '<i x="1"><a href="/y">' * 100_000, '<a "=<' * 100_000, "<a x='" * 100_000)
+    assert got[0] == 100_000 and time.perf_counter() - start < 60
 
 
 def test_visible_text_and_length(value):
@@ -105,7 +125,7 @@ def test_long_broken_texts_stay_linear(value):
     run = "x" * 400_000
     assert value(html.text_emails, run + "@" + run, run + " a@b.com") == [[], ["a@b.com"]]
     assert value(lambda c: html.visible_length(html.visible_markup(c)), "<p " + "a='b' " * 50_000, " " * 400_000) == [0, 0]
-    assert value(lambda c: html.links(html.visible_markup(c)), "<a x='" + "\"'" * 100_000) == [[]]
+    assert value(lambda c: html.links(html.tags(html.visible_markup(c), "a")), "<a x='" + "\"'" * 100_000) == [[]]
 
 
 def test_backoff_is_clamped(spark):
@@ -130,7 +150,7 @@ def test_attributes_are_read_in_order_and_whole(value):
         "<a " + 'data-x="v" ' * 70 + 'href="/contact">': ["/contact"], '<template><a href="/t">x</a></template>': ["/t"],
         "<a HREF = /q?x=1 class=y>": ["/q?x=1"], "<a href><a href=''>": [], '<a href="/caf&eacute;&amp;b">': ["/café&b"],
     }
-    assert value(lambda c: html.links(html.visible_markup(c)), *cases) == list(cases.values())
+    assert value(lambda c: html.links(html.tags(html.visible_markup(c), "a")), *cases) == list(cases.values())
 
 
 def test_references_decode_as_the_standard_library_does(value):
@@ -149,9 +169,23 @@ def test_addresses_of_any_script_and_reserved_names(value):
     assert value(contacts.normalize_email, *cases) == list(cases.values())
 
 
-def test_area_codes_by_rule(value):
-    cases = {"222 456 1111": None, "200 456 1111": None, "370 456 1111": None, "800 456 1111": "+18004561111", "212 456 1111": "+12124561111"}
-    assert value(contacts.normalize_phone, *cases) == list(cases.values())
+def test_numbers_that_exist_nowhere(value):
+    cases = {
+        "222 456 1111": None, "200 456 1111": None, "370 456 1111": None, "800 456 1111": "+18004561111", "212 456 1111": "+12124561111",
+        "+1 230 555 1234": None, "237-555-1234": None, "+33 000000000": None, "+33 1 42 68 53 00": "+33142685300", "+33 142 685": None,
+        "+1 416 555 0199": "+14165550199", "+49 30 901820": "+4930901820", "+39 06 6982": "+39066982", "+47 22 86 55": None,
+        "+354 570 7200": "+3545707200", "+81 3-3224-5000": "+81332245000", "+210 123456789": None, "+48 22 123 45 67": "+48221234567",
+        "+48 022 123 45 67": None, "+7 495 123-45-67": "+74951234567", "+7 195 123-45-67": None, "+883 " + "5" * 16: None,
+    }
+    assert dict(zip(cases, value(contacts.normalize_phone, *cases))) == cases
+
+
+def test_tables_of_numbers():
+    codes = [code for own in V.AREA_CODES.values() for code in own.split()]
+    assert len(codes) == len(set(codes)) and all(re.fullmatch("[2-9][0-8][0-9]", code) for code in codes)
+    calling = [line.split()[0] for line in V.NATIONAL_NUMBERS.strip().splitlines()]
+    assert calling == sorted(calling, key=lambda c: (len(c), c)) and len(calling) == len(set(calling))
+    assert not any(a != b and b.startswith(a) for a in calling for b in calling)  # no code begins another
 
 
 def test_repeated_json_keys_keep_the_last_value(value):
