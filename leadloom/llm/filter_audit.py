@@ -52,8 +52,10 @@ def failed_filters(docs: DataFrame) -> DataFrame:
     """``(doc_id, part, digest, a, b, c, d)``: what each row of ``docs (doc_id, text, lang)`` fails by itself."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"),
                        F.coalesce("text", F.lit("")).alias("text"))
-    matrix = term_matrix.encode(term_matrix.shards(rows, bytes.split, _attributes, _ATTRIBUTES))
-    return term_matrix.row_sums(matrix, _ATTRIBUTES).select(
+    local = term_matrix.shards(rows, _attributes, _ATTRIBUTES)
+    summed = term_matrix.encoded_rows(
+        local, term_matrix.number_words(local), _ATTRIBUTES, term_matrix.row_sums, "n_words bigint, n_distinct bigint")
+    return summed.select(
         "doc_id", "part", "digest",
         (F.col("n_words") < LEAST_WORDS).alias("a"),
         (100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words")).alias("b"),

@@ -2,9 +2,11 @@
 
 A shard holds some consecutive documents of a task as a matrix in compressed rows: ``indptr`` bounds each
 document's entries, ``codes`` are the shard's own word numbers and ``counts`` how often each occurs. The words of
-all shards, each once a shard, are then numbered for the whole table, and every shard gets the list that turns its
-codes into those numbers. So the words move once a shard and not once an occurrence, and no task or driver holds
-the dictionary.
+all shards, each once a shard, are then sorted by ranges of their hashes and numbered for the whole table, and each
+shard's entries get those numbers. So words move once a shard and not once an occurrence, and no task or
+driver holds the dictionary.
+
+Words are runs without ASCII white space, after bytes are mapped by a table if one is given.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,42 +23,55 @@ from leadloom.llm.common import _arrow, slices
 from leadloom.session import stage
 
 #: Bytes of text in a shard, about; a longer document is a shard of its own.
-SHARD_BYTES = 4_000_000
-
-
-class _Codes(dict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = code = len(self)
-        return code
-
-
-def local_matrix(texts: Iterator[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """``(words, indptr, codes, counts)`` of documents given as lists of words; codes ascend in a document."""
-    known = _Codes()
-    parts, sizes = [], []
-    for words in texts:
-        parts.append(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
-        sizes.append(len(words))
-    flat = np.concatenate([np.zeros(0, np.int64), *parts])
-    width = max(1, len(known))
-    cells, counts = np.unique(flat + np.repeat(np.arange(len(sizes)) * width, sizes), return_counts=True)
-    indptr = np.searchsorted(cells, np.arange(len(sizes) + 1) * width)
-    return list(known), indptr.astype(np.int32), (cells % width).astype(np.int32), counts.astype(np.int32)
+SHARD_BYTES = 16_000_000
+
+
+def _folded(texts: pa.StringArray, table: bytes) -> pa.StringArray:
+    """Every byte of the texts by a table that keeps non-ASCII ones."""
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = bytes(data)[ends[0] : ends[-1]].translate(table) if data else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer((ends - ends[0]).astype(np.int32)), pa.py_buffer(raw))
+
+
+def local_matrix(texts: pa.StringArray, fold: bytes | None = None) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(words, indptr, codes, counts)`` of texts without nulls; codes ascend in a document."""
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(1, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    split = pc.ascii_split_whitespace(texts if fold is None else _folded(texts, fold))
+    coded = split.flatten().dictionary_encode()
+    words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    width = max(1, len(words))
+    codes += np.repeat(np.arange(len(texts)) * width, np.diff(split.offsets.to_numpy()))
+    del split, coded
+    nothing = pc.index(words, "").as_py()  # what stands before a first space or after a last one
+    if nothing >= 0:
+        codes = codes[codes % width != nothing]
+    codes.sort()
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    counts, cells = np.diff(first, append=len(codes)), codes[first]
+    indptr = np.searchsorted(cells, np.arange(len(texts) + 1) * width)
+    codes = cells % width
+    if nothing >= 0:
+        words = pa.concat_arrays([words[:nothing], words[nothing + 1 :]])
+        codes -= codes > nothing
+    return words, indptr.astype(np.int32), codes.astype(np.int32), counts.astype(np.int32)
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def shards(
-    docs: DataFrame, words_of: Callable[[bytes], list[bytes]], attributes: Callable[[pa.RecordBatch], dict], schema: str
+    docs: DataFrame, attributes: Callable[[pa.RecordBatch], dict], schema: str, fold: bytes | None = None
 ) -> DataFrame:
-    """Matrix shards of ``docs`` with a column ``text``, written to the shared folder.
+    """Matrix shards of ``docs`` with a column ``text`` without nulls, written to the shared folder.
 
     ``attributes`` gives values of each row of a batch by name, as ``schema`` declares them; a shard holds each as
-    a list. A shard's number is fixed by its being written. An empty table has no shard.
+    a list. ``codes`` and ``counts`` are 32-bit integers end to end. A shard's number is fixed by its being written. An
+    empty table has no shard.
     """
-    names = [tuple(f.split()) for f in schema.split(", ")]
-    lists = ", ".join(f"{n} array<{kind}>" for n, kind in names)
-    types = {n: _arrow(kind) for n, kind in names}
+    types = {n: _arrow(f.split()[1]) for n, f in zip(_names(schema), schema.split(", "))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -63,67 +79,80 @@ def shards(
             for some in slices(batch, bytes_at_once=SHARD_BYTES):
                 if not some.num_rows:
                     continue
-                texts = some.column("text").cast(pa.binary())
-                words, indptr, codes, counts = local_matrix(words_of(t.as_py()) for t in texts)
+                words, indptr, codes, counts = local_matrix(some.column("text"), fold)
                 whole = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
                 own = attributes(some)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), *(whole(own[n], types[n]) for n, _ in names), whole(indptr, pa.int32()),
-                     whole(codes, pa.int32()), whole(counts, pa.int32()), whole(words, pa.binary())],
+                    [pa.array([number]), *(whole(own[n], t) for n, t in types.items()), whole(indptr, pa.int32()),
+                     pa.array([codes.tobytes()]), pa.array([counts.tobytes()]), whole(words, pa.string())],
                     names=["shard", *types, "indptr", "codes", "counts", "words"])
                 number += 1
 
-    out = f"shard bigint, {lists}, indptr array<int>, codes array<int>, counts array<int>, words array<binary>"
+    lists = ", ".join("{} array<{}>".format(*f.split()) for f in schema.split(", "))
+    out = f"shard bigint, {lists}, indptr array<int>, codes binary, counts binary, words array<string>"
     return stage(docs.mapInArrow(run, out), "term-shards")
 
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """``(word, term)``: every distinct ``word`` with a number of its own from 0, without gaps.
+def number_words(local: DataFrame) -> DataFrame:
+    """``(shard, code, term, word)``: the number in the whole table's dictionary of every code of every shard.
 
-    The words stay where their shuffle put them; the driver receives one count per partition.
+    ``word`` is given in the first row of a number only, so the rows with a word are the dictionary. Numbers
+    ascend in a partition and are not dense. A word that all shards hold is one row a shard.
     """
-    spark = words.sparkSession
-    placed = stage(words.select("word").distinct().withColumn("place", F.monotonically_increasing_id()), "dictionary")
-    part = F.shiftright("place", 33)
-    sizes = sorted(placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
-    starts, total = [], 0
-    for row in sizes:
-        starts.append((row.part, total))
-        total += row.n
-    begin = spark.createDataFrame(starts, "part bigint, begin bigint")
-    return placed.join(F.broadcast(begin), part == F.col("part")).select(
-        "word", (F.col("begin") + F.col("place").bitwiseAND((1 << 33) - 1)).alias("term"))
-
-
-def encode(local: DataFrame) -> DataFrame:
-    """The shards with ``terms`` in place of ``words``: the number in the dictionary of each of a shard's codes."""
     posted = local.select("shard", F.posexplode("words").alias("code", "word"))
-    numbered = posted.join(dictionary(posted), "word")
-    # A shard's list is as long as its words, which its size bounds.
-    terms = numbered.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("code", "term"))).alias("pairs"))
-    return local.drop("words").join(terms.select("shard", F.col("pairs.term").alias("terms")), "shard", "left")
-
-
-def row_sums(matrix: DataFrame, schema: str) -> DataFrame:
-    """One row per document of encoded shards: its attributes, ``n_words`` and ``n_distinct``.
-
-    These are the sum of the document's row and the number of its nonzero columns.
-    """
-    names = [f.split()[0] for f in schema.split(", ")]
+    dealt = posted.repartition("word").sortWithinPartitions("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number = None, (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
-            for at in range(batch.num_rows):
-                own = lambda n: batch.column(n)[at].values
-                indptr, counts = own("indptr").to_numpy(), own("counts").to_numpy()
-                terms = batch.column("terms")[at].values if batch.column("terms")[at].is_valid else pa.array([], pa.int64())
-                columns = terms.to_numpy()[own("codes").to_numpy()]
-                doc = np.repeat(np.arange(len(indptr) - 1), np.diff(indptr))
-                sums = np.bincount(doc, weights=counts, minlength=len(indptr) - 1).astype(np.int64)
-                # Entries are one per document and column; those of one document have different columns.
-                nonzero = np.bincount(doc[(counts > 0) & (columns >= 0)], minlength=len(indptr) - 1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(own(n) for n in names), pa.array(sums), pa.array(nonzero)], names=[*names, "n_words", "n_distinct"])
+            if not batch.num_rows:
+                continue
+            words = batch.column("word")
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)
+            new[0] = words[0].as_py() != last
+            terms = number + np.cumsum(new)
+            last, number = words[-1].as_py(), int(terms[-1])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("shard"), batch.column("code"), pa.array(terms), pc.if_else(pa.array(new), words, None)],
+                names=["shard", "code", "term", "word"])
+
+    return stage(dealt.mapInArrow(run, "shard bigint, code int, term bigint, word string"), "word-numbers")
+
+
+def encoded_rows(
+    local: DataFrame, numbered: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarray, np.ndarray], dict], out: str
+) -> DataFrame:
+    """One row per document: its attributes as ``schema`` has them, and ``columns(indptr, terms, counts)`` as ``out`` has.
 
-    picked = matrix.select(*names, "indptr", "codes", "counts", "terms")
-    return picked.mapInArrow(run, f"{schema}, n_words bigint, n_distinct bigint")
+    The matrix of a shard meets its numbers in one task; both are bounded by ``SHARD_BYTES``.
+    """
+    names, types = _names(schema), [(n, _arrow(f.split()[1])) for n, f in zip(_names(out), out.split(", "))]
+    target = pa.schema([*((n, _arrow(f.split()[1])) for n, f in zip(names, schema.split(", "))), *types])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        terms = np.zeros(right.num_rows, np.int64)
+        terms[right.column("code").to_numpy()] = right.column("term").to_numpy()
+        for at in range(left.num_rows):
+            own = lambda n: left.column(n)[at].values
+            read = lambda n: np.frombuffer(left.column(n)[at].as_py(), np.int32)
+            made = columns(own("indptr").to_numpy(), terms[read("codes")], read("counts"))
+            parts.append(pa.table([*(own(n) for n in names), *(pa.array(made[n], t) for n, t in types)], schema=target))
+        return pa.concat_tables(parts) if parts else target.empty_table()
+
+    return local.drop("words").groupBy("shard").cogroup(numbered.select("shard", "code", "term").groupBy("shard")).applyInArrow(
+        run, f"{schema}, {out}")
+
+
+def row_sums(indptr: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    """The sum of every row, its words, and the number of its nonzero columns, its distinct words."""
+    # A row's entries have different terms, since a word has one code in a shard and codes one term.
+    upto = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    return {"n_words": upto[indptr[1:]] - upto[indptr[:-1]], "n_distinct": np.diff(indptr).astype(np.int64)}
+
+
+def term_lists(indptr: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> dict[str, pa.Array]:
+    """The rows themselves: terms and how often each occurs."""
+    return {"terms": pa.ListArray.from_arrays(pa.array(indptr, pa.int32()), pa.array(terms)),
+            "counts": pa.ListArray.from_arrays(pa.array(indptr, pa.int32()), pa.array(counts.astype(np.int64)))}
