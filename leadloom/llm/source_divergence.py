@@ -19,38 +19,46 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from leadloom.llm.common import map_batches
+from leadloom.llm.common import slices
 from leadloom.llm.term_matrix import local_matrix
 from leadloom.session import stage
 
 LEAST_DOCUMENTS, RANKS, SCALE = 10, 10, 1_000_000_000
 #: Bytes to lower case, or to the space that separates terms.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+#: Bytes of text whose terms are counted at once.
+COUNTED = 8_000_000
 #: Pairs of nodes and ancestors whose corrections are taken at once, and sums that a task holds.
 PAIRS, SUMS = 200_000, 1_000_000
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``(lang, source, term, n, n_docs)`` over all of ``docs (lang, source, text)``, counted in tasks first."""
-    def run(batch: pa.RecordBatch) -> dict[str, object]:
-        texts = batch.column("text").cast(pa.binary())
-        words, indptr, codes, counts = local_matrix(t.as_py().translate(FOLD).split() for t in texts)
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, indptr, codes, counts = local_matrix(batch.column("text"), FOLD)
         group = batch.column("group").dictionary_encode()
         of_row = np.repeat(group.indices.to_numpy(), np.diff(indptr)).astype(np.int64)
         cells, first, inverse = np.unique(of_row * max(1, len(words)) + codes, return_index=True, return_inverse=True)
-        return {"group": group.dictionary.take(pa.array(of_row[first])), "term": pa.array(words, pa.binary()).take(pa.array(codes[first])),
-                "n": np.bincount(inverse, weights=counts, minlength=len(cells)).astype(np.int64),
-                "n_docs": np.bincount(inverse, minlength=len(cells))}
+        return pa.RecordBatch.from_arrays([
+            group.dictionary.take(pa.array(of_row[first])), words.take(pa.array(codes[first])),
+            pa.array(np.bincount(inverse, weights=counts, minlength=len(cells)).astype(np.int64)),
+            pa.array(np.bincount(inverse, minlength=len(cells))),
+        ], names=["group", "term", "n", "n_docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in slices(batch, bytes_at_once=COUNTED):
+                yield count(some)
 
     # Languages and sources may hold any character; a group's name says where the first ends.
     rows = docs.select(F.concat(F.length("lang").cast("string"), F.lit(":"), "lang", "source").alias("group"), "text")
-    counted = map_batches(rows, run, "group string, term binary, n bigint, n_docs bigint")
+    counted = rows.mapInArrow(run, "group string, term string, n bigint, n_docs bigint")
     counted = counted.groupBy("group", "term").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
     begin, colon = F.col("begin"), F.instr("group", ":")
     named = counted.withColumn("begin", F.substring_index("group", ":", 1).cast("int")).select(
         F.substring(F.col("group"), colon + 1, begin).alias("lang"),
         F.substring(F.col("group"), colon + 1 + begin, F.length("group")).alias("source"),
-        F.col("term").cast("string").alias("term"), "n", "n_docs")
+        "term", "n", "n_docs")
     return named
 
 
