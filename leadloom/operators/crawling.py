@@ -20,6 +20,12 @@ def thin_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+def is_unchanged(cached_hash: Column) -> Column:
+    """Whether a page's text is that of its cached copy; never for a homepage, which is always read."""
+    unchanged = H.content_hash(F.col("raw_html")).eqNullSafe(cached_hash)
+    return F.coalesce(unchanged & ~U.path(F.col("url")).isin("", "/"), F.lit(False))
+
+
 def changed_pages(pages: DataFrame, page_cache: DataFrame) -> DataFrame:
     """Pages worth reading again: changed since the cached copy, never cached, or a homepage.
 
@@ -67,10 +73,67 @@ def top_pages(links: DataFrame, max_pages: int = V.MAX_PAGES_PER_DOMAIN) -> Data
     return links.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= max_pages - 1)
 
 
+# Line ends, and the names of the lines that belong to a group of agents.
+_LINE_ENDS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+_RULE_LINES = ("allow", "disallow", "crawl-delay", "request-rate")
+
+
+def percent_normalized(path: Column) -> Column:
+    """A path with its percent escapes decoded and written anew, so that spellings of one path are equal."""
+    whole = F.regexp_replace(F.replace(path, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    encoded = F.url_encode(F.coalesce(F.try_url_decode(whole), path))
+    for written, meant in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        encoded = F.replace(encoded, F.lit(written), F.lit(meant))
+    return encoded
+
+
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """``(host, seq, allow, path)``: what robots files say to ``agent``, in the order in which rules count.
+
+    ``robots(host, status, body)`` has a row per host. A file groups lines: names of agents and then rules, ended by
+    a blank line or the next names. The first group one of whose names is part of the agent's name before
+    its version counts, else the first group for ``*``. A file that may not be read, by status 401 or 403, shuts
+    everything; one that is missing or could not be fetched shuts nothing. Lines are numbered and groups found by
+    windows over the lines of a host, so a file of any length is read in linear time.
+    """
+    fetched = robots.where("status between 200 and 299 and body is not null")
+    lines = fetched.select("host", F.posexplode(F.split("body", _LINE_ENDS)).alias("pos", "line"))
+    text = F.trim(F.substring_index("line", "#", 1), F.lit(H.BLANKS))
+    name, colon = F.lower(F.trim(F.substring_index(text, ":", 1), F.lit(H.BLANKS))), F.instr(text, ":")
+    kind = (
+        F.when(F.col("line") == "", "blank").when(colon == 0, None).when(name == "user-agent", "agent")
+        .when(name.isin(*_RULE_LINES), "rule")
+    )
+    value = F.trim(F.substring(text, colon + 1, F.length(text)), F.lit(H.BLANKS))
+    known = lines.select("host", "pos", kind.alias("kind"), name.alias("name"), value.alias("value")).where("kind is not null")
+    in_order = Window.partitionBy("host").orderBy("pos")
+    upto = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("pos"))).over(upto), F.lit(-1))
+    begins = (F.col("kind") == "agent") & (F.coalesce(F.lag("kind").over(in_order), F.lit("")) != "agent")
+    grouped = known.select(
+        "*", F.sum(begins.cast("long")).over(upto).alias("group"), (last("agent") > last("blank")).alias("open"),
+    ).where("open")  # rules after a blank line belong to nobody
+    # A group without a rule line does not count, whatever it names.
+    short = agent.split("/")[0].lower()
+    named = F.lower(F.trim(F.col("value"), F.lit(H.BLANKS)))
+    groups = grouped.groupBy("host", "group").agg(
+        F.bool_or(F.col("kind") == "rule").alias("ruled"),
+        F.bool_or((F.col("kind") == "agent") & (F.col("value") == "*")).alias("default"),
+        F.bool_or((F.col("kind") == "agent") & F.lit(short).contains(named)).alias("meant"),
+    ).where("ruled and (default or meant)")
+    chosen = groups.groupBy("host").agg(F.min(F.struct("default", "group")).alias("first")).select("host", "first.group")
+    path = F.regexp_replace(percent_normalized(F.col("value")), "^%2A$", "*")
+    rules = skew_join(grouped.where("name in ('allow', 'disallow')"), chosen, ["host", "group"], "left_semi").select(
+        "host", F.col("pos").alias("seq"), (F.col("name") == "allow").alias("allow"), path.alias("path"))
+    shut = robots.where("status in (401, 403)").select(
+        "host", F.lit(0).alias("seq"), F.lit(False).alias("allow"), F.lit("*").alias("path"))
+    return rules.unionByName(shut)
+
+
 def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``urls(canonical_domain, url, ...)`` that the rules of their host allow.
 
-    ``rules(host, seq, allow, path)``: the first rule whose path starts the URL's path decides, and
+    ``rules(host, seq, allow, path)``, as ``robots_rules`` makes them of files: the first rule whose path starts the URL's path decides, and
     no rule means allowed. An empty path allows everything and ``*`` matches everything. Instead of
     comparing every URL with every rule, a URL looks up its own prefixes, at the rule lengths its host
     uses. Those are at most as many as a path has characters.
@@ -78,7 +141,7 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
     everything = F.col("path").isin("", "*")
     prefixed = rules.select(
         F.col("host").alias("canonical_domain"),
-        F.when(everything, "/").otherwise(F.col("path")).alias("prefix"),
+        F.when(everything, "/").otherwise(percent_normalized(F.col("path"))).alias("prefix"),
         "seq",
         (F.col("allow") | (F.col("path") == "")).alias("allow"),
     )
@@ -87,7 +150,7 @@ def allowed_by_robots(urls: DataFrame, rules: DataFrame) -> DataFrame:
     targets = urls.select("canonical_domain", "url").distinct()
     without_fragment = F.regexp_replace(F.col("url"), r"#.*$", "")
     with_query = F.regexp_replace(without_fragment, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?]*", "")
-    path = F.when(with_query.startswith("/"), with_query).otherwise(F.concat(F.lit("/"), with_query))
+    path = percent_normalized(F.when(with_query.startswith("/"), with_query).otherwise(F.concat(F.lit("/"), with_query)))
     usable = F.filter(F.col("lengths"), lambda n: n <= F.length("path"))
     prefixes = (
         skew_join(targets, lengths, "canonical_domain")

@@ -23,6 +23,12 @@ def known_action(action: Column) -> Column:
     return F.when(action.isin(*V.RESOLUTION_ACTIONS), action).otherwise(unknown.cast("string"))
 
 
+def merge_target(action: Column, target: Column) -> Column:
+    """The target of a merged record; a job that meets one without a target fails."""
+    missing = F.raise_error(F.lit("a record is to be merged but has no target")).cast("long")
+    return F.when((action == "auto_merge") & target.isNull(), missing).otherwise(target)
+
+
 def owners(resolution: DataFrame) -> DataFrame:
     """``(canonical_domain, owner_id, owner_order)``: the business that each record's rows belong to.
 
@@ -31,7 +37,8 @@ def owners(resolution: DataFrame) -> DataFrame:
     merged = known_action(F.col("action")) == "auto_merge"
     order = F.col("record_order") if "record_order" in resolution.columns else F.lit(0)
     return resolution.select(
-        "canonical_domain", F.when(merged, F.col("target_business_id")).otherwise(F.col("business_id")).alias("owner_id"),
+        "canonical_domain",
+        F.when(merged, merge_target(F.col("action"), F.col("target_business_id"))).otherwise(F.col("business_id")).alias("owner_id"),
         order.cast("long").alias("owner_order"),
     )
 
@@ -46,7 +53,8 @@ def merge_businesses(businesses: DataFrame, records: DataFrame, resolution: Data
     order = "record_order" if "record_order" in resolution.columns else None
     actions = resolution.select(
         "canonical_domain", F.col("business_id").alias("new_id"), known_action(F.col("action")).alias("action"),
-        "target_business_id", F.col("match_score").alias("new_score"),
+        merge_target(F.col("action"), F.col("target_business_id")).alias("target_business_id"),
+        F.col("match_score").alias("new_score"),
         (F.col(order) if order else F.lit(0)).alias("place"),
     )
     incoming = records.join(actions, "canonical_domain").select(

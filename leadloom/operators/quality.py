@@ -1,4 +1,4 @@
-"""Table rules as counts of violations. A snapshot is published only when all are zero."""
+"""Table rules as counts of violations. Stored tables change only when all are zero."""
 
 from __future__ import annotations
 

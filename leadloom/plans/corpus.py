@@ -200,6 +200,26 @@ def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(hosts.select("host", F.inline(rules)), "robots")
 
 
+#: Files of hosts by the length of their names: comments, groups, blank lines, escapes, agents of others.
+ROBOTS_FILES = (
+    "# all\nUser-agent: *\nDisallow: /blog/ # no blog\nAllow: /collections/all\nDisallow: /collections\n",
+    "User-agent: other\nDisallow: /\n\nUser-Agent: *\nDisallow:\n",
+    "User-agent: *\nDisallow: /\n\nUSER-AGENT: lead\nuser-agent: bot\nCrawl-delay: 2\nDisallow: /%65n/\nDisallow /broken\n",
+    "Disallow: /\n\nUser-agent: *\n\nDisallow: /blog\nUser-agent: *\nAllow: /pt\r\nDisallow: *\n",
+    "<html>not found</html>",
+)
+AGENT = "LeadLoom/1.0"
+
+
+def robots_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robots file per host, picked by the length of its name; some may not be read, some are missing."""
+    hosts = page_domains(spark, sf_dir).select(F.col("canonical_domain").alias("host"))
+    pick = F.length("host") % 7
+    status = F.when(pick == 5, 403).when(pick == 6, 404).otherwise(200)
+    bodies = F.array(*[F.lit(body) for body in ROBOTS_FILES])
+    return stage(hosts.select("host", status.alias("status"), F.element_at(bodies, F.least(pick, F.lit(4)) + 1).alias("body")), "robots")
+
+
 def outcome_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as attempt outcomes; a user's day is a candidate."""
     outcome = (

@@ -12,9 +12,12 @@ from leadloom.operators import (
     candidates as C, crawling, detection, discovery, exporting, extraction, merging, normalization, resolution,
     validation, verification,
 )
+from leadloom.functions.ids import stable_id
+from leadloom.functions.urls import canonical_domain
 from leadloom.operators.skew import skew_join
 from leadloom.session import stage
 from leadloom.sources import files
+from leadloom.sources.tables import Store
 
 
 @dataclass
@@ -106,15 +109,21 @@ def apply_records(
 
 
 def pages_to_read(pages: DataFrame, page_cache: DataFrame) -> DataFrame:
-    """Pages that are new or changed since they were cached, and homepages, which are always read."""
-    decided = stage(crawling.changed_pages(pages, page_cache), "changed-pages")
-    return skew_join(pages, decided.where("from_cache").select("page_seq"), "page_seq", "left_anti")
+    """Pages that are new or changed since they were cached, and homepages, which are always read.
+
+    Each row is decided by itself against the cached row of its URL. Where both sides are bucketed by URL (see
+    ``files.save_bucketed``) page text does not move: a bucket of the cache is hashed in memory and its pages stream
+    by. Otherwise the join moves the text once, unless the cache is small enough to be sent to all tasks.
+    """
+    cached = page_cache.select("url", F.col("content_hash").alias("cached_hash"))
+    known = skew_join(pages, cached.hint("shuffle_hash"), "url", "left")
+    return known.where(~crawling.is_unchanged(F.col("cached_hash"))).select(*pages.columns)
 
 
 def ingest(
     pages: DataFrame, tables: Mapping[str, DataFrame], now: Column, skip_unchanged: bool = True
 ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
-    """Pages to the next tables and the log rows to append; ``sources.snapshots.publish`` takes both.
+    """Pages to the next tables and the log rows to append.
 
     Pages that the page cache knows unchanged are not parsed again unless ``skip_unchanged`` is off, and what
     was read goes to the cache. The ``validated`` log says of each record whether it is valid, and why not.
@@ -124,14 +133,63 @@ def ingest(
     records = normalize(found)
     resolved = stage(resolve(records, tables["businesses"], tables["contacts"]), "resolution")
     changed, logs = apply_records(tables, records, resolved, now)
-    fetched = found.section("hash").select(
+    changed["page_cache"] = crawling.upsert_page_cache(tables["page_cache"], fetched_pages(found, now))
+    checked = validated_records(records, resolved).withColumn("validated_at", now)
+    logs["validated"] = schemas.conform(checked, schemas.VALIDATED)
+    return changed, logs
+
+
+def fetched_pages(found: Extracted, now: Column) -> DataFrame:
+    """What the page cache is to know of the pages that were read."""
+    return found.section("hash").select(
         "page_seq", F.col("source_url").alias("url"), F.col("field_value").alias("content_hash"),
         F.lit(200).alias("http_status_code"), now.alias("fetched_at"),
     )
-    changed["page_cache"] = crawling.upsert_page_cache(tables["page_cache"], fetched)
+
+
+def ingest_into(store: Store, pages: DataFrame, now: Column, skip_unchanged: bool = True) -> None:
+    """``ingest`` into stored tables, of which only the buckets that the pages concern are read and written.
+
+    A page's URL says which bucket of the cache and, by its domain, which business, contacts and candidate it may
+    concern. Shared contacts are looked up by value in the index of contact values, whose buckets the new values name.
+    """
+    cache_buckets = store.of(pages.select("url"))
+    cache = store.read("page_cache", cache_buckets)
+    found = extract(pages_to_read(pages, cache) if skip_unchanged else pages)
+    records = normalize(found)
+    values = stage(contact_values(records.contacts), "values")
+    own = store.of(found.domains.select(stable_id(F.col("canonical_domain"))))
+    value_buckets = store.of(values.select("value"))
+    stored = store.read("contact_values", value_buckets)
+    resolved = stage(resolution.resolve(records.headers, values, store.read("businesses", own), stored), "resolution")
+    touched = sorted({*own, *store.of(merging.owners(resolved).select("owner_id"))})
+    names = ("businesses", "contacts", "social_profiles", "candidates")
+    changed, logs = apply_records({name: store.read(name, touched) for name in names}, records, resolved, now)
+    held = skew_join(values, merging.owners(resolved), "canonical_domain").select(
+        "value", F.col("owner_id").alias("business_id"))
     checked = validated_records(records, resolved).withColumn("validated_at", now)
-    logs["validated"] = schemas.conform(checked, schemas.VALIDATED)
-    return changed, logs
+    store.merge(
+        {
+            **{name: (changed[name], touched) for name in names},
+            "contact_values": (stored.unionByName(held).distinct(), value_buckets),
+            "page_cache": (crawling.upsert_page_cache(cache, fetched_pages(found, now)), cache_buckets),
+        },
+        {**logs, "validated": checked},
+    )
+
+
+def discover_into(store: Store, urls: DataFrame, now: Column, limit: int | None = None) -> None:
+    """``discover`` into the stored candidates: the buckets of the list's domains are read and written."""
+    touched = store.of(urls.select(stable_id(canonical_domain(F.col("url")))))
+    known = store.read("candidates", touched)
+    store.merge({"candidates": (known.unionByName(schemas.conform(discover(urls, known, now, limit), schemas.CANDIDATES)), touched)})
+
+
+def record_crawls_into(store: Store, fetch_log: DataFrame, now: Column) -> None:
+    """``record_crawls`` into the stored page cache and crawl logs."""
+    touched = store.of(fetch_log.select("url"))
+    changed, logs = record_crawls({"page_cache": store.read("page_cache", touched)}, fetch_log, now)
+    store.merge({"page_cache": (changed["page_cache"], touched)}, logs)
 
 
 def validated_records(records: Records, resolved: DataFrame) -> DataFrame:

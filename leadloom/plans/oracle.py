@@ -190,6 +190,31 @@ SELECT canonical_domain, page_seq, 'social' AS section, CAST(row_number() OVER (
 FROM ({_one_row_per('page_seq, field_value', 'src, a, b, c, d', 'social_raw')}) WHERE {social('field_value', strict)} IS NOT NULL"""
 
 
+def _detail(*columns: str) -> str:
+    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+
+
+def _left(link: str) -> str:
+    """A reference to a business, unless that was deleted."""
+    return f"CASE WHEN {link} NOT IN (SELECT id FROM deleted) THEN {link} END"
+
+
+def _escaped(path: str) -> str:
+    """A path of letters and a few signs with its other signs as escapes."""
+    return f"replace(url_encode({path}), '%2F', '/')"
+
+
+def _half_resolved(half: int, stored: str) -> str:
+    """Records of one half of the pages, each with the business that held one of its values first, if any."""
+    return f"""
+SELECT h.canonical_domain, place, first.business_id AS duplicate_of FROM half_record h LEFT JOIN (
+  SELECT v.canonical_domain, min({{'place': o.place, 'business_id': o.business_id}}) AS first
+  FROM half_value v JOIN half_record r ON r.half = v.half AND r.canonical_domain = v.canonical_domain
+  JOIN ({stored} UNION ALL SELECT value, place, {stable_id('x.canonical_domain')} FROM half_value x JOIN half_record y
+        ON x.half = y.half AND x.canonical_domain = y.canonical_domain WHERE x.half = {half}) o ON o.value = v.value AND o.place < r.place
+  WHERE v.half = {half} GROUP BY 1) USING (canonical_domain) WHERE h.half = {half}"""
+
+
 CTES: dict[str, str] = {
     # pages and their parts
     "raw": f"SELECT page_id AS page_seq, url, html, {domain('url')} AS canonical_domain, {path('url')} AS path FROM pages",
@@ -351,6 +376,12 @@ SELECT url, content_hash, CAST(200 AS INTEGER) AS status_code, etag, {nothing['V
 SELECT canonical_domain, seq, allow, path FROM (SELECT canonical_domain, unnest([
   {'seq': 0, 'allow': length(canonical_domain) % 2 = 1, 'path': '/blog/'}, {'seq': 1, 'allow': TRUE, 'path': '/collections/all'},
   {'seq': 2, 'allow': FALSE, 'path': '/collections'}, {'seq': 3, 'allow': FALSE, 'path': '/en/4'}], recursive := true) FROM domains)""",
+    # What the files of ROBOTS_FILES say to this crawler, read by hand: line numbers, rules and paths.
+    "file_rule": """
+SELECT canonical_domain, seq, allow, path FROM domains JOIN (VALUES
+  (0, 2, FALSE, '/blog/'), (0, 3, TRUE, '/collections/all'), (0, 4, FALSE, '/collections'), (1, 4, FALSE, ''),
+  (2, 6, FALSE, '/en/'), (3, 6, TRUE, '/pt'), (3, 7, FALSE, '*'), (5, 0, FALSE, '*')) AS r(pick, seq, allow, path)
+ON length(canonical_domain) % 7 = pick""",
     "picked": f"""
 SELECT canonical_domain, url, page_type, priority, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY canonical_domain ORDER BY priority DESC, url) AS rank FROM (
@@ -359,6 +390,20 @@ SELECT canonical_domain, url, page_type, priority, CAST(rank AS INTEGER) AS rank
         WHEN regexp_matches(href, '(?i)^(https?:)?//') THEN CASE WHEN {authority('href')} = canonical_domain THEN {path('href')} END
         WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') OR regexp_matches(href, '^([?#]|$)') THEN NULL
         WHEN href LIKE '/%' THEN {path('href')} ELSE '/' || {path('href')} END AS target FROM link) WHERE target NOT IN ('', '/'))) WHERE rank <= 9""",
+    # stored tables of two ingests
+    "deleted": f"SELECT {stable_id('canonical_domain')} AS id FROM domains WHERE record_order % 6 = 0",
+    "first_holder": "SELECT value, arg_min(canonical_domain, record_order) AS holder, min(record_order) AS since FROM record_value JOIN domains USING (canonical_domain) GROUP BY 1",
+    "stored_twice": f"""
+SELECT {stable_id('h.canonical_domain')} AS own_id, h.canonical_domain, name, city, platform, platform_confidence, duplicate_of,
+       coalesce(name, '') <> '' AND n_contacts + n_socials > 0 AS valid,
+       CASE WHEN duplicate_of IS NULL THEN 'active' ELSE 'possible_duplicate' END AS merge_status
+FROM header h LEFT JOIN (
+  SELECT r.canonical_domain, {stable_id('arg_min(f.holder, f.since)')} AS duplicate_of
+  FROM record_value r JOIN domains d USING (canonical_domain) JOIN first_holder f ON f.value = r.value AND f.since < d.record_order GROUP BY 1) USING (canonical_domain)""",
+    "half_value": "SELECT DISTINCT page_seq % 2 AS half, canonical_domain, field_value AS value FROM norm",
+    "half_record": "SELECT page_seq % 2 AS half, canonical_domain, min(page_seq) AS place FROM raw GROUP BY ALL",
+    "odd_record": _half_resolved(1, "SELECT NULL AS value, CAST(-1 AS BIGINT) AS place, NULL AS business_id WHERE FALSE"),
+    "even_record": _half_resolved(0, f"SELECT value, CAST(-1 AS BIGINT) AS place, {stable_id('canonical_domain')} AS business_id FROM half_value WHERE half = 1"),
     # candidate histories
     "outcome": """
 SELECT user_id * 100 + day(ts) AS candidate_id, event_id, ts AS attempted_at,
@@ -590,18 +635,41 @@ UNION ALL SELECT business_id, 2, social_id, platform, url, '', CASE WHEN regexp_
     "filtered_overview": "SELECT * FROM overview WHERE (contains(canonical_domain, 'example.com') OR contains(lower(coalesce(name, '')), 'example.com')) AND emails_verified > 0 AND merge_status <> 'possible_duplicate'",
     "paged_list": "SELECT *, (SELECT count(*) FROM overview) AS total FROM ("
     + _at_most(50, "business_id", "overview", "business_id, canonical_domain, name, platform") + ")",
-    "published_tables": """
-SELECT 'businesses' AS name, count(*) AS n FROM domains
-UNION ALL SELECT 'candidates', count(*) FROM domains WHERE canonical_domain <> ''
-UNION ALL SELECT 'contacts', count(*) FROM (SELECT DISTINCT canonical_domain, field_name, field_value FROM norm)
-UNION ALL SELECT 'social_profiles', count(*) FROM (SELECT DISTINCT canonical_domain, field_name, field_value FROM social)
-UNION ALL SELECT 'validated', 2 * count(*) FROM domains
-UNION ALL SELECT 'page_cache', count(DISTINCT url) FROM raw
-UNION ALL SELECT 'evidence', 2 * ((SELECT count(*) FROM norm) + (SELECT count(*) FROM social) + (SELECT count(*) FROM platform_rows))""",
+    "published_tables": f"""
+SELECT 'businesses' AS name, own_id AS id, {_left('duplicate_of')} AS owner,
+       {_detail('canonical_domain', 'name', 'city', 'platform', 'CAST(platform_confidence AS DECIMAL(3,2))', 'merge_status', now)} AS detail
+FROM stored_twice WHERE own_id NOT IN (SELECT id FROM deleted)
+UNION ALL SELECT 'candidates', own_id, {_left('own_id')}, {_detail('canonical_domain', q('success'), '0')} FROM stored_twice WHERE canonical_domain <> ''
+UNION ALL SELECT 'contacts', contact_id, business_id, {_detail('type', 'value', 'source_url', 'CAST(extraction_confidence AS DECIMAL(3,2))')}
+FROM contact_row WHERE business_id NOT IN (SELECT id FROM deleted)
+UNION ALL SELECT 'social_profiles', social_id, business_id, {_detail('platform', 'url', 'source_url')} FROM social_row WHERE business_id NOT IN (SELECT id FROM deleted)
+UNION ALL SELECT 'evidence', NULL, own, detail FROM (
+  SELECT {stable_id('canonical_domain')} AS own, {_detail('field_name', 'field_value', 'source_url', 'extraction_method', 'CAST(confidence AS DECIMAL(3,2))')} AS detail
+  FROM (SELECT {_obs_cols} FROM norm UNION ALL SELECT {_obs_cols} FROM social UNION ALL SELECT {_obs_cols} FROM platform_rows), range(2))
+WHERE own NOT IN (SELECT id FROM deleted)
+UNION ALL SELECT 'validated', NULL, duplicate_of, {_detail('canonical_domain', 'valid', "CASE WHEN duplicate_of IS NULL THEN 'create_new' ELSE 'flag_possible_duplicate' END")} FROM stored_twice
+UNION ALL SELECT 'validated', NULL, own_id, {_detail('canonical_domain', 'valid', q('auto_merge'))} FROM stored_twice
+UNION ALL SELECT 'page_cache', NULL, NULL, {_detail('url', 'sha256(html)', '200')} FROM ({_one_row_per('url', 'page_seq DESC', 'sig')})
+UNION ALL SELECT DISTINCT 'contact_values', CAST(NULL AS BIGINT), business_id, value FROM contact_row WHERE business_id NOT IN (SELECT id FROM deleted)""",
+    "resolved_in_two_ingests": f"""
+SELECT {stable_id('canonical_domain')} AS business_id, canonical_domain,
+       CASE WHEN duplicate_of IS NULL THEN 'active' ELSE 'possible_duplicate' END AS merge_status, duplicate_of AS duplicate_of_id
+FROM (SELECT canonical_domain, duplicate_of FROM odd_record UNION ALL
+      SELECT canonical_domain, duplicate_of FROM even_record WHERE canonical_domain NOT IN (SELECT canonical_domain FROM odd_record))""",
     "reread_pages": f"SELECT page_seq, url FROM page WHERE page_seq % 5 = 0 OR {path('url')} IN ('', '/')",
     "export_file": """
-SELECT contact_id, value AS email FROM (SELECT contact_id, value FROM stored_email ORDER BY contact_id LIMIT 20)
-WHERE value NOT IN (SELECT email FROM suppressed)""",
+SELECT contact_id, value AS email FROM stored_email WHERE value NOT IN (SELECT email FROM suppressed)""",
+    "export_lines": """
+SELECT business_id, contact_id, value AS email, verification_status FROM stored_email
+WHERE platform = 'shopify' AND value NOT IN (SELECT email FROM suppressed)""",
+    "stream_states": "SELECT * FROM state",
+    "stream_due": f"SELECT candidate_id, next_attempt_at FROM state WHERE state = 'retry' AND next_attempt_at <= TIMESTAMP '{LATE_JANUARY}'",
+    "robots_from_files": "SELECT canonical_domain AS host, seq, allow, path FROM file_rule",
+    "pages_allowed_by_files": f"""
+SELECT page_seq, p.canonical_domain, url FROM raw p LEFT JOIN (
+  SELECT p.page_seq, arg_min(allow OR r.path = '', seq) AS allow FROM raw p JOIN file_rule r
+  ON r.canonical_domain = p.canonical_domain AND (r.path = '*' OR starts_with({_escaped('p.path')}, r.path)) GROUP BY 1) a
+USING (page_seq) WHERE coalesce(allow, TRUE)""",
     "crawl_pages_by_day": "SELECT CAST(fetched_at AS DATE) AS day, count(*) AS n FROM crawl_page GROUP BY 1",
     "stream_page_cache": f"""
 SELECT url, sha256(html) AS content_hash, CAST(200 AS INTEGER) AS status_code, {earlier} AS fetched_at

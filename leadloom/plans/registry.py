@@ -17,7 +17,8 @@ from leadloom.functions.ids import stable_id
 from leadloom.plans import corpus, lifecycle
 from leadloom.plans.corpus import earlier, now
 from leadloom.session import shared_dir, stage, tune
-from leadloom.sources import files, snapshots
+from leadloom.sources import files
+from leadloom.sources.tables import Store
 from leadloom.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,6 +165,20 @@ def robots_filter(spark, sf_dir):
     return crawling.allowed_by_robots(pages, corpus.robots_rules(spark, sf_dir)).select("page_seq", "canonical_domain", "url")
 
 
+@query
+def robots_from_files(spark, sf_dir):
+    """The rules that the hosts' robots files have for this crawler."""
+    return crawling.robots_rules(corpus.robots_files(spark, sf_dir), corpus.AGENT)
+
+
+@query
+def pages_allowed_by_files(spark, sf_dir):
+    """Pages that the hosts' robots files allow."""
+    pages = corpus.raw_pages(spark, sf_dir).select("page_seq", "url", U.canonical_domain(F.col("url")).alias("canonical_domain"))
+    rules = stage(crawling.robots_rules(corpus.robots_files(spark, sf_dir), corpus.AGENT), "robots-rules")
+    return crawling.allowed_by_robots(pages, rules).select("page_seq", "canonical_domain", "url")
+
+
 @query
 def thin_pages(spark, sf_dir):
     return crawling.thin_pages(corpus.raw_pages(spark, sf_dir))
@@ -594,22 +609,48 @@ def paged_list(spark, sf_dir):
     )
 
 
+def _lines_of(store: Store, name: str, key: str | None, owner: str | None, *columns: str) -> DataFrame:
+    """Rows of a stored table as ``(name, id, owner, detail)``."""
+    number = lambda c: F.col(c).cast("long") if c else F.lit(None).cast("long")
+    detail = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns])
+    return store.read(name).select(F.lit(name).alias("name"), number(key).alias("id"), number(owner).alias("owner"), detail.alias("detail"))
+
+
 @query
 def published_tables(spark, sf_dir):
-    """Rows of the tables read back after the corpus was ingested and published twice."""
-    root = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}"
-    tables = snapshots.read(spark, root)
+    """Whole rows of the stored tables after the corpus was ingested twice and every sixth business deleted."""
+    tune(spark)
+    store = Store(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", buckets=8)
     urls = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
-    tables["candidates"] = lifecycle.discover(urls, tables["candidates"], earlier())
+    lifecycle.discover_into(store, urls, earlier())
     for _ in range(2):
-        pages = corpus.signal_pages(spark, sf_dir)
-        snapshots.publish(spark, root, *lifecycle.ingest(pages, tables, now(), skip_unchanged=False))
-        tables = snapshots.read(spark, root)
-    names = ("businesses", "candidates", "contacts", "social_profiles", "evidence", "validated", "page_cache")
-    counts = [tables[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in names]
-    for part in counts[1:]:
-        counts[0] = counts[0].unionByName(part)
-    return counts[0]
+        lifecycle.ingest_into(store, corpus.signal_pages(spark, sf_dir), now(), skip_unchanged=False)
+    gone = corpus.page_domains(spark, sf_dir).where("record_order % 6 = 0").select(stable_id(F.col("canonical_domain")).alias("business_id"))
+    store.delete_businesses(gone)
+    parts = [
+        _lines_of(store, "businesses", "business_id", "duplicate_of_id", "canonical_domain", "name", "city", "platform", "platform_confidence", "merge_status", "updated_at"),
+        _lines_of(store, "candidates", "candidate_id", "business_id", "canonical_domain", "state", "attempts"),
+        _lines_of(store, "contacts", "contact_id", "business_id", "type", "value", "source_url", "extraction_confidence"),
+        _lines_of(store, "social_profiles", "social_id", "business_id", "platform", "url", "source_url"),
+        _lines_of(store, "evidence", None, "business_id", "field_name", "field_value", "source_url", "extraction_method", "confidence"),
+        _lines_of(store, "validated", None, "target_business_id", "canonical_domain", "is_valid", "action"),
+        _lines_of(store, "page_cache", None, None, "url", "content_hash", "status_code"),
+        _lines_of(store, "contact_values", None, "business_id", "value"),
+    ]
+    for part in parts[1:]:
+        parts[0] = parts[0].unionByName(part)
+    return parts[0]
+
+
+@query
+def resolved_in_two_ingests(spark, sf_dir):
+    """Businesses after the odd pages and then the even ones were ingested: shared contacts are found by value."""
+    tune(spark)
+    store = Store(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", buckets=8)
+    for half in (1, 0):
+        pages = corpus.signal_pages(spark, sf_dir).where(F.col("page_seq") % 2 == half)
+        lifecycle.ingest_into(store, pages, now())
+    return store.read("businesses").select("business_id", "canonical_domain", "merge_status", "duplicate_of_id")
 
 
 @query
@@ -619,20 +660,34 @@ def reread_pages(spark, sf_dir):
     tables, _ = lifecycle.ingest(corpus.signal_pages(spark, sf_dir), nothing, earlier())
     edited = F.when(F.col("page_seq") % 5 == 0, F.concat("raw_html", F.lit("<!-- edited -->"))).otherwise(F.col("raw_html"))
     pages = corpus.signal_pages(spark, sf_dir).withColumn("raw_html", edited)
-    again = lifecycle.pages_to_read(pages, stage(tables["page_cache"], "page-cache"))
-    return again.select("page_seq", "url")
+    # Both in buckets by URL, as a crawler lands them, so that no page text moves to meet the cache.
+    run = uuid.uuid4().hex
+    buckets = spark.sparkContext.defaultParallelism
+    landed = files.save_bucketed(pages, f"pages_{run}", f"{shared_dir(spark)}/landed/pages-{run}", "url", buckets)
+    cache = files.save_bucketed(tables["page_cache"], f"cache_{run}", f"{shared_dir(spark)}/landed/cache-{run}", "url", buckets)
+    return lifecycle.pages_to_read(landed, cache).select("page_seq", "url")
 
 
 @query
 def export_file(spark, sf_dir):
-    """The first twenty eligible contacts without suppressed ones, as read from the file they are exported to."""
+    """All eligible contacts without suppressed ones, as read from the file they are exported to."""
     observed, contacts, businesses = _export_inputs(spark, sf_dir)
     folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
-    path, _ = lifecycle.export(contacts, businesses, corpus.suppression_list(observed), now(), folder, "leads", limit=20)
+    path, _ = lifecycle.export(contacts, businesses, corpus.suppression_list(observed), now(), folder, "leads")
     return spark.read.schema("business_id long, contact_id long, email string, verification_status string").option(
         "header", True).csv(path).select("contact_id", "email")
 
 
+@query
+def export_lines(spark, sf_dir):
+    """The contacts of shops on one platform, as read from the JSON lines they are exported to."""
+    observed, contacts, businesses = _export_inputs(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    path, _ = lifecycle.export(
+        contacts, businesses, corpus.suppression_list(observed), now(), folder, "leads", fmt="json", platform="shopify")
+    return spark.read.schema("business_id long, contact_id long, email string, verification_status string").json(path)
+
+
 @query
 def crawl_pages_by_day(spark, sf_dir):
     """The crawl page log appended by day, and what each day's folder holds."""
@@ -708,13 +763,22 @@ def surviving_contacts(spark, sf_dir):
 # --- streaming -----------------------------------------------------------------------------------------
 
 
+def _in_files(df: DataFrame, folder: str, parts: int, key: str) -> None:
+    """Write ``df`` as a file for each of ``parts`` shares by ``key``, of which a stream takes one at a time."""
+    df.repartition(parts, key).write.mode("append").parquet(folder)
+
+
 @query
 def stream_discover(spark, sf_dir):
+    """Domains that a stream over several files of pages finds, each once."""
     tune(spark)
     work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    pages = ingest.page_stream(spark, sf_dir, glob="pages.parquet")
-    ingest.start_discovery(pages, f"{work}/domains", f"{work}/checkpoint").awaitTermination()
-    return spark.read.schema("canonical_domain string").parquet(f"{work}/domains")
+    _in_files(corpus.table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{work}/pages", 3, "page_id")
+    for _ in range(2):
+        pages = ingest.page_stream(spark, f"{work}/pages", files_per_batch=1)
+        ingest.start_discovery(pages, f"{work}/domains", f"{work}/checkpoint").awaitTermination()
+        ingest.compact_domains(spark, f"{work}/domains")
+    return ingest.read_domains(spark, f"{work}/domains")
 
 
 @query
@@ -729,9 +793,37 @@ def stream_pages(spark, sf_dir):
 
 @query
 def stream_page_cache(spark, sf_dir):
-    """The page cache that the stream over the stored pages leaves."""
+    """The page cache that a stream over two halves of the pages leaves, compacted after the first."""
     tune(spark)
     work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    pages = ingest.page_stream(spark, sf_dir, glob="pages.parquet")
-    ingest.start_ingest(pages, f"{work}/observations", f"{work}/cache", f"{work}/checkpoint", earlier).awaitTermination()
+    pages = corpus.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    middle = pages.agg(F.max("page_id")).first()[0] // 2
+    for first, half in ((True, F.col("page_id") <= middle), (False, F.col("page_id") > middle)):
+        _in_files(pages.where(half), f"{work}/pages", 2, "page_id")
+        stream = ingest.page_stream(spark, f"{work}/pages")
+        ingest.start_ingest(stream, f"{work}/observations", f"{work}/cache", f"{work}/checkpoint", earlier).awaitTermination()
+        if first:
+            ingest.compact_page_cache(spark, f"{work}/cache")
     return ingest.read_page_cache(spark, f"{work}/cache").select("url", "content_hash", "status_code", "fetched_at")
+
+
+def _outcome_stream(spark, sf_dir) -> str:
+    """Fold the outcomes, in several files and not in order, into states; where these are."""
+    tune(spark)
+    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    _in_files(corpus.outcome_log(spark, sf_dir), f"{work}/log", 3, "event_id")
+    stream = spark.readStream.schema(ingest.OUTCOMES).option("maxFilesPerTrigger", 1).parquet(f"{work}/log")
+    ingest.start_outcomes(stream, f"{work}/states", f"{work}/checkpoint", buckets=8).awaitTermination()
+    return f"{work}/states"
+
+
+@query
+def stream_states(spark, sf_dir):
+    """Candidate states that a stream over several files of outcomes ends in."""
+    return ingest.read_states(spark, _outcome_stream(spark, sf_dir))
+
+
+@query
+def stream_due(spark, sf_dir):
+    """Candidates whose retry is due by a moment in January, by the states of the stream."""
+    return ingest.due_now(spark, _outcome_stream(spark, sf_dir), F.lit(LATE_JANUARY).cast("timestamp"))

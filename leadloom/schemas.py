@@ -81,6 +81,11 @@ VALIDATED = _table(
     ("action", S, True), ("target_business_id", L, True), ("validated_at", TS, False),
 )
 
+# Which businesses hold a contact value, for looking them up by value.
+CONTACT_VALUES = _table(
+    ("value", S, False), ("business_id", L, False),
+)
+
 TABLES = {
     "candidates": CANDIDATES,
     "businesses": BUSINESSES,
@@ -91,9 +96,10 @@ TABLES = {
     "crawl_pages": CRAWL_PAGES,
     "page_cache": PAGE_CACHE,
     "validated": VALIDATED,
+    "contact_values": CONTACT_VALUES,
 }
 
-# Append-only tables: a new version adds rows to them and never rewrites old ones.
+# Append-only tables: a merge adds rows to them; only deletions rewrite what they hold.
 LOGS = ("evidence", "crawl_runs", "crawl_pages", "validated")
 
 

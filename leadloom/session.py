@@ -16,9 +16,6 @@ SETTINGS = {
     "spark.sql.dataFrameQueryContext.enabled": "false",
     # JSON objects that repeat a key keep its last value, as common parsers do.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # Streaming state lives outside the heap.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 _local_dirs: dict[str, str] = {}

@@ -1 +1 @@
-"""Readers, writers and table snapshots."""
+"""Readers, writers and the stored tables."""

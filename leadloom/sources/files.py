@@ -44,11 +44,47 @@ def append_log(df: DataFrame, path: str, timestamp: str) -> None:
     df.withColumn("day", day).write.mode("append").partitionBy("day").parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The file system that holds ``path``, and the path as it takes it."""
+    located = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return located.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), located
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, located = _file_system(spark, path)
+    return fs.exists(located)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds."""
+    fs, located = _file_system(spark, path)
+    fs.delete(located, True)
+
+
+def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """The numbers of the folders ``<prefix><number>`` in ``path``, ascending; none where there is no such path."""
+    fs, located = _file_system(spark, path)
+    if not fs.exists(located):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(located)]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
+def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` to ``path`` in ``buckets`` by the hash of ``key`` and return it as table ``table`` of the session.
+
+    Two tables of equally many buckets join by their keys without moving a row. A key that holds much of the rows
+    is written by several tasks.
+    """
+    spark = df.sparkSession
+    dealt = df.repartition(buckets, F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(4)))
+    dealt.write.bucketBy(buckets, key).format("parquet").option("path", path).mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
 def rename(spark: SparkSession, source: str, target: str) -> None:
     """Rename a directory on whichever file system holds it; the target must not exist."""
-    jvm = spark.sparkContext._jvm
-    src, dst = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
-    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (fs, src), (_, dst) = _file_system(spark, source), _file_system(spark, target)
     fs.mkdirs(dst.getParent())
     if fs.exists(dst) or not fs.rename(src, dst):
         raise OSError(f"cannot publish {target}")

@@ -1,17 +1,24 @@
-"""Streams over folders of page files: new domains, and new observations with the page cache."""
+"""Streams over folders of files: new domains, new observations with the page cache, and candidate states.
+
+None keeps state in the stream. A batch reads the folders that its keys hash to and writes them anew, so its cost
+follows what it holds, and a batch that is repeated after a failure leaves the same folders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from leadloom import schemas
+from leadloom import fixed_values as V, schemas
 from leadloom.functions.html import content_hash
 from leadloom.functions.urls import canonical_domain
+from leadloom.operators import candidates
 from leadloom.operators.crawling import upsert_page_cache
 from leadloom.operators.extraction import SECTIONS, observations
+from leadloom.session import stage
+from leadloom.sources import files
 
 
 def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -25,31 +32,75 @@ def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files
     return stream.select(F.col("page_id").alias("page_seq"), "url", F.col("html").alias("raw_html"))
 
 
-def new_domains(stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Every domain once over the life of the stream, without those in ``known(canonical_domain)``.
+#: Folders that known domains are dealt to by their hash.
+DOMAIN_BUCKETS = 64
 
-    The state holds one entry per domain and no page text, in the RocksDB store that ``session.tune`` sets.
-    """
-    domains = stream.select(canonical_domain(F.col("url")).alias("canonical_domain")).where(
-        F.col("canonical_domain") != ""
-    )
-    fresh = domains.dropDuplicates(["canonical_domain"])
-    return fresh if known is None else fresh.join(known.select("canonical_domain"), "canonical_domain", "left_anti")
+
+def _domain_bucket(domain: Column) -> Column:
+    return F.pmod(F.xxhash64(domain), F.lit(DOMAIN_BUCKETS)).cast("int")
+
+
+def read_domains(spark: SparkSession, out: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """Domains found so far, by all batches or those ``before`` one; of ``buckets`` alone where given."""
+    base, batches = _stored_batches(spark, out)
+    schema = "canonical_domain string, bucket int"
+    rows = spark.createDataFrame([], schema)
+    if base is not None:
+        rows = spark.read.schema(schema).parquet(f"{out}/base={base}")
+    later = [f"{out}/batch={b}" for b in batches if before is None or b < before]
+    if later:
+        rows = rows.unionByName(spark.read.schema(schema).option("basePath", out).parquet(*later).select("canonical_domain", "bucket"))
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(*buckets) if buckets else F.lit(False))
+    return rows.select("canonical_domain")
+
+
+def _domain_batch(out: str, known: DataFrame | None):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        domains = batch.select(canonical_domain(F.col("url")).alias("canonical_domain")).where("canonical_domain <> ''").distinct()
+        domains = stage(domains.withColumn("bucket", _domain_bucket(F.col("canonical_domain"))), "batch-domains")
+        touched = sorted(r.bucket for r in domains.select("bucket").distinct().collect())  # DOMAIN_BUCKETS rows at most
+        fresh = domains.join(read_domains(spark, out, batch_id, touched), "canonical_domain", "left_anti")
+        if known is not None:
+            fresh = fresh.join(known.select("canonical_domain"), "canonical_domain", "left_anti")
+        # A batch repeated after a failure overwrites itself, and sees only what earlier ones found.
+        fresh.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={batch_id}")
+
+    return write
 
 
 def start_discovery(
     stream: DataFrame, out: str, checkpoint: str, known: DataFrame | None = None
 ) -> StreamingQuery:
-    """Append new domains to ``out`` until the available files are read."""
+    """Write new domains to ``out`` until the available files are read; ``read_domains`` gives them.
+
+    A domain is new once over the life of the stream, and never if ``known(canonical_domain)`` holds it. The stream
+    keeps no state: a batch looks its domains up in the folders of their hashes, and writes to those.
+    """
     return (
-        new_domains(stream, known)
-        .writeStream.format("parquet")
+        stream.select("url").writeStream.foreachBatch(_domain_batch(out, known))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .start(out)
+        .start()
     )
 
 
+def compact_domains(spark: SparkSession, out: str) -> None:
+    """Bring the domains of all batches together, so that later lookups open one folder a bucket."""
+    base, batches = _stored_batches(spark, out)
+    if batches:
+        rows = read_domains(spark, out).withColumn("bucket", _domain_bucket(F.col("canonical_domain")))
+        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/base={batches[-1]}")
+
+
+def _stored_batches(spark: SparkSession, folder: str) -> tuple[int | None, list[int]]:
+    """The newest base of a folder, which holds all batches up to its number, and the batches after it."""
+    bases = [b for b in files.numbered_folders(spark, folder, "base=") if files.exists(spark, f"{folder}/base={b}/_SUCCESS")]
+    base = bases[-1] if bases else None
+    return base, [b for b in files.numbered_folders(spark, folder, "batch=") if base is None or b > base]
+
+
 def _observation_batch(out: str, cache: str, fetched_at: Callable[[], Column]):
     def write(batch: DataFrame, batch_id: int) -> None:
         # Paths name the batch, so a batch repeated after a failure overwrites itself. Page texts are read
@@ -84,25 +135,96 @@ def start_ingest(
 
 
 def read_observations(spark: SparkSession, out: str) -> DataFrame:
+    """Observations that the stream has written so far."""
+    if not files.exists(spark, out):
+        return spark.createDataFrame([], schemas.OBSERVATIONS)
     return spark.read.schema(schemas.OBSERVATIONS).parquet(f"{out}/batch=*").where("section <> 'hash'")
 
 
-def read_page_cache(spark: SparkSession, cache: str, base: DataFrame | None = None) -> DataFrame:
-    """Current page cache: the changes of all batches over ``base``, the newest fetch per URL.
+def read_page_cache(spark: SparkSession, cache: str) -> DataFrame:
+    """Current page cache: the changes of the batches since the last compaction over what that wrote.
 
-    Of equal times the later batch counts.
+    The newest fetch of a URL counts, of equal times the later batch. Batches that a compaction holds are not opened.
     """
-    known = spark.createDataFrame([], schemas.PAGE_CACHE) if base is None else base
+    base, batches = _stored_batches(spark, cache)
+    known = spark.createDataFrame([], schemas.PAGE_CACHE)
+    if base is not None:
+        known = spark.read.schema(schemas.PAGE_CACHE).parquet(f"{cache}/base={base}")
+    if not batches:
+        return known
     with_batch = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.PAGE_CACHE.fields) + ", batch long"
-    changes = spark.read.schema(with_batch).option("basePath", cache).parquet(f"{cache}/batch=*")
+    changes = spark.read.schema(with_batch).option("basePath", cache).parquet(*[f"{cache}/batch={b}" for b in batches])
     fetched = changes.withColumns({"http_status_code": F.col("status_code"), "page_seq": F.col("batch")})
     return upsert_page_cache(known, fetched)
 
 
-def compact_page_cache(spark: SparkSession, cache: str, base: str) -> DataFrame:
-    """Write the current page cache to ``base``, a folder of its own, and return it.
+def compact_page_cache(spark: SparkSession, cache: str) -> None:
+    """Write the current page cache as a base that names the last batch it holds.
 
-    Later reads pass it as ``base`` and need only the batches written since.
+    Later reads open the base and the batches after it; the folders of earlier ones may go.
     """
-    read_page_cache(spark, cache).write.mode("overwrite").parquet(base)
-    return spark.read.schema(schemas.PAGE_CACHE).parquet(base)
+    _, batches = _stored_batches(spark, cache)
+    if batches:
+        read_page_cache(spark, cache).write.mode("overwrite").parquet(f"{cache}/base={batches[-1]}")
+
+
+# --- candidate states ---------------------------------------------------------------------------------
+
+
+OUTCOMES = "candidate_id long, event_id long, attempted_at timestamp, outcome string"
+_KEPT = ("candidate_id", "event_id", "attempted_at", "outcome")
+
+
+def first_attempts(log: DataFrame) -> DataFrame:
+    """The events of a log that can count: the first few of each candidate, each once however often it arrived."""
+    in_order = Window.partitionBy("candidate_id").orderBy("attempted_at", "event_id")
+    # Copies of an event share a rank, so they push nothing out, and each task cuts a candidate down before the shuffle.
+    few = log.select(*_KEPT).withColumn("n", F.dense_rank().over(in_order)).where(F.col("n") <= V.MAX_ATTEMPTS)
+    return few.select(*_KEPT).distinct()
+
+
+def _outcome_batch(state: str, buckets: int):
+    bucket = F.pmod(F.xxhash64("candidate_id"), F.lit(buckets)).cast("int").alias("bucket")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = stage(first_attempts(batch), "arrived")
+        touched = sorted(r.bucket for r in arrived.select(bucket).distinct().collect())  # as many as there are buckets
+        if not touched:
+            return
+        held = _attempts(spark, state).where(F.col("bucket").isin(*touched)).select(*_KEPT)
+        kept = stage(first_attempts(held.unionByName(arrived)).select(*_KEPT, bucket), "attempts")
+        kept.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(state)
+
+    return write
+
+
+def _attempts(spark: SparkSession, state: str) -> DataFrame:
+    if not files.exists(spark, state):
+        return spark.createDataFrame([], f"{OUTCOMES}, bucket int")
+    return spark.read.schema(f"{OUTCOMES}, bucket int").parquet(state)
+
+
+def start_outcomes(stream: DataFrame, state: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Fold a stream of attempt outcomes (``OUTCOMES``) into ``state`` until the available ones are read.
+
+    A candidate's state follows from its first few attempts in time, so these are kept, in buckets by candidate.
+    A batch rewrites the buckets of its candidates. Events may come late, in any order and more than
+    once, and a batch may be repeated: the state is that of the whole log.
+    """
+    return (
+        stream.writeStream.foreachBatch(_outcome_batch(state, buckets))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def read_states(spark: SparkSession, state: str) -> DataFrame:
+    """The state of every candidate that the stream has met, as ``candidates.states_from_trail`` gives it."""
+    return candidates.states_from_trail(candidates.attempt_trail(_attempts(spark, state).select(*_KEPT)))
+
+
+def due_now(spark: SparkSession, state: str, now: Column, limit: int | None = None) -> DataFrame:
+    """Candidates whose next attempt is due by ``now``, longest due first: what a timer would have fired."""
+    return candidates.due_retries(read_states(spark, state), now, limit)

@@ -1,4 +1,4 @@
-"""Discovery, crawling, candidate states, verification, export, browsing, quality and snapshots."""
+"""Discovery, crawling, candidate states, verification, export, browsing and quality."""
 
 import hashlib
 import json
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leadloom import schemas
 from leadloom.operators import browsing, candidates, crawling, discovery, exporting, merging, quality, skew, verification
 from leadloom.plans import lifecycle
-from leadloom.sources import files, snapshots
+from leadloom.sources import files
 
 
 def now():
@@ -91,6 +91,32 @@ def test_robots_first_matching_rule_decides(spark, request, split):
     assert sorted(r.url for r in got.collect()) == sorted(u for h, u in urls if allowed(h, u.removeprefix(f"https://{h}")))
 
 
+AGENT_LINES = ["User-agent: *", "User-agent: lead", "user-agent: LOOM", "User-Agent: other", "Disallow: /", "Disallow: /a", "Allow: /a/b", "Disallow:",
+               "Allow:", "Disallow: /caf%C3%A9", "Disallow: /x y", "Disallow: *", "Allow: /%61b", "disallow : /a?q=1", "Crawl-delay: 3", "", "", "# note",
+               "Disallow: /a # note", "Sitemap: https://a.com/s", "nonsense", "   ", "User-agent:", "Disallow: /%zz"]
+AGENT_PATHS = ["/", "/a", "/a/b/c", "/ab", "/café", "/caf%C3%A9/x", "/x%20y", "/x y", "/a?q=1", "/%zz", "/z"]
+
+
+def test_robots_files_equal_the_standard_parser(spark):
+    from urllib import robotparser
+
+    rng = random.Random(17)
+    bodies = [rng.choice(["\n", "\r\n"]).join(rng.choices(AGENT_LINES, k=rng.randrange(14))) for _ in range(300)]
+    robots = spark.createDataFrame([(f"h{i}", 200, b) for i, b in enumerate(bodies)] + [("shut", 403, None), ("none", 404, "User-agent: *\nDisallow: /")],
+                                   "host string, status int, body string")
+    urls = [(h, f"https://{h}{p}") for h in [f"h{i}" for i in range(len(bodies))] + ["shut", "none", "unknown"] for p in AGENT_PATHS]
+    allowed = set()
+    for i, body in enumerate(bodies):
+        parser = robotparser.RobotFileParser()
+        parser.parse(body.splitlines())
+        allowed |= {f"https://h{i}{p}" for p in AGENT_PATHS if parser.can_fetch("LeadLoom/1.0", f"https://h{i}{p}")}
+    allowed |= {f"https://{h}{p}" for h in ("none", "unknown") for p in AGENT_PATHS}
+    rules = crawling.robots_rules(robots, "LeadLoom/1.0")
+    got = crawling.allowed_by_robots(spark.createDataFrame(urls, "canonical_domain string, url string"), rules)
+    wrong = {r.url for r in got.collect()} ^ allowed
+    assert not wrong, [(u, bodies[int(u.split("/")[2][1:])]) for u in sorted(wrong)[:3]]
+
+
 FETCH = ("canonical_domain string, crawl_no long, page_seq long, url string, page_type string, fetched_via string, "
          "http_status_code int, is_timeout boolean, content_hash string, has_body boolean, from_cache boolean, fetched_at timestamp")
 
@@ -127,6 +153,30 @@ def test_unchanged_pages_are_skipped_except_the_homepage(spark):
     assert [r.from_cache for r in crawling.changed_pages(pages, cached).orderBy("page_seq").collect()] == [False, True, False]
 
 
+def test_each_row_is_decided_by_its_own_url(spark):
+    pages = spark.createDataFrame([(1, "https://a.com/x", "same"), (1, "https://b.com/y", "new"), (2, "https://c.com/z", None)],
+                                  "page_seq long, url string, raw_html string")
+    cached = spark.createDataFrame([("https://a.com/x", hashlib.sha256(b"same").hexdigest()), ("https://c.com/z", None)], "url string, content_hash string")
+    assert [r.url for r in lifecycle.pages_to_read(pages, cached).collect()] == ["https://b.com/y"]  # numbers may repeat
+
+
+def test_bucketed_pages_do_not_move_to_meet_the_cache(spark, shuffled_joins, tmp_path):
+    rows = [(i, f"https://a.com/{i if i % 3 else 0}", f"text {i}") for i in range(300)]  # one URL in a third of the rows
+    pages = spark.createDataFrame(rows, "page_seq long, url string, raw_html string")
+    cached = pages.where("page_seq % 2 = 0").groupBy("url").agg(F.max_by(F.sha2("raw_html", 256), "page_seq").alias("content_hash"))
+    landed = files.save_bucketed(pages, "landed_pages", str(tmp_path / "pages"), "url", 4)
+    known = files.save_bucketed(cached, "landed_cache", str(tmp_path / "cache"), "url", 4)
+    chosen = lifecycle.pages_to_read(landed, known)
+    expected = {r.url: r.content_hash for r in cached.collect()}
+    assert sorted(r.page_seq for r in chosen.collect()) == [
+        i for i, url, text in rows if url == "https://a.com/0" and False or expected.get(url) != hashlib.sha256(text.encode()).hexdigest()]
+    plan = chosen._jdf.queryExecution().executedPlan()
+    moved = [line for line in plan.toString().split("\n") if "Exchange" in line]
+    assert moved and all("raw_html" not in line and "hashpartitioning" not in line for line in moved)
+    below = plan.toString().split("Exchange")
+    assert "ShuffledHashJoin" in below[0] + plan.toString() and not any("raw_html" in part.split("+-")[0] for part in below[1:])
+
+
 def test_policy_reads_the_latest_run(spark):
     found = lifecycle.discover(spark.createDataFrame([(0, "a.com"), (1, "b.com")], "pos long, url string"),
                                make(spark, schemas.CANDIDATES), now())
@@ -288,7 +338,7 @@ def test_suppression_comes_after_the_limit(spark):
     assert [r.contact_id for r in exporting.exportable(eligible, stop).collect()] == [1]
 
 
-# --- browsing, quality, snapshots ---------------------------------------------------------------------------
+# --- browsing, quality ---------------------------------------------------------------------------
 
 
 def test_listing_and_tiles(spark):
@@ -328,20 +378,6 @@ def test_quality_rules_find_faults(spark):
         "vocabulary contacts.type", "not null contacts.value", "range contacts.extraction_confidence"}
 
 
-def test_a_snapshot_is_published_whole_or_not_at_all(spark, tmp_path):
-    root = str(tmp_path / "snapshots")
-    tables = snapshots.read(spark, root)
-    tables["businesses"] = make(spark, schemas.BUSINESSES, business(1))
-    assert snapshots.publish(spark, root, tables) == 1
-    again = snapshots.read(spark, root)
-    orphan = again | {"contacts": make(spark, schemas.CONTACTS, contact(1, "a@b.com", business_id=99))}
-    with pytest.raises(snapshots.QualityError, match="foreign contacts.business_id"):
-        snapshots.publish(spark, root, orphan)
-    assert snapshots.versions(spark, root) == [1] and snapshots.read(spark, root)["businesses"].count() == 1
-    kept = merging.drop_orphans(orphan["contacts"], again["businesses"])
-    assert snapshots.publish(spark, root, again | {"contacts": kept}) == 2
-
-
 def test_append_log_partitions_by_day(spark, tmp_path):
     rows = make(spark, schemas.CRAWL_PAGES, {"crawl_run_id": 1, "url": "u", "fetched_at": T0})
     for _ in range(2):

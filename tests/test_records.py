@@ -10,7 +10,7 @@ from leadloom import schemas
 from leadloom.functions.ids import stable_id
 from leadloom.operators import crawling, merging, resolution, validation
 from leadloom.plans import lifecycle
-from leadloom.sources import snapshots
+from leadloom.sources.tables import QualityError, Store
 
 
 def now():
@@ -161,36 +161,36 @@ def test_the_first_observation_of_a_contact_is_stored_once(spark):
 def test_a_second_ingest_merges_and_appends_evidence(spark, tmp_path):
     html = '<title>A</title><a href="mailto:x@a.com">m</a><a href="https://facebook.com/a">f</a> static.wixstatic.com'
     pages = spark.createDataFrame([(0, "https://a.com/", html)], "page_seq long, url string, raw_html string")
-    tables = {name: spark.createDataFrame([], schema) for name, schema in schemas.TABLES.items()}
-    urls = spark.createDataFrame([(0, "a.com")], "pos long, url string")
-    tables["candidates"] = lifecycle.discover(urls, tables["candidates"], now())
-    root = str(tmp_path / "snapshots")
+    store = Store(spark, str(tmp_path / "tables"), buckets=4)
+    lifecycle.discover_into(store, spark.createDataFrame([(0, "a.com")], "pos long, url string"), now())
     for version in (1, 2):
-        snapshots.publish(spark, root, *lifecycle.ingest(pages, tables, now()))
-        tables = snapshots.read(spark, root)
-        counts = {name: tables[name].count() for name in ("businesses", "contacts", "social_profiles", "evidence")}
-        assert counts == {"businesses": 1, "contacts": 1, "social_profiles": 1, "evidence": 3 * version}
-    assert snapshots.read(spark, root, 1)["evidence"].count() == 3
-    candidate, business = tables["candidates"].first(), tables["businesses"].first()
+        lifecycle.ingest_into(store, pages, now())
+        counts = {name: store.read(name).count() for name in ("businesses", "contacts", "social_profiles", "evidence", "contact_values")}
+        assert counts == {"businesses": 1, "contacts": 1, "social_profiles": 1, "evidence": 3 * version, "contact_values": 1}
+    candidate, business = store.read("candidates").first(), store.read("businesses").first()
     assert (candidate.state, candidate.business_id, candidate.attempts) == ("success", business.business_id, 0)
     assert (business.name, business.platform, business.merge_status) == ("A", "wix", "active")
 
 
+FETCHES = ("canonical_domain string, crawl_no long, page_seq long, url string, page_type string, fetched_via string, "
+           "http_status_code int, is_timeout boolean, content_hash string, has_body boolean, from_cache boolean, fetched_at timestamp")
+
+
 def test_crawl_logs_grow_and_the_cache_is_replaced(spark, tmp_path):
-    root = str(tmp_path / "snapshots")
-    tables = snapshots.read(spark, root)
-    tables["candidates"] = lifecycle.discover(spark.createDataFrame([(0, "a.com")], "pos long, url string"), tables["candidates"], now())
-    schema = ("canonical_domain string, crawl_no long, page_seq long, url string, page_type string, fetched_via string, "
-              "http_status_code int, is_timeout boolean, content_hash string, has_body boolean, from_cache boolean, fetched_at timestamp")
+    store = Store(spark, str(tmp_path / "tables"), buckets=4)
+    lifecycle.discover_into(store, spark.createDataFrame([(0, "a.com")], "pos long, url string"), now())
     for crawl in (1, 2):
         log = spark.createDataFrame(
-            [("a.com", crawl, 0, "https://a.com/", "homepage", "http", 200, False, f"h{crawl}", True, False, datetime(2024, 6, crawl))], schema)
-        snapshots.publish(spark, root, *lifecycle.record_crawls(tables, log, now()))
-        tables = snapshots.read(spark, root)
-    assert (tables["crawl_runs"].count(), tables["crawl_pages"].count()) == (2, 2)
-    assert [r.content_hash for r in tables["page_cache"].collect()] == ["h2"]
-    with pytest.raises(snapshots.QualityError, match="unique crawl_runs"):
-        snapshots.publish(spark, root, *lifecycle.record_crawls(tables, log, now()))
+            [("a.com", crawl, 0, "https://a.com/", "homepage", "http", 200, False, f"h{crawl}", True, False, datetime(2024, 6, crawl))], FETCHES)
+        lifecycle.record_crawls_into(store, log, now())
+    assert (store.read("crawl_runs").count(), store.read("crawl_pages").count()) == (2, 2)
+    assert sorted(p.name for p in (tmp_path / "tables" / "crawl_pages").glob("bucket=*/day=*")) == ["day=2024-06-01", "day=2024-06-02"]
+    assert [r.content_hash for r in store.read("page_cache").collect()] == ["h2"]
+    with pytest.raises(QualityError, match="unique crawl_runs"):
+        lifecycle.record_crawls_into(store, log, now())
+    assert (store.read("crawl_runs").count(), store.read("crawl_pages").count()) == (2, 2)
+    store.delete_candidates(store.read("candidates").select("candidate_id"))
+    assert [store.read(n).count() for n in ("candidates", "crawl_runs", "crawl_pages", "page_cache")] == [0, 0, 0, 1]
 
 
 def test_records_merged_by_score_share_their_target(spark):
@@ -237,22 +237,13 @@ def test_unknown_actions_are_refused(spark):
         merging.merge_businesses(stored_business(spark).limit(0), records, resolved, now()).collect()
 
 
-def test_unchanged_tables_stay_and_logs_outlive_their_parents(spark, tmp_path):
-    root = str(tmp_path / "snapshots")
-    tables = snapshots.read(spark, root)
-    tables["candidates"] = lifecycle.discover(spark.createDataFrame([(0, "a.com"), (1, "b.com")], "pos long, url string"), tables["candidates"], now())
-    schema = ("canonical_domain string, crawl_no long, page_seq long, url string, page_type string, fetched_via string, "
-              "http_status_code int, is_timeout boolean, content_hash string, has_body boolean, from_cache boolean, fetched_at timestamp")
-    log = spark.createDataFrame([(d, 1, i, f"https://{d}/", "homepage", "http", 200, False, "h", True, False, datetime(2024, 6, 1)) for i, d in enumerate(("a.com", "b.com"))], schema)
-    snapshots.publish(spark, root, *lifecycle.record_crawls(tables, log, now()))
-    tables = snapshots.read(spark, root)
-    files = {name: sorted(tables[name].inputFiles()) for name in tables}
-    snapshots.publish(spark, root, {**tables, "candidates": tables["candidates"].where("canonical_domain = 'a.com'")})
-    tables = snapshots.read(spark, root)
-    assert sorted(tables["page_cache"].inputFiles()) == files["page_cache"] and sorted(tables["candidates"].inputFiles()) != files["candidates"]
-    assert [r.canonical_domain for r in tables["candidates"].collect()] == ["a.com"] and tables["crawl_runs"].count() == 2
-    assert merging.drop_orphans(tables["crawl_runs"], tables["candidates"], "candidate_id").count() == 1
-    assert snapshots.publish(spark, root, {}) == 3 and snapshots.read(spark, root, 1)["candidates"].count() == 2
+def test_a_merged_record_needs_a_target(spark):
+    resolved = spark.createDataFrame([("a.com", 5, "auto_merge", None, None)], RESOLUTION)
+    records = spark.createDataFrame([("a.com", "X", "Y", "wix", 0.95)], RECORD)
+    with pytest.raises(Exception, match="no target"):
+        merging.merge_businesses(stored_business(spark).limit(0), records, resolved, now()).collect()
+    with pytest.raises(Exception, match="no target"):
+        merging.owners(resolved).collect()
 
 
 def test_an_older_fetch_does_not_replace_a_newer_row(spark):
