@@ -61,13 +61,16 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(located, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none where there is no such folder."""
+    fs, located = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in fs.listStatus(located)) if fs.exists(located) else []
+
+
 def numbered_folders(spark: SparkSession, path: str, prefix: str) -> list[int]:
     """The numbers of the folders ``<prefix><number>`` in ``path``, ascending; none where there is no such path."""
-    fs, located = _file_system(spark, path)
-    if not fs.exists(located):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(located)]
-    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+    numbers = [n.removeprefix(prefix) for n in folders(spark, path) if n.startswith(prefix)]
+    return sorted(int(n) for n in numbers if n.isdigit())
 
 
 def save_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:

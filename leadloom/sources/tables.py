@@ -20,7 +20,7 @@ from leadloom import schemas
 from leadloom.operators import quality
 from leadloom.operators.skew import skew_join
 from leadloom.session import stage
-from leadloom.sources.files import delete, exists
+from leadloom.sources.files import delete, exists, folders, numbered_folders
 
 #: The column whose hash is the bucket. Children of a business lie in its bucket.
 KEYS = {
@@ -85,8 +85,12 @@ class Store:
         rows = {name: stage(schemas.conform(df, schemas.TABLES[name]), f"next-{name}") for name, (df, _) in changes.items()}
         added = {name: stage(schemas.conform(df, schemas.TABLES[name]), f"added-{name}") for name, df in logs.items()}
         self._check(rows, added, {name: touched for name, (_, touched) in changes.items()})
+        held = self._held(rows)
         for name in rows:
-            self._replace(name, rows[name], changes[name][1])
+            before = self._stored_folders(name, changes[name][1])
+            self._write(name, rows[name], "overwrite")
+            for gone in before - held:  # overwriting leaves alone what gets no row
+                delete(self.spark, f"{self.root}/{gone}")
         for name, new in added.items():
             self._write(name, new, "append")
 
@@ -97,14 +101,25 @@ class Store:
         writer = placed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*columns)
         writer.parquet(self.path(name))
 
-    def _replace(self, name: str, rows: DataFrame, touched: list[int]) -> None:
-        columns = ["bucket", "day"] if name in DAYS else ["bucket"]
-        there = self._partitions(name).where(F.col("bucket").isin(*touched) if touched else F.lit(False))
-        before = {tuple(r) for r in there.select(*columns).distinct().collect()}  # one row per folder
-        self._write(name, rows, "overwrite")
-        after = {tuple(r) for r in self._placed(name, rows).select(*columns).distinct().collect()}
-        for gone in before - after:  # overwriting leaves alone what gets no row
-            delete(self.spark, self.path(name) + "".join(f"/{c}={v}" for c, v in zip(columns, gone)))
+    def _held(self, rows: Mapping[str, DataFrame]) -> set[str]:
+        """The folders that get rows."""
+        if not rows:
+            return set()
+        parts = []
+        for name, df in rows.items():
+            day = F.concat(F.lit("/day="), F.col("day").cast("string")) if name in DAYS else F.lit("")
+            folder = F.concat(F.lit(f"{name}/bucket="), F.col("bucket").cast("string"), day)
+            parts.append(self._placed(name, df).select(folder.alias("folder")).distinct())
+        for part in parts[1:]:
+            parts[0] = parts[0].unionByName(part)
+        return {r.folder for r in parts[0].collect()}  # one row per folder
+
+    def _stored_folders(self, name: str, touched: list[int]) -> set[str]:
+        """The folders of some buckets that there are, below ``root``."""
+        there = [f"{name}/bucket={b}" for b in numbered_folders(self.spark, self.path(name), "bucket=") if b in touched]
+        if name not in DAYS:
+            return set(there)
+        return {f"{bucket}/{day}" for bucket in there for day in folders(self.spark, f"{self.root}/{bucket}") if day.startswith("day=")}
 
     def _check(self, rows: Mapping[str, DataFrame], added: Mapping[str, DataFrame], touched: Mapping[str, list[int]]) -> None:
         new = {**rows, **added}
