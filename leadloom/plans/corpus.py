@@ -25,6 +25,7 @@ SIGNAL_HTML = """replace(replace(html, '</head>', concat(
   '</head>')), '</body>', concat(
   CASE WHEN page_id % 3 = 0 THEN concat('<script type="application/ld+json">{"@type":"Organization","name":"Store ', cast(page_id % 20 AS STRING), '","email":"Info', cast(page_id % 20 AS STRING), '@Shop', cast(page_id % 20 AS STRING), '.com","telephone":"+1 202 456 1', cast(200 + page_id % 20 AS STRING), '","address":{"addressLocality":"Halden","addressRegion":"VK","addressCountry":"NO"},"sameAs":["https://instagram.com/s', cast(page_id % 20 AS STRING), '"]}</script>') ELSE '' END,
   CASE WHEN page_id % 11 = 5 THEN concat('<script type="application/ld+json">[{"@type":["Thing","Product"],"name":"Widget ', cast(page_id % 13 AS STRING), '","category":"Widgets","sameAs":"https://www.youtube.com/w"},{"name":7}]</script>') ELSE '' END,
+  CASE WHEN page_id % 20 IN (1, 7, 14) THEN concat('<script type="application/ld+json">{"@type":"Organization","email":"Kontakt@', CASE page_id % 20 WHEN 1 THEN 'München' WHEN 7 THEN 'xn--mnchen-3ya' ELSE 'münchen' END, '.de"}</script>') ELSE '' END,
   CASE WHEN page_id % 17 = 0 THEN '<script type="application/ld+json">{bad json,,</script>' ELSE '' END,
   CASE WHEN page_id % 4 = 0 THEN concat('<a href="mailto:sales', cast(page_id % 15 AS STRING), '@shop.com?subject=x">Mail</a>') ELSE '' END,
   CASE WHEN page_id % 5 = 0 THEN concat('<a href="tel:(202) 456-1', cast(100 + page_id % 30 AS STRING), '">Call</a>') WHEN page_id % 5 = 1 THEN '<a href="tel:123">Bad</a><a href="tel:+1 230 555 1234">Nowhere</a>' WHEN page_id % 5 = 2 THEN concat('<a href="tel:+33 000000000">Never</a><a href="tel:+33 1 42 68 53 ', cast(10 + page_id % 9 AS STRING), '">Ici</a>') WHEN page_id % 5 = 3 THEN '<a href="tel:237-555-1234">Nowhere</a>' ELSE '' END,
@@ -108,6 +109,16 @@ def known_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.contact_rows(observed, earlier())
 
 
+def known_socials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored social profiles: of every known business one whose address some page repeats."""
+    rows = known_businesses(spark, sf_dir).join(page_domains(spark, sf_dir), "canonical_domain").withColumn(
+        "url", F.concat(F.lit("https://www.facebook.com/p"), (F.col("record_order") % 9).cast("string")))
+    return schemas.conform(rows.select(
+        stable_id(F.col("canonical_domain"), F.lit("known"), F.col("url")).alias("social_id"), "business_id", F.lit("facebook").alias("platform"),
+        "url", F.concat(F.lit("https://"), F.col("canonical_domain"), F.lit("/")).alias("source_url"), earlier().alias("created_at"),
+    ), schemas.SOCIAL_PROFILES)
+
+
 def normalized_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalized contact observations of the signal pages, written once for the branches that follow."""
     observed = extraction.observations(signal_pages(spark, sf_dir), ["contact"])
@@ -143,8 +154,8 @@ def mx_records(contacts: DataFrame) -> DataFrame:
     domains = emails.select(email_domain(F.col("field_value")).alias("domain")).distinct()
     digits = F.regexp_extract("domain", "([0-9]{1,9})", 1)
     number = F.coalesce(digits.try_cast("int"), F.lit(0))
-    kinds = F.array(*[F.lit(k) for k in ("mx", "nxdomain", "inconclusive", "unavailable")])
-    return domains.withColumn("outcome", F.element_at(kinds, (F.length("domain") + number) % 4 + 1))
+    kinds = F.array(*[F.lit(k) for k in ("mx", "nxdomain", "inconclusive", "unavailable", "no_answer")])
+    return domains.withColumn("outcome", F.element_at(kinds, (F.length("domain") + number) % 5 + 1))
 
 
 def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:

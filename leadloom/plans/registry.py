@@ -78,6 +78,19 @@ def discover_new(spark, sf_dir):
     )
 
 
+@query
+def hinted_candidates(spark, sf_dir):
+    """Candidates of a provider that knows a name for every other page."""
+    pages = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), F.col("url").alias("raw_url"))
+    found = pages.select(
+        "*", F.lit("directory").alias("source"), F.when(F.col("pos") % 2 == 0, F.concat(F.lit("Shop "), "pos")).alias("name_hint"),
+        F.when(F.col("pos") % 3 == 0, F.create_map(F.lit("scheme"), F.lit("given"))).alias("discovery_metadata"),
+    )
+    hinted = discovery.new_candidates(found, corpus.known_businesses(spark, sf_dir), now())
+    return hinted.select("candidate_id", "canonical_domain", "source", F.col("discovery_metadata")["name_hint"].alias("name_hint"),
+                         F.col("discovery_metadata")["scheme"].alias("scheme"))
+
+
 @query
 def url_list_parse(spark, sf_dir):
     """Two lists, one as CSV lines, joined in order without repeats."""
@@ -379,9 +392,9 @@ def contacts_upsert(spark, sf_dir):
 
 @query
 def socials_upsert(spark, sf_dir):
-    socials = _observed(spark, sf_dir, "social")
-    nothing = spark.createDataFrame([], schemas.SOCIAL_PROFILES)
-    return merging.insert_absent(nothing, merging.social_rows(socials, now()), ["business_id", "platform", "url"])
+    """Stored profiles and those that pages add; a stored one stays as it is."""
+    socials, known = _observed(spark, sf_dir, "social"), stage(corpus.known_socials(spark, sf_dir), "known-socials")
+    return merging.insert_absent(known, merging.social_rows(socials, now()), ["business_id", "platform", "url"])
 
 
 @query
@@ -440,6 +453,15 @@ def domain_policy(spark, sf_dir):
     return crawling.domain_policy(found, crawling.crawl_runs(corpus.fetch_log(spark, sf_dir), now()))
 
 
+@query
+def claimed_by_policy(spark, sf_dir):
+    """Candidates claimed while the domains with an open circuit are kept out."""
+    urls = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
+    found = lifecycle.discover(urls, spark.createDataFrame([], schemas.CANDIDATES), earlier())
+    policy = crawling.domain_policy(found, crawling.crawl_runs(corpus.fetch_log(spark, sf_dir), now()))
+    return candidates.claim(found, now(), policy=policy).select("candidate_id", "canonical_domain", "state", "last_attempt_at", "claimed")
+
+
 # --- candidate states ----------------------------------------------------------------------------------
 
 
@@ -507,6 +529,13 @@ def verification_due(spark, sf_dir):
     )
 
 
+@query
+def verification_batch(spark, sf_dir):
+    """The fifty oldest due emails: the batch limit is the feature."""
+    contacts = corpus.contact_table(normalization.normalized_contacts(_observed(spark, sf_dir, "contact")))
+    return verification.lease(contacts, now(), limit=50).select("contact_id", F.col("value").alias("email"))
+
+
 def _verified(spark, sf_dir):
     observed = corpus.normalized_contacts(spark, sf_dir)
     contacts = stage(corpus.contact_table(observed), "contact-table")
@@ -596,11 +625,17 @@ def business_overview(spark, sf_dir):
 
 @query
 def filtered_overview(spark, sf_dir):
-    """Shops in the list search: text, platform and duplicates excluded."""
+    """Businesses in the list search: text, kind of contact, duplicates excluded."""
     overview = browsing.business_overview(*_stored(spark, sf_dir))
     return browsing.filter_overview(overview, search="EXAMPLE.com", contact_status="verified", exclude_duplicates=True)
 
 
+@query
+def platform_overview(spark, sf_dir):
+    """Businesses on one platform, duplicates excluded."""
+    return browsing.filter_overview(browsing.business_overview(*_stored(spark, sf_dir)), platform="wordpress", exclude_duplicates=True)
+
+
 @query
 def paged_list(spark, sf_dir):
     """First page of fifty, with the total: the page size is the feature."""
@@ -741,10 +776,23 @@ def batch_results(spark, sf_dir):
 def quality_report(spark, sf_dir):
     """Rules over tables made from the pages, with faults that some pages bring in."""
     log = corpus.fetch_log(spark, sf_dir)
-    contacts = corpus.contact_table(corpus.normalized_contacts(spark, sf_dir))
+    found = _observed(spark, sf_dir, "contact", "social")
+    contacts = corpus.contact_table(normalization.normalized_contacts(found.where("section = 'contact'")))
+    urls = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
+    listed = lifecycle.discover(urls, spark.createDataFrame([], schemas.CANDIDATES), earlier())
+    faulty = F.length("canonical_domain") % 3 == 0
+    evidence = merging.evidence_rows(found.where("section = 'social'"), found.limit(0), found.limit(0), now())
     tables = {
         "businesses": corpus.known_businesses(spark, sf_dir),
+        "candidates": stage(listed.withColumns({
+            "state": F.when(faulty, "lost").otherwise(F.col("state")),
+            "business_id": F.col("candidate_id"),
+        }), "candidates"),
         "contacts": stage(contacts, "contact-table"),
+        "social_profiles": stage(merging.social_rows(found.where("section = 'social'"), now()).withColumn(
+            "platform", F.when(F.col("platform") == "youtube", "tube").otherwise(F.col("platform"))), "socials"),
+        "evidence": stage(evidence.withColumn("confidence", F.when(
+            F.col("field_name") == "x", F.lit(1.5)).otherwise(F.col("confidence")).cast(schemas.UNIT)), "evidence"),
         "crawl_runs": stage(crawling.crawl_runs(log, now()), "runs"),
         "crawl_pages": stage(crawling.crawl_pages(log), "crawl-pages"),
         "page_cache": corpus.cached_copy(spark, sf_dir),

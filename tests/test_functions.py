@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from datetime import datetime
 
 import pytest
@@ -164,11 +165,24 @@ def test_references_decode_as_the_standard_library_does(value):
 
 
 def test_addresses_of_any_script_and_reserved_names(value):
-    cases = {"a@b.xn--p1ai": "a@b.xn--p1ai", "user@m\u00fcnchen.de": "user@m\u00fcnchen.de", "J\u00f6rg@Firma.de": "j\u00f6rg@firma.de",
+    cases = {"a@b.xn--p1ai": "a@b.\u0440\u0444", "user@m\u00fcnchen.de": "user@m\u00fcnchen.de", "J\u00f6rg@Firma.de": "j\u00f6rg@firma.de",
              "x@foo.onion": None, "x@foo.local": None, "a..b@c.com": None}
     assert value(contacts.normalize_email, *cases) == list(cases.values())
 
 
+def test_host_names_are_decoded_and_marks_composed(value):
+    hosts = ["m\u00fcnchen.de", "b\u00fccher.example.com", "\u4f8b\u3048.jp", "\u0645\u062b\u0627\u0644.com", "stra\u00dfe-am-see.de", "\u03b5\u03bb\u03bb\u03ac\u03b4\u03b1.gr",
+             "\ud55c\uad6d\uc5b4-\ub3c4\uba54\uc778.kr", "\u00e4\u00f6\u00fc\u00e4\u00f6\u00fc-x.org", "\u0bb5\u0ba3\u0b95\u0bcd\u0b95\u0bae\u0bcd.com", "a\U0001F642b.com"]
+    encode = lambda host: ".".join(f"xn--{x.encode('punycode').decode()}" if not x.isascii() else x for x in host.split("."))
+    assert value(contacts.canonical_address, *[f"x@{encode(h)}" for h in hosts]) == [f"x@{h}" for h in hosts]
+    marks = ["mu\u0308nchen", "e\u0301te\u0301", "o\u0308\u0304x", "\u0301a", "\u0438\u0306", "plain", "q\u0301"]
+    assert value(contacts.compose, *marks) == [unicodedata.normalize("NFC", m) for m in marks]
+    forms = ["User@xn--mnchen-3ya.de", "user@M\u00fcnchen.de", "user@mu\u0308nchen.de"]
+    assert value(contacts.normalize_email, *forms) == ["user@m\u00fcnchen.de"] * 3
+    odd = ["x@xn--.com", "x@xn--a-.com", "x@xn--99999999999999.com", "x@a.xn--0.com"]
+    assert value(contacts.canonical_address, *odd) == odd
+
+
 def test_numbers_that_exist_nowhere(value):
     cases = {
         "222 456 1111": None, "200 456 1111": None, "370 456 1111": None, "800 456 1111": "+18004561111", "212 456 1111": "+12124561111",
