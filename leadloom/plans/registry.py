@@ -16,7 +16,7 @@ from leadloom.operators import (
 from leadloom.functions.ids import stable_id
 from leadloom.plans import corpus, lifecycle
 from leadloom.plans.corpus import earlier, now
-from leadloom.session import shared_dir, stage, tune
+from leadloom.session import run_folder, stage, tune
 from leadloom.sources import files
 from leadloom.sources.tables import Store
 from leadloom.streaming import ingest
@@ -655,7 +655,7 @@ def _lines_of(store: Store, name: str, key: str | None, owner: str | None, *colu
 def published_tables(spark, sf_dir):
     """Whole rows of the stored tables after the corpus was ingested twice and every sixth business deleted."""
     tune(spark)
-    store = Store(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", buckets=8)
+    store = Store(spark, run_folder(spark, "tables"), buckets=8)
     urls = corpus.raw_pages(spark, sf_dir).select(F.col("page_seq").alias("pos"), "url")
     lifecycle.discover_into(store, urls, earlier())
     for _ in range(2):
@@ -681,7 +681,7 @@ def published_tables(spark, sf_dir):
 def resolved_in_two_ingests(spark, sf_dir):
     """Businesses after the odd pages and then the even ones were ingested: shared contacts are found by value."""
     tune(spark)
-    store = Store(spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", buckets=8)
+    store = Store(spark, run_folder(spark, "tables"), buckets=8)
     for half in (1, 0):
         pages = corpus.signal_pages(spark, sf_dir).where(F.col("page_seq") % 2 == half)
         lifecycle.ingest_into(store, pages, now())
@@ -698,8 +698,8 @@ def reread_pages(spark, sf_dir):
     # Both in buckets by URL, as a crawler lands them, so that no page text moves to meet the cache.
     run = uuid.uuid4().hex
     buckets = spark.sparkContext.defaultParallelism
-    landed = files.save_bucketed(pages, f"pages_{run}", f"{shared_dir(spark)}/landed/pages-{run}", "url", buckets)
-    cache = files.save_bucketed(tables["page_cache"], f"cache_{run}", f"{shared_dir(spark)}/landed/cache-{run}", "url", buckets)
+    landed = files.save_bucketed(pages, f"pages_{run}", run_folder(spark, "landed-pages"), "url", buckets)
+    cache = files.save_bucketed(tables["page_cache"], f"cache_{run}", run_folder(spark, "landed-cache"), "url", buckets)
     return lifecycle.pages_to_read(landed, cache).select("page_seq", "url")
 
 
@@ -707,7 +707,7 @@ def reread_pages(spark, sf_dir):
 def export_file(spark, sf_dir):
     """All eligible contacts without suppressed ones, as read from the file they are exported to."""
     observed, contacts, businesses = _export_inputs(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "exports")
     path, _ = lifecycle.export(contacts, businesses, corpus.suppression_list(observed), now(), folder, "leads")
     return spark.read.schema("business_id long, contact_id long, email string, verification_status string").option(
         "header", True).csv(path).select("contact_id", "email")
@@ -717,7 +717,7 @@ def export_file(spark, sf_dir):
 def export_lines(spark, sf_dir):
     """The contacts of shops on one platform, as read from the JSON lines they are exported to."""
     observed, contacts, businesses = _export_inputs(spark, sf_dir)
-    folder = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    folder = run_folder(spark, "exports")
     path, _ = lifecycle.export(
         contacts, businesses, corpus.suppression_list(observed), now(), folder, "leads", fmt="json", platform="shopify")
     return spark.read.schema("business_id long, contact_id long, email string, verification_status string").json(path)
@@ -726,7 +726,7 @@ def export_lines(spark, sf_dir):
 @query
 def crawl_pages_by_day(spark, sf_dir):
     """The crawl page log appended by day, and what each day's folder holds."""
-    path = f"{shared_dir(spark)}/crawl-pages-{uuid.uuid4().hex}"
+    path = run_folder(spark, "crawl-pages")
     files.append_log(crawling.crawl_pages(corpus.fetch_log(spark, sf_dir)), path, "fetched_at")
     return spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
@@ -820,7 +820,7 @@ def _in_files(df: DataFrame, folder: str, parts: int, key: str) -> None:
 def stream_discover(spark, sf_dir):
     """Domains that a stream over several files of pages finds, each once."""
     tune(spark)
-    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    work = run_folder(spark, "stream")
     _in_files(corpus.table(spark, sf_dir, "pages").select("page_id", "url", "html"), f"{work}/pages", 3, "page_id")
     for _ in range(2):
         pages = ingest.page_stream(spark, f"{work}/pages", files_per_batch=1)
@@ -833,7 +833,7 @@ def stream_discover(spark, sf_dir):
 def stream_pages(spark, sf_dir):
     """Observations of the stored pages as a stream writes them."""
     tune(spark)
-    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    work = run_folder(spark, "stream")
     pages = ingest.page_stream(spark, sf_dir, glob="pages.parquet")
     ingest.start_ingest(pages, f"{work}/observations", f"{work}/cache", f"{work}/checkpoint", earlier).awaitTermination()
     return ingest.read_observations(spark, f"{work}/observations")
@@ -843,7 +843,7 @@ def stream_pages(spark, sf_dir):
 def stream_page_cache(spark, sf_dir):
     """The page cache that a stream over two halves of the pages leaves, compacted after the first."""
     tune(spark)
-    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    work = run_folder(spark, "stream")
     pages = corpus.table(spark, sf_dir, "pages").select("page_id", "url", "html")
     middle = pages.agg(F.max("page_id")).first()[0] // 2
     for first, half in ((True, F.col("page_id") <= middle), (False, F.col("page_id") > middle)):
@@ -858,7 +858,7 @@ def stream_page_cache(spark, sf_dir):
 def _outcome_stream(spark, sf_dir) -> str:
     """Fold the outcomes, in several files and not in order, into states; where these are."""
     tune(spark)
-    work = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    work = run_folder(spark, "stream")
     _in_files(corpus.outcome_log(spark, sf_dir), f"{work}/log", 3, "event_id")
     stream = spark.readStream.schema(ingest.OUTCOMES).option("maxFilesPerTrigger", 1).parquet(f"{work}/log")
     ingest.start_outcomes(stream, f"{work}/states", f"{work}/checkpoint", buckets=8).awaitTermination()

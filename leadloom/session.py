@@ -51,17 +51,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     lost executors, and later reads prune columns and know the table's size.
     """
     spark = df.sparkSession
-    path = f"{_staged_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = run_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def run_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one, for what a run writes and reads again; ``drop_staged`` removes it."""
+    return f"{_staged_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def _staged_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
 def drop_staged(spark: SparkSession) -> None:
-    """Remove everything this application has staged.
+    """Remove everything this application has staged or written to run folders.
 
     For the end of a run, after its results are written or published: frames that still read staged tables
     fail afterwards.
