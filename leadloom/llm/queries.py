@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,7 +11,7 @@ from leadloom.llm import (
     near_dedup, quality_knn, source_divergence, token_counts, token_files,
 )
 from leadloom.llm.common import table
-from leadloom.session import shared_dir
+from leadloom.session import run_folder
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +63,7 @@ def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back."""
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = run_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
     return token_files.id_checksums(token_files.read_token_files(spark, path))
 
