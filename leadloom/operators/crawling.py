@@ -122,7 +122,7 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
         F.bool_or((F.col("kind") == "agent") & F.lit(short).contains(named)).alias("meant"),
     ).where("ruled and (default or meant)")
     chosen = groups.groupBy("host").agg(F.min(F.struct("default", "group")).alias("first")).select("host", "first.group")
-    path = F.regexp_replace(percent_normalized(F.col("value")), "^%2A$", "*")
+    path = percent_normalized(F.col("value"))  # a sign like ``*`` stands for itself in a file
     rules = skew_join(grouped.where("name in ('allow', 'disallow')"), chosen, ["host", "group"], "left_semi").select(
         "host", F.col("pos").alias("seq"), (F.col("name") == "allow").alias("allow"), path.alias("path"))
     shut = robots.where("status in (401, 403)").select(

@@ -384,7 +384,7 @@ SELECT canonical_domain, seq, allow, path FROM (SELECT canonical_domain, unnest(
     "file_rule": """
 SELECT canonical_domain, seq, allow, path FROM domains JOIN (VALUES
   (0, 2, FALSE, '/blog/'), (0, 3, TRUE, '/collections/all'), (0, 4, FALSE, '/collections'), (1, 4, FALSE, ''),
-  (2, 6, FALSE, '/en/'), (3, 6, TRUE, '/pt'), (3, 7, FALSE, '*'), (5, 0, FALSE, '*')) AS r(pick, seq, allow, path)
+  (2, 6, FALSE, '/en/'), (3, 6, TRUE, '/pt'), (3, 7, FALSE, '%2A'), (5, 0, FALSE, '*')) AS r(pick, seq, allow, path)
 ON length(canonical_domain) % 7 = pick""",
     "picked": f"""
 SELECT canonical_domain, url, page_type, priority, CAST(rank AS INTEGER) AS rank FROM (
