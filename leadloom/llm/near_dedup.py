@@ -138,12 +138,11 @@ def fingerprints(docs: DataFrame, weighted: bool, bands: int, rows: int) -> Data
 
 
 def shingles_of(docs: DataFrame, weighted: bool) -> DataFrame:
-    """``(doc_id, a, b, shingles)`` as sorted 32-bit hashes; a repeated shingle has one hash per repeat if weighted."""
+    """``(doc, shingles)`` as sorted 32-bit hashes; a repeated shingle has one hash per repeat if weighted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in slices(batch):
                 elements, repeats, sizes = shingle_sets(some.column("text").to_pylist(), SHINGLE)
-                a, b = _set_hashes(elements, repeats, sizes, weighted)
                 if weighted:
                     owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), repeats)
                     number = np.arange(len(owner)) - np.repeat(np.cumsum(repeats) - repeats, repeats)
@@ -152,10 +151,9 @@ def shingles_of(docs: DataFrame, weighted: bool) -> DataFrame:
                 short = (elements >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), pa.array(a), pa.array(b), pa.ListArray.from_arrays(offsets, pa.array(short))],
-                    names=["doc_id", "a", "b", "shingles"])
+                    [some.column("doc"), pa.ListArray.from_arrays(offsets, pa.array(short))], names=["doc", "shingles"])
 
-    return text_of(docs, "doc_id").mapInArrow(run, "doc_id bigint, a bigint, b bigint, shingles array<int>")
+    return docs.select("doc", "text").mapInArrow(run, "doc bigint, shingles array<int>")
 
 
 def first_of_buckets(members: DataFrame) -> DataFrame:
@@ -256,16 +254,19 @@ def classes_of(
     prints = stage(fingerprints(docs, weighted, bands, rows), "fingerprints")
     worded = prints.where("a is not null and doc_id is not null")
     # Equal sets are one document from here on, numbered by its being written; its first row lends its keys and text.
-    firsts = worded.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    distinct = stage(firsts.withColumn("doc", F.monotonically_increasing_id()), "distinct")
+    firsts = worded.groupBy("a", "b").agg(F.min(F.struct("doc_id", *_TEXT)).alias("row"), F.first("bands").alias("bands"))
+    numbered = firsts.select("a", "b", "row.*", "bands", F.monotonically_increasing_id().alias("doc"))
+    distinct = stage(numbered, "distinct")
     members = distinct.select("doc", F.posexplode("bands").alias("band", "key"))
     pairs = stage(first_of_buckets(members), "pairs")
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    wanted = stage(distinct.select("doc", "doc_id", "a", "b").join(wanted, "doc", "left_semi"), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    # An id may have several texts, and rows that repeat; one row of each wanted set counts.
-    sets = shingles_of(texts, weighted).join(wanted, ["doc_id", "a", "b"]).select("doc", "shingles").dropDuplicates(["doc"])
-    sets = stage(sets, "shingles")
+    wanted = stage(distinct.select("doc", "doc_id", *_TEXT).join(wanted, "doc", "left_semi"), "wanted")
+    ids = stage(wanted.select("doc_id").distinct(), "wanted-ids")
+    # An id may have several texts, which their hashes tell apart, and rows that repeat, of which one counts.
+    # Ids alone go first: texts that are not wanted do not move to meet the whole key.
+    texts = _with_text_hashes(text_of(docs, F.col("doc_id").cast("long").alias("doc_id")))
+    texts = texts.join(ids, "doc_id", "left_semi").join(wanted, ["doc_id", *_TEXT])
+    sets = stage(shingles_of(texts, weighted).dropDuplicates(["doc"]), "shingles")
     first = stage(verified(pairs, sets, similar), "verified").where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
     labels = stage(connected_components(first), "labels")
     # A bucket's documents may link with each other but not with its first.
