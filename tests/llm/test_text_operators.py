@@ -307,6 +307,9 @@ def test_main_text_of_odd_pages(spark):
     for i, text in enumerate(PAGES.values()):
         assert got[i] == (text, len(text))
     assert got[99] == ("", 0) and html_main_text.extract_main_text(df.limit(0)).count() == 0
+    twice = df.unionByName(df).withColumn("n_chars", F.lit("clash")).withColumn("label", F.lit(1)).where("page_id in (0, 99)")
+    rows = sorted((r.page_id, r.url, r.text) for r in html_main_text.extract_main_text(twice).collect())
+    assert rows == sorted([(0, "u0", got[0][0]), (99, None, "")] * 2, key=lambda r: r[0])
 
 
 LONG_TEXT = "one long paragraph of plain words about a river and its banks " * 8
