@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom.llm.common import slices, text_of
+from leadloom.llm.common import SLICE_ROWS, slices, text_of
 from leadloom.llm.features import LETTERS, byte_ngrams, normalised
 
 # Families of languages; a language that is not listed is a family of its own.
@@ -139,7 +139,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 rows = features(some.column("text").to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([
                     some.column("doc_id").cast(pa.int64()), some.column("lang"), pa.array([r.tobytes() for r in rows], pa.binary())
@@ -162,7 +162,7 @@ def identify_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 names, scores = shared.value.predict(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([
                     some.column("doc_id"), some.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())
@@ -184,7 +184,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 texts = [t or "" for t in some.column("text").to_pylist()]
                 if shared.value.families:
                     names = shared.value.predict(texts)[0]

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from leadloom.llm.common import slices, text_of
+from leadloom.llm.common import SLICE_ROWS, slices, text_of
 from leadloom.llm.components import connected_components
 from leadloom.llm.word_hashes import mix, shingle_sets
 from leadloom.session import stage
@@ -121,7 +121,7 @@ def fingerprints(docs: DataFrame, weighted: bool, bands: int, rows: int) -> Data
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 elements, repeats, sizes = shingle_sets(some.column("text").to_pylist(), SHINGLE)
                 weights = repeats.astype(float) if weighted else np.ones(len(elements))
                 keys = band_keys(dart_signatures(elements, weights, sizes, bands * rows), bands)
@@ -141,7 +141,7 @@ def shingles_of(docs: DataFrame, weighted: bool) -> DataFrame:
     """``(doc, shingles)`` as sorted 32-bit hashes; a repeated shingle has one hash per repeat if weighted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 elements, repeats, sizes = shingle_sets(some.column("text").to_pylist(), SHINGLE)
                 if weighted:
                     owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), repeats)

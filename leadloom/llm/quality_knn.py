@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from leadloom.llm.common import slices, text_of
+from leadloom.llm.common import SLICE_ROWS, slices, text_of
 from leadloom.llm.features import SHAPES, byte_ngrams, normalised
 
 #: Labelled documents that a model is fitted on at most; what is sent to tasks is bounded by it.
@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 rows = features(some.column("text").to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([
                     some.column("doc_id"), some.column("good"), pa.array([r.tobytes() for r in rows], pa.binary())
@@ -119,7 +119,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 scores = shared.value.scores(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([
                     some.column("doc_id"), some.column("held_out"), pa.array(scores, pa.float64()),
@@ -137,7 +137,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch):
+            for some in slices(batch, rows_at_once=SLICE_ROWS):
                 scores = shared.value.scores([t or "" for t in some.column("text").to_pylist()])
                 yield some.filter(pa.array(scores >= GOOD))
 

@@ -1,11 +1,16 @@
 """Operators on pairs of documents or vectors, and the pipeline, against brute force."""
 
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leadloom.llm import embedding_dedup, near_dedup
+from leadloom.llm import embedding_dedup, language_id, near_dedup, quality_knn
+from leadloom.llm.common import BATCH, SLICE_ROWS, slices
 from leadloom.llm.components import connected_components
 from leadloom.llm.license_scan import words_of
 from leadloom.llm.queries import QUERIES
@@ -212,3 +217,62 @@ def test_pipeline(spark):
             assert gone == {i for i, t in rows.items() if holds(t)}
         before = spark.createDataFrame(after.collect(), docs.schema)
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF_DIR).collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_slices_bound_rows_as_well_as_text():
+    """A task's matrices have a row for each text, so very many short texts must not be taken at once."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["w"] * 1000 + ["x" * 30] * 3 + [None, ""])], names=["text"])
+    parts = list(slices(batch, bytes_at_once=1_000_000, rows_at_once=256))
+    assert [p.num_rows for p in parts] == [256, 256, 256, 237] and pa.Table.from_batches(parts).combine_chunks().to_batches()[0].equals(batch)
+    assert [p.num_rows for p in slices(batch.slice(999), bytes_at_once=40, rows_at_once=256)] == [2, 1, 3]
+    assert [p.num_rows for p in slices(batch)] == [1005]
+
+
+def test_short_documents_take_bounded_memory(monkeypatch):
+    """Signatures and features of 6000 texts of a few words; 12,000 took 1.1 GB while a part was bounded by its text alone."""
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(6000)), pa.array([f"a b c d e f {i}" for i in range(6000)]), pa.array(["en"] * 6000), *[pa.array(range(6000))] * 2],
+        names=["doc_id", "text", "lang", "t1", "t2"])
+    context = SimpleNamespace(broadcast=lambda model: SimpleNamespace(value=model))
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), columns=batch.schema.names, dtypes=[("lang", "string")],
+                           schema=None, mapInArrow=lambda run, schema: run, select=lambda *names: docs)
+    monkeypatch.setattr(near_dedup, "text_of", lambda *args: docs)
+    monkeypatch.setattr(near_dedup, "_with_text_hashes", lambda rows: rows)
+    monkeypatch.setattr(near_dedup.F, "col", lambda name: SimpleNamespace(cast=lambda kind: SimpleNamespace(alias=lambda name: name)))
+    rows = language_id.features(["a b c", "x y z"])
+    votes = quality_knn.fit_rows(quality_knn.features(["a b c", "X 1 Z"]), np.array([1.0, 1.0]))
+    named = batch.rename_columns(["doc", *batch.schema.names[1:]])
+    for run, given in (
+        (near_dedup.fingerprints(docs, False, 24, 6), batch), (near_dedup.shingles_of(docs, False), named),
+        (language_id.keep_identified(docs, language_id.fit_rows(rows, ["en", "de"])), batch), (quality_knn.keep_good(docs, votes), batch),
+    ):
+        tracemalloc.start()
+        try:
+            parts = [p.num_rows for p in run(iter([given]))]
+            assert tracemalloc.get_traced_memory()[1] < 60e6
+        finally:
+            tracemalloc.stop()
+        assert sum(parts) == 6000 and max(parts) <= SLICE_ROWS
+
+
+def test_pipeline_bounds_batches_by_bytes(spark, tmp_path):
+    """Batches are a few megabytes, groups stay whole however they are cut, and ``run`` restores the session."""
+    key, = BATCH
+    before = spark.conf.get(key, None)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    plain = sorted(r.doc_id for r in near_dedup.keep_first(docs).select("doc_id").collect())
+    try:
+        spark.conf.set(key, "2k")  # a group's rows come in many batches
+        assert sorted(r.doc_id for r in near_dedup.keep_first(docs).select("doc_id").collect()) == plain
+        spark.conf.unset(key)
+        for _, function in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            function(spark, docs, SF_DIR)
+            long = spark.range(400).select(F.repeat(F.lit("x"), 100_000).alias("text")).coalesce(1)
+            sizes = long.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n bigint")
+            assert max(r.n for r in sizes.collect()) < 5_000_000
+        spark.conf.set(key, "77m")
+        corpus_pipeline.run(spark, SF_DIR)
+        assert spark.conf.get(key) == "77m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
