@@ -1,7 +1,8 @@
 """Sparse document-term matrices in shards, with one dictionary of words for all of them.
 
 A shard holds some consecutive documents of a task as a matrix in compressed rows: ``indptr`` bounds each
-document's entries, ``codes`` are the shard's own word numbers and ``counts`` how often each occurs. The words of
+document's entries, ``codes`` are the shard's own word numbers and ``counts`` how often each occurs. It is put
+together from matrices of smaller parts, so no task holds the occurrences of more than a part. The words of
 all shards, each once a shard, are then sorted by ranges of their hashes and numbered for the whole table, and each
 shard's entries get those numbers. So words move once a shard and not once an occurrence, and no task or
 driver holds the dictionary.
@@ -19,11 +20,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from leadloom.llm.common import _arrow, slices
+from leadloom.llm.common import SLICE_CHARS, _arrow, slices, small_batches
 from leadloom.session import stage
 
 #: Bytes of text in a shard, about; a longer document is a shard of its own.
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 32_000_000
+#: What shards and numbers are written with; words and codes take much less room than by the usual codec.
+COMPACT = {"compression": "zstd"}
 
 
 def _folded(texts: pa.StringArray, table: bytes) -> pa.StringArray:
@@ -58,6 +61,18 @@ def local_matrix(texts: pa.StringArray, fold: bytes | None = None) -> tuple[pa.S
     return words, indptr.astype(np.int32), codes.astype(np.int32), counts.astype(np.int32)
 
 
+def joined(parts: list[tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """One matrix as of ``local_matrix`` of the rows of all ``parts``, but codes stand in any order in a document."""
+    if len(parts) == 1:
+        return parts[0]
+    coded = pa.chunked_array([pa.DictionaryArray.from_arrays(pa.array(codes), words) for words, _, codes, _ in parts])
+    coded = coded.unify_dictionaries()
+    before = np.cumsum([0, *(len(codes) for _, _, codes, _ in parts)])
+    indptr = np.concatenate([np.zeros(1, np.int32), *(own[1:] + n for n, (_, own, _, _) in zip(before, parts))])
+    codes = np.concatenate([chunk.indices.to_numpy() for chunk in coded.chunks])
+    return coded.chunk(0).dictionary, indptr.astype(np.int32), codes.astype(np.int32), np.concatenate([p[3] for p in parts])
+
+
 def _names(schema: str) -> list[str]:
     return [f.split()[0] for f in schema.split(", ")]
 
@@ -72,25 +87,40 @@ def shards(
     empty table has no shard.
     """
     types = {n: _arrow(f.split()[1]) for n, f in zip(_names(schema), schema.split(", "))}
+    whole = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
+    raw = lambda a: pa.Array.from_buffers(
+        pa.binary(), 1, [None, pa.py_buffer(np.array([0, a.nbytes], np.int32)), pa.py_buffer(a)])
+
+    def shard(number: int, matrices: list, attributes_of: list[dict]) -> pa.RecordBatch:
+        words, indptr, codes, counts = joined(matrices)
+        own = {n: pa.concat_arrays([a[n] for a in attributes_of]) for n in types}
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), *(whole(own[n], t) for n, t in types.items()), whole(indptr, pa.int32()),
+             raw(codes), raw(counts), whole(words, pa.string())],
+            names=["shard", *types, "indptr", "codes", "counts", "words"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        number, size, matrices, attributes_of = TaskContext.get().partitionId() << 33, 0, [], []
         for batch in batches:
-            for some in slices(batch, bytes_at_once=SHARD_BYTES):
+            for some in slices(batch, bytes_at_once=min(SLICE_CHARS, SHARD_BYTES)):
                 if not some.num_rows:
                     continue
-                words, indptr, codes, counts = local_matrix(some.column("text"), fold)
-                whole = lambda a, kind: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, kind))
-                own = attributes(some)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), *(whole(own[n], t) for n, t in types.items()), whole(indptr, pa.int32()),
-                     pa.array([codes.tobytes()]), pa.array([counts.tobytes()]), whole(words, pa.string())],
-                    names=["shard", *types, "indptr", "codes", "counts", "words"])
-                number += 1
+                own = pc.sum(pc.binary_length(some.column("text"))).as_py()
+                if matrices and size + own > SHARD_BYTES:
+                    yield shard(number, matrices, attributes_of)
+                    number, size, matrices, attributes_of = number + 1, 0, [], []
+                matrices.append(local_matrix(some.column("text"), fold))
+                values, rows = attributes(some), pa.array(np.arange(some.num_rows))
+                # Taken, hence copied: a part of a batch would keep the whole batch with its texts.
+                attributes_of.append({n: pa.array(values[n], t).take(rows) for n, t in types.items()})
+                size += own
+        if matrices:
+            yield shard(number, matrices, attributes_of)
 
     lists = ", ".join("{} array<{}>".format(*f.split()) for f in schema.split(", "))
     out = f"shard bigint, {lists}, indptr array<int>, codes binary, counts binary, words array<string>"
-    return stage(docs.mapInArrow(run, out), "term-shards")
+    with small_batches(docs.sparkSession):
+        return stage(docs.mapInArrow(run, out), "term-shards", **COMPACT)
 
 
 def number_words(local: DataFrame) -> DataFrame:
@@ -117,7 +147,7 @@ def number_words(local: DataFrame) -> DataFrame:
                 [batch.column("shard"), batch.column("code"), pa.array(terms), pc.if_else(pa.array(new), words, None)],
                 names=["shard", "code", "term", "word"])
 
-    return stage(dealt.mapInArrow(run, "shard bigint, code int, term bigint, word string"), "word-numbers")
+    return stage(dealt.mapInArrow(run, "shard bigint, code int, term bigint, word string"), "word-numbers", **COMPACT)
 
 
 def encoded_rows(

@@ -6,6 +6,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,28 @@ def test_matrix_rows_are_the_words_of_documents(spark, documents, monkeypatch, s
     assert got == sorted((i, sorted(Counter(WORDS.findall(t or "")).items())) for i, t, _ in rows if i is not None and i < 303)
 
 
+def test_shards_are_put_together_from_small_parts(spark):
+    random = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{n}" for n in random.integers(0, 900, 40_000))) for i in range(40)] + [(40, ""), (41, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+    def attributes(batch):
+        text = batch.column("text")
+        return {"doc_id": batch.column("doc_id"), "part": [pc.sum(pc.binary_length(text)).as_py()] * len(text), "batch": [text.buffers()[2].size] * len(text)}
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    local = term_matrix.shards(docs, attributes, "doc_id bigint, part bigint, batch bigint")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    shard = local.collect()
+    assert len(shard) == 1 and sorted(shard[0].words) == sorted({w for _, t in rows for w in t.split()})
+    assert max(shard[0].part) <= 1_000_000 < sum(len(t) for _, t in rows) and max(shard[0].batch) < 5_000_000
+    numbered = term_matrix.number_words(local)
+    known = {r.term: r.word for r in numbered.where("word is not null").collect()}
+    encoded = term_matrix.encoded_rows(local.drop("part", "batch"), numbered, "doc_id bigint", term_matrix.term_lists, "terms array<bigint>, counts array<bigint>")
+    got = {r.doc_id: {known[t]: n for t, n in zip(r.terms, r.counts)} for r in encoded.collect()}
+    assert got == {i: dict(Counter(t.split())) for i, t in rows}
+
+
 def test_local_matrix_of_parts_of_an_array():
     texts = pa.array(["skip", "  B a b\x0ba ", "", "é-É Z", "z"]).slice(1, 3)
     words, indptr, codes, counts = term_matrix.local_matrix(texts, source_divergence.FOLD)
