@@ -2,7 +2,8 @@
 
 The byte-level split never puts a space that a non-space follows into the same word as what stands before
 it. A text may therefore be cut before each such space, and the encodings of the chunks, in order, are the
-encoding of the whole text. Most chunks repeat, so they are looked up instead of encoded again.
+encoding of the whole text. Most chunks repeat, so they are looked up instead of encoded again. The byte-level split
+makes two words at most of Latin letters and ASCII marks behind them, which therefore go to the library's model directly.
 """
 
 from __future__ import annotations
@@ -13,6 +14,11 @@ import numpy as np
 
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" \s| \Z")
+#: ASCII marks but the apostrophe, which can begin a word with letters.
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'")
+PLAIN = re.compile(f"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+[{re.escape(MARKS)}]*")
+#: The byte-level alphabet's characters of the bytes that do not stand for themselves in it.
+ALPHABET = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Characters that go to the library at once.
 PORTION = 100_000
 
@@ -52,8 +58,8 @@ class ChunkEncoder:
     At most about ``limit`` distinct chunks are remembered; beyond them the memory starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, limit: int = 1_300_000):
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -64,6 +70,13 @@ class ChunkEncoder:
         self.bytes_of = np.array([
             len(special[i].encode()) if i in special else len(self.tokenizer.id_to_token(i) or "") for i in range(size)
         ], np.int64)
+        split, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        #: Whether nothing but the byte-level split stands between a plain chunk and the model.
+        self.direct = (
+            isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space
+            and self.tokenizer.normalizer is None and isinstance(model, models.BPE) and not model.dropout
+            and not any(re.fullmatch(f" ?[^\\W\\d_]*[{re.escape(MARKS)}]*", c) for c in special.values()))
+        self.marks: dict[str, list[int]] = {}
         self.limit = limit
         self.forget()
 
@@ -93,31 +106,52 @@ class ChunkEncoder:
         counts[1:] -= counts[:-1].copy()
         return ids, counts
 
+    def _encode_plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks as ``PLAIN`` has them, a space before each, and the number of ids of each."""
+        tokenize, ids, counts = self.tokenizer.model.tokenize, [], []
+        for chunk in chunks:
+            word = chunk.rstrip(MARKS)
+            marks = chunk[len(word) :]
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(ALPHABET)
+            own = [t.id for t in tokenize("\u0120" + word)]
+            if marks:
+                if marks not in self.marks:
+                    if len(self.marks) > 10_000:
+                        self.marks.clear()
+                    self.marks[marks] = [t.id for t in tokenize(marks)]
+                own += self.marks[marks]
+            ids += own
+            counts.append(len(own))
+        return np.array(ids, np.int64), np.array(counts, np.int64)
+
+    def _encode_first(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of first chunks of texts, without the mark before each, and the number of ids of each."""
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([c[1:] for c in chunks], add_special_tokens=False)]
+        return np.array([x for i in own for x in i], np.int64), np.array([len(i) for i in own], np.int64)
+
     def _learn(self) -> None:
         # First chunks of texts are told apart by a mark before them, as they have no space.
         chunks = self.places.new
-        spaced = [" " + c for c in chunks if c[:1] != "\0"]
-        bare = [c[1:] for c in chunks if c[:1] == "\0"]
-        is_bare = np.array([c[:1] == "\0" for c in chunks], bool)
-        ids, counts = self._encode_apart(spaced) if spaced else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        if bare:
-            own = [e.ids for e in self.tokenizer.encode_batch_fast(bare, add_special_tokens=False)]
-            own_counts = np.array([len(i) for i in own], np.int64)
-            own_ids = np.array([x for i in own for x in i], np.int64)
-        else:
-            own_ids = own_counts = np.zeros(0, np.int64)
+        plain = PLAIN.fullmatch if self.direct else lambda c: None
+        kinds = np.array([0 if c[:1] == "\0" else 1 if plain(c) else 2 for c in chunks], np.int8)
+        all_counts, all_starts, parts, taken = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [], 0
+        for kind, encode in enumerate((self._encode_first, self._encode_plain, self._encode_apart)):
+            own = [chunks[i] for i in np.flatnonzero(kinds == kind).tolist()]
+            if own:
+                ids, counts = encode([" " + c for c in own] if kind == 2 else own)
+                all_counts[kinds == kind] = counts
+                all_starts[kinds == kind] = np.cumsum(counts) - counts + taken
+                parts.append(ids)
+                taken += len(ids)
         n = self.n + len(chunks)
-        all_counts, all_starts = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64)
-        all_counts[~is_bare], all_counts[is_bare] = counts, own_counts
-        all_starts[~is_bare] = np.cumsum(counts) - counts
-        all_starts[is_bare] = np.cumsum(own_counts) - own_counts + len(ids)
         self.lengths = grown(self.lengths, n)
         self.starts = grown(self.starts, n)
         self.lengths[self.n : n] = all_counts
         self.starts[self.n : n] = all_starts + self.used
-        end = self.used + len(ids) + len(own_ids)
+        end = self.used + taken
         self.ids = grown(self.ids, end)
-        self.ids[self.used : end] = np.concatenate([ids, own_ids])
+        self.ids[self.used : end] = np.concatenate(parts)
         self.n, self.used, self.places.new = n, end, []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

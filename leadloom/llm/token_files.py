@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leadloom.llm.chunk_encoder import encoder, tokenizer_path
-from leadloom.llm.common import slices, text_of
+from leadloom.llm.common import slices, small_batches, text_of
 
 TOKENS = "doc_id bigint, part int, place bigint, n_tokens bigint, ids array<int>"
 PARTS = "part int, base bigint"
@@ -62,8 +62,9 @@ def write_token_files(
     writer = writer.option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
     if encoding == "delta":
         writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
-    writer.parquet(f"{path}/tokens")
     spark = docs.sparkSession
+    with small_batches(spark):
+        writer.parquet(f"{path}/tokens")
     sums = spark.read.schema(TOKENS).parquet(f"{path}/tokens").groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per written part
     sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/parts")

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from leadloom.llm import (
     bpe_automaton, decontamination, html_main_text, language_id, license_scan, quality_knn, token_counts, token_files,
 )
-from leadloom.llm.chunk_encoder import tokenizer_path
+from leadloom.llm.chunk_encoder import ChunkEncoder, tokenizer_path
 from leadloom.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -111,6 +111,50 @@ def test_token_files_of_odd_rows(spark, odd, bytes_file, tmp_path, encoding):
     assert "ids" not in plan.split("ReadSchema")[1].split(">")[0] and "GreaterThanOrEqual(doc_id,4)" in plan
 
 
+def test_plain_chunks_go_to_the_model(bytes_file, monkeypatch, tmp_path):
+    random = np.random.default_rng(7)
+    pieces = ["a", "Zed", "don't", ".", ",", "'", "'ll", "é", "Àß", "ñß.", "ƀɏ*", "×", "÷", "ÿĀ", "ª", "é́", " ", "  ", "\n", "\t", "9", "x~`", "\x7f", "\xa0",
+              "<|endoftext|>", "<|", "|>", "endoftext", "_", "\0", "日", "!?", "cat", "Ġ"]
+    texts = ["".join(random.choice(pieces, int(random.integers(0, 30)))) for _ in range(3000)]
+    apart, whole = [], ChunkEncoder._encode_apart
+    monkeypatch.setattr(ChunkEncoder, "_encode_apart", lambda self, chunks: apart.extend(chunks) or whole(self, chunks))
+
+    def encoded(path, of=texts):
+        ids, counts = ChunkEncoder(path).encode(of)
+        own = Tokenizer.from_file(path)
+        want = [e.ids for e in own.encode_batch(of, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+    encoded(tokenizer_path(None, "byte_bpe_50k.json"))
+    apart.clear()
+    encoded(tokenizer_path(None, "byte_bpe_50k.json"), ["one two, three. Été ñandú!! don't 9th 日本 Μ a.\nB x"])
+    assert apart == [" don't", " 9th", " 日本", " Μ", " a.\nB"]
+    # A file that takes letters for a token of their own goes through the library alone.
+    other = Tokenizer.from_str(bytes_file.to_str())
+    other.add_tokens(["cat"])
+    other.save(str(tmp_path / "other.json"))
+    encoded(str(tmp_path / "other.json"), [t.replace("\0", "") for t in texts])
+    assert not ChunkEncoder(str(tmp_path / "other.json")).direct
+
+
+def test_token_files_are_written_from_small_batches(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * 40_000) for i in range(60)], "doc_id long, text string").coalesce(1)
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    slices = token_files.slices
+
+    def recorded(batch):
+        (seen / f"{batch.num_rows}").touch()
+        return slices(batch)
+
+    monkeypatch.setattr(token_files, "slices", recorded)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    token_files.write_token_files(docs, str(tmp_path / "t"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) == before
+    assert max(int(p.name) for p in seen.iterdir()) * 200_000 < 5_000_000
+    assert token_files.read_token_files(spark, str(tmp_path / "t")).count() == 60
+
+
 def test_token_files_of_nothing(spark, odd, tmp_path):
     token_files.write_token_files(odd.limit(0), str(tmp_path / "t"))
     assert token_files.id_checksums(token_files.read_token_files(spark, str(tmp_path / "t"))).count() == 0
